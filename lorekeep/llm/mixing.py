@@ -73,9 +73,10 @@ def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _fly(last: bool):
     def block(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["order", "doc_id", "size"], na_position="last", ignore_index=True)
+        # long documents first: those left undecided at the end are short ones, and landing moves few words
+        rows = rows.sort_values(["size", "order", "doc_id"], ascending=[False, True, True], na_position="last", ignore_index=True)
         size = rows["size"].to_numpy()
-        p = flight(rows["p"].to_numpy(), size, int(np.uint64(rows["order"].iloc[0]) & np.uint64(0x7FFFFFFF)))
+        p = flight(rows["p"].to_numpy(), size, int(np.bitwise_xor.reduce(rows["order"].to_numpy())) & 0x7FFFFFFF)
         rows["p"] = land(p, size) if last else p
         return rows
 
