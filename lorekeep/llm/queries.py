@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from lorekeep.llm import chat, language, mixing, url_filter
+from lorekeep.llm import chat, decontaminate, language, mixing, quality, url_filter
 from lorekeep.llm.common import table
 
 QUERIES = {
     "op1_language_id": lambda s, d: language.op1(s, table(s, d, "documents")),
     "op2_mix_sources": lambda s, d: mixing.op2(s, table(s, d, "documents")),
+    "op3_decontaminate": lambda s, d: decontaminate.op3(s, table(s, d, "documents"), table(s, d, "benchmark")),
+    "op4_quality": lambda s, d: quality.op4(s, table(s, d, "documents"), table(s, d, "labels")),
     "op5_chat_perspectives": lambda s, d: chat.rotate_perspectives(table(s, d, "conversations")),
     "op7_url_filter": lambda s, d: url_filter.op7(s, table(s, d, "pages")),
 }
 
 ORACLES = {
+    "op3_decontaminate": decontaminate.ORACLE,
     "op5_chat_perspectives": chat.ORACLE,
     "op7_url_filter": url_filter.ORACLE,
 }
