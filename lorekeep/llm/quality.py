@@ -18,9 +18,12 @@ from lorekeep.llm.common import PrefixHash, crc_mod, text_chunks
 #: Labelled documents of each label to learn from at most, drawn by a hash of their id; they are read whole.
 TRAIN_DOCS = 800
 ROUNDS = 80
-RIDGE = 1e-3
+RIDGE = 1e-4
 THRESHOLD = 0.3
 
+#: Features of a line itself; those of its neighbours follow.
+OWN = 13
+
 #: Byte classes: 0 other ASCII, 1 lower case, 2 upper case, 3 digit, 4 blank, 5 sentence mark, 6 not ASCII.
 CLASS = np.zeros(256, np.uint8)
 CLASS[ord("a") : ord("z") + 1], CLASS[ord("A") : ord("Z") + 1], CLASS[ord("0") : ord("9") + 1] = 1, 2, 3
@@ -89,6 +92,16 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return np.column_stack([own, before, after, lonely, np.ones(len(own))]), size + 1, counts
 
 
+def _ascend(slope_at, theta: np.ndarray) -> np.ndarray:
+    """theta after ROUNDS steps of Adam up a slope, with a ridge."""
+    m, v = np.zeros_like(theta), np.zeros_like(theta)
+    for k in range(1, ROUNDS + 1):
+        grad = slope_at(theta) - RIDGE * theta
+        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
+        theta = theta + 0.3 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
+    return theta
+
+
 class LineChain:
     """The field: weights of the features for "good" against "bad", and a score for each pair of neighbouring labels."""
 
@@ -123,26 +136,39 @@ class LineChain:
         return np.exp(both[:, 1] - total), pairs
 
     def fit(self, x: np.ndarray, weight: np.ndarray, counts: np.ndarray, label: np.ndarray) -> LineChain:
-        """Maximum likelihood by Adam; every line of a text carries the label of the text. Then the curve from line probabilities to that label."""
-        y = np.repeat(label, counts).astype(float)
-        inside = np.zeros((2, 2))
-        for k in (0, 1):
-            inside[k, k] = np.maximum(counts[label == k] - 1, 0).sum()
-        m, v, n = np.zeros(len(self.w) + 4), np.zeros(len(self.w) + 4), max(1, len(x))
-        for k in range(1, ROUNDS + 1):
+        """Learns from texts of label 0 or 1: lines' labels, then the field by maximum likelihood, then the curve.
+
+        A text of label 1 has good lines only. Of a text of label 0 those are bad that lines alone, without neighbours
+        and order, tell from good ones, and in any case the worst.
+        """
+        of_text, n, first = np.repeat(label, counts).astype(float), max(1, len(x)), np.cumsum(counts) - counts
+        own = np.append(np.arange(OWN), x.shape[1] - 1)
+        alone = _ascend(lambda w: x[:, own].T @ (of_text - 1 / (1 + np.exp(-(x[:, own] @ w)))) / n, np.zeros(len(own)))
+        chance = x[:, own] @ alone
+        worst = np.repeat(np.minimum.reduceat(chance, first), counts)
+        y = np.where(of_text == 1, 1.0, ((chance > 0) & (chance > worst)).astype(float))
+        later = np.ones(len(x), bool)
+        later[first] = False
+        at, inside = np.flatnonzero(later), np.zeros((2, 2))
+        np.add.at(inside, (y[at - 1].astype(int), y[at].astype(int)), 1)
+
+        def slope_at(theta: np.ndarray) -> np.ndarray:
+            self.w, self.t = theta[:-4], theta[-4:].reshape(2, 2)
             p, pairs = self.marginals(x, counts)
-            grad = np.concatenate([x.T @ (y - p), (inside - pairs).ravel()]) / n - RIDGE * np.concatenate([self.w, self.t.ravel()])
-            m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-            step = 0.3 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
-            self.w, self.t = self.w + step[:-4], self.t + step[-4:].reshape(2, 2)
+            return np.concatenate([x.T @ (y - p), (inside - pairs).ravel()]) / n
+
+        theta = np.concatenate([np.zeros(len(self.w)), np.zeros(4)])
+        theta[own] = alone
+        theta = _ascend(slope_at, theta)
+        self.w, self.t = theta[:-4], theta[-4:].reshape(2, 2)
         q = self.quality(x, weight, counts)
         bias, slope = 0.0, 0.0
         share = np.where(label == 1, 0.5 / max(1, (label == 1).sum()), 0.5 / max(1, (label == 0).sum()))
         for _ in range(50):  # Newton steps of a logistic regression in which both labels weigh the same
             p = 1 / (1 + np.exp(-(bias + slope * q)))
-            g = np.array([(share * (label - p)).sum(), (share * (label - p) * q).sum() - 1e-3 * slope])
+            g = np.array([(share * (label - p)).sum(), (share * (label - p) * q).sum() - 1e-5 * slope])
             d = share * p * (1 - p)
-            h = np.array([[d.sum() + 1e-6, (d * q).sum()], [(d * q).sum(), (d * q * q).sum() + 1e-3]])
+            h = np.array([[d.sum() + 1e-7, (d * q).sum()], [(d * q).sum(), (d * q * q).sum() + 1e-5]])
             bias, slope = np.array([bias, slope]) + np.linalg.solve(h, g)
         self.curve = np.array([bias, slope])
         return self
