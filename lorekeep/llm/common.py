@@ -6,7 +6,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task looks at together; a longer document is alone.
@@ -33,6 +33,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def ranked(df: DataFrame, order: list, name: str) -> DataFrame:
+    """df with name, each row's place in the order from 0; no task sees all rows."""
+    parts = df.repartitionByRange(shuffle_partitions(df.sparkSession), *order).withColumn("_part", F.spark_partition_id())
+    parts = durable(parts)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    offset = parts.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return parts.join(offset, "_part").withColumn(name, rank.cast("long") + F.col("_offset")).drop("_part", "_offset")
+
+
 def crc_mod(column: str, n: int):
     """crc32 of the column as text, modulo n; null stays null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

@@ -15,10 +15,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import durable, shuffle_partitions
+from lorekeep.llm.common import durable, ranked
 
 #: Weights of the sources, in order, and how often a source may be repeated.
 WEIGHTS = (5, 2, 1)
@@ -83,16 +83,6 @@ def _fly(last: bool):
     return block
 
 
-def _ranked(df: DataFrame, column: str) -> DataFrame:
-    """df with pos, the row's place by column (code points, null last); no task sees all rows."""
-    order = F.col(column).asc_nulls_last()
-    parts = durable(df.repartitionByRange(shuffle_partitions(df.sparkSession), order).withColumn("part", F.spark_partition_id()))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    offset = parts.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    rank = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
-    return parts.join(offset, "part").withColumn("pos", rank + F.col("offset")).drop("part", "offset")
-
-
 def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
     """(source, source_size, n_docs, target) from (source, size).
 
@@ -101,7 +91,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataF
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("pos") % len(weights) + 1).cast("int"))
-    per = durable(_ranked(per, "source").withColumn("w", w).drop("pos"))
+    per = durable(ranked(per, [F.col("source").asc_nulls_last()], "pos").withColumn("w", w).drop("pos"))
     limit, rate, n_full = F.col("source_size") * cap, 0.0, -1
     while True:
         full = F.col("w") * rate > limit

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lorekeep.llm import chat, decontaminate, language, mixing, quality, url_filter
+from lorekeep.llm import chat, decontaminate, language, mixing, quality, suffix_dedup, url_filter
 from lorekeep.llm.common import table
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
     "op3_decontaminate": lambda s, d: decontaminate.op3(s, table(s, d, "documents"), table(s, d, "benchmark")),
     "op4_quality": lambda s, d: quality.op4(s, table(s, d, "documents"), table(s, d, "labels")),
     "op5_chat_perspectives": lambda s, d: chat.rotate_perspectives(table(s, d, "conversations")),
+    "op6_suffix_dedup": lambda s, d: suffix_dedup.op6(s, table(s, d, "documents")),
     "op7_url_filter": lambda s, d: url_filter.op7(s, table(s, d, "pages")),
 }
 
