@@ -145,11 +145,14 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 class Corpus:
-    """Documents packed into blocks by bucket of their number, to be met there by what is found out about them."""
+    """Documents packed into blocks by bucket of their number, to be met there by what is found out about them.
+
+    keep: columns to have beside text, in the struct _row.
+    """
 
     def __init__(self, docs: DataFrame, keep: list[str]):
         self.spark = docs.sparkSession
-        self.docs = numbered(docs).select("_doc", F.col("text").alias("_text"), F.struct(*[F.col(f"`{k}`") for k in keep]).alias("_row"))
+        self.docs = numbered(docs).select("_doc", F.col("text").alias("_text"), F.struct(*[F.col(f"`{k}`") for k in keep if k != "text"]).alias("_row"))
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         self.n = max(shuffle_partitions(self.spark), math.ceil(size / BUCKET_BYTES))
         n = self.n

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lorekeep.llm import chat, chunk_dedup, decontaminate, language, mixing, quality, suffix_dedup, url_filter, vectors
+from lorekeep.llm import chat, chunk_dedup, decontaminate, jaccard, language, mixing, quality, suffix_dedup, url_filter, vectors
 from lorekeep.llm.common import table
 
 QUERIES = {
@@ -13,6 +13,7 @@ QUERIES = {
     "op5_chat_perspectives": lambda s, d: chat.rotate_perspectives(table(s, d, "conversations")),
     "op6_suffix_dedup": lambda s, d: suffix_dedup.op6(s, table(s, d, "documents")),
     "op7_url_filter": lambda s, d: url_filter.op7(s, table(s, d, "pages")),
+    "op8_jaccard_join": lambda s, d: jaccard.op8(s, table(s, d, "documents")),
     "op9_nearest_vectors": lambda s, d: vectors.op9(s, table(s, d, "embeddings")),
     "op10_chunk_dedup": lambda s, d: chunk_dedup.op10(s, table(s, d, "documents")),
 }
@@ -21,4 +22,5 @@ ORACLES = {
     "op3_decontaminate": decontaminate.ORACLE,
     "op5_chat_perspectives": chat.ORACLE,
     "op7_url_filter": url_filter.ORACLE,
+    "op8_jaccard_join": jaccard.ORACLE,
 }
