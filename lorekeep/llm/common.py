@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task looks at together; a longer document is alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = (1 << 20) - 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

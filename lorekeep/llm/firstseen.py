@@ -23,7 +23,7 @@ from lorekeep.llm.common import durable, shuffle_partitions, text_chunks
 
 BUCKET_BYTES = 8 << 20
 #: Pieces, and bytes of text, that a task holds before it sends them on.
-HELD_PIECES, HELD_BYTES = 500_000, 16 << 20
+HELD_PIECES, HELD_BYTES = 300_000, 8 << 20
 
 ENTRY = {"core": "u8", "content": "u8", "doc": "i8", "lo": "i8", "size": "i4", "off": "u1", "open": "u1"}
 OPEN = {"doc": "i8", "lo": "i8", "size": "i4", "off": "u1"}
@@ -85,10 +85,23 @@ def judge(e: dict, last: bool) -> tuple[np.ndarray, np.ndarray]:
     return order, state
 
 
-def _rows(schema: str, rows: list) -> pa.RecordBatch:
+def by_bucket(schema: str, *parts) -> pa.RecordBatch:
+    """One row a bucket with the packed rows of each part, which is (fields, columns, rows' buckets); schema names bucket and the parts."""
     names = [f.split()[0] for f in schema.split(", ")]
-    kinds = [pa.int32(), *[pa.binary()] * (len(names) - 1)]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(names), kinds)], names)
+    rows: dict = {}
+    for k, (fields, columns, bucket) in enumerate(parts):
+        for b, w in scatter(bucket):
+            rows.setdefault(b, [None] * len(parts))[k] = pack(fields, columns, w)
+    cols = [list(rows), *(zip(*rows.values()) if rows else [[]] * len(parts))]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k else pa.int32()) for k, c in enumerate(cols)], names)
+
+
+def picked(columns: dict, rows) -> dict:
+    return {k: v[rows] for k, v in columns.items()}
+
+
+def joined(parts: list[dict]) -> dict:
+    return {k: np.concatenate([x[k] for x in parts]) for k in parts[0]}
 
 
 def send(e: dict, n: int, last: bool, spans: dict | None = None) -> pa.RecordBatch:
@@ -98,7 +111,7 @@ def send(e: dict, n: int, last: bool, spans: dict | None = None) -> pa.RecordBat
     later = state == 1
     decided = {"doc": go["doc"][later], "lo": go["lo"][later], "hi": go["lo"][later] + go["size"][later]}
     if spans:
-        decided = {k: np.concatenate([v, spans[k]]) for k, v in decided.items()}
+        decided = joined([decided, spans])
     go["open"] = np.where(state == 2, 1, go["open"]).astype(np.uint8)
     # of an open core one piece, the earliest, goes to the core's bucket; the others are known to be open
     witness = state == 0
@@ -109,10 +122,8 @@ def send(e: dict, n: int, last: bool, spans: dict | None = None) -> pa.RecordBat
         first[1:] = go["core"][rest][1:] != go["core"][rest][:-1]
         witness[rest[first]] = True
         rest = rest[~first]
-    rows = [(b, pack(ENTRY, {k: v[at] for k, v in go.items()}), None, None) for at_all in [np.flatnonzero(witness)] for b, w in scatter(of_key(go["core"][at_all], n)) for at in [at_all[w]]]
-    rows += [(b, None, pack(OPEN, go, rest[w]), None) for b, w in scatter(of_doc(go["doc"][rest], n))]
-    rows += [(b, None, None, pack(SPAN, decided, w)) for b, w in scatter(of_doc(decided["doc"], n))]
-    return _rows(PIECES, rows)
+    entries, rest = picked(go, witness), picked(go, rest)
+    return by_bucket(PIECES, (ENTRY, entries, of_key(entries["core"], n)), (OPEN, rest, of_doc(rest["doc"], n)), (SPAN, decided, of_doc(decided["doc"], n)))
 
 
 def resolve(pieces: DataFrame, n: int, last: bool) -> DataFrame:
@@ -122,11 +133,10 @@ def resolve(pieces: DataFrame, n: int, last: bool) -> DataFrame:
         e = unpack(ENTRY, t.column("entries").to_pylist())
         order, state = judge(e, last)
         later, still = order[state == 1], order[state == 2]
-        rows = [(b, pack(OPEN, e, still[w]), None) for b, w in scatter(of_doc(e["doc"][still], n))]
         span = {"doc": e["doc"][later], "lo": e["lo"][later], "hi": e["lo"][later] + e["size"][later]}
-        rows += [(b, None, pack(SPAN, span, w)) for b, w in scatter(of_doc(span["doc"], n))]
-        known = [(t.column("bucket")[i].as_py(), o, s) for i, (o, s) in enumerate(zip(t.column("open").to_pylist(), t.column("spans").to_pylist())) if o or s]
-        return pa.Table.from_batches([_rows(FLAGS, rows + known)])
+        op = joined([unpack(OPEN, t.column("open").to_pylist()), {k: e[k][still] for k in OPEN}])
+        span = joined([unpack(SPAN, t.column("spans").to_pylist()), span])
+        return pa.Table.from_batches([by_bucket(FLAGS, (OPEN, op, of_doc(op["doc"], n)), (SPAN, span, of_doc(span["doc"], n)))])
 
     return pieces.groupBy("bucket").applyInArrow(bucket, FLAGS)
 
@@ -195,37 +205,47 @@ class Corpus:
                     held.append(e)
                     size += len(text)
                     if size >= HELD_PIECES:
-                        yield send({k: np.concatenate([x[k] for x in held]) for k in ENTRY}, n, last)
+                        yield send(joined(held), n, last)
                         held, size = [], 0
             if size:
-                yield send({k: np.concatenate([x[k] for x in held]) for k in ENTRY}, n, last)
+                yield send(joined(held), n, last)
 
         return self.docs.select("_doc", "_text").mapInArrow(run, PIECES)
 
-    def meet(self, flags: DataFrame, each, schema: str) -> DataFrame:
-        """each(batch of documents, data, offsets, open pieces, spans) -> RecordBatch, over all documents; doc and lo as in pieces."""
+    def meet(self, flags: DataFrame, each, schema: str, finish=None) -> DataFrame:
+        """each(documents, data, offsets, open pieces, spans) -> RecordBatch, over all documents; doc and lo as in pieces.
+
+        With finish, each returns anything, and finish(list of these) makes a bucket's RecordBatch.
+        """
 
         def both(docs: pa.Table, found: pa.Table) -> pa.Table:
             op, sp = unpack(OPEN, found.column("open").to_pylist()), unpack(SPAN, found.column("spans").to_pylist())
             out = []
-            for block in docs.column("block"):
-                for b in pa.ipc.open_stream(block.as_buffer()).read_all().combine_chunks().to_batches():
-                    for part, data, offsets in text_chunks(b, "_text"):
-                        number = part.column("_doc").to_numpy()
-                        order = np.argsort(number)
-                        own = []
-                        for f, ends in ((op, ("lo",)), (sp, ("lo", "hi"))):
-                            at = order[np.minimum(np.searchsorted(number[order], f["doc"]), len(order) - 1)]
-                            mine = number[at] == f["doc"]
-                            own.append({k: v[mine] for k, v in f.items()} | {"doc": at[mine]})
-                            for k in ends:
-                                own[-1][k] = own[-1][k] + offsets[at[mine]]
-                        out.append(each(part, data, offsets, *own))
-            return pa.Table.from_batches([x for x in out if x is not None] or [_empty(schema)])
+            for b in unblock(docs).to_batches():
+                for part, data, offsets in text_chunks(b, "_text"):
+                    number = part.column("_doc").to_numpy()
+                    order = np.argsort(number)
+                    own = []
+                    for f, ends in ((op, ("lo",)), (sp, ("lo", "hi"))):
+                        at = order[np.minimum(np.searchsorted(number[order], f["doc"]), len(order) - 1)]
+                        mine = number[at] == f["doc"]
+                        own.append(picked(f, mine) | {"doc": at[mine]})
+                        for k in ends:
+                            own[-1][k] = own[-1][k] + offsets[at[mine]]
+                    out.append(each(part, data, offsets, *own))
+            if finish:
+                out = [finish(out)] if out else []
+            return pa.Table.from_batches(out or [_empty(schema)])
 
         return self.packed.groupBy("bucket").cogroup(flags.groupBy("bucket")).applyInArrow(both, schema)
 
 
+def unblock(docs: pa.Table) -> pa.Table:
+    """The documents in the blocks of a bucket, in one piece."""
+    blocks = [pa.ipc.open_stream(x.as_buffer()).read_all() for x in docs.column("block")]
+    return pa.concat_tables(blocks).combine_chunks() if blocks else pa.table({})
+
+
 def _empty(schema: str) -> pa.RecordBatch:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string

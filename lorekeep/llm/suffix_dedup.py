@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.llm.common import PrefixHash, mix64
-from lorekeep.llm.firstseen import ENTRY, PIECES, Corpus, removed, resolve, send
+from lorekeep.llm.firstseen import PIECES, Corpus, joined, removed, resolve, send
 from lorekeep.llm.parsing import LENGTH, Parse
 
 STEP = 8
@@ -63,9 +63,12 @@ def _finer(corpus: Corpus, flags: DataFrame, divide, last: bool) -> DataFrame:
         e |= {"doc": number[e["doc"]], "lo": e["lo"] - offsets[e["doc"]]}
         at = spans["doc"]
         known = {"doc": number[at], "lo": spans["lo"] - offsets[at], "hi": spans["hi"] - offsets[at]}
-        return send(e, n, last, _joined(known))
+        return e, _joined(known)
 
-    return resolve(corpus.meet(flags, each, PIECES), n, last)
+    def finish(found):
+        return send(joined([e for e, _ in found]), n, last, joined([s for _, s in found]))
+
+    return resolve(corpus.meet(flags, each, PIECES, finish), n, last)
 
 
 def _joined(s: dict) -> dict:
