@@ -1,6 +1,6 @@
 """All queries of the engine proper, by name."""
 
-from lorekeep.plans import memory
+from lorekeep.plans import context, knowledge, memory
 
-QUERIES = {**memory.QUERIES}
-ORACLES = {**memory.ORACLES}
+QUERIES = {**memory.QUERIES, **knowledge.QUERIES, **context.QUERIES}
+ORACLES = {**memory.ORACLES, **knowledge.ORACLES, **context.ORACLES}
