@@ -36,10 +36,19 @@ def _shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df, written as Parquet to the folder in spark.checkpoint.dir and read again: like durable, but compressed and columnar."""
+    """df, written as Parquet to the folder in spark.checkpoint.dir and read again: like durable, but compressed and columnar.
+
+    What was shuffled for it is of no more use then, so Spark is told to remove those files.
+    """
     spark = df.sparkSession
     path = f"{_shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean)
+    spark.conf.set(clean, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(clean, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

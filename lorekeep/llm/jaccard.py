@@ -19,13 +19,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import PrefixHash, mix64, stored, text_bytes, text_chunks
+from lorekeep.llm.common import PrefixHash, mix64, shuffle_partitions, stored, text_bytes, text_chunks
 from lorekeep.llm.components import components
 from lorekeep.llm.decontaminate import LOWER
-from lorekeep.llm.firstseen import Corpus, of_doc, of_key, pack, scatter, unpack
+from lorekeep.llm.firstseen import Corpus, by_bucket, joined, of_doc, of_key, picked, scatter, unblock, unpack
 
 N_WORDS = 5
 #: Two sets are linked when SCALE * intersection >= LINK * union.
@@ -33,9 +34,9 @@ LINK, SCALE = 75, 100
 #: Sets below TINY are a band of their own whose blocks are single shingles; above it a band spans a factor of STEP.
 TINY, STEP = 16, 4
 #: Tokens beyond the pigeonhole bound that are sent, as a share of the set: that many more must be shared.
-SLACK = 0.1
-#: Documents that are verified together with their leader.
-GROUP = 256
+SLACK = 0.2
+#: Documents that are verified together with their leader, and documents of a token that are compared with one another.
+GROUP, BLOCK = 256, 1024
 
 BLANK = np.zeros(256, bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
@@ -45,7 +46,14 @@ TOKEN = {"token": "u8", "doc": "i8", "band": "u1", "shared": "u1"}
 SHARED = {"token": "u8", "doc": "i8", "band": "u1"}
 SIZES = {"doc": "i8", "n": "i4"}
 NEEDS = {"doc": "i8", "band": "u1", "need": "i4"}
-HELD_TOKENS = 500_000
+HELD = {"token": "u8", "doc": "i8", "band": "u1", "need": "i4", "digest": "u8"}
+PAIR = {"doc": "i8", "b": "i8"}
+STAR = {"token": "u8", "doc": "i8", "band": "u1", "need": "i4", "leader": "i8", "open": "u1"}
+TOKENS = "bucket int, tokens binary, shared binary, needs binary, sizes binary"
+FOUND = "bucket int, shared binary, needs binary, sizes binary"
+FLAT = "doc long, leader long, token long, band int, need int"
+#: Tokens that a task holds before it sends them on, and how many of its documents may have one before they are combined.
+HELD_TOKENS, HOT = 300_000, 8
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,21 +146,17 @@ def _token_rows(corpus: Corpus) -> DataFrame:
     n = corpus.n
 
     def flush(tokens, needs, sizes):
-        tokens, needs, sizes = ({k: np.concatenate([x[k] for x in group]) for k in group[0]} for group in (tokens, needs, sizes))
+        tokens, needs, sizes = joined(tokens), joined(needs), joined(sizes)
         order = np.lexsort((tokens["doc"], tokens["token"]))
         tokens = {k: v[order] for k, v in tokens.items()}
         new = np.ones(len(order), bool)
         new[1:] = tokens["token"][1:] != tokens["token"][:-1]
         alone = new & np.append(new[1:], True)
         tokens["shared"] = (~alone).astype(np.uint8)
-        rest, go = np.flatnonzero(~new), np.flatnonzero(new)
-        rows = [(b, pack(TOKEN, tokens, go[w]), None, None, None) for b, w in scatter(of_key(tokens["token"][go], n))]
-        rows += [(b, None, pack(SHARED, tokens, rest[w]), None, None) for b, w in scatter(of_doc(tokens["doc"][rest], n))]
-        rows += [(b, None, None, pack(NEEDS, needs, w), None) for b, w in scatter(of_doc(needs["doc"], n))]
-        rows += [(b, None, None, None, pack(SIZES, sizes, w)) for b, w in scatter(of_doc(sizes["doc"], n))]
-        cols = zip(*rows)
-        kinds = [pa.int32(), *[pa.binary()] * 4]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["bucket", "tokens", "shared", "needs", "sizes"])
+        go, rest = picked(tokens, new), picked(tokens, ~new)
+        return by_bucket(
+            TOKENS, (TOKEN, go, of_key(go["token"], n)), (SHARED, rest, of_doc(rest["doc"], n)), (NEEDS, needs, of_doc(needs["doc"], n)), (SIZES, sizes, of_doc(sizes["doc"], n))
+        )
 
     def run(batches):
         held, count = ([], [], []), 0
@@ -173,7 +177,7 @@ def _token_rows(corpus: Corpus) -> DataFrame:
         if count:
             yield flush(*held)
 
-    return corpus.docs.select("_doc", "_text").mapInArrow(run, "bucket int, tokens binary, shared binary, needs binary, sizes binary")
+    return corpus.docs.select("_doc", "_text").mapInArrow(run, TOKENS)
 
 
 def _shared_tokens(rows: DataFrame, n: int) -> DataFrame:
@@ -187,53 +191,204 @@ def _shared_tokens(rows: DataFrame, n: int) -> DataFrame:
         new[1:] = e["token"][1:] != e["token"][:-1]
         group = np.cumsum(new) - 1
         many = (np.bincount(group) > 1) | (np.bincount(group, weights=e["shared"]) > 0) if len(group) else np.zeros(0, bool)
-        at = np.flatnonzero(many[group])
-        out = [(b, pack(SHARED, e, at[w]), None, None) for b, w in scatter(of_doc(e["doc"][at], n))]
-        for b, *known in zip(*(t.column(k).to_pylist() for k in ("bucket", "shared", "needs", "sizes"))):
-            if any(known):
-                out.append((b, *known))
-        cols = list(zip(*out)) if out else [[]] * 4
-        return pa.table([pa.array(c, k) for c, k in zip(cols, [pa.int32(), *[pa.binary()] * 3])], ["bucket", "open", "spans", "sizes"])
+        e = {k: e[k][many[group]] for k in SHARED}
+        parts = []
+        for fields, name in ((SHARED, "shared"), (NEEDS, "needs"), (SIZES, "sizes")):
+            known = unpack(fields, t.column(name).to_pylist())
+            known = joined([known, e]) if name == "shared" else known
+            parts.append((fields, known, of_doc(known["doc"], n)))
+        return pa.Table.from_batches([by_bucket(FOUND, *parts)])
 
-    return rows.groupBy("bucket").applyInArrow(bucket, "bucket int, open binary, spans binary, sizes binary")
+    return rows.groupBy("bucket").applyInArrow(bucket, FOUND)
+
+
+def parity(h: np.ndarray, band: int) -> bytes:
+    """The parity sketch of a set: every shingle flips the bit that its hash names; two bits a block."""
+    width = 2 * TINY * STEP**band
+    return np.packbits((np.bincount(((h >> np.uint64(21)) % np.uint64(width)).astype(np.int64), minlength=width) & 1).astype(np.uint8)).tobytes()
 
 
 def _candidates(corpus: Corpus, found: DataFrame, kind: str) -> DataFrame:
-    """doc, doc_id, n for every document; also text, tokens and needs for those that share as many tokens as a link takes."""
+    """doc, doc_id, n for every document; also text and bands (need, sketch, shared tokens) for those that share as many tokens as a link takes."""
+    listed = pa.list_(pa.struct([("band", pa.int32()), ("need", pa.int32()), ("digest", pa.binary()), ("sketch", pa.binary()), ("tokens", pa.binary())]))
 
     def both(docs: pa.Table, flags: pa.Table) -> pa.Table:
-        shared = unpack(SHARED, flags.column("open").to_pylist())
-        needs, sizes = unpack(NEEDS, flags.column("spans").to_pylist()), unpack(SIZES, flags.column("sizes").to_pylist())
-        key = lambda x: x["doc"] * 32 + x["band"]
-        have, counts = np.unique(key(shared), return_counts=True)
-        nk = key(needs)
-        order = np.argsort(nk)
-        at = order[np.searchsorted(nk[order], have)] if len(have) else np.zeros(0, int)
-        enough = have[counts >= needs["need"][at]] if len(have) else have
-        keep = np.isin(key(shared), enough)
-        token, key_of = shared["token"][keep], key(shared)[keep]
-        n_of = dict(zip(sizes["doc"].tolist(), sizes["n"].tolist()))
-        need_of = dict(zip(nk.tolist(), needs["need"].tolist()))
+        shared = unpack(SHARED, flags.column("shared").to_pylist())
+        needs, sizes = unpack(NEEDS, flags.column("needs").to_pylist()), unpack(SIZES, flags.column("sizes").to_pylist())
+        key = shared["doc"] * 32 + shared["band"]
+        need_of = dict(zip((needs["doc"] * 32 + needs["band"]).tolist(), needs["need"].tolist()))
         mine: dict = {}
-        for b, w in scatter(key_of):
-            mine.setdefault(b // 32, []).append((b % 32, need_of[b], token[w].view(np.int64).tolist()))
-        cols: list = [[] for _ in range(5)]
-        out = []
-        for block in docs.column("block"):
-            t = pa.ipc.open_stream(block.as_buffer()).read_all().combine_chunks()
-            number = t.column("_doc").to_pylist()
-            text = t.column("_text").combine_chunks()
-            live = pa.array([d in mine for d in number])
-            import pyarrow.compute as pc
-
-            cols = [
-                t.column("_doc").combine_chunks(), t.column("_row").combine_chunks().field("doc_id"), pa.array([n_of[d] for d in number], pa.int64()), pc.if_else(live, text.cast(pa.string()), None),
-                pa.array([[{"band": b, "need": q, "tokens": x} for b, q, x in mine.get(d, [])] for d in number], pa.list_(pa.struct([("band", pa.int32()), ("need", pa.int32()), ("tokens", pa.list_(pa.int64()))]))),
-            ]
-            out.append(pa.table(cols, ["doc", "doc_id", "n", "text", "bands"]))
-        return pa.concat_tables(out)
-
-    return corpus.packed.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(both, f"doc long, doc_id {kind}, n long, text string, bands array<struct<band:int,need:int,tokens:array<long>>>")
+        for k, w in scatter(key):
+            if len(w) >= need_of[k]:
+                mine.setdefault(k // 32, []).append((k % 32, need_of[k], shared["token"][w].tobytes()))
+        t = unblock(docs)
+        number = t.column("_doc").to_pylist()
+        live = np.array([d in mine for d in number], bool)
+        bands: list = [[] for _ in number]
+        some = pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(live)), t.column("_text").combine_chunks().filter(pa.array(live))], ["at", "text"])
+        for part, data, offsets in text_chunks(some, "text"):
+            who, h = shingles(data, offsets)
+            first = np.searchsorted(who, np.arange(part.num_rows + 1))
+            for i, at in enumerate(part.column("at").to_pylist()):
+                own = h[first[i] : first[i + 1]]
+                digest = mix64(own + np.uint64(1)).sum().tobytes()
+                bands[at] = [{"band": b, "need": q, "digest": digest, "sketch": parity(own, b), "tokens": x} for b, q, x in mine[number[at]]]
+        n_of = dict(zip(sizes["doc"].tolist(), sizes["n"].tolist()))
+        return pa.table(
+            {
+                "doc": t.column("_doc"), "doc_id": pc.struct_field(t.column("_row"), "doc_id"), "n": pa.array([n_of[d] for d in number], pa.int64()),
+                "text": pc.if_else(pa.array(live), t.column("_text").cast(pa.string()), None), "bands": pa.array(bands, listed),
+            }
+        )
+
+    return corpus.packed.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(both, f"doc long, doc_id {kind}, n long, text string, bands array<struct<band:int,need:int,digest:binary,sketch:binary,tokens:binary>>")
+
+
+def _stars(live: DataFrame, n: int) -> DataFrame:
+    """Rows of FLAT: each document with a leader for each of its tokens, and with its tokens that three documents or more have.
+
+    Tokens go to their bucket and come back to their document's. Which of a token's documents leads depends on the token,
+    so that the leaders of a group of alike documents are several. Of equal sets only the smallest document takes part,
+    and leads the others. Of a token that many of a task's documents have, the leader of these goes; the others are paired
+    with it at once.
+    """
+
+    def run(batches):
+        for b in batches:
+            bands = b.column("bands").to_pylist()
+            parts = [(d, x["band"], x["need"], np.frombuffer(x["tokens"], np.uint64), np.frombuffer(x["digest"], np.uint64)[0]) for d, own in zip(b.column("doc").to_pylist(), bands) for x in own]
+            at = 0
+            while at < len(parts):
+                to, count = at, 0
+                while to < len(parts) and count < HELD_TOKENS:
+                    count += len(parts[to][3])
+                    to += 1
+                yield flush(parts[at:to])
+                at = to
+
+    def flush(parts):
+        size = [len(x[3]) for x in parts]
+        e = {"token": np.concatenate([x[3] for x in parts])}
+        e |= {k: np.repeat(np.array([x[i] for x in parts], np.int64), size) for i, k in enumerate(("doc", "band", "need"))}
+        e["digest"] = np.repeat(np.array([x[4] for x in parts], np.uint64), size)
+        e, same = alike(e)
+        first, count, lead = led(e)
+        many = np.repeat(count >= HOT, count)
+        many &= lead != e["doc"]
+        rest = picked(e, many) | {"leader": lead[many], "open": np.ones(int(many.sum()), np.uint8)}
+        rest = joined([{k: rest[k] for k in STAR}, same])
+        go = picked(e, ~many)
+        return by_bucket("bucket int, held binary, star binary", (HELD, go, of_key(go["token"], n)), (STAR, rest, of_doc(rest["doc"], n)))
+
+    def alike(e):
+        """Entries in the order of tokens without equal sets but for the smallest document of each; rows of STAR for the others."""
+        e = picked(e, np.lexsort((e["doc"], e["digest"], e["token"])))
+        new = np.ones(len(e["doc"]), bool)
+        new[1:] = (e["token"][1:] != e["token"][:-1]) | (e["digest"][1:] != e["digest"][:-1])
+        at = np.flatnonzero(new)
+        lead = np.repeat(e["doc"][at], np.diff(np.append(at, len(new))))
+        same = picked(e, ~new) | {"leader": lead[~new], "open": np.zeros(int((~new).sum()), np.uint8)}
+        return picked(e, new), {k: same[k] for k in STAR}
+
+    def led(e):
+        first, count = _groups(e["token"])
+        rule = mix64(e["doc"].astype(np.uint64) ^ (e["token"] & np.uint64(7)) << np.uint64(56))
+        order = np.lexsort((rule, e["token"]))
+        return first, count, np.repeat(e["doc"][order][first], count)
+
+    def meet(t: pa.Table) -> pa.Table:
+        e, same = alike(unpack(HELD, t.column("held").to_pylist()))
+        first, count, lead = led(e)
+        e |= {"leader": lead, "open": np.repeat(count >= 3, count).astype(np.uint8)}
+        e = joined([unpack(STAR, t.column("star").to_pylist()), same, picked({k: e[k] for k in STAR}, np.repeat(count >= 2, count))])
+        return pa.Table.from_batches([by_bucket("bucket int, star binary", (STAR, e, of_doc(e["doc"], n)))])
+
+    def settle(t: pa.Table) -> pa.Table:
+        e = unpack(STAR, t.column("star").to_pylist())
+        pairs = np.unique(np.column_stack([e["doc"], e["leader"]])[e["doc"] != e["leader"]], axis=0)
+        own = picked(e, e["open"] == 1)
+        key = own["doc"] * 32 + own["band"]
+        own = picked(own, np.argsort(key, kind="stable"))
+        _, count = _groups(np.sort(key))
+        own = picked(own, np.repeat(count, count) >= own["need"])
+        m, k = len(pairs), len(own["doc"])
+        none = lambda size: pa.nulls(size, pa.int64())
+        int_ = lambda x: pa.array(x.astype(np.int32))
+        a = pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none(m), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32())], ["doc", "leader", "token", "band", "need"])
+        b = pa.table([pa.array(own["doc"]), none(k), pa.array(own["token"].view(np.int64)), int_(own["band"]), int_(own["need"])], ["doc", "leader", "token", "band", "need"])
+        return pa.concat_tables([a, b])
+
+    rows = live.select("doc", "bands").mapInArrow(run, "bucket int, held binary, star binary")
+    rows = rows.groupBy("bucket").applyInArrow(meet, "bucket int, star binary")
+    return rows.groupBy("bucket").applyInArrow(settle, FLAT)
+
+
+def _groups(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first place, size) of the runs of equal values in a sorted array."""
+    first = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+    return first, np.diff(np.append(first, len(x)))
+
+
+def near_enough(pairs: DataFrame, live: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose parity sketches differ in no more bits than the sets of a link may differ in shingles."""
+    bands = live.select("doc", "n", F.transform("bands", lambda x: F.struct(x["band"].alias("band"), x["sketch"].alias("sketch"))).alias("s"))
+    side = lambda k: bands.select(F.col("doc").alias(k), F.col("n").alias(f"n{k}"), F.col("s").alias(f"s{k}"))
+    rows = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(f"{SCALE} * least(na, nb) >= {LINK} * greatest(na, nb)")
+
+    def run(batches):
+        for t in batches:
+            keep = []
+            for na, nb, x, y in zip(*(t.column(k).to_pylist() for k in ("na", "nb", "sa", "sb"))):
+                x, y = {s["band"]: s["sketch"] for s in x}, {s["band"]: s["sketch"] for s in y}
+                band = max(x.keys() & y.keys(), default=None)
+                most = (SCALE - LINK) * (na + nb) // (SCALE + LINK)
+                keep.append(band is not None and (int.from_bytes(x[band]) ^ int.from_bytes(y[band])).bit_count() <= most)
+            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _across(open_: DataFrame, live: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) of documents that share a token, lie in different components, and are near enough by size and sketch.
+
+    Pairs are compared inside tasks, and only those that pass leave them. A token of more than BLOCK documents is dealt
+    out as pairs of blocks, so that a task sees two blocks at most.
+    """
+    spark = open_.sparkSession
+    band = live.select("doc", "n", F.explode("bands").alias("s")).select("doc", "n", "s.band", "s.sketch")
+    blocks = F.ceil(F.col("_k") / BLOCK).cast("int")
+    rows = open_.join(band, ["doc", "band"]).withColumn("own", F.pmod(F.xxhash64("doc"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    buckets = shuffle_partitions(spark) * 8
+    rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc", "component", "n", "sketch")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("token", "i", "j"), F.lit(buckets)).cast("int"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("token", "ascending"), ("i", "ascending"), ("j", "ascending")]).combine_chunks()
+        token, i, j, doc, comp, size = (t.column(k).to_numpy() for k in ("token", "i", "j", "doc", "component", "n"))
+        sketch, found = t.column("sketch").to_pylist(), []
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        first = np.flatnonzero(new)
+        for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(token)]):
+            bits = np.frombuffer(b"".join(sketch[lo:hi]), np.uint8).reshape(hi - lo, -1).view(np.uint32)
+            step = max(1, (4 << 20) // bits.nbytes)
+            for at in range(lo, hi, step):
+                x = np.arange(at, min(hi, at + step))[:, None]
+                y = np.arange(lo, hi)[None]
+                r, c = np.nonzero((doc[x] < doc[y]) & (comp[x] != comp[y]) & (SCALE * size[x] >= LINK * size[y]) & (SCALE * size[y] >= LINK * size[x]))
+                r = r + at - lo
+                differ = np.bitwise_count(bits[r] ^ bits[c]).sum(axis=1)
+                fit = differ <= (SCALE - LINK) * (size[lo + r] + size[lo + c]) // (SCALE + LINK)
+                found.append(np.column_stack([doc[lo + r[fit]], doc[lo + c[fit]]]))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.Table.from_batches([by_bucket("bucket int, pairs binary", (PAIR, {"doc": pairs[:, 0], "b": pairs[:, 1]}, of_doc(pairs[:, 0], buckets)))])
+
+    def once(t: pa.Table) -> pa.Table:
+        e = unpack(PAIR, t.column("pairs").to_pylist())
+        pairs = np.unique(np.column_stack([e["doc"], e["b"]]), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return rows.groupBy("bucket").applyInArrow(compare, "bucket int, pairs binary").groupBy("bucket").applyInArrow(once, "a long, b long")
 
 
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -269,27 +424,26 @@ def near_duplicates(docs: DataFrame, keep: list[str] | None = None) -> tuple[Cor
     found = _shared_tokens(_token_rows(corpus), corpus.n)
     info = stored(_candidates(corpus, found, docs.schema["doc_id"].dataType.simpleString()))
     live = info.where(F.size("bands") > 0)
-    held = live.select("doc", F.explode("bands").alias("b")).select("doc", "b.band", "b.need", F.explode("b.tokens").alias("token"))
-    leaders = held.groupBy("token").agg(F.min("doc").alias("a"))
-    star = held.join(leaders, "token").where("doc <> a").select("a", F.col("doc").alias("b")).distinct()
+    flat = stored(_stars(live, corpus.n))
     texts = live.select("doc", "text")
-    star = stored(star)
-    links = stored(verify(star, texts))
+    star = flat.where("leader is not null").select(F.least("leader", "doc").alias("a"), F.greatest("leader", "doc").alias("b")).distinct()
+    links = stored(verify(stored(near_enough(star, live)), texts))
     labels = components(links)
 
     # tokens whose documents are in different components; a document needs enough of them to have a link there
-    named = held.join(labels, held["doc"] == labels["node"], "left").select("doc", "band", "need", "token", F.coalesce("component", "doc").alias("component"))
-    open_ = named
+    held = flat.where("token is not null").drop("leader")
+    open_ = held.join(labels, held["doc"] == labels["node"], "left").select("doc", "band", "need", "token", F.coalesce("component", "doc").alias("component"))
     for _ in range(2):
         mixed = open_.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
         open_ = open_.join(mixed, "token")
-        enough = open_.groupBy("doc", "band").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("doc", "band")
+        enough = open_.groupBy("doc", "band").agg(F.count("*").alias("_n"), F.max("need").alias("_need")).where("_n >= _need").select("doc", "band")
         open_ = stored(open_.join(enough, ["doc", "band"]))
-    x, y = open_.alias("x"), open_.alias("y")
-    across = x.join(y, F.expr("x.token = y.token and x.component <> y.component and x.doc < y.doc"))
-    across = across.groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), F.col("x.band").alias("band")).agg(F.count("*").alias("n"), F.min(F.least("x.need", "y.need")).alias("need"))
-    across = across.where("n >= need").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    across = stored(across)
+    # a pair shares need of its open tokens, so one that is left when each gives up its need - 1 commonest ones
+    open_ = open_.join(open_.groupBy("token").agg(F.count("*").alias("_k")), "token")
+    own = Window.partitionBy("doc", "band")
+    open_ = open_.withColumns({"_rank": F.row_number().over(own.orderBy("_k", "token")), "_last": F.count("*").over(own) - F.col("need") + 1}).where("_rank <= _last")
+    across = _across(open_.select("doc", "band", "token", "component", "_k"), live)
+    across = stored(across.join(star, ["a", "b"], "left_anti"))
     if across.limit(1).count():
         labels = components(stored(links.unionByName(verify(across, texts))))
     rows = info.select("doc", "doc_id", "n").join(labels, info["doc"] == labels["node"], "left")
@@ -316,20 +470,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     def block(batches):
         for b in batches:
             doc = b.column("doc").to_numpy()
-            out = [(k, pack({"doc": "i8"}, {"doc": doc[w]})) for k, w in scatter(of_doc(doc, n))]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["bucket", "docs"])
+            yield by_bucket("bucket int, docs binary", ({"doc": "i8"}, {"doc": doc}, of_doc(doc, n)))
 
     def both(blocks: pa.Table, drop: pa.Table) -> pa.Table:
         out_of = set(unpack({"doc": "i8"}, drop.column("docs").to_pylist())["doc"].tolist())
-        out = []
-        for x in blocks.column("block"):
-            t = pa.ipc.open_stream(x.as_buffer()).read_all().combine_chunks()
-            t = t.filter(pa.array([d not in out_of for d in t.column("_doc").to_pylist()])).combine_chunks()
-            row = t.column("_row")
-            import pyarrow.compute as pc
-
-            out.append(pa.table([t.column("_text") if k == "text" else pc.struct_field(row, k) for k in names], names))
-        return pa.concat_tables(out)
+        t = unblock(blocks)
+        t = t.filter(pa.array([d not in out_of for d in t.column("_doc").to_pylist()]))
+        return pa.table([t.column("_text") if k == "text" else pc.struct_field(t.column("_row"), k) for k in names], names)
 
     flags = gone.mapInArrow(block, "bucket int, docs binary")
     return corpus.packed.groupBy("bucket").cogroup(flags.groupBy("bucket")).applyInArrow(both, docs.schema)
