@@ -111,6 +111,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, block: int =
     source, the last one. Draws depend on doc_id alone, so reruns agree; repeated rows count as documents of their own. An
     empty table gives no rows. Only ids and sizes are shuffled, in blocks of a few thousand, so that a hot source is many blocks.
     """
+    block = max(8, block)  # two of a block stay open, so that each level has a quarter of the blocks at most
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     sized = durable(docs.select("doc_id", "source", size.alias("size")))
     targets = durable(source_targets(sized, weights, cap))
