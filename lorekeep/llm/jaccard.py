@@ -46,7 +46,7 @@ TOKEN = {"token": "u8", "doc": "i8", "band": "u1", "shared": "u1"}
 SHARED = {"token": "u8", "doc": "i8", "band": "u1"}
 SIZES = {"doc": "i8", "n": "i4"}
 NEEDS = {"doc": "i8", "band": "u1", "need": "i4"}
-HELD = {"token": "u8", "doc": "i8", "band": "u1", "need": "i4", "digest": "u8"}
+HELD = {"token": "u8", "doc": "i8", "band": "u1", "need": "i4", "digest": "u8", "many": "u1"}
 PAIR = {"doc": "i8", "b": "i8"}
 STAR = {"token": "u8", "doc": "i8", "band": "u1", "need": "i4", "leader": "i8", "open": "u1"}
 TOKENS = "bucket int, tokens binary, shared binary, needs binary, sizes binary"
@@ -277,6 +277,7 @@ def _stars(live: DataFrame, n: int) -> DataFrame:
         many &= lead != e["doc"]
         rest = picked(e, many) | {"leader": lead[many], "open": np.ones(int(many.sum()), np.uint8)}
         rest = joined([{k: rest[k] for k in STAR}, same])
+        e["many"] = np.repeat(count >= HOT, count).astype(np.uint8)  # the leader stands for more than itself
         go = picked(e, ~many)
         return by_bucket("bucket int, held binary, star binary", (HELD, go, of_key(go["token"], n)), (STAR, rest, of_doc(rest["doc"], n)))
 
@@ -286,7 +287,7 @@ def _stars(live: DataFrame, n: int) -> DataFrame:
         new = np.ones(len(e["doc"]), bool)
         new[1:] = (e["token"][1:] != e["token"][:-1]) | (e["digest"][1:] != e["digest"][:-1])
         at = np.flatnonzero(new)
-        lead = np.repeat(e["doc"][at], np.diff(np.append(at, len(new))))
+        lead = np.repeat(e["doc"][at], np.diff(np.append(at, len(new))))  # the smallest document with the set
         same = picked(e, ~new) | {"leader": lead[~new], "open": np.zeros(int((~new).sum()), np.uint8)}
         return picked(e, new), {k: same[k] for k in STAR}
 
@@ -297,9 +298,11 @@ def _stars(live: DataFrame, n: int) -> DataFrame:
         return first, count, np.repeat(e["doc"][order][first], count)
 
     def meet(t: pa.Table) -> pa.Table:
-        e, same = alike(unpack(HELD, t.column("held").to_pylist()))
+        e = unpack(HELD, t.column("held").to_pylist())
+        hot = np.unique(e["token"][e["many"] == 1])
+        e, same = alike(e)
         first, count, lead = led(e)
-        e |= {"leader": lead, "open": np.repeat(count >= 3, count).astype(np.uint8)}
+        e |= {"leader": lead, "open": (np.repeat(count >= 3, count) | np.isin(e["token"], hot)).astype(np.uint8)}
         e = joined([unpack(STAR, t.column("star").to_pylist()), same, picked({k: e[k] for k in STAR}, np.repeat(count >= 2, count))])
         return pa.Table.from_batches([by_bucket("bucket int, star binary", (STAR, e, of_doc(e["doc"], n)))])
 

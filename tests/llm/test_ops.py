@@ -94,6 +94,19 @@ def test_op8_chain_of_near_copies(spark):
     assert tuples(jaccard.op8(spark, df), ["doc_id", "n_shingles", "component_id"]) == brute.op8(rows)
 
 
+def test_op8_with_hot_tokens_in_every_task(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT", 2)
+    monkeypatch.setattr(jaccard, "HELD_TOKENS", 400)
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    rows, text = [], prose(60, 90)
+    for i in range(50):
+        rows.append((i * 7 % 50, text))
+        text = near(text, 700 + i, 0.014)
+    rows += [(300 + i, near(rows[25][1], i, 0.035)) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert tuples(jaccard.op8(spark, df), ["doc_id", "n_shingles", "component_id"]) == brute.op8(rows)
+
+
 def test_op8_hot_group_and_small_sets(spark):
     rows = [(i, prose(1000 + i, 3 + i % 25)) for i in range(150)] + [(1000 + i, near(prose(77, 30), i, 0.02)) for i in range(80)] + [(3000 + i, PASSAGE + " " + prose(4000 + i, 60)) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
