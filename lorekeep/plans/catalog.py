@@ -1,6 +1,6 @@
 """All queries of the engine proper, by name."""
 
-from lorekeep.plans import context, knowledge, memory
+from lorekeep.plans import context, knowledge, memory, reading
 
-QUERIES = {**memory.QUERIES, **knowledge.QUERIES, **context.QUERIES}
-ORACLES = {**memory.ORACLES, **knowledge.ORACLES, **context.ORACLES}
+QUERIES = {**memory.QUERIES, **knowledge.QUERIES, **context.QUERIES, **reading.QUERIES}
+ORACLES = {**memory.ORACLES, **knowledge.ORACLES, **context.ORACLES, **reading.ORACLES}

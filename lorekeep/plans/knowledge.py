@@ -291,12 +291,12 @@ def hybrid_search_compat(s, d):
 
 
 @query("skill_match_theta", r"""WITH s AS (SELECT DISTINCT p_name AS name, list_filter(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z0-9]+'), lambda w: length(w) >= 4) AS k FROM part),
-m AS (SELECT o_orderkey AS id, lower(o_orderpriority || ' for a ' || p_name) AS t FROM orders JOIN part ON p_partkey = o_orderkey % 50 WHERE o_orderkey < 2000)
+m AS (SELECT o_orderkey AS id, lower(o_orderpriority || ' for a ' || p_name) AS t FROM orders JOIN part ON p_partkey = o_orderkey % 50)
 SELECT id, count(DISTINCT name) AS n_skills FROM m JOIN s ON contains(t, lower(name)) OR len(list_filter(k, lambda w: contains(t, w))) > 0 GROUP BY id""")
 def skill_match_theta(s, d):
     part = ad.table(s, d, "part")
     skills = part.select(F.col("p_name").alias("name"), F.expr("p_name || ' ' || p_type").alias("description")).distinct()
-    m = ad.table(s, d, "orders").where("o_orderkey < 2000").join(part, F.expr("p_partkey = o_orderkey % 50"))
+    m = ad.table(s, d, "orders").join(part, F.expr("p_partkey = o_orderkey % 50"))
     hits = search.skill_matches(m.select(F.col("o_orderkey").alias("id"), F.expr("o_orderpriority || ' for a ' || p_name").alias("content")), skills)
     return hits.groupBy("id").agg(F.count_distinct("name").alias("n_skills"))
 
