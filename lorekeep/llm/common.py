@@ -35,6 +35,13 @@ def _shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1000 rows at most from now on: rows that hold whole documents make long batches of the usual 10000."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= 1000:
+        spark.conf.set(key, "1000")
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df, written as Parquet to the folder in spark.checkpoint.dir and read again: like durable, but compressed and columnar.
 
@@ -92,6 +99,7 @@ def text_chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES):
         to = min(n, max(at + 1, to))
         yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
+    pa.default_memory_pool().release_unused()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import PrefixHash, text_bytes, text_chunks
+from lorekeep.llm.common import PrefixHash, short_batches, text_bytes, text_chunks
 
 WINDOW = 10
 #: Bytes of benchmark text that are broadcast and searched at once; more of it is searched block after block.
@@ -168,6 +168,7 @@ def measure(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None
 
     Blocks of the benchmark are searched one after another, each adding to the spans and items of the one before.
     """
+    short_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     rows = docs.select(F.struct(*[F.col(f"`{k}`") for k in keep]).alias("row"), F.col(text).alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(b"").alias("spans"), F.array().cast("array<string>").alias("items"))
     for items in _blocks(benchmark, block_bytes):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import durable, shuffle_partitions, text_chunks
+from lorekeep.llm.common import durable, ranked, short_batches, shuffle_partitions, text_chunks
 
 BUCKET_BYTES = 8 << 20
 #: Pieces, and bytes of text, that a task holds before it sends them on.
@@ -149,8 +149,6 @@ def numbered(docs: DataFrame) -> DataFrame:
     whole = docs.schema["doc_id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
     if whole and not docs.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count():
         return docs.withColumn("_doc", F.col("doc_id").cast("long"))
-    from lorekeep.llm.common import ranked
-
     return durable(ranked(docs, [F.col("doc_id").asc_nulls_last(), F.col("text")], "_doc"))
 
 
@@ -162,6 +160,7 @@ class Corpus:
 
     def __init__(self, docs: DataFrame, keep: list[str]):
         self.spark = docs.sparkSession
+        short_batches(self.spark)
         self.docs = numbered(docs).select("_doc", F.col("text").alias("_text"), F.struct(*[F.col(f"`{k}`") for k in keep if k != "text"]).alias("_row"))
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         self.n = max(shuffle_partitions(self.spark), math.ceil(size / BUCKET_BYTES))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import crc_mod
+from lorekeep.llm.common import crc_mod, short_batches
 
 #: Documents of a language that the model learns from at most, drawn by a hash of their id.
 TRAIN_DOCS = 3000
@@ -109,6 +109,7 @@ def identify(docs: DataFrame, model: BackoffModel, text: str = "text", keep: tup
 
     The model goes to the executors once, by broadcast; its size is bounded by the training sample.
     """
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*[F.col(k) for k in keep], F.col(text).alias("_text"))
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import PrefixHash, crc_mod, text_chunks
+from lorekeep.llm.common import PrefixHash, crc_mod, short_batches, text_chunks
 
 #: Labelled documents of each label to learn from at most, drawn by a hash of their id; they are read whole.
 TRAIN_DOCS = 800
@@ -189,6 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_DOCS) -> Li
     Labels are counted over all rows; nulls are left out, and of several labels of a document the highest counts.
     Without labels of both kinds the chain gives every text the share of label 1 (0.5 without labels).
     """
+    short_batches(docs.sparkSession)
     labels = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     n = {int(q): c for q, c in labels.groupBy("quality").count().collect()}
     share = F.lit(0.0)
