@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import crc_mod, short_batches
+from lorekeep.llm.common import crc_mod, durable, short_batches
 
 #: Documents of a language that the model learns from at most, drawn by a hash of their id.
 TRAIN_DOCS = 3000
@@ -88,9 +88,10 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", doc_id: str =
     Languages are counted over all rows; the sample is a share of each language by a hash of doc_id, and its texts are read whole.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = durable(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    sizes = F.broadcast(sizes) if sizes.count() <= 10_000 else sizes
     share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n"))
-    sample = rows.join(F.broadcast(sizes.limit(10_000)), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
+    sample = rows.join(sizes, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
     words = (
         sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("w"))
         .groupBy("lang", "w")
