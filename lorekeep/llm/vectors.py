@@ -4,8 +4,9 @@ Centroids come from k-means over a bounded sample. A vector joins the list of
 its nearest centroid and, at a boundary, of others about as near. Lists are
 balanced by splitting: a long one is as many blocks as it needs, and a query
 reads them all. Centroids are found by walking a graph of them in memory. A
-query reads the lists whose centroid is within a ratio of its nearest one's
-distance, and scores their original vectors in double precision.
+query reads its nearest lists until they hold enough candidates, and those within a
+ratio of the last one's distance, and scores their original vectors in double
+precision. A query that still finds too few reads every list.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ SAMPLE, MAX_LISTS = 20_000, 1024
 LIST, BLOCK = 128, 4096
 #: Lists that a vector joins, and how much farther their centroids may be than the nearest.
 COPIES, BOUNDARY = 4, 1.1
-#: Lists that a query reads, and how much farther their centroids may be than the nearest.
+#: Lists that a query reads at first, and how much farther their centroids may be than the last one it needs.
 PROBES, RATIO = 48, 1.6
 K = 10
 
@@ -132,25 +133,35 @@ def nearest_neighbours(vectors: DataFrame, queries, k: int = K, vec_id: str = "v
     lists = max(1, min(MAX_LISTS, math.ceil(n / LIST), len(sample)))
     shared = vectors.sparkSession.sparkContext.broadcast(CentroidGraph(kmeans(sample, lists)))
 
-    def near(copies: int, ratio: float):
+    def near(copies: int, ratio: float, held: np.ndarray | None = None):
         def run(batches):
             for b in batches:
                 for at in range(0, b.num_rows, 1024):
                     part = b.slice(at, 1024)
                     number, d = shared.value.nearest(_matrix(part.column("v")), copies)
-                    keep = d <= d[:, :1] * ratio
-                    row, col = np.nonzero(keep)
-                    yield pa.RecordBatch.from_arrays([part.column("vec_id").take(pa.array(row)), part.column("v").take(pa.array(row)), pa.array(number[row, col].astype(np.int32))], ["vec_id", "v", "list"])
+                    most = d[:, :1]
+                    if held is not None:  # the distance within which lists hold k vectors beside the query's own
+                        enough = np.cumsum(np.where(np.isfinite(d), held[number], 0), axis=1) > k
+                        most = np.where(enough.any(axis=1), d[np.arange(len(d)), enough.argmax(axis=1)], np.inf)[:, None]
+                    row, col = np.nonzero(np.isfinite(d) & (d <= most * ratio))
+                    cols = [part.column("vec_id").take(pa.array(row)), part.column("v").take(pa.array(row)), pa.array(number[row, col].astype(np.int32)), pa.array(col == 0)]
+                    yield pa.RecordBatch.from_arrays(cols, ["vec_id", "v", "list", "home"])
 
         return run
 
-    schema = "vec_id long, v array<double>, list int"
+    schema = "vec_id long, v array<double>, list int, home boolean"
     members = rows.mapInArrow(near(COPIES, BOUNDARY), schema)
     # a long list is split into blocks by a hash; all of a list's blocks are read
-    sizes = durable(members.groupBy("list").count().select("list", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
+    sizes = members.groupBy("list").agg(F.count("*").alias("count"), F.count_distinct(F.when(F.col("home"), F.col("vec_id"))).alias("ids"))
+    sizes = durable(sizes.select("list", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"), "ids"))
+    held = np.zeros(lists, np.int64)  # distinct vec_ids whose nearest list it is: boundary copies do not count
+    for r in sizes.collect():
+        held[r["list"]] = r["ids"]
+    sizes = sizes.select("list", "blocks")
     members = members.join(F.broadcast(sizes), "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    asks = rows.where(queries).mapInArrow(near(PROBES, RATIO), schema).join(F.broadcast(sizes), "list")
-    asks = asks.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("block", F.col("block").cast("int"))
+    blocks = sizes.select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    wanted = rows.where(queries)
+    asks = wanted.mapInArrow(near(PROBES, RATIO, held), schema).join(F.broadcast(blocks), "list")
 
     def score(a: pa.Table, m: pa.Table) -> pa.Table:
         qi, mi = a.column("vec_id").to_numpy(), m.column("vec_id").to_numpy()
@@ -168,10 +179,21 @@ def nearest_neighbours(vectors: DataFrame, queries, k: int = K, vec_id: str = "v
         cols = list(zip(*out)) if out else [[], [], []]
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 
-    found = asks.select("list", "block", "vec_id", "v").groupBy("list", "block").cogroup(members.select("list", "block", "vec_id", "v").groupBy("list", "block"))
-    found = found.applyInArrow(score, "query_id long, vec_id long, score double").distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def best(asks: DataFrame, members: DataFrame) -> DataFrame:
+        found = asks.select("list", "block", "vec_id", "v").groupBy("list", "block").cogroup(members.select("list", "block", "vec_id", "v").groupBy("list", "block"))
+        found = found.applyInArrow(score, "query_id long, vec_id long, score double").distinct()
+        return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    found = durable(best(asks, members))
+    full = found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
+    short = durable(wanted.join(full, "vec_id", "left_anti"))
+    if short.isEmpty():
+        return found
+    # these are few, unless the table itself is small; every list of it is read for them
+    again = best(short.crossJoin(F.broadcast(blocks)), members.where("home"))
+    return found.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").unionByName(again)
 
 
 def op9(spark: SparkSession, vectors: DataFrame) -> DataFrame:

@@ -274,3 +274,23 @@ def test_op9_many_equal_vectors(spark):
     df = spark.range(6000).select(F.col("id").alias("vec_id"), F.when(F.col("id") % 3 == 0, F.array(F.lit(1.0), F.lit(2.0))).otherwise(F.array((F.col("id") % 97) / 7.0, (F.col("id") % 89) / 5.0)).alias("embedding"))
     got = vectors.op9(spark, df).where("query_id = 300").orderBy("rank").collect()
     assert [r["vec_id"] for r in got] == [i for i in range(0, 60, 3)][:10] and {r["score"] for r in got} == {0.0}
+
+
+def test_op9_small_groups_far_from_others(spark):
+    x = np.random.default_rng(3).normal(size=(3000, 4))
+    x[:100] = 1000.0 * np.eye(4)[np.arange(100) % 4]
+    x[0], x[100], x[200:204] = -900.0, 700.0, [-500.0, 500.0, -500.0, 500.0]  # a lone vector, another, four copies
+    x[4:100] = np.random.default_rng(4).normal(size=(96, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = vectors.op9(spark, df).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["rank"]) for r in got] == [(q, k) for q in range(0, 3000, 100) for k in range(1, 11)]
+    assert [r["vec_id"] for r in got if r["query_id"] == 200][:3] == [201, 202, 203]
+
+
+def test_op9_lists_full_of_the_own_id(spark):
+    x = np.random.default_rng(5).normal(size=(2000, 4))
+    x[1980:] += 500.0
+    df = spark.createDataFrame([(max(0, i - 1979), v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = vectors.op9(spark, df).orderBy("rank").collect()
+    d = np.sqrt(((x[:1980, None] - x[None, 1980:]) ** 2).sum(2)).ravel()
+    assert [r["rank"] for r in got] == list(range(1, 11)) and [r["score"] for r in got] == pytest.approx(np.sort(d)[:10].tolist())
