@@ -2,15 +2,20 @@
 
 A request is a row; its sections are columns. Conversation and memories are chosen by the budget operators, one
 grouped job over all requests, and the sections are then joined in order.
+
+Memories are chosen from the most salient traces, which are the same for all, and from the traces that hold every word
+of the message to be answered. Messages have no embeddings in the tables, so the vector half of hybrid search finds
+nothing and each hit has its neutral score there.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions.text import compress, tokens
-from lorekeep.operators import budget
+from lorekeep.operators import budget, recall
+from lorekeep.operators.search import B, K1, terms
 from lorekeep.sources import adapters as ad
 
 #: Shares of the budget, and what is held back.
@@ -19,19 +24,81 @@ RESERVE = 0.18
 HINT = "\nWhen your response draws on these memories, cite them as [1], [2], etc."
 
 
-def assemble(requests: DataFrame, messages: DataFrame, traces: DataFrame, total: int = 6000) -> DataFrame:
+#: Salient traces that every request may choose from, hits that it may have of its own, and words that a message needs for a search.
+SALIENT, HITS, WORDS = 30, 10, 3
+#: Of a message's words, how many of the rarest it meets traces by.
+RAREST = 3
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, computed once now."""
+    df = df.persist()
+    df.count()
+    return df
+
+
+def last_heard(messages: DataFrame) -> DataFrame:
+    """(person, content): each person's last message that is not the engine's own."""
+    heard = messages.where(~F.col("speaker").eqNullSafe("self"))
+    newest = Window.partitionBy("person").orderBy(F.desc("ord"), F.desc("content"))
+    return heard.withColumn("_rank", F.row_number().over(newest)).where("_rank = 1").select("person", "content")
+
+
+def hits(asked: DataFrame, traces: DataFrame, limit: int = HITS) -> DataFrame:
+    """(person, id, content, salience): of asked (person, content) the limit best traces (id, content) that hold every word of it, by BM25.
+
+    A hit's salience is 1 less its combined score. Equal messages are searched once. A message meets traces by the rarest
+    of its words, and only traces that hold these are read for the others. What is kept between is a few numbers a
+    message, so that Spark knows its size and need not shuffle the traces while it is small.
+    """
+    words = F.array_sort(F.array_distinct(terms(F.col("content"))))
+    asked = asked.where(F.size(F.split(F.trim("content"), r"\s+")) >= WORDS).select("person", words.alias("words")).where(F.size("words") > 0)
+    asked = asked.withColumn("q", F.unhex(F.sha2(F.array_join("words", " "), 256)))
+    query = asked.select("q", "words").distinct()
+    word = query.select("q", F.explode("words").alias("term"))
+    posting = traces.select("id", F.explode(F.array_distinct(terms(F.col("content")))).alias("term"))
+    df = posting.groupBy("term").agg(F.count("*").alias("df"))
+    total = traces.select(F.size(terms(F.col("content"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    known = word.join(df, "term").groupBy("q").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("known"))
+    # a word that no trace has leaves its message without hits
+    query = kept(query.join(known, "q").where(F.size("known") == F.size("words")).select("q", "known"))
+    rare = kept(query.select("q", F.explode(F.slice("known", 1, RAREST)["term"]).alias("term"), F.least(F.size("known"), F.lit(RAREST)).alias("need")))
+    pairs = kept(rare.join(posting, "term").groupBy("q", "id").agg(F.count("*").alias("have"), F.first("need").alias("need")).where("have = need").select("q", "id"))
+    rows = traces.select("id", "content").join(pairs, "id").join(query, "q").withColumn("_t", terms(F.col("content")))
+    rows = rows.where(F.forall("known", lambda k: F.array_contains(F.col("_t"), k["term"]))).crossJoin(F.broadcast(total))  # one row
+    norm = (F.size("_t") / F.col("avgdl") * B + 1 - B) * K1
+
+    def weight(k):
+        idf = F.greatest(F.lit(1e-6), F.ln((F.col("n") - k["df"] + 0.5) / (k["df"] + 0.5)))
+        tf = F.size(F.filter("_t", lambda t: t == k["term"]))
+        return idf * tf * (K1 + 1) / (tf + norm)
+
+    score = F.aggregate(F.transform("known", weight), F.lit(0.0), lambda a, x: a + x)
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+    top = rows.select("q", "id", "content", score.alias("score")).withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= limit)
+    combined = (1 - F.col("score") / F.max("score").over(Window.partitionBy("q"))) * 0.5 + 0.25
+    out = kept(asked.select("person", "q").join(top.withColumn("salience", 1 - combined), "q").select("person", "id", "content", "salience"))
+    for x in (query, rare, pairs):
+        x.unpersist()
+    return out
+
+
+def assemble(requests: DataFrame, messages: DataFrame, salient: DataFrame, own: DataFrame, total: int = 6000) -> DataFrame:
     """person, context, tokens_used, memories_loaded, trace_ids from requests (person, identity, relationship, grounding).
 
-    messages (person, ord, speaker, content) and traces (person, id, kind, content, salience) are fitted to their shares.
+    messages (person, ord, speaker, content) and traces are fitted to their shares: salient (id, kind, content, salience),
+    a few that all may choose, and own (person, id, kind, content, salience), of other ids. Texts are joined to the chosen only.
     """
     most = {k: int(total * v) for k, v in SHARES.items()}
     fitted = budget.fit_messages(messages, most["recent"])
     line = F.concat(F.lit("["), F.coalesce("speaker", F.lit("?")), F.lit("]: "), "content")
     recent = fitted.groupBy("person").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("l")))), lambda x: x["l"]), "\n").alias("recent"), F.count("*").alias("n_recent"))
-    sized = traces.withColumn("tokens", tokens(F.col("content")))
-    took = budget.knapsack(sized.select("person", "id", "salience", "tokens"), most["episodic"], ("person",))
+    size = tokens(F.col("content")).alias("tokens")
+    shared = requests.select("person").crossJoin(F.broadcast(salient.select("id", "salience", size)))
+    took = budget.knapsack(shared.unionByName(own.select("person", "id", "salience", size)), most["episodic"], ("person",))
     memory = F.format_string("[%d] [%s | sal:%.2f] %s {trace:%s}", "nth", "kind", F.col("salience").cast("double"), "content", F.col("id").cast("string"))
-    chosen = took.join(traces, ["person", "id"]).select("person", "nth", "id", memory.alias("l"))
+    lines = [took.join(F.broadcast(salient), "id"), took.join(own, ["person", "id"])]
+    chosen = lines[0].select("person", "nth", "id", memory.alias("l")).unionByName(lines[1].select("person", "nth", "id", memory.alias("l")))
     ordered = F.array_sort(F.collect_list(F.struct("nth", "id", "l")))
     episodic = chosen.groupBy("person").agg(F.concat(F.array_join(F.transform(ordered, lambda x: x["l"]), "\n"), F.lit(HINT)).alias("episodic"), F.count("*").alias("n_traces"), F.transform(ordered, lambda x: x["id"]).alias("trace_ids"))
     rows = requests.join(recent, "person", "left").join(episodic, "person", "left")
@@ -50,13 +117,15 @@ def assemble(requests: DataFrame, messages: DataFrame, traces: DataFrame, total:
 
 
 def context_assembly(s: SparkSession, d: str) -> DataFrame:
-    """A context for every conversation, its memories being the documents whose number ends like the conversation's."""
+    """A context for every conversation, its memories being the most salient documents and those that its last message finds."""
     talk = ad.talk(s, d)
     people = talk.select("person").distinct()
     requests = people.select("person", F.lit("I keep what matters. ").alias("identity"), F.concat(F.lit("Known as "), "person", F.lit(".")).alias("relationship"), F.lit("Be kind.").alias("grounding"))
-    key = F.expr("cast(substring(person, 2) as bigint) % 50")
-    traces = people.withColumn("k", key).join(ad.traces(s, d).withColumn("k", F.col("id") % 50), "k").select("person", "id", "kind", "content", "salience")
-    out = assemble(requests, talk, traces)
+    traces = ad.traces(s, d).select("id", "kind", "content", "salience")
+    salient = s.createDataFrame(recall.get_by_salience(traces, limit=SALIENT).collect(), traces.schema)
+    found = hits(last_heard(talk), traces.select("id", "content")).withColumn("kind", F.lit("traces"))
+    own = found.join(F.broadcast(salient.select("id")), "id", "left_anti")
+    out = assemble(requests, talk, salient, own)
     return out.select("person", F.sha2("context", 256).alias("context_sha256"), "tokens_used", "memories_loaded")
 
 
