@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from lorekeep.llm.common import PrefixHash, mix64, shuffle_partitions, stored, text_bytes, text_chunks
 from lorekeep.llm.components import components
 from lorekeep.llm.decontaminate import LOWER
-from lorekeep.llm.firstseen import Corpus, by_bucket, joined, of_doc, of_key, picked, scatter, unblock, unpack
+from lorekeep.llm.firstseen import Corpus, by_bucket, joined, of_doc, of_key, picked, unblock, unpack
 
 N_WORDS = 5
 #: Two sets are linked when SCALE * intersection >= LINK * union.
@@ -215,12 +215,12 @@ def _candidates(corpus: Corpus, found: DataFrame, kind: str) -> DataFrame:
     def both(docs: pa.Table, flags: pa.Table) -> pa.Table:
         shared = unpack(SHARED, flags.column("shared").to_pylist())
         needs, sizes = unpack(NEEDS, flags.column("needs").to_pylist()), unpack(SIZES, flags.column("sizes").to_pylist())
-        key = shared["doc"] * 32 + shared["band"]
-        need_of = dict(zip((needs["doc"] * 32 + needs["band"]).tolist(), needs["need"].tolist()))
+        need_of = dict(zip(zip(needs["doc"].tolist(), needs["band"].tolist()), needs["need"].tolist()))
+        shared, first, count = _by_set(shared)
         mine: dict = {}
-        for k, w in scatter(key):
-            if len(w) >= need_of[k]:
-                mine.setdefault(k // 32, []).append((k % 32, need_of[k], shared["token"][w].tobytes()))
+        for d, b, at, size in zip(*(x.tolist() for x in (shared["doc"][first], shared["band"][first], first, count))):
+            if size >= need_of[d, b]:
+                mine.setdefault(d, []).append((b, need_of[d, b], shared["token"][at : at + size].tobytes()))
         t = unblock(docs)
         number = t.column("_doc").to_pylist()
         live = np.array([d in mine for d in number], bool)
@@ -310,9 +310,7 @@ def _stars(live: DataFrame, n: int) -> DataFrame:
         e = unpack(STAR, t.column("star").to_pylist())
         pairs = np.unique(np.column_stack([e["doc"], e["leader"]])[e["doc"] != e["leader"]], axis=0)
         own = picked(e, e["open"] == 1)
-        key = own["doc"] * 32 + own["band"]
-        own = picked(own, np.argsort(key, kind="stable"))
-        _, count = _groups(np.sort(key))
+        own, _, count = _by_set(own)
         own = picked(own, np.repeat(count, count) >= own["need"])
         m, k = len(pairs), len(own["doc"])
         none = lambda size: pa.nulls(size, pa.int64())
@@ -332,6 +330,15 @@ def _groups(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(x)))
 
 
+def _by_set(e: dict) -> tuple[dict, np.ndarray, np.ndarray]:
+    """(entries in the order of document and band, first place and size of each such set); a document's number may be any."""
+    e = picked(e, np.lexsort((e["band"], e["doc"])))
+    new = np.ones(len(e["doc"]), bool)
+    new[1:] = (e["doc"][1:] != e["doc"][:-1]) | (e["band"][1:] != e["band"][:-1])
+    first = np.flatnonzero(new)
+    return e, first, np.diff(np.append(first, len(new)))
+
+
 def near_enough(pairs: DataFrame, live: DataFrame) -> DataFrame:
     """The pairs (a, b) whose parity sketches differ in no more bits than the sets of a link may differ in shingles."""
     bands = live.select("doc", "n", F.transform("bands", lambda x: F.struct(x["band"].alias("band"), x["sketch"].alias("sketch"))).alias("s"))

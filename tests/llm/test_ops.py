@@ -107,6 +107,14 @@ def test_op8_with_hot_tokens_in_every_task(spark, monkeypatch):
     assert tuples(jaccard.op8(spark, df), ["doc_id", "n_shingles", "component_id"]) == brute.op8(rows)
 
 
+def test_op8_with_ids_of_64_bits(spark):
+    ids = [2**62 + 1, 2**62 + 2, -(2**62) - 3, 2**63 - 1, -(2**63), 2**58, 5, 6]
+    rows = list(zip(ids, [BASE, BASE, near(BASE, 3, 0.01), near(BASE, 4, 0.01), BASE, prose(5, 80), prose(5, 80), prose(6, 80)]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert tuples(jaccard.op8(spark, df), ["doc_id", "n_shingles", "component_id"]) == brute.op8(rows)
+    assert [r["doc_id"] for r in jaccard.keep_one(df).orderBy("doc_id").collect()] == [-(2**63), 5, 6]
+
+
 def test_op8_hot_group_and_small_sets(spark):
     rows = [(i, prose(1000 + i, 3 + i % 25)) for i in range(150)] + [(1000 + i, near(prose(77, 30), i, 0.02)) for i in range(80)] + [(3000 + i, PASSAGE + " " + prose(4000 + i, 60)) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
