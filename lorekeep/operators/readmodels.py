@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def recent_by_day(events: DataFrame, n: int = 2) -> DataFrame:
@@ -52,18 +54,22 @@ def with_core_person(trust: DataFrame, core: str) -> DataFrame:
 def due_runs(checks: DataFrame, interval: dict[str, int]) -> DataFrame:
     """Checks (key, ts, id, level) with due: whether the level's interval in seconds has gone by since the last due one.
 
-    Whether a check is due depends on the ones before, so a key's checks are folded in order.
+    Whether a check is due depends on the ones before, so a key's checks are read in order, and only the time of the last
+    due one is carried from row to row.
     """
-    rows = checks.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "id", "level"))).alias("_c"))
-    gap = F.lit(0)
-    kind = "array<struct<id:bigint,due:boolean>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        wait = gap
-        for level, seconds in interval.items():
-            wait = F.when(x["level"] == level, F.lit(seconds)).otherwise(wait)
-        due = acc["last"].isNull() | (x["at"] - acc["last"] >= wait.cast("long") * 1_000_000)
-        return F.struct(F.when(due, x["at"]).otherwise(acc["last"]).alias("last"), F.array_append(acc["out"], F.struct(x["id"].cast("bigint").alias("id"), due.alias("due"))).alias("out"))
-
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast(kind).alias("out"))
-    return rows.select("key", F.explode(F.aggregate("_c", start, step)["out"]).alias("x")).select("key", "x.id", "x.due")
+    at = F.unix_micros(F.col("ts").cast("timestamp")).alias("at")
+    rows = checks.select("key", at, F.col("id").cast("bigint").alias("id"), "level").repartition("key").sortWithinPartitions("key", "at", "id", "level")
+
+    def run(batches):
+        own, last = None, None
+        for b in batches:
+            due = []
+            for key, time, level in zip(*(b.column(k).to_pylist() for k in ("key", "at", "level"))):
+                if key != own:
+                    own, last = key, None
+                now = True if last is None else None if time is None else time - last >= interval.get(level, 0) * 1_000_000
+                last = time if now else last
+                due.append(now)
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("id"), pa.array(due, pa.bool_())], ["key", "id", "due"])
+
+    return rows.mapInArrow(run, T.StructType([checks.schema["key"], T.StructField("id", T.LongType()), T.StructField("due", T.BooleanType())]))

@@ -202,3 +202,18 @@ def test_context_memories_come_from_all_traces(spark, tmp_path):
     asked = context.last_heard(spark.createDataFrame([(f"c{c}", n, "self" if r == "assistant" else r, t) for c, n, r, t in turns], "person string, ord int, speaker string, content string"))
     got = {(r["person"], r["id"]): r["salience"] for r in context.hits(asked, traces).collect()}
     assert set(got) == {("c1", 102), ("c1", 104)} and max(got.values()) == 0.75
+
+
+def test_due_runs_gather_no_key_in_one_value(spark):
+    from lorekeep.operators import readmodels
+
+    rows = spark.range(30000).selectExpr("if(id < 29000, 'hot', null) as key", "timestamp_seconds(id * 7) as ts", "id", "if(id % 2 = 0, 'slow', null) as level")
+    out = readmodels.due_runs(rows, {"slow": 60})
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    last, expected = {}, []
+    for i in range(30000):
+        k = "hot" if i < 29000 else None
+        due = k not in last or i * 7 - last[k] >= (60 if i % 2 == 0 else 0)
+        last |= {k: i * 7} if due else {}
+        expected.append((k, i, due))
+    assert [tuple(r) for r in out.orderBy("id").collect()] == expected
