@@ -15,27 +15,35 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm.common import PrefixHash
-from lorekeep.llm.firstseen import Corpus, removed, resolve
+from lorekeep.llm.common import SLICE, digests
+from lorekeep.llm.firstseen import Corpus, removed, resolve, union
 
-MIN_CHUNK, MAX_CHUNK = 40, 1024
+MIN_CHUNK, MAX_CHUNK = 64, 1024
 #: One place in MASK + 1 is a cut, so chunks are about MIN_CHUNK + MASK + 1 bytes long.
 MASK = np.uint32(31 << 27)
 WINDOW = 32
 GEAR = np.random.default_rng(2016).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 
 
+def _marks(data: np.ndarray) -> list[int]:
+    """Ends of chunks that the gear hash proposes, slice by slice with the bytes before that the hash reaches back to."""
+    out = []
+    for at in range(0, len(data), SLICE):
+        back = max(0, at - WINDOW)
+        # the gear hash is the sum of the last bytes' gears, each shifted by its age: of 1, 2, 4 ... bytes in turn
+        h, have = GEAR[data[back : at + SLICE]], 1
+        while have < WINDOW:
+            older = np.zeros_like(h)
+            older[have:] = h[:-have] << np.uint32(have)
+            h, have = h + older, 2 * have
+        out += (np.flatnonzero((h[at - back :] & MASK) == 0) + at + 1).tolist()
+    return out
+
+
 def cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, start, end) of the chunks of the texts in data."""
-    # the gear hash is the sum of the last bytes' gears, each shifted by its age: of 1, 2, 4 ... bytes in turn
-    h, have = GEAR[data], 1
-    while have < WINDOW:
-        older = np.zeros_like(h)
-        older[have:] = h[:-have] << np.uint32(have)
-        h, have = h + older, 2 * have
-    cut = np.flatnonzero((h & MASK) == 0) + 1
     text, start, end, k = [], [], [], 0
-    cut = cut.tolist()
+    cut = _marks(data)
     for d, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
         while a < b:
             # hashes that reach back before the text do not count
@@ -52,14 +60,15 @@ def _chunks(data: np.ndarray, offsets: np.ndarray) -> dict:
     text, lo, hi = cuts(data, offsets)
     long = hi - lo >= MIN_CHUNK
     text, lo, hi = text[long], lo[long], hi[long]
+    core, content = digests(data, lo, hi)
     zero = np.zeros(len(lo), np.uint8)
-    return {"core": PrefixHash(data, 7).of(lo, hi), "content": PrefixHash(data, 8).of(lo, hi) ^ (hi - lo).astype(np.uint64), "doc": text, "lo": lo, "size": hi - lo, "off": zero, "open": zero}
+    return {"core": core, "content": content, "more": np.zeros(len(lo), np.uint64), "doc": text, "lo": lo, "size": hi - lo, "off": zero, "open": zero}
 
 
 def op10(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_chunks, n_removed_chunks, n_removed, kept_sha256: one row per row of docs.
 
-    Digests have 128 bits. The first chunk is the one of the smallest doc_id, then offset; a null doc_id comes last, rows
+    Digests are BLAKE2b of 128 bits. The first chunk is the one of the smallest doc_id, then offset; a null doc_id comes last, rows
     with the same doc_id go by text, and of equal rows the later is a copy. A null or empty text has no chunks.
     """
     corpus = Corpus(docs, ["doc_id"])
@@ -68,14 +77,14 @@ def op10(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     def each(part, data, offsets, op, spans):
         text, _, _ = cuts(data, offsets)
-        gone = removed(len(data), spans)
-        total = np.concatenate([[0], np.cumsum(gone)])
+        gone = removed(len(data), union(spans))
         ends, n = offsets.tolist(), part.num_rows
+        size = np.bincount(spans["doc"], weights=spans["hi"] - spans["lo"], minlength=n).astype(np.int64)
         digest = [hashlib.sha256(data[a:b][~gone[a:b]].tobytes()).hexdigest() for a, b in zip(ends, ends[1:])]
         return pa.RecordBatch.from_arrays(
             [
                 part.column("_row").field("doc_id"), pa.array(np.diff(offsets)), pa.array(np.bincount(text, minlength=n).astype(np.int64)),
-                pa.array(np.bincount(spans["doc"], minlength=n).astype(np.int64)), pa.array(total[offsets[1:]] - total[offsets[:-1]]), pa.array(digest, pa.string()),
+                pa.array(np.bincount(spans["doc"], minlength=n).astype(np.int64)), pa.array(size), pa.array(digest, pa.string()),
             ],
             ["doc_id", "n_bytes", "n_chunks", "n_removed_chunks", "n_removed", "kept_sha256"],
         )

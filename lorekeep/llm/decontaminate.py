@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import PrefixHash, short_batches, text_bytes, text_chunks
+from lorekeep.llm.common import Shared, short_batches, text_bytes, text_chunks, words_of
 
 WINDOW = 10
-#: Bytes of benchmark text that are broadcast and searched at once; more of it is searched block after block.
-BLOCK_BYTES = 16 << 20
+#: Words of benchmark text, and so windows at most, that are broadcast and searched at once; more is searched block after block.
+BLOCK_WORDS = 100_000
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
@@ -30,30 +30,13 @@ IN_WORD = np.zeros(256, bool)
 IN_WORD[48:58] = IN_WORD[97:123] = IN_WORD[128:] = True
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, its text's number) for the texts in data."""
-    n = len(data)
-    data = LOWER[data]
-    inside = IN_WORD[data]
-    cut = np.zeros(n + 1, bool)
-    cut[offsets] = True
-    head, tail = inside.copy(), inside.copy()
-    if n:
-        head[1:] &= ~inside[:-1] | cut[1:n]
-        tail[:-1] &= ~inside[1:] | cut[1:n]
-    start, end = np.flatnonzero(head), np.flatnonzero(tail) + 1
-    if not len(start):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return PrefixHash(data, 3).of(start, end), np.searchsorted(offsets, start, side="right") - 1
-
-
 class Items:
     """The benchmark's windows, sorted, over word numbers from 1; 0 is any word that no item has."""
 
     def __init__(self, ids: list[str], texts: list[str | None]):
         self.ids = ids
         data, offsets = text_bytes(pa.array(texts, pa.string()))
-        words, owner = words_of(data, offsets)
+        words, owner = words_of(data, offsets, IN_WORD, LOWER)
         self.vocabulary = np.unique(words)
         number = (np.searchsorted(self.vocabulary, words) + 1).astype(np.int64)
         rows, width, item, place = [], [], [], []
@@ -119,27 +102,27 @@ class Items:
         return item[first], place[first], start[first], run - 1 + width[first]
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int):
-    """Items in blocks of about block_bytes of text, by a hash of their id; what is broadcast does not grow with the benchmark."""
+def _blocks(benchmark: DataFrame, block_words: int):
+    """Items in blocks of about block_words words, by a hash of their id and text; what is broadcast does not grow with the benchmark."""
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), "text")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, math.ceil(size / block_bytes))
+    size = rows.agg(F.sum(F.regexp_count(F.lower("text"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")))).first()[0] or 0
+    n = max(1, math.ceil(size / block_words))
     for k in range(n):
-        found = rows.where(F.pmod(F.xxhash64("id"), F.lit(n)) == k).orderBy("id", "text").collect()
+        found = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).orderBy("id", "text").collect()
         yield Items([r["id"] for r in found], [r["text"] for r in found])
 
 
-def find_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, doc_word, item_word, n_words): all longest verbatim matches, of WINDOW words or a whole shorter item."""
     rows, out = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), None
     kind = rows.schema["doc_id"].dataType.simpleString()
-    for items in _blocks(benchmark, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+    for items in _blocks(benchmark, block_words):
+        shared = Shared(docs.sparkSession, items)
 
         def run(batches, shared=shared):
             for b in batches:
                 for part, data, offsets in text_chunks(b, "_text"):
-                    words, owner = words_of(data, offsets)
+                    words, owner = words_of(data, offsets, IN_WORD, LOWER)
                     item, place, start, n = shared.value.matches(words, owner)
                     first = np.searchsorted(owner, np.arange(part.num_rows))
                     who = owner[start]
@@ -163,7 +146,7 @@ def _merge(spans: np.ndarray) -> np.ndarray:
     return np.column_stack([spans[fresh, 0], reach[np.append(fresh[1:], len(spans)) - 1]])
 
 
-def measure(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def measure(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """keep (default: all columns of docs) as struct row, with n_words, spans, items for every row of docs.
 
     Blocks of the benchmark are searched one after another, each adding to the spans and items of the one before.
@@ -171,13 +154,13 @@ def measure(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None
     short_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     rows = docs.select(F.struct(*[F.col(f"`{k}`") for k in keep]).alias("row"), F.col(text).alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(b"").alias("spans"), F.array().cast("array<string>").alias("items"))
-    for items in _blocks(benchmark, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+    for items in _blocks(benchmark, block_words):
+        shared = Shared(docs.sparkSession, items)
 
         def run(batches, shared=shared):
             for b in batches:
                 for part, data, offsets in text_chunks(b, "text"):
-                    words, owner = words_of(data, offsets)
+                    words, owner = words_of(data, offsets, IN_WORD, LOWER)
                     item, _, start, n = shared.value.matches(words, owner)
                     first = np.searchsorted(owner, np.arange(part.num_rows))
                     spans, ids = part.column("spans").to_pylist(), part.column("items").to_pylist()

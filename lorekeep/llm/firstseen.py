@@ -1,7 +1,8 @@
 """Which pieces of text have stood earlier in the corpus, found with one shuffle by content.
 
 A piece has a core (a hash of what any equal piece shares with it), a content
-(a hash of all of it), and a place: document number and byte offset. Pieces go
+(a digest of all of it, 128 bits with more or with the core), and a place:
+document number and byte offset. Pieces go
 in packed blocks to the bucket of their core. There the earliest piece of each
 content stays and the later ones are removed spans. A core with several
 contents makes its earliest pieces open: they go on to a finer division.
@@ -25,7 +26,7 @@ BUCKET_BYTES = 8 << 20
 #: Pieces, and bytes of text, that a task holds before it sends them on.
 HELD_PIECES, HELD_BYTES = 300_000, 8 << 20
 
-ENTRY = {"core": "u8", "content": "u8", "doc": "i8", "lo": "i8", "size": "i4", "off": "u1", "open": "u1"}
+ENTRY = {"core": "u8", "content": "u8", "more": "u8", "doc": "i8", "lo": "i8", "size": "i4", "off": "u1", "open": "u1"}
 OPEN = {"doc": "i8", "lo": "i8", "size": "i4", "off": "u1"}
 SPAN = {"doc": "i8", "lo": "i8", "hi": "i8"}
 PIECES = "bucket int, entries binary, open binary, spans binary"
@@ -71,12 +72,12 @@ def of_doc(doc: np.ndarray, n: int) -> np.ndarray:
 
 def judge(e: dict, last: bool) -> tuple[np.ndarray, np.ndarray]:
     """(order, state) of entries: 0 earliest of its content, 1 later, 2 earliest but open. last: contents of a core are of no interest."""
-    order = np.lexsort((e["lo"], e["doc"], e["content"], e["core"]))
-    core, content = e["core"][order], e["content"][order]
+    order = np.lexsort((e["lo"], e["doc"], e["more"], e["content"], e["core"]))
+    core, content, more = e["core"][order], e["content"][order], e["more"][order]
     new_core, n = np.ones(len(order), bool), len(order)
     new_core[1:] = core[1:] != core[:-1]
     new = new_core.copy()
-    new[1:] |= content[1:] != content[:-1]
+    new[1:] |= (content[1:] != content[:-1]) | (more[1:] != more[:-1])
     state = np.where(new, 0, 1)
     if not last and n:
         group = np.cumsum(new_core) - 1
@@ -142,26 +143,27 @@ def resolve(pieces: DataFrame, n: int, last: bool) -> DataFrame:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """docs with _doc, a number that orders documents: doc_id where that is a number, unique and never null.
+    """docs (_id, _text and more) with _doc, a number that orders documents: _id where that is a number, unique and never null.
 
-    Otherwise rows are ranked by doc_id (null last), then text; equal rows are documents one after another.
+    Otherwise rows are ranked by _id (null last), then text; equal rows are documents one after another.
     """
-    whole = docs.schema["doc_id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
-    if whole and not docs.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count():
-        return docs.withColumn("_doc", F.col("doc_id").cast("long"))
-    return durable(ranked(docs, [F.col("doc_id").asc_nulls_last(), F.col("text")], "_doc"))
+    whole = docs.schema["_id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
+    if whole and not docs.groupBy("_id").count().where("_id is null or count > 1").limit(1).count():
+        return docs.withColumn("_doc", F.col("_id").cast("long"))
+    return durable(ranked(docs, [F.col("_id").asc_nulls_last(), F.col("_text")], "_doc"))
 
 
 class Corpus:
     """Documents packed into blocks by bucket of their number, to be met there by what is found out about them.
 
-    keep: columns to have beside text, in the struct _row.
+    keep: columns to have beside text, in the struct _row, so that no name of theirs can clash with one used here.
     """
 
     def __init__(self, docs: DataFrame, keep: list[str]):
         self.spark = docs.sparkSession
         short_batches(self.spark)
-        self.docs = numbered(docs).select("_doc", F.col("text").alias("_text"), F.struct(*[F.col(f"`{k}`") for k in keep if k != "text"]).alias("_row"))
+        row = F.struct(*[F.col(f"`{k}`") for k in keep if k != "text"])
+        self.docs = numbered(docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), row.alias("_row"))).select("_doc", "_text", "_row")
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         self.n = max(shuffle_partitions(self.spark), math.ceil(size / BUCKET_BYTES))
         n = self.n
@@ -252,9 +254,23 @@ def _empty(schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist([], schema=to_arrow_schema(_parse_datatype_string(schema) if isinstance(schema, str) else schema))
 
 
+def union(s: dict) -> dict:
+    """Spans of the same document that overlap or touch, as one; in the order of documents and places."""
+    order = np.lexsort((s["lo"], s["doc"]))
+    doc, lo, hi = s["doc"][order], s["lo"][order], s["hi"][order]
+    if not len(doc):
+        return s
+    # ends may lie within earlier spans of a document: carry the furthest one, document by document
+    group = np.cumsum(np.append(True, doc[1:] != doc[:-1])) - 1
+    far = np.maximum.accumulate(hi + group * (1 << 40)) - group * (1 << 40)
+    fresh = np.append(True, (doc[1:] != doc[:-1]) | (lo[1:] > far[:-1]))
+    first = np.flatnonzero(fresh)
+    return {"doc": doc[first], "lo": lo[first], "hi": far[np.append(first[1:], len(doc)) - 1]}
+
+
 def removed(n: int, spans: dict) -> np.ndarray:
-    """Mask of the bytes that lie in a span."""
-    edge = np.zeros(n + 1, np.int32)
+    """Mask of the bytes that lie in a span; spans are a union, so none overlap."""
+    edge = np.zeros(n + 1, np.int8)
     np.add.at(edge, spans["lo"], 1)
-    np.add.at(edge, spans["hi"], -1)
-    return np.cumsum(edge[:n]) > 0
+    np.subtract.at(edge, spans["hi"], 1)
+    return np.cumsum(edge[:n], dtype=np.int8) > 0

@@ -17,13 +17,15 @@ components are looked at pair by pair, so that no link is lost.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import PrefixHash, mix64, shuffle_partitions, stored, text_bytes, text_chunks
+from lorekeep.llm.common import join_hot, mix64, shuffle_partitions, stored, text_bytes, text_chunks, words_of
 from lorekeep.llm.components import components
 from lorekeep.llm.decontaminate import LOWER
 from lorekeep.llm.firstseen import Corpus, by_bucket, joined, of_doc, of_key, picked, unblock, unpack
@@ -38,14 +40,14 @@ SLACK = 0.2
 #: Documents that are verified together with their leader, and documents of a token that are compared with one another.
 GROUP, BLOCK = 256, 1024
 
-BLANK = np.zeros(256, bool)
-BLANK[[32, 9, 10, 11, 12, 13]] = True
+WORD = np.ones(256, bool)
+WORD[[32, 9, 10, 11, 12, 13]] = False
 MULTIPLY = mix64(np.arange(1, N_WORDS + 1, dtype=np.uint64)) | np.uint64(1)
 
 TOKEN = {"token": "u8", "doc": "i8", "band": "u1", "shared": "u1"}
 SHARED = {"token": "u8", "doc": "i8", "band": "u1"}
 SIZES = {"doc": "i8", "n": "i4"}
-NEEDS = {"doc": "i8", "band": "u1", "need": "i4"}
+NEEDS = {"doc": "i8", "band": "u1", "need": "i4", "weak": "u1"}
 HELD = {"token": "u8", "doc": "i8", "band": "u1", "need": "i4", "digest": "u8", "many": "u1"}
 PAIR = {"doc": "i8", "b": "i8"}
 STAR = {"token": "u8", "doc": "i8", "band": "u1", "need": "i4", "leader": "i8", "open": "u1"}
@@ -58,19 +60,7 @@ HELD_TOKENS, HOT = 300_000, 8
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash) of the distinct shingles of each text in data, in this order."""
-    n = len(data)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    data = LOWER[data]
-    inside = ~BLANK[data]
-    cut = np.zeros(n + 1, bool)
-    cut[offsets] = True
-    head, tail = inside.copy(), inside.copy()
-    head[1:] &= ~inside[:-1] | cut[1:n]
-    tail[:-1] &= ~inside[1:] | cut[1:n]
-    start, end = np.flatnonzero(head), np.flatnonzero(tail) + 1
-    word = PrefixHash(data, 9).of(start, end)
-    owner = np.searchsorted(offsets, start, side="right") - 1
+    word, owner = words_of(data, offsets, WORD, LOWER)
     m = len(word)
     total = np.zeros(max(0, m - N_WORDS + 1), np.uint64)
     for k in range(N_WORDS):
@@ -102,11 +92,12 @@ def _blocks(band: np.ndarray) -> np.ndarray:
     return TINY * STEP ** band.astype(np.int64) * np.where(band == 1, 2, 1)
 
 
-def sketch_tokens(text: np.ndarray, h: np.ndarray, sizes: np.ndarray) -> tuple[dict, dict]:
+def sketch_tokens(text: np.ndarray, h: np.ndarray, sizes: np.ndarray, salt: int = 0) -> tuple[dict, dict]:
     """(first tokens of each text and band, how many of these a linked text must share).
 
     A text is in its own band, and in the one below where a linked text can be that much smaller; linked texts meet in
-    the smaller one's band.
+    the smaller one's band. salt: another way to deal shingles to blocks. weak: a set whose shingles met in so few
+    blocks that the pigeonhole bound says nothing.
     """
     home = _band(sizes)
     lower = _band((sizes * LINK + SCALE - 1) // SCALE)
@@ -117,7 +108,8 @@ def sketch_tokens(text: np.ndarray, h: np.ndarray, sizes: np.ndarray) -> tuple[d
     first = (np.cumsum(sizes) - sizes)[doc]
     src = np.repeat(np.arange(len(doc)), n)
     code = h[np.arange(len(src)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)]
-    block = (code >> np.uint64(13)) % _blocks(band)[src].astype(np.uint64)
+    dealt = mix64(code ^ np.uint64(salt)) if salt else code
+    block = (dealt >> np.uint64(13)) % _blocks(band)[src].astype(np.uint64)
     block = np.where(band[src] == 0, code, block)
     small = src.astype(np.uint16) if len(doc) < 1 << 16 else src
     order = np.lexsort((block, small))
@@ -138,10 +130,10 @@ def sketch_tokens(text: np.ndarray, h: np.ndarray, sizes: np.ndarray) -> tuple[d
     sent = rank < (differ + 1 + slack(n))[src]
     need = np.maximum(1, np.minimum(slack((n * LINK + SCALE - 1) // SCALE) + 1, t - differ))
     tokens = {"token": token[sent], "doc": doc[src[sent]], "band": band[src[sent]], "shared": np.zeros(int(sent.sum()), np.uint8)}
-    return tokens, {"doc": doc, "band": band, "need": need}
+    return tokens, {"doc": doc, "band": band, "need": need, "weak": (t <= differ).astype(np.uint8)}
 
 
-def _token_rows(corpus: Corpus) -> DataFrame:
+def _token_rows(corpus: Corpus, salt: int) -> DataFrame:
     """Tokens by their bucket, combined: of a token that several documents of a task have, one entry goes; the others are known to be shared."""
     n = corpus.n
 
@@ -165,7 +157,7 @@ def _token_rows(corpus: Corpus) -> DataFrame:
                 text, h = shingles(data, offsets)
                 number = part.column("_doc").to_numpy()
                 sizes = np.bincount(text, minlength=len(number))
-                tokens, needs = sketch_tokens(text, h, sizes)
+                tokens, needs = sketch_tokens(text, h, sizes, salt)
                 for x in (tokens, needs):
                     x["doc"] = number[x["doc"]]
                 for x, to in zip((tokens, needs, {"doc": number, "n": sizes}), held):
@@ -216,6 +208,7 @@ def _candidates(corpus: Corpus, found: DataFrame, kind: str) -> DataFrame:
         shared = unpack(SHARED, flags.column("shared").to_pylist())
         needs, sizes = unpack(NEEDS, flags.column("needs").to_pylist()), unpack(SIZES, flags.column("sizes").to_pylist())
         need_of = dict(zip(zip(needs["doc"].tolist(), needs["band"].tolist()), needs["need"].tolist()))
+        weak = set(needs["doc"][needs["weak"] == 1].tolist())
         shared, first, count = _by_set(shared)
         mine: dict = {}
         for d, b, at, size in zip(*(x.tolist() for x in (shared["doc"][first], shared["band"][first], first, count))):
@@ -237,11 +230,11 @@ def _candidates(corpus: Corpus, found: DataFrame, kind: str) -> DataFrame:
         return pa.table(
             {
                 "doc": t.column("_doc"), "doc_id": pc.struct_field(t.column("_row"), "doc_id"), "n": pa.array([n_of[d] for d in number], pa.int64()),
-                "text": pc.if_else(pa.array(live), t.column("_text").cast(pa.string()), None), "bands": pa.array(bands, listed),
+                "text": pc.if_else(pa.array(live), t.column("_text").cast(pa.string()), None), "bands": pa.array(bands, listed), "weak": pa.array([d in weak for d in number], pa.bool_()),
             }
         )
 
-    return corpus.packed.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(both, f"doc long, doc_id {kind}, n long, text string, bands array<struct<band:int,need:int,digest:binary,sketch:binary,tokens:binary>>")
+    return corpus.packed.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(both, f"doc long, doc_id {kind}, n long, text string, bands array<struct<band:int,need:int,digest:binary,sketch:binary,tokens:binary>>, weak boolean")
 
 
 def _stars(live: DataFrame, n: int) -> DataFrame:
@@ -431,8 +424,11 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, keep: list[str] | None = None) -> tuple[Corpus, DataFrame]:
     """(corpus, rows): doc, doc_id, n, component (a doc, the smallest that links reach) for every row of docs."""
     corpus = Corpus(docs, keep or ["doc_id"])
-    found = _shared_tokens(_token_rows(corpus), corpus.n)
-    info = stored(_candidates(corpus, found, docs.schema["doc_id"].dataType.simpleString()))
+    for salt in itertools.count():
+        found = _shared_tokens(_token_rows(corpus, salt), corpus.n)
+        info = stored(_candidates(corpus, found, docs.schema["doc_id"].dataType.simpleString()))
+        if not info.where("weak").limit(1).count():
+            break  # otherwise deal the shingles anew, until every set keeps enough tokens for the bound to hold
     live = info.where(F.size("bands") > 0)
     flat = stored(_stars(live, corpus.n))
     texts = live.select("doc", "text")
@@ -443,13 +439,14 @@ def near_duplicates(docs: DataFrame, keep: list[str] | None = None) -> tuple[Cor
     # tokens whose documents are in different components; a document needs enough of them to have a link there
     held = flat.where("token is not null").drop("leader")
     open_ = held.join(labels, held["doc"] == labels["node"], "left").select("doc", "band", "need", "token", F.coalesce("component", "doc").alias("component"))
+    open_ = stored(open_)
     for _ in range(2):
         mixed = open_.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-        open_ = open_.join(mixed, "token")
+        open_ = stored(join_hot(open_, mixed, "token"))
         enough = open_.groupBy("doc", "band").agg(F.count("*").alias("_n"), F.max("need").alias("_need")).where("_n >= _need").select("doc", "band")
         open_ = stored(open_.join(enough, ["doc", "band"]))
     # a pair shares need of its open tokens, so one that is left when each gives up its need - 1 commonest ones
-    open_ = open_.join(open_.groupBy("token").agg(F.count("*").alias("_k")), "token")
+    open_ = join_hot(open_, open_.groupBy("token").agg(F.count("*").alias("_k")), "token")
     own = Window.partitionBy("doc", "band")
     open_ = open_.withColumns({"_rank": F.row_number().over(own.orderBy("_k", "token")), "_last": F.count("*").over(own) - F.col("need") + 1}).where("_rank <= _last")
     across = _across(open_.select("doc", "band", "token", "component", "_k"), live)
@@ -467,8 +464,9 @@ def op8(spark: SparkSession, docs: DataFrame) -> DataFrame:
     null doc_id counts as the largest. Extra columns are not looked at.
     """
     _, rows = near_duplicates(docs)
+    rows = stored(rows)
     names = rows.select(F.col("doc").alias("component"), F.col("doc_id").alias("component_id"))
-    return rows.join(names, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return join_hot(rows, names, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -3,123 +3,179 @@
 The model holds, for each language, the log frequency of its words and of the
 character n-grams of its words. A known word scores its own log frequencies.
 An unseen one falls back to its n-grams of the greatest length of which any is
-known, each backoff costing a constant.
+known, each backoff costing a constant. A task scores each distinct word once;
+texts are then sums over rows of a matrix.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import crc_mod, durable, short_batches
+from lorekeep.llm.common import Shared, crc_mod, short_batches
 
-#: Documents of a language that the model learns from at most, drawn by a hash of their id.
+#: Documents of a language that the model learns from, about and at most, drawn by a hash of their id and text.
 TRAIN_DOCS = 3000
-#: Words and n-grams seen less often in these are left out, which bounds the model by the sample.
-MIN_WORD, MIN_GRAM = 3, 3
+#: Languages that are learned at most, the commonest ones.
+MAX_LANGUAGES = 500
+#: Words, and n-grams, that the model holds at most over all languages; each language keeps its commonest ones.
+MODEL_WORDS, MODEL_GRAMS = 200_000, 400_000
 NGRAMS = (5, 4, 3, 2, 1)
 #: Added to the score for each length given up.
 BACKOFF = -0.7
-#: Words remembered by a task at a time.
-MEMO = 400_000
-WORD = re.compile(r"[^\W\d_]+")
+#: Words remembered by a task from one batch to the next, and characters of a text that are looked at together.
+MEMO, PIECE = 400_000, 1 << 18
+RUN = re.compile(r"[^\W\d_]+")
+END = re.compile(r"[\W\d_]")
+
+
+def words_of(text: str | None):
+    """The words of a text, lower case, in lists: longest runs of letters (the Unicode categories L), for learning and predicting alike."""
+    at, n = 0, len(text or "")
+    while at < n:
+        to = at + PIECE
+        if to < n:
+            gap = END.search(text, to)
+            to = gap.start() if gap else n
+        found = RUN.findall(text[at:to].lower())
+        if not all(map(str.isalpha, found)):  # runs may hold numerals such as fractions, which are no letters
+            found = ["".join(g) for w in found for letter, g in groupby(w, str.isalpha) if letter]
+        yield found
+        at = to
 
 
 class BackoffModel:
-    """languages, and for each known word or n-gram a vector of log frequencies."""
+    """languages, and for each known word or n-gram a row of log frequencies."""
 
-    def __init__(self, counts: list[tuple[str, int, str, int]]):
+    def __init__(self, counts: list[tuple[str, int, str, int]], languages: list[str] | None = None):
         """counts: (language, length, gram, count); length 0 stands for whole words."""
-        self.languages = sorted({x[0] for x in counts})
+        self.languages = sorted({x[0] for x in counts} | set(languages or []))
         place = {x: i for i, x in enumerate(self.languages)}
-        sums, raw = np.zeros((max(NGRAMS) + 1, len(place))), {}
+        self.tables: list[dict] = [{} for _ in range(max(NGRAMS) + 1)]
+        length = []
+        for _, n, gram, _ in counts:
+            if gram not in self.tables[n]:
+                self.tables[n][gram] = len(length)
+                length.append(n)
+        raw, sums = np.zeros((len(length), len(place))), np.zeros((max(NGRAMS) + 1, len(place)))
         for lang, n, gram, count in counts:
             sums[n, place[lang]] += count
-            raw.setdefault((n, gram), np.zeros(len(place)))[place[lang]] += count
-        self.tables: list[dict] = [{} for _ in range(max(NGRAMS) + 1)]
-        for (n, gram), c in raw.items():
-            self.tables[n][gram] = np.log((c + 0.1) / (sums[n] + 0.1 * max(1, len(raw)))).astype(np.float64)
+            raw[self.tables[n][gram], place[lang]] += count
+        self.rows = np.log((raw + 0.1) / (sums[np.array(length, int)] + 0.1 * max(1, len(length)))).astype(np.float32)
 
     def word(self, w: str) -> np.ndarray | None:
         known = self.tables[0].get(w)
         if known is not None:
-            return known
+            return self.rows[known]
         framed = f"^{w}$"
         for back, n in enumerate(NGRAMS, 1):
-            found = [v for i in range(len(framed) - n + 1) if (v := self.tables[n].get(framed[i : i + n])) is not None]
+            table = self.tables[n]
+            found = [v for i in range(len(framed) - n + 1) if (v := table.get(framed[i : i + n])) is not None]
             if found:
-                return sum(found) / len(found) + BACKOFF * back
+                return self.rows[found].mean(axis=0) + BACKOFF * back
         return None
 
-    def predict(self, texts: list[str | None], memo: dict) -> tuple[list[str], list[float]]:
-        langs, scores = [], []
+    def predict(self, texts: list[str | None], memo: Memo | dict | None = None) -> tuple[list[str], list[float]]:
+        memo = memo if isinstance(memo, Memo) else Memo(self)
+        memo.tidy()
+        ids: list[int] = []
+        ends = [0]
         for text in texts:
-            words = WORD.findall(text.lower()) if text else []
-            if not words or not self.languages:
-                langs.append("und")
-                scores.append(0.0)
-                continue
-            total, seen = np.zeros(len(self.languages)), 0
-            for w, n in Counter(words).items():
-                if w not in memo:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[w] = self.word(w)
-                v = memo[w]
-                if v is not None:
-                    total += v if n == 1 else n * v
-                    seen += n
+            for found in words_of(text):
+                ids += map(memo.__getitem__, found)
+            ends.append(len(ids))
+        langs, scores = ["und"] * len(texts), [0.0] * len(texts)
+        some = np.flatnonzero(np.diff(ends)) if self.languages else np.zeros(0, int)
+        if len(some):
+            total = np.add.reduceat(memo.rows[np.array(ids, np.int64)], np.array(ends)[some], axis=0)
+            total, seen = total[:, :-1], total[:, -1]
             # the mean over words, not the sum, so that the posterior of a long text still tells sure from unsure
-            e = np.exp((total - total.max()) / max(1, seen) * min(seen, 8))
-            best = int(np.argmax(total))
-            langs.append(self.languages[best])
-            scores.append(float(e[best] / e.sum()))
+            e = np.exp((total - total.max(axis=1, keepdims=True)) * (np.minimum(seen, 8) / np.maximum(1, seen))[:, None])
+            best = total.argmax(axis=1)
+            for i, k, x in zip(some.tolist(), best.tolist(), (e[np.arange(len(e)), best] / e.sum(axis=1)).tolist()):
+                langs[i], scores[i] = self.languages[k], x
         return langs, scores
 
 
+class Memo(dict):
+    """Words met so far -> their row of log frequencies and a last 1, or of zeros where nothing of the word is known."""
+
+    def __init__(self, model: BackoffModel):
+        self.model, self.rows = model, np.zeros((1024, len(model.languages) + 1))
+
+    def __missing__(self, w: str) -> int:
+        at, v = len(self), self.model.word(w)
+        if at == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[at] = 0.0
+        if v is not None:
+            self.rows[at, :-1], self.rows[at, -1] = v, 1.0
+        self[w] = at
+        return at
+
+    def tidy(self) -> None:
+        if len(self) > MEMO:
+            self.clear()
+
+
 def train(docs: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", per_language: int = TRAIN_DOCS) -> BackoffModel:
-    """A model from docs with a non-null language, at most about per_language documents of each.
+    """A model from docs with a non-null language, about per_language documents of each at most.
 
-    Languages are counted over all rows; the sample is a share of each language by a hash of doc_id, and its texts are read whole.
+    Languages are counted over all rows; the sample is a share of each language by a hash of doc_id and text, its texts are
+    read whole, and repeated rows are learned from once. Each language keeps its commonest words and n-grams (ties: the
+    smaller one), so that what comes to the driver is bounded; rare ones count as well where there is room.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null")
-    sizes = durable(rows.groupBy("lang").agg(F.count("*").alias("n")))
-    sizes = F.broadcast(sizes) if sizes.count() <= 10_000 else sizes
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    if not sizes:
+        return BackoffModel([])
+    known = docs.sparkSession.createDataFrame(sizes, f"lang {rows.schema['lang'].dataType.simpleString()}, n long")
     share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n"))
-    sample = rows.join(sizes, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
-    words = (
-        sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("w"))
-        .groupBy("lang", "w")
-        .agg(F.count("*").alias("n"))
-    )
+    sample = rows.join(F.broadcast(known), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share * (1 << 30)).dropDuplicates(["doc_id", "lang", "text"])
+
+    def count(batches):
+        for b in batches:
+            found: dict = {}
+            for own, text_ in zip(b.column("lang").to_pylist(), b.column("text")):
+                for w in words_of(text_.as_py()):
+                    found.setdefault(own, Counter()).update(w)
+            flat = [(own, w, n) for own, c in found.items() for w, n in c.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in flat], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "w", "n"])
+
+    words = sample.select("lang", "text").mapInArrow(count, "lang string, w string, n long").groupBy("lang", "w").agg(F.sum("n").alias("n"))
     framed = F.concat(F.lit("^"), "w", F.lit("$"))
     cut = lambda n: F.transform(F.sequence(F.lit(1), F.length(framed) - n + 1), lambda i: F.struct(F.lit(n).alias("len"), F.substring(framed, i, F.lit(n)).alias("gram")))
     grams = F.concat(*[F.when(F.length(framed) >= n, cut(n)).otherwise(F.array().cast("array<struct<len:int,gram:string>>")) for n in NGRAMS])
-    grams = words.select("lang", "n", F.explode(grams).alias("g")).groupBy("lang", "g.len", "g.gram").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_GRAM)
-    whole = words.where(F.col("n") >= MIN_WORD).select("lang", F.lit(0).alias("len"), F.col("w").alias("gram"), "n")
-    return BackoffModel([tuple(r) for r in whole.unionByName(grams).orderBy("lang", "len", "gram").collect()])
+    grams = words.select("lang", "n", F.explode(grams).alias("g")).groupBy("lang", "g.len", "g.gram").agg(F.sum("n").alias("n"))
+    whole = words.select("lang", F.lit(0).alias("len"), F.col("w").alias("gram"), "n")
+    common = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "len", "gram"))
+    kept = [df.withColumn("_rank", common).where(F.col("_rank") <= max(500, most // len(sizes))).drop("_rank") for df, most in ((whole, MODEL_WORDS), (grams, MODEL_GRAMS))]
+    return BackoffModel([tuple(r) for r in kept[0].unionByName(kept[1]).orderBy("lang", "len", "gram").collect()], [r["lang"] for r in sizes])
 
 
 def identify(docs: DataFrame, model: BackoffModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, lang_pred and score for every row of docs, from its whole text alone; und and 0 for a text that is null or has no letter.
 
-    The model goes to the executors once, by broadcast; its size is bounded by the training sample.
+    The model goes to the executors once, by broadcast; its size is bounded by MODEL_WORDS and MODEL_GRAMS. Repeated rows
+    get the same answer, an empty table none.
     """
     short_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
     rows = docs.select(*[F.col(k) for k in keep], F.col(text).alias("_text"))
 
     def run(batches):
-        memo: dict = {}
+        model = shared.value
+        memo = Memo(model)
         for b in batches:
             langs, scores = [], []
             for at in range(0, b.num_rows, 256):
-                x, y = shared.value.predict(b.column("_text").slice(at, 256).to_pylist(), memo)
+                x, y = model.predict(b.column("_text").slice(at, 256).to_pylist(), memo)
                 langs += x
                 scores += y
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
@@ -129,7 +185,11 @@ def identify(docs: DataFrame, model: BackoffModel, text: str = "text", keep: tup
 
 
 def op1(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score. Learns where crc32(doc_id) mod 4 is not 2 and lang is not null; a null doc_id is not learned from."""
+    """doc_id, held_out, lang_pred, score, one row per row of docs.
+
+    Learns where crc32(doc_id) mod 4 is not 2 and lang is not null; a null doc_id is not learned from and not held out. A null
+    or empty text, and one without letters, is und with score 0; repeated rows get one answer each; an empty table none.
+    """
     rest = crc_mod("doc_id", 4)
     model = train(docs.where(rest != 2))
     held = F.coalesce(rest == 2, F.lit(False))

@@ -14,17 +14,19 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import durable, ranked
+from lorekeep.llm.common import durable, join_hot, ranked
 
 #: Weights of the sources, in order, and how often a source may be repeated.
 WEIGHTS = (5, 2, 1)
 CAP = 3.0
 #: Documents in a block of the flight phase.
 BLOCK = 4096
+#: Equal rows that are numbered together.
+COPIES = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
 EPS = 1e-9
 
@@ -72,13 +74,13 @@ def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _fly(last: bool):
-    def block(rows: pd.DataFrame) -> pd.DataFrame:
+    def block(t: pa.Table) -> pa.Table:
         # long documents first: those left undecided at the end are short ones, and landing moves few words
-        rows = rows.sort_values(["size", "order", "doc_id"], ascending=[False, True, True], na_position="last", ignore_index=True)
-        size = rows["size"].to_numpy()
-        p = flight(rows["p"].to_numpy(), size, int(np.bitwise_xor.reduce(rows["order"].to_numpy())) & 0x7FFFFFFF)
-        rows["p"] = land(p, size) if last else p
-        return rows
+        size, order, p = (t.column(k).to_numpy() for k in ("size", "order", "p"))
+        by = np.lexsort((order, -size))
+        moved = flight(p[by], size[by], int(np.bitwise_xor.reduce(order)) & 0x7FFFFFFF)
+        moved = land(moved, size[by]) if last else moved
+        return t.take(pa.array(by)).set_column(t.column_names.index("p"), "p", pa.array(moved))
 
     return block
 
@@ -108,25 +110,33 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, block: int =
     """doc_id, size, source_size, target, taken, one row per row of docs (columns doc_id, text, source; others are not looked at).
 
     size counts words, 0 for a null or empty text; taken is how many words the mix takes, repeats counted. A null source is a
-    source, the last one. Draws depend on doc_id alone, so reruns agree; repeated rows count as documents of their own. An
-    empty table gives no rows. Only ids and sizes are shuffled, in blocks of a few thousand, so that a hot source is many blocks.
+    source, the last one. Draws depend on doc_id and size alone, so reruns agree; rows that agree in these are documents of
+    their own, told apart by a running number. An empty table gives no rows. Only ids and sizes are shuffled, in blocks of a
+    few thousand, so that a hot source, and a third of all rows with one id, are many blocks.
     """
     block = max(8, block)  # two of a block stay open, so that each level has a quarter of the blocks at most
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     sized = durable(docs.select("doc_id", "source", size.alias("size")))
     targets = durable(source_targets(sized, weights, cap))
     most = targets.agg(F.max("n_docs")).first()[0] or 0
-    join = sized["source"].eqNullSafe(targets["source"])
-    rows = sized.join(F.broadcast(targets) if targets.count() <= 10_000 else targets, join, "left").drop(targets["source"])
+    key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))  # a null source is a key too
+    alike = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n_alike")).withColumn("_key", key)
+    # rows that agree in all that is looked at: a number for each, dealt out COPIES at a time
+    many = F.col("n_alike") > COPIES
+    start = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_alike") - 1, F.lit(COPIES).cast("long"))).alias("_start")
+    parts = alike.where(many).select("*", start).repartition(F.xxhash64("doc_id", "_start")).unionByName(alike.where(~many).withColumn("_start", F.lit(0).cast("long")))
+    each = F.explode(F.sequence(F.col("_start"), F.least(F.col("n_alike"), F.col("_start") + COPIES) - 1)).alias("copy")
+    rows = durable(parts.select("doc_id", "source", "size", "_key", each))
+    rows = join_hot(rows, targets.withColumn("_key", key).drop("source"), "_key").drop("_key")
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(cap))).otherwise(0.0)
     rows = rows.withColumn("whole", F.floor(ratio + 1e-12).cast("double")).withColumn("p", F.when(F.col("size") > 0, F.greatest(ratio - F.col("whole"), F.lit(0.0))).otherwise(0.0))
-    rows = rows.withColumn("order", F.xxhash64("doc_id", "size")).withColumn("blocks", F.ceil(F.col("n_docs") / block).cast("long"))
+    rows = rows.withColumn("order", F.xxhash64("doc_id", "size", "copy")).drop("copy").withColumn("blocks", F.ceil(F.col("n_docs") / block).cast("long"))
 
     names, done, blocks = rows.columns, None, max(1, math.ceil(most / block))
     while True:
         last = blocks == 1
         keyed = rows.withColumn("block", F.pmod(F.xxhash64("order"), F.col("blocks")))
-        flown = keyed.groupBy("source", "block").applyInPandas(_fly(last), keyed.schema).select(names)
+        flown = keyed.groupBy("source", "block").applyInArrow(_fly(last), keyed.schema).select(names)
         if last:
             done = flown if done is None else done.unionByName(flown)
             break
@@ -140,4 +150,5 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, block: int =
 
 
 def op2(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """mix_sources with the fixed weights and cap; nulls, ties, repeated rows and empty tables as there."""
     return mix_sources(docs)

@@ -13,10 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import PrefixHash, crc_mod, short_batches, text_chunks
+from lorekeep.llm.common import crc_mod, short_batches, text_chunks, word_hashes
 
-#: Labelled documents of each label to learn from at most, drawn by a hash of their id; they are read whole.
+#: Labelled documents of each label to learn from, about and at most, drawn by a hash of their id; they are read whole.
 TRAIN_DOCS = 800
+#: Lines of these documents to learn from at most, and lines that one of them may have.
+TRAIN_LINES, MAX_LINES = 200_000, 5_000
 ROUNDS = 80
 RIDGE = 1e-4
 THRESHOLD = 0.3
@@ -69,7 +71,7 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     tail = ~blank
     tail[:-1] &= blank[1:] | head[1:]
     w_end = np.flatnonzero(tail) + 1
-    word = PrefixHash(data, 11).of(w_start, w_end) if len(w_start) else np.zeros(0, np.uint64)
+    word = word_hashes(data, w_start, w_end)
     again = np.zeros(len(word), bool)
     for back in (1, 2):
         again[back:] |= word[back:] == word[:-back]
@@ -186,17 +188,27 @@ class LineChain:
 def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_DOCS) -> LineChain:
     """A chain learned from the documents in labels (doc_id, quality), at most about per_label of each quality.
 
-    Labels are counted over all rows; nulls are left out, and of several labels of a document the highest counts.
-    Without labels of both kinds the chain gives every text the share of label 1 (0.5 without labels).
+    Labels are counted over all rows; nulls are left out, and of several labels of a document the highest counts. The sample
+    is a share of the documents of each label by a hash, with at most TRAIN_LINES lines; documents of more than MAX_LINES lines
+    are not learned from, repeated rows are learned from once. Without labels of both kinds the chain gives every text the
+    share of label 1 (0.5 without labels).
     """
     short_batches(docs.sparkSession)
-    labels = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    n = {int(q): c for q, c in labels.groupBy("quality").count().collect()}
+    labels = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).select("doc_id", (F.col("quality") == 1).cast("int").alias("quality"))
+    n = {q: c for q, c in labels.groupBy("quality").count().collect()}
     share = F.lit(0.0)
     for q in n:
         share = F.when(F.col("quality") == q, min(1.0, per_label / n[q])).otherwise(share)
-    chosen = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)).limit(4 * per_label)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    chosen = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
+    lines = F.coalesce(F.regexp_count("text", F.lit("\n")), F.lit(0)) + 1
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumns({"_hash": F.xxhash64("doc_id", "text"), "_lines": lines}).where(F.col("_lines") <= MAX_LINES)
+    drawn, total, most = sample.groupBy("_hash").agg(F.max("_lines")).orderBy("_hash").limit(4 * per_label).collect(), 0, None
+    for h, k in drawn:
+        total += k
+        if total > TRAIN_LINES:
+            break
+        most = h
+    sample = sample.where(F.col("_hash") <= most if most is not None else F.lit(False)).dropDuplicates(["doc_id", "text"]).select("doc_id", "text", "quality")
 
     def features(batches):
         for b in batches:
@@ -237,7 +249,10 @@ def score_quality(docs: DataFrame, chain: LineChain, keep: tuple[str, ...] = ("d
 
 
 def keep_good(docs: DataFrame, chain: LineChain, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that score threshold or more, with all their columns."""
+    """The rows of docs that score threshold or more, with all their columns, whatever their names.
+
+    A null text is judged like an empty one, repeated rows stay or go together, and an empty table stays empty.
+    """
 
     def run(batches):
         for b in batches:
@@ -259,4 +274,5 @@ def op4(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """keep_good with a chain learned from docs and the labels that op4 may learn from; nulls, repeats and empty tables as there."""
     return keep_good(docs, train(docs, _learnable(labels)))

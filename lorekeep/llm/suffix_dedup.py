@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import PrefixHash, mix64
-from lorekeep.llm.firstseen import PIECES, Corpus, joined, removed, resolve, send
+from lorekeep.llm.common import digests, mix64
+from lorekeep.llm.firstseen import PIECES, Corpus, joined, removed, resolve, send, union
 from lorekeep.llm.parsing import LENGTH, Parse
 
 STEP = 8
@@ -28,8 +28,9 @@ STEP = 8
 
 def _phrases(data: np.ndarray, offsets: np.ndarray) -> dict:
     p = Parse(data, offsets)
+    content, more = p.contents()
     zero = np.zeros(len(p.lo), np.uint8)
-    return {"core": p.trigger, "content": p.content, "doc": p.text, "lo": p.lo, "size": p.hi - p.lo + LENGTH, "off": p.at - p.lo if len(p.lo) else zero, "open": zero}
+    return {"core": p.trigger, "content": content, "more": more, "doc": p.text, "lo": p.lo, "size": p.hi - p.lo + LENGTH, "off": p.at - p.lo, "open": zero}
 
 
 def _steps(data: np.ndarray, offsets: np.ndarray, op: dict) -> dict:
@@ -42,16 +43,18 @@ def _steps(data: np.ndarray, offsets: np.ndarray, op: dict) -> dict:
     j = np.arange(len(src)) - np.repeat(np.cumsum(n) - n, n) + first[src]
     far, near = np.minimum(j * STEP + STEP - 1, high[src]), np.maximum(j * STEP, low[src])
     lo, hi = trigger[src] - far, trigger[src] - near + LENGTH
-    h = PrefixHash(data, 5)
-    core = h.of(trigger[src] - j * STEP, trigger[src] - j * STEP - STEP + 1 + LENGTH)
-    return {"core": mix64(core + j.astype(np.uint64)), "content": h.of(lo, hi) ^ mix64((far * 128 + near).astype(np.uint64)), "doc": op["doc"][src], "lo": lo, "size": hi - lo, "off": np.zeros(len(lo), np.uint8), "open": np.zeros(len(lo), np.uint8)}
+    core, _ = digests(data, trigger[src] - j * STEP, trigger[src] - j * STEP - STEP + 1 + LENGTH)
+    content, more = digests(data, lo, hi)
+    zero = np.zeros(len(lo), np.uint8)
+    return {"core": mix64(core + j.astype(np.uint64)), "content": content ^ mix64((far * 128 + near).astype(np.uint64)), "more": more, "doc": op["doc"][src], "lo": lo, "size": hi - lo, "off": zero, "open": zero}
 
 
 def _windows(data: np.ndarray, offsets: np.ndarray, op: dict) -> dict:
     n = (op["size"] - LENGTH + 1).astype(np.int64)
     lo = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(op["lo"], n)
+    core, content = digests(data, lo, lo + LENGTH)
     zero = np.zeros(len(lo), np.uint8)
-    return {"core": PrefixHash(data, 5).of(lo, lo + LENGTH), "content": PrefixHash(data, 6).of(lo, lo + LENGTH), "doc": np.repeat(op["doc"], n), "lo": lo, "size": np.full(len(lo), LENGTH), "off": zero, "open": zero}
+    return {"core": core, "content": content, "more": np.zeros(len(lo), np.uint64), "doc": np.repeat(op["doc"], n), "lo": lo, "size": np.full(len(lo), LENGTH), "off": zero, "open": zero}
 
 
 def _finer(corpus: Corpus, flags: DataFrame, divide, last: bool) -> DataFrame:
@@ -63,7 +66,7 @@ def _finer(corpus: Corpus, flags: DataFrame, divide, last: bool) -> DataFrame:
         e |= {"doc": number[e["doc"]], "lo": e["lo"] - offsets[e["doc"]]}
         at = spans["doc"]
         known = {"doc": number[at], "lo": spans["lo"] - offsets[at], "hi": spans["hi"] - offsets[at]}
-        return e, _joined(known)
+        return e, union(known)
 
     def finish(found):
         return send(joined([e for e, _ in found]), n, last, joined([s for _, s in found]))
@@ -71,20 +74,6 @@ def _finer(corpus: Corpus, flags: DataFrame, divide, last: bool) -> DataFrame:
     return resolve(corpus.meet(flags, each, PIECES, finish), n, last)
 
 
-def _joined(s: dict) -> dict:
-    """Spans of the same document that touch, as one."""
-    order = np.lexsort((s["lo"], s["doc"]))
-    doc, lo, hi = s["doc"][order], s["lo"][order], s["hi"][order]
-    if not len(doc):
-        return s
-    # ends may lie within earlier spans of a document: carry the furthest one, document by document
-    group = np.cumsum(np.append(True, doc[1:] != doc[:-1])) - 1
-    far = np.maximum.accumulate(hi + group * (1 << 40)) - group * (1 << 40)
-    fresh = np.append(True, (doc[1:] != doc[:-1]) | (lo[1:] > far[:-1]))
-    first = np.flatnonzero(fresh)
-    return {"doc": doc[first], "lo": lo[first], "hi": far[np.append(first[1:], len(doc)) - 1]}
-
-
 def _repeats(docs: DataFrame, keep: list[str]) -> tuple[Corpus, DataFrame]:
     corpus = Corpus(docs, keep)
     flags = resolve(corpus.pieces(_phrases, False), corpus.n, False)
@@ -102,18 +91,13 @@ def op6(spark: SparkSession, docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def each(part, data, offsets, op, spans):
-        gone = removed(len(data), spans)
-        head = gone.copy()
-        head[1:] &= ~gone[:-1]
-        inner = offsets[1:-1]
-        inner = inner[inner < len(data)]
-        head[inner] = gone[inner]
-        total = np.concatenate([[0], np.cumsum(gone)])
-        runs = np.concatenate([[0], np.cumsum(head)])
-        ends = offsets.tolist()
+        spans, n = union(spans), part.num_rows
+        gone, ends = removed(len(data), spans), offsets.tolist()
+        count = np.bincount(spans["doc"], minlength=n)
+        size = np.bincount(spans["doc"], weights=spans["hi"] - spans["lo"], minlength=n).astype(np.int64)
         digest = [hashlib.sha256(data[a:b][~gone[a:b]].tobytes()).hexdigest() for a, b in zip(ends, ends[1:])]
         return pa.RecordBatch.from_arrays(
-            [part.column("_row").field("doc_id"), pa.array(np.diff(offsets)), pa.array(total[offsets[1:]] - total[offsets[:-1]]), pa.array(runs[offsets[1:]] - runs[offsets[:-1]]), pa.array(digest, pa.string())],
+            [part.column("_row").field("doc_id"), pa.array(np.diff(offsets)), pa.array(size), pa.array(count.astype(np.int64)), pa.array(digest, pa.string())],
             ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
         )
 
@@ -129,7 +113,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     corpus, flags = _repeats(docs, names)
 
     def each(part, data, offsets, op, spans):
-        gone = removed(len(data), spans)
+        gone = removed(len(data), union(spans))
         ends = offsets.tolist()
         had = part.column("_text").is_valid().to_pylist()
         texts = [data[a:b][~gone[a:b]].tobytes().decode("utf-8", "ignore") if ok else None for a, b, ok in zip(ends, ends[1:], had)]
