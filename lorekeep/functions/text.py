@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that carry no meaning for skill search.
@@ -101,3 +101,72 @@ def ladder(*rungs: tuple[Column, object], otherwise: object) -> Column:
     """The value of the first rung whose condition holds."""
     start = F.when(rungs[0][0], rungs[0][1])
     return reduce(lambda c, r: c.when(*r), rungs[1:], start).otherwise(otherwise)
+
+
+def within_bytes(text: Column, most: int = 100_000) -> Column:
+    """Whether a text is no longer than most bytes; null is."""
+    return F.coalesce(F.octet_length(text), F.lit(0)) <= most
+
+
+def parse_time(text: Column, now: Column) -> Column:
+    """A timestamp from ISO text; a date alone is its midnight, an empty text or null is now, and what is no time is null."""
+    return F.when(F.coalesce(F.trim(text), F.lit("")) == "", now).otherwise(F.try_to_timestamp(F.trim(text)))
+
+
+def flat_value(value: Column, is_list: bool = False) -> Column:
+    """A metadata value as text: a list's members joined, null empty."""
+    return F.coalesce(F.array_join(value, ", ") if is_list else value.cast("string"), F.lit(""))
+
+
+#: Levels of trust as the semantic store counts them, 0 for a name that it does not know.
+TRUST_LEVELS = {"core": 5, "inner_circle": 4, "friend": 3, "acquaintance": 2, "stranger": 1}
+
+
+def trust_level(name: Column) -> Column:
+    return ladder(*[(name == k, v) for k, v in TRUST_LEVELS.items()], otherwise=0)
+
+
+#: Kinds of updates that an extraction may hold, and the fields of each.
+EXTRACTED = {"relationship_updates": ["person", "fact", "section"], "preference_updates": ["item", "type", "reason"], "trust_changes": ["person", "direction", "reason"], "skills_learned": ["skill", "content"]}
+
+
+def _fields(names: list[str]):
+    return lambda x: F.struct(*[F.try_variant_get(x, f"$.{n}", "string").alias(n) for n in names])
+
+
+def parse_extraction(reply: Column) -> Column:
+    """A struct with nothing_new and an array of structs for each kind of update, from a reply that holds a JSON object, fenced or not.
+
+    The object reaches from the first brace to the last. What is no list counts as empty, members that are no objects are
+    left out, and a field that is not there is null. Without an object, or without any update, there is nothing new.
+    """
+    value = F.try_parse_json(F.regexp_extract(reply, r"(?s)(\{.*\})", 1))
+    lists = {}
+    for kind, fields in EXTRACTED.items():
+        rows = F.coalesce(F.try_variant_get(value, f"$.{kind}", "array<variant>"), F.array().cast("array<variant>"))
+        objects = F.filter(rows, lambda x: F.schema_of_variant(x).startswith("OBJECT"))
+        lists[kind] = F.transform(objects, _fields(fields))
+    none = reduce(lambda a, b: a & b, [F.size(v) == 0 for v in lists.values()])
+    nothing = none | F.coalesce(F.try_variant_get(value, "$.nothing_new", "boolean"), F.lit(False))
+    return F.struct(nothing.alias("nothing_new"), *[v.alias(k) for k, v in lists.items()])
+
+
+def extracted_updates(replies: DataFrame) -> DataFrame:
+    """(person, type, target, value, note) for each update that the replies (person, reply) ask for and that is complete.
+
+    A fact needs a text and is about the person spoken with where none is named; a preference needs an item and is a like
+    without a type; a trust signal needs direction and reason; a skill needs a name and a content.
+    """
+    rows = replies.select("person", parse_extraction(F.col("reply")).alias("x")).where("not x.nothing_new")
+    line = lambda kind, target, value, note: F.struct(F.lit(kind).alias("type"), target.alias("target"), value.alias("value"), note.alias("note"))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    own = F.col("person")
+    found = F.concat(
+        F.transform("x.relationship_updates", lambda u: line("relationship", F.coalesce(u["person"], own), text(u["fact"]), F.coalesce(u["section"], F.lit("What I Know")))),
+        F.transform("x.preference_updates", lambda u: line("preference", F.coalesce(u["type"], F.lit("like")), text(u["item"]), text(u["reason"]))),
+        F.transform("x.trust_changes", lambda u: line("trust_signal", F.coalesce(u["person"], own), text(u["direction"]), text(u["reason"]))),
+        F.transform("x.skills_learned", lambda u: line("skill", text(u["skill"]), text(u["content"]), F.lit(""))),
+    )
+    rows = rows.select("person", F.explode(found).alias("u")).select("person", "u.*")
+    complete = (F.col("value") != "") & ((F.col("type") != "trust_signal") | (F.col("note") != "")) & ((F.col("type") != "skill") | (F.col("target") != ""))
+    return rows.where(complete)

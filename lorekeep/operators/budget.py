@@ -6,46 +6,47 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions.text import compress, tokens
+from lorekeep.operators.fold import ordered_fold
 
 #: Tokens that each message costs beside its text.
 OVERHEAD = 4
 
 
-def fit_messages(messages: DataFrame, budget: int, keys: tuple[str, ...] = ("person",), order: tuple[str, ...] = ("ord",)) -> DataFrame:
+def fit_messages(messages: DataFrame, budget: int | Column, keys: tuple[str, ...] = ("person",), order: tuple[str, ...] = ("ord",)) -> DataFrame:
     """The newest messages of each key until one would go over budget, with used, the tokens up to and with each."""
     newest = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order], F.desc("content"))
     used = F.sum(tokens(F.col("content")) + OVERHEAD).over(newest.rowsBetween(Window.unboundedPreceding, 0))
     return messages.withColumn("used", used).where(F.col("used") <= budget)
 
 
-def knapsack(items: DataFrame, budget: int, keys: tuple[str, ...], candidates: int | None = None) -> DataFrame:
+def knapsack(items: DataFrame, budget: int | Column, keys: tuple[str, ...], candidates: int | None = None) -> DataFrame:
     """Of each key the items (id, salience, tokens) taken densest first, those that do not fit being passed over; nth from 1.
 
-    What fits depends on all before it, so a key's items are folded in order. Only id and numbers are gathered, not texts.
-    An item over the budget can never be taken and is left out before. candidates keeps the densest of a key only.
+    What fits depends on all before it, so a key's items are read in order. Only ids and numbers are moved, not texts.
+    An item over the budget can never be taken and is left out before. A budget may be a column, the same for all items of a
+    key. candidates keeps the densest of a key only.
     """
-    fit = items.where(F.col("tokens") <= budget).withColumn("_density", F.col("salience") / F.col("tokens"))
+    most = F.lit(budget) if isinstance(budget, int) else budget
+    fit = items.where(F.col("tokens") <= most).withColumns({"_density": F.col("salience") / F.col("tokens"), "_budget": most.cast("long")})
     if candidates is not None:
         fit = fit.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_density"), "id"))).where(F.col("_rank") <= candidates)
-    rows = fit.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("_density")).alias("d"), "id", F.col("tokens").cast("long").alias("t")))).alias("_items"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<id:bigint,used:bigint>>").alias("took"))
 
-    def step(acc: Column, x: Column) -> Column:
-        used = acc["used"] + x["t"]
-        took = F.array_append(acc["took"], F.struct(x["id"].cast("long").alias("id"), used.alias("used")))
-        return F.when(used <= budget, F.struct(used.alias("used"), took.alias("took"))).otherwise(acc)
+    def step(state, item, size, budget):
+        nth, used = state
+        return (state, ()) if used + size > budget else ((nth + 1, used + size), [(nth + 1, item, used + size)])
 
-    took = rows.select(*keys, F.posexplode(F.aggregate("_items", start, step)["took"]).alias("nth", "x"))
-    return took.select(*keys, (F.col("nth") + 1).alias("nth"), F.col("x.id").alias("id"), F.col("x.used").alias("used"))
+    rows = fit.withColumns({"id": F.col("id").cast("long"), "tokens": F.col("tokens").cast("long")})
+    return ordered_fold(rows, list(keys), [F.desc("_density"), "id"], ["id", "tokens", "_budget"], lambda: (0, 0), step, lambda s: (), "nth int, id long, used long")
 
 
-def fit_prefix(items: DataFrame, budget: int, keys: tuple[str, ...], order: tuple[str, ...], least: int = 20) -> DataFrame:
+def fit_prefix(items: DataFrame, budget: int | Column, keys: tuple[str, ...], order: tuple[str, ...], least: int = 20) -> DataFrame:
     """Items in order until one goes over budget; that one is cut to what remains, if more than least tokens do."""
+    most = F.lit(budget) if isinstance(budget, int) else budget
     w = Window.partitionBy(*keys).orderBy(*order)
     size = tokens(F.col("content"))
     before = F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = items.withColumn("_before", before).withColumn("_size", size).where(F.col("_before") <= budget)
-    whole = F.col("_before") + F.col("_size") <= budget
-    left = F.lit(budget) - F.col("_before")
+    rows = items.withColumns({"_before": before, "_size": size, "_most": most}).where(F.col("_before") <= F.col("_most"))
+    whole = F.col("_before") + F.col("_size") <= F.col("_most")
+    left = F.col("_most") - F.col("_before")
     rows = rows.withColumn("cut", ~whole).withColumn("content", F.when(whole, F.col("content")).otherwise(compress(F.col("content"), left)))
-    return rows.where(~F.col("cut") | (F.lit(budget) - F.col("_before") > least)).drop("_before", "_size")
+    return rows.where(~F.col("cut") | (left > least)).drop("_before", "_size", "_most")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from lorekeep.functions.text import clamp, ladder
+from lorekeep.operators.fold import ordered_fold
+from lorekeep.operators.temporal import confidence_report
 
 
 def recent_by_day(events: DataFrame, n: int = 2) -> DataFrame:
@@ -57,19 +59,69 @@ def due_runs(checks: DataFrame, interval: dict[str, int]) -> DataFrame:
     Whether a check is due depends on the ones before, so a key's checks are read in order, and only the time of the last
     due one is carried from row to row.
     """
-    at = F.unix_micros(F.col("ts").cast("timestamp")).alias("at")
-    rows = checks.select("key", at, F.col("id").cast("bigint").alias("id"), "level").repartition("key").sortWithinPartitions("key", "at", "id", "level")
-
-    def run(batches):
-        own, last = None, None
-        for b in batches:
-            due = []
-            for key, time, level in zip(*(b.column(k).to_pylist() for k in ("key", "at", "level"))):
-                if key != own:
-                    own, last = key, None
-                now = True if last is None else None if time is None else time - last >= interval.get(level, 0) * 1_000_000
-                last = time if now else last
-                due.append(now)
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("id"), pa.array(due, pa.bool_())], ["key", "id", "due"])
-
-    return rows.mapInArrow(run, T.StructType([checks.schema["key"], T.StructField("id", T.LongType()), T.StructField("due", T.BooleanType())]))
+
+    def step(last, time, item, level):
+        now = True if last is None else None if time is None else time - last >= interval.get(level, 0) * 1_000_000
+        return (time if now else last), [(item, now)]
+
+    rows = checks.select("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("id").cast("bigint").alias("id"), "level")
+    return ordered_fold(rows, ["key"], ["at", "id", "level"], ["at", "id", "level"], lambda: None, step, lambda s: (), "id long, due boolean")
+
+
+def introspections(thoughts: DataFrame, quick: bool = False) -> DataFrame:
+    """Rows for the introspection log from thoughts (person, id, ts, thought, context, depth, confidence): depth is surface,
+    moderate or deep (else moderate), confidence within 0 and 1; a quick one is a surface thought of routine."""
+    depth = F.when(F.lit(quick), "surface").when(F.col("depth").isin("surface", "moderate", "deep"), F.col("depth")).otherwise("moderate")
+    context = F.when(F.lit(quick), "routine").otherwise(F.coalesce("context", F.lit("")))
+    return thoughts.select("person", "id", "ts", "thought", context.alias("context"), depth.alias("depth"), clamp(F.col("confidence")).alias("confidence"))
+
+
+def introspection_report(thoughts: DataFrame) -> DataFrame:
+    """By person: how many thoughts there are, the last one with its depth, and the report on their confidence."""
+    last = F.max_by(F.struct("thought", "depth"), F.struct("ts", "id"))
+    state = thoughts.groupBy("person").agg(F.count("*").alias("n"), last.alias("_last")).select("person", "n", "_last.thought", "_last.depth")
+    return state.join(confidence_report(thoughts), "person")
+
+
+def episode_records(exchanges: DataFrame, most: int = 200) -> DataFrame:
+    """Rows for the identity log from exchanges (id, ts, user_input, response, state, belief): texts cut to most characters."""
+    return exchanges.select("id", "ts", F.substring("user_input", 1, most).alias("user_input"), F.substring("response", 1, most).alias("response"), "state", F.round("belief", 4).alias("belief"))
+
+
+def soul_fallback(text: Column, sections: tuple[str, ...] = ("Core Identity", "Key Phrases"), lines: int = 3, most: int = 300) -> Column:
+    """An array of structs (section, content): of each Markdown section that is there, its first lines that are no headings."""
+    out = []
+    for name in sections:
+        found = F.regexp_extract(text, rf"(?is)(##[^\n]*{name}.*?)(?=##|\z)", 1)
+        body = F.filter(F.transform(F.split(found, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
+        out.append(F.when(F.size(body) > 0, F.struct(F.lit(name).alias("section"), F.substring(F.array_join(F.slice(body, 1, lines), " "), 1, most).alias("content"))))
+    return F.array_compact(F.array(*out))
+
+
+def one_row(**parts: DataFrame) -> DataFrame:
+    """One row with a column for each part: a value where the part has one column, else a struct; each part is one row already."""
+    out = None
+    for name, df in parts.items():
+        cols = [F.col(f"`{c}`") for c in df.columns]
+        one = df.agg(F.first(cols[0] if len(cols) == 1 else F.struct(*cols)).alias(name))  # one row also of an empty part
+        out = one if out is None else out.crossJoin(F.broadcast(one))
+    return out
+
+
+def as_list(df: DataFrame, order: list[str], *columns: str) -> DataFrame:
+    """The rows of df, a few that were chosen before, as one array in the order given."""
+    return df.agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, *[F.col(c).alias(f"_{c}") for c in columns]))), lambda x: F.struct(*[x[f"_{c}"].alias(c) for c in columns]) if len(columns) > 1 else x[f"_{columns[0]}"]).alias("rows"))
+
+
+#: Which section a kind of preference belongs to.
+PREFERENCE_SECTIONS = {"like": "likes", "likes": "likes", "dislike": "dislikes", "dislikes": "dislikes", "uncertainty": "uncertainties", "uncertainties": "uncertainties"}
+
+
+def preference_section(kind: Column) -> Column:
+    """The section of a kind of preference, whatever the case; null for others, which a writer rejects."""
+    return ladder(*[(F.lower(kind) == k, v) for k, v in PREFERENCE_SECTIONS.items()], otherwise=None)
+
+
+def fact_line(fact: Column, day: Column) -> Column:
+    """A fact as it is written under What I Know."""
+    return F.concat(F.lit("- "), fact, F.lit(" ("), F.date_format(day, "yyyy-MM-dd"), F.lit(")"))

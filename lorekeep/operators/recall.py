@@ -31,6 +31,16 @@ def get_messages(df: DataFrame, person=None, since=None, until=None, limit: int
     return df.where(_all(F.col("salience") >= min_salience, _is("person", person), _between("ts", since, until))).orderBy(F.desc("ts"), F.desc("id")).limit(limit)
 
 
+def get_events(df: DataFrame, kind: str | None = None, person: str | None = None, limit: int = 50) -> DataFrame:
+    """The newest events of a type, of a person, or of both."""
+    return df.where(_all(_is("event_type", kind), _is("person", person))).orderBy(F.desc("ts"), F.desc("id")).limit(limit)
+
+
+def by_id(df: DataFrame, ids: list) -> DataFrame:
+    """Rows with these ids, looked up by the scan's own filter."""
+    return df.where(F.col("id").isin(list(ids)))
+
+
 def tagged(tags: Iterable[str]) -> Column:
     """Whether any of a row's tags is one of tags, whatever the case; null tags are none."""
     return F.coalesce(F.arrays_overlap(F.transform("tags", F.lower), F.array(*[F.lit(t.lower()) for t in tags])), F.lit(False))
@@ -71,14 +81,29 @@ def sessions_in_range(sessions: DataFrame, since, until, person=None, limit: int
     return out if limit is None else out.orderBy(F.desc("started"), "person").limit(limit)
 
 
+#: Buckets of one size that a session lies in at most; a longer one is dealt to buckets so many times as long.
+MOST_BUCKETS = 32
+LEVELS = 4
+
+
 def overlap_join(sessions: DataFrame, windows: DataFrame, bucket_hours: int = 24) -> DataFrame:
-    """Sessions with each window (since, until) that they overlap; both sides are dealt to time buckets, and a pair is kept in its first common one."""
-    size = bucket_hours * 3600
-    at = lambda c: F.floor(F.unix_timestamp(F.col(c).cast("timestamp")) / size)
-    a = sessions.withColumn("_a", at("started")).withColumn("_b", F.explode(F.sequence("_a", at("ended"))))
-    w = windows.withColumn("_c", at("since")).withColumn("_b", F.explode(F.sequence("_c", at("until"))))
-    hit = a.join(w, "_b").where("started <= until and ended >= since and _b = greatest(_a, _c)")
-    return hit.drop("_a", "_b", "_c")
+    """Sessions with each window (since, until) that they overlap; a session without an end is still open.
+
+    Both sides are dealt to time buckets, and a pair is kept in its first common one. Long sessions lie in longer buckets,
+    so that each is a few rows; windows, the few, are dealt to the buckets of every length.
+    """
+    sizes = F.array(*[F.lit(bucket_hours * 3600 * MOST_BUCKETS**k).cast("long") for k in range(LEVELS)])
+    second = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
+    last = windows.agg(F.max("until").alias("_last"))  # one row: an open session reaches to the last window's end
+    a = sessions.crossJoin(F.broadcast(last)).withColumn("_end", F.coalesce("ended", F.greatest("_last", "started")))
+    length = second("_end") - second("started")
+    level = sum(((length > bucket_hours * 3600 * MOST_BUCKETS ** (k + 1)).cast("int") for k in range(LEVELS - 1)), F.lit(0))
+    a = a.withColumn("_level", level).withColumn("_size", F.element_at(sizes, F.col("_level") + 1))
+    at = lambda c: F.floor(second(c) / F.col("_size"))
+    a = a.withColumn("_a", at("started")).withColumn("_b", F.explode(F.sequence("_a", at("_end")))).drop("_size")
+    w = windows.select("*", F.posexplode(sizes).alias("_level", "_size")).withColumn("_c", at("since")).withColumn("_b", F.explode(F.sequence("_c", at("until"))))
+    hit = a.join(w, ["_level", "_b"]).where("started <= until and _end >= since and _b = greatest(_a, _c)")
+    return hit.drop("_a", "_b", "_c", "_end", "_last", "_level", "_size")
 
 
 def with_metadata(df: DataFrame, key: str) -> DataFrame:
@@ -98,3 +123,20 @@ def unconsolidated(df: DataFrame, kinds: list[str], limit: int | None = None) ->
 def active_session(sessions: DataFrame) -> DataFrame:
     """The latest open session of each person."""
     return sessions.where("ended is null").groupBy("person").agg(F.max("started").alias("started"))
+
+
+def recent_sessions(sessions: DataFrame, person: str | None = None, limit: int = 10) -> DataFrame:
+    """The sessions that started last, of a person or of all."""
+    return sessions.where(_all(_is("person", person))).orderBy(F.desc("started"), "person").limit(limit)
+
+
+def corrections(traces: DataFrame) -> DataFrame:
+    """(id, original, was): traces whose metadata says what they correct, with that trace's salience, null where it is gone."""
+    links = traces.select("id", F.get_json_object("metadata", "$.corrects").cast("long").alias("original")).where("original is not null")
+    return links.join(traces.select(F.col("id").alias("original"), F.col("salience").alias("was")), "original", "left").select("id", "original", "was")
+
+
+def tail(df: DataFrame, person: str | None = None, n: int = 20) -> DataFrame:
+    """The last n entries of a log, of a person whatever the case, oldest first."""
+    own = None if person is None else F.lower("person") == person.lower()
+    return df.where(_all(own)).orderBy(F.desc("ts"), F.desc("id")).limit(n).orderBy("ts", "id")

@@ -59,20 +59,51 @@ def consolidate_arcs(threads: DataFrame, least: int = 3, salience: float = 0.85)
     return out.where(F.col("n") >= least).withColumn("salience", F.lit(salience))
 
 
-def lineage(links: DataFrame, levels: int = 2) -> DataFrame:
-    """(id, ancestor, depth) from links (id, parent): the forest has levels levels, so there are levels joins."""
-    out = step = links.select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).where("parent is not null")
-    up = links.select(F.col("id").alias("_at"), F.col("parent").alias("_up")).where("parent is not null")
-    for depth in range(2, levels + 1):
-        step = step.join(up, step["ancestor"] == up["_at"]).select("id", F.col("_up").alias("ancestor"), F.lit(depth).alias("depth"))
+def lineage(links: DataFrame, most: int = 64) -> DataFrame:
+    """(id, ancestor, depth) from links (id, parent), up to the root; a row that is its own parent has none.
+
+    One join a level, until a level gives no row. most stops at links that go round.
+    """
+    up = links.where("parent is not null and parent <> id").select("id", "parent")
+    above = up.select(F.col("id").alias("_at"), F.col("parent").alias("_up"))
+    out = step = up.select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
+    for depth in range(2, most + 1):
+        step = step.join(above, step["ancestor"] == above["_at"]).select("id", F.col("_up").alias("ancestor"), F.lit(depth).alias("depth"))
+        if step.isEmpty():
+            return out
         out = out.unionByName(step)
-    return out
+    raise ValueError(f"links go on beyond {most} levels")
 
 
-def mark(df: DataFrame, ids: DataFrame, key: str, value: Column) -> DataFrame:
-    """df with value under key in its JSON metadata, for the rows whose id is in ids."""
-    hit = ids.select(F.col("id").alias("_hit")).distinct()
-    joined = df.join(hit, df["id"] == hit["_hit"], "left")
+def with_key(df: DataFrame, key: str, value: Column) -> DataFrame:
+    """df with value under key in its JSON metadata where value is not null; what is there else stays."""
     old = F.coalesce(F.from_json("metadata", "map<string,string>"), F.create_map().cast("map<string,string>"))
     new = F.map_concat(F.map_filter(old, lambda k, _: k != key), F.create_map(F.lit(key), value.cast("string")))
-    return joined.withColumn("metadata", F.when(F.col("_hit").isNotNull(), F.to_json(new)).otherwise(F.col("metadata"))).drop("_hit")
+    return df.withColumn("metadata", F.when(value.isNotNull(), F.to_json(new)).otherwise(F.col("metadata")))
+
+
+def mark(df: DataFrame, ids: DataFrame, key: str, value: Column) -> DataFrame:
+    """df with value under key in its metadata, for the rows whose id is in ids."""
+    hit = ids.select(F.col("id").alias("_hit")).distinct()
+    return with_key(df.join(hit, df["id"] == hit["_hit"], "left"), key, F.when(F.col("_hit").isNotNull(), value)).drop("_hit")
+
+
+def mark_consolidated(df: DataFrame, parents: DataFrame) -> DataFrame:
+    """df with each child's parent in its metadata, from parents (id, child_ids); of several parents the smallest."""
+    own = parents.select(F.col("id").alias("_parent"), F.explode("child_ids").alias("_child")).groupBy("_child").agg(F.min("_parent").alias("_parent"))
+    return with_key(df.join(own, df["id"] == own["_child"], "left"), "consolidated_into", F.col("_parent")).drop("_parent", "_child")
+
+
+def time_range(since: Column, until: Column) -> Column:
+    """"a to b" in words of dates; one date where both are the same, null without dates."""
+    a, b = (F.date_format(c, "yyyy-MM-dd") for c in (since, until))
+    return F.when(a == b, a).otherwise(F.concat(a, F.lit(" to "), b))
+
+
+def format_traces(traces: DataFrame, keys: list[str], cap: int = 15_000) -> DataFrame:
+    """keys, text: each key's traces as numbered blocks in the order of time, cut at cap characters; a block starts before the cut or is left out."""
+    w = Window.partitionBy(*keys).orderBy("created", "id")
+    block = F.format_string("[%d] (%s, sal:%.2f, %s)\n%s\n\n", F.row_number().over(w), "kind", F.col("salience").cast("double"), F.date_format("created", "yyyy-MM-dd"), "content")
+    rows = traces.withColumn("_block", block).withColumn("_before", F.coalesce(F.sum(F.length("_block")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_before", "created", "id", F.substring("_block", 1, cap).alias("b")))), lambda x: x["b"]), "")
+    return rows.where(F.col("_before") < cap).groupBy(*keys).agg(F.substring(text, 1, cap).alias("text"))

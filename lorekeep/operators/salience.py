@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.functions.text import clamp
+from lorekeep.operators.fold import clamped_sum
 from lorekeep.operators.temporal import micros
 
 LASTING = ["summary", "thread", "arc"]
@@ -47,12 +48,26 @@ def hebbian(exchanges: DataFrame, reinforce_above: float = 0.7, weaken_below: fl
 
 
 def apply_adjustments(base: DataFrame, log: DataFrame, order: tuple[str, ...] = ("exchange_id", "step")) -> DataFrame:
-    """base (id, salience) with adjusted: deltas applied one after another, each result kept within 0 and 1."""
-    steps = log.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct(*order, "delta"))).alias("_steps"))
-    joined = base.join(steps, base["id"] == steps["trace_id"], "left").drop("trace_id")
+    """base (id, salience) with adjusted: deltas applied one after another, each result kept within 0 and 1; and how many there were."""
+    steps = clamped_sum(log, "trace_id", list(order), "delta")
     start = F.col("salience").cast("double")
-    folded = F.aggregate("_steps", start, lambda s, x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), s + x["delta"])))
-    return joined.withColumn("adjusted", F.coalesce(folded, start)).withColumn("n_adjustments", F.coalesce(F.size("_steps"), F.lit(0))).drop("_steps")
+    moved = F.least("high", F.greatest("low", start + F.col("shift")))
+    joined = base.join(steps, base["id"] == steps["trace_id"], "left")
+    return joined.withColumn("adjusted", F.when(F.col("n").isNull(), start).otherwise(moved)).withColumn("n_adjustments", F.coalesce("n", F.lit(0)).cast("int")).drop("trace_id", "shift", "low", "high", "n")
+
+
+def forget(salience: Column, least: float = 0.01) -> Column:
+    """What weakening by the distance to least leaves: least, or, of less than that, the distance again lower, but not below 0."""
+    return F.greatest(F.lit(0.0), salience - F.abs(salience - least))
+
+
+def decay_multiplier(hours: Column, coherence: Column, half: float = 168.0) -> Column:
+    """The share of salience that is left after hours; 0.5 where the time is not known, 1 for none."""
+    return F.when(hours.isNull(), 0.5).when(hours <= 0, 1.0).otherwise(F.exp(-F.ln(F.lit(2.0)) * hours / half_life(half, coherence)))
+
+
+def should_prune(salience: Column, least: float = 0.01) -> Column:
+    return salience < least
 
 
 def access_stats(log: DataFrame) -> DataFrame:

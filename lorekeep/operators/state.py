@@ -1,7 +1,7 @@
 """State machines over a person's events, as ordered folds.
 
-Clamps make the order of events matter, so a fold runs over a person's events in one array of small structs. The
-streaming forms (lorekeep.streaming) keep the same state between batches.
+Clamps make the order of events matter, so a person's events are read in order and a small state is carried from row to
+row (operators.fold). The streaming forms (lorekeep.streaming) keep the same state between batches.
 """
 
 from __future__ import annotations
@@ -9,13 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.functions.text import clamp, ladder
-from lorekeep.operators.temporal import micros
+from lorekeep.functions.text import clamp, ladder, words
+from lorekeep.operators.fold import ordered_fold
+from lorekeep.operators.temporal import last_k, micros
 
 #: Hourly decay of valence, arousal and dominance.
 DECAY = (0.9, 0.7, 0.8)
 
 
+# Names of moods and of feelings, and where they begin, in this and the next function.
 def mood(v: Column, a: Column, d: Column) -> Column:
     pick = lambda c, x, y: F.when(c, x).otherwise(y)
     return ladder(
@@ -37,30 +39,67 @@ def emotion_fold(events: DataFrame, decay: tuple[float, float, float] = DECAY) -
 
     Between events valence decays to 0 and the others to 0.5; an event then adds its change times its intensity, kept in range.
     """
-    w = Window.partitionBy("person").orderBy("ts", "id")
-    hours = F.coalesce((micros("ts") - F.lag(micros("ts")).over(w)) / 3.6e9, F.lit(0.0))
-    rows = events.withColumn("h", hours).groupBy("person").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("ts", "id", "h", "dv", "da", "dd", "intensity"))).alias("_e"))
-    start = F.struct(F.lit(0.0).alias("v"), F.lit(0.5).alias("a"), F.lit(0.5).alias("d"))
-    keep = lambda x, low: F.greatest(F.lit(low), F.least(F.lit(1.0), x))
 
-    def step(s: Column, e: Column) -> Column:
-        fade = [F.pow(F.lit(k), e["h"]) for k in decay]
-        return F.struct(
-            keep(s["v"] * fade[0] + e["dv"] * e["intensity"], -1.0).alias("v"), keep((s["a"] - 0.5) * fade[1] + 0.5 + e["da"] * e["intensity"], 0.0).alias("a"),
-            keep((s["d"] - 0.5) * fade[2] + 0.5 + e["dd"] * e["intensity"], 0.0).alias("d"),
-        )
+    def step(state, at, dv, da, dd, weight):
+        n, last, v, a, d = state
+        hours = 0.0 if last is None or at is None else (at - last) / 3.6e9
+        v, a, d = v * decay[0] ** hours, (a - 0.5) * decay[1] ** hours + 0.5, (d - 0.5) * decay[2] ** hours + 0.5
+        return (n + 1, at, max(-1.0, min(1.0, v + dv * weight)), max(0.0, min(1.0, a + da * weight)), max(0.0, min(1.0, d + dd * weight))), ()
 
-    out = rows.withColumn("_s", F.aggregate("_e", start, step))
-    v, a, d = F.col("_s.v"), F.col("_s.a"), F.col("_s.d")
-    return out.select("person", "n", v.alias("valence"), a.alias("arousal"), d.alias("dominance"), mood(v, a, d).alias("mood"))
+    rows = events.withColumn("_at", micros("ts"))
+    out = ordered_fold(
+        rows, ["person"], ["ts", "id"], ["_at", "dv", "da", "dd", "intensity"], lambda: (0, None, 0.0, 0.5, 0.5), step, lambda s: [(s[0], *s[2:])],
+        "n long, valence double, arousal double, dominance double",
+    )
+    return out.withColumn("mood", mood(F.col("valence"), F.col("arousal"), F.col("dominance")))
+
+
+def nudge(health: Column, message: Column, salience: Column) -> dict[str, Column]:
+    """What an exchange does to the feelings: columns dv, da, dd, intensity; a message of more than 30 words stirs."""
+    return {"dv": (health - 0.5) * 0.3, "da": F.when(F.size(words(message)) > 30, 0.1).otherwise(-0.05), "dd": F.lit(0.0), "intensity": salience}
+
+
+def emotional_state(events: DataFrame, as_of: Column, last: int = 3) -> DataFrame:
+    """person, valence, arousal, dominance, mood, recent_events and a sentence about them: the fold, faded until as_of.
+
+    events as in emotion_fold, with description; recent_events are the last ones' descriptions, oldest first.
+    """
+    at = events.groupBy("person").agg(F.max("ts").alias("_last"))
+    newest = last_k(events, last).groupBy("person").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "id", "description"))), lambda x: x["description"]).alias("recent_events"))
+    rows = emotion_fold(events).join(at, "person").join(newest, "person")
+    hours = F.greatest(F.lit(0.0), (F.unix_micros(as_of.cast("timestamp")) - micros("_last")) / 3.6e9)
+    fade = [F.pow(F.lit(k), hours) for k in DECAY]
+    v, a, d = F.col("valence") * fade[0], (F.col("arousal") - 0.5) * fade[1] + 0.5, (F.col("dominance") - 0.5) * fade[2] + 0.5
+    rows = rows.select("person", F.round(v, 4).alias("valence"), F.round(a, 4).alias("arousal"), F.round(d, 4).alias("dominance"), "recent_events")
+    v, a, d = F.col("valence"), F.col("arousal"), F.col("dominance")
+    rows = rows.withColumn("mood", mood(v, a, d))
+    return rows.withColumn("sentence", F.format_string("Feeling %s (valence %+.2f, arousal %.2f, dominance %.2f).", "mood", "valence", "arousal", "dominance"))
 
 
 def trait_fold(base: DataFrame, changes: DataFrame) -> DataFrame:
-    """base (person, trait, value) with evolved: changes (person, trait, id, delta) of 0.1 at most each, rounded to 4 places."""
-    steps = changes.groupBy("person", "trait").agg(F.array_sort(F.collect_list(F.struct("id", "delta"))).alias("_c"))
-    one = lambda s, c: F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), s + F.greatest(F.lit(-0.1), F.least(F.lit(0.1), c["delta"])))), 4)
-    rows = base.join(steps, ["person", "trait"], "left")
-    return rows.withColumn("evolved", F.coalesce(F.aggregate("_c", F.col("value"), one), F.col("value"))).drop("_c")
+    """base (person, trait, value) with evolved: changes (person, trait, id, delta) of 0.1 at most each, rounded to 4 places.
+
+    The base value of a person's trait is its first row, the changes follow. Steps round, so they do not compose.
+    """
+    first = base.select("person", "trait", F.lit(0).alias("_kind"), F.lit(0).cast("long").alias("id"), F.col("value").cast("double").alias("x"))
+    rest = changes.select("person", "trait", F.lit(1).alias("_kind"), F.col("id").cast("long").alias("id"), F.col("delta").cast("double").alias("x"))
+
+    def step(v, kind, x):
+        if kind == 0:
+            return x, ()
+        if v is None:  # changes without a base value
+            return None, ()
+        scaled = max(0.0, min(1.0, v + max(-0.1, min(0.1, x)))) * 10_000
+        return int(scaled + 0.5 + 1e-9) / 10_000, ()
+
+    out = ordered_fold(first.unionByName(rest), ["person", "trait"], ["_kind", "id", "x"], ["_kind", "x"], lambda: None, step, lambda v: [(v,)], "evolved double")
+    return base.join(out, ["person", "trait"], "left")
+
+
+def dominant_traits(traits: list[str], n: int = 2) -> Column:
+    """The n traits farthest from the middle, the farthest first; ties in the order of traits."""
+    far = F.array_sort(F.array(*[F.struct((-F.abs(F.col(t) - 0.5)).alias("d"), F.lit(i).alias("i"), F.lit(t).alias("trait")) for i, t in enumerate(traits)]))
+    return F.slice(F.transform(far, lambda x: x["trait"]), 1, n)
 
 
 def response_modifiers() -> dict[str, Column]:
@@ -73,6 +112,7 @@ def response_modifiers() -> dict[str, Column]:
     }
 
 
+# The phrases of the description.
 def describe() -> Column:
     """A sentence about the five traits."""
     rung = lambda c, hi, x, lo, y: F.when(F.col(c) > hi, x).when(F.col(c) < lo, y)
@@ -85,33 +125,39 @@ def describe() -> Column:
 
 
 def workspace_fold(steps: DataFrame, capacity: int = 7, boost: float = 0.15, fade: float = 0.95, expiry: float = 0.1) -> DataFrame:
-    """person, items after all steps (person, id, item, priority), and evictions: priority-limited slots with ageing after each step.
+    """person, reason, nth, item, priority, age: slots after all steps (person, id, item, priority), reason null and nth their place,
+    and evictions in their order, nth from 0: priority-limited slots with ageing after each step.
 
     A known item is rehearsed; into a full workspace an item comes only over the weakest one, which is evicted. All slots then
     age, and those below expiry are evicted too.
     """
-    rows = steps.groupBy("person").agg(F.array_sort(F.collect_list(F.struct("id", "item", "priority"))).alias("_s"))
-    slot = "array<struct<item:string,priority:double,age:int>>"
-    gone = "array<struct<item:string,priority:double,reason:string>>"
-    start = F.struct(F.array().cast(slot).alias("slots"), F.array().cast(gone).alias("out"))
-    make = lambda item, p, age: F.struct(item.alias("item"), p.cast("double").alias("priority"), age.cast("int").alias("age"))
-    left = lambda s, why: F.struct(s["item"].alias("item"), s["priority"].alias("priority"), F.lit(why).alias("reason"))
-
-    def step(acc: Column, x: Column) -> Column:
-        slots, p = acc["slots"], F.greatest(F.lit(0.0), F.least(F.lit(1.0), x["priority"]))
-        known = F.exists(slots, lambda s: s["item"] == x["item"])
-        rehearsed = F.transform(slots, lambda s: F.when(s["item"] == x["item"], make(s["item"], F.least(F.lit(1.0), s["priority"] + boost), F.lit(0))).otherwise(s))
-        weak = F.array_min(F.transform(slots, lambda s, i: F.struct(s["priority"].alias("p"), i.alias("i"))))
-        full, better = F.size(slots) >= capacity, p > weak["p"]
-        replaced = F.transform(slots, lambda s, i: F.when(i == weak["i"], make(x["item"], p, F.lit(0))).otherwise(s))
-        now = F.when(known, rehearsed).when(~full, F.array_append(slots, make(x["item"], p, F.lit(0)))).when(better, replaced).otherwise(slots)
-        out = F.when(~known & full & better, F.array_append(acc["out"], left(F.element_at(slots, weak["i"] + 1), "evicted"))).otherwise(acc["out"])
-        aged = F.transform(now, lambda s: make(s["item"], s["priority"] * fade, s["age"] + 1))
-        expired = F.transform(F.filter(aged, lambda s: s["priority"] < expiry), lambda s: left(s, "expired"))
-        return F.struct(F.filter(aged, lambda s: s["priority"] >= expiry).alias("slots"), F.concat(out, expired).alias("out"))
-
-    out = rows.withColumn("_w", F.aggregate("_s", start, step))
-    return out.select("person", F.col("_w.slots").alias("slots"), F.col("_w.out").alias("evictions"))
+
+    def step(state, item, priority):
+        n, slots = state
+        p, out = max(0.0, min(1.0, priority)), []
+        if any(s[0] == item for s in slots):
+            slots = [(s[0], min(1.0, s[1] + boost), 0) if s[0] == item else s for s in slots]
+        elif len(slots) < capacity:
+            slots = [*slots, (item, p, 0)]
+        else:
+            weak = min(range(len(slots)), key=lambda i: (slots[i][1], i))
+            if p > slots[weak][1]:
+                out.append(("evicted", n, *slots[weak]))
+                slots = [(item, p, 0) if i == weak else s for i, s in enumerate(slots)]
+        aged = [(i, x * fade, age + 1) for i, x, age in slots]
+        out += [("expired", n + len(out) + k, *s) for k, s in enumerate([s for s in aged if s[1] < expiry])]
+        return (n + len(out), [s for s in aged if s[1] >= expiry]), out
+
+    return ordered_fold(
+        steps, ["person"], ["id", "item", "priority"], ["item", "priority"], lambda: (0, []), step, lambda s: [(None, i, *slot) for i, slot in enumerate(s[1])],
+        "reason string, nth int, item string, priority double, age int",
+    )
+
+
+def workspace_status(slots: DataFrame, capacity: int = 7) -> DataFrame:
+    """person, n, capacity, average_priority, strongest of slots (person, nth, item, priority)."""
+    first = F.min_by("item", F.struct(-F.col("priority"), F.col("nth")))
+    return slots.groupBy("person").agg(F.count("*").alias("n"), F.lit(capacity).alias("capacity"), F.round(F.avg("priority"), 4).alias("average_priority"), first.alias("strongest"))
 
 
 # What is recognised as a sign of injury, by category.
@@ -131,3 +177,21 @@ def injury_severity(reports: DataFrame) -> DataFrame:
     agg = hit.groupBy("person").agg(F.count("category").alias("signal_count"), F.count_distinct("category").alias("categories"))
     word = ladder((F.col("categories") >= 3, "critical"), (F.col("categories") >= 2, "severe"), (F.col("signal_count") >= 3, "moderate"), (F.col("signal_count") > 0, "minor"), otherwise="none")
     return agg.withColumn("severity", word)
+
+
+def injury_state(events: DataFrame) -> DataFrame:
+    """injury_id, person, title, status, since from a log (injury_id, person, title, status, ts, id): the last status of each; healed is the end."""
+    ended = F.min(F.when(F.col("status") == "healed", F.struct("ts", "id"))).over(Window.partitionBy("injury_id"))
+    live = events.withColumn("_end", ended).where(F.col("_end").isNull() | (F.struct("ts", "id") <= F.col("_end")))
+    last = F.struct("ts", "id")
+    return live.groupBy("injury_id").agg(F.min_by("person", last).alias("person"), F.min_by("title", last).alias("title"), F.max_by("status", last).alias("status"), F.max("ts").alias("since"))
+
+
+def active_injuries(state: DataFrame) -> DataFrame:
+    return state.where(F.col("status") != "healed")
+
+
+def find_injury(state: DataFrame, part: str) -> DataFrame:
+    """The first active injury of each person whose title holds part, whatever the case."""
+    hit = active_injuries(state).where(F.contains(F.lower("title"), F.lit(part.lower())))
+    return hit.groupBy("person").agg(F.min_by("injury_id", F.struct("since", "injury_id")).alias("injury_id"))

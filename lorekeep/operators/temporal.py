@@ -69,15 +69,24 @@ def confidence_report(df: DataFrame, value: str = "confidence", k: int = 10) ->
 
 
 def solidification(df: DataFrame, value: str = "belief", k: int = 10) -> DataFrame:
-    """By person: average of all and of the last k values, whether these are better, and whether they are solid."""
+    """By person: average of all and of the last k values, whether these are better, whether they are solid, and how many
+    readings were no longer aligned (a drift of 0.5 or more)."""
     rank = F.row_number().over(Window.partitionBy("person").orderBy(F.desc("ts"), F.desc("id")))
-    agg = df.withColumn("_back", rank).groupBy("person").agg(F.count("*").alias("total"), F.avg(value).alias("a"), F.avg(F.when(F.col("_back") <= k, F.col(value))).alias("r"))
+    agg = df.withColumn("_back", rank).groupBy("person").agg(F.count("*").alias("total"), F.avg(value).alias("a"), F.avg(F.when(F.col("_back") <= k, F.col(value))).alias("r"), F.count(F.when(1 - F.col(value) >= 0.5, 1)).alias("reinforcements_needed"))
     return agg.select(
         "person", "total", F.round("a", 4).alias("average_belief"), F.round("r", 4).alias("recent_average"), F.when(F.col("r") > F.col("a") + 1e-12, "improving").otherwise("stable").alias("trend"),
-        F.when(F.col("r") > 0.8, "solid").otherwise("developing").alias("status"),
+        F.when(F.col("r") > 0.8, "solid").otherwise("developing").alias("status"), "reinforcements_needed",
     )
 
 
+def belief_evolution(df: DataFrame, value: str = "belief", k: int = 50) -> DataFrame:
+    """By person: how many values there were, their average, least and greatest, and the last k of them, oldest first."""
+    newest = Window.partitionBy("person").orderBy(F.desc("ts"), F.desc("id"))
+    rows = df.withColumn("_back", F.row_number().over(newest))
+    scores = F.transform(F.array_sort(F.collect_list(F.when(F.col("_back") <= k, F.struct("ts", "id", F.col(value).alias("v"))))), lambda x: x["v"])
+    return rows.groupBy("person").agg(F.count(value).alias("n"), F.round(F.avg(value), 4).alias("average"), F.round(F.min(value), 4).alias("least"), F.round(F.max(value), 4).alias("greatest"), scores.alias("scores"))
+
+
 def stability(events: DataFrame, k: int = 10) -> DataFrame:
     """By person: mean size of the last k valence and arousal changes, in words; under 5 events say nothing."""
     agg = last_k(events, k).groupBy("person").agg(F.avg(F.abs("valence_delta") + F.abs("arousal_delta")).alias("m"), F.count("*").alias("n"))

@@ -1,6 +1,7 @@
 """Context assembly: what a reply to a person is given, within a token budget.
 
-A request is a row; its sections are columns. Conversation and memories are chosen by the budget operators, one
+A request is a row; its sections are columns. Each section may use its share and no more than what those before it left,
+so what is left is carried along as a column. Conversation, memories and skills are chosen by the budget operators, one
 grouped job over all requests, and the sections are then joined in order.
 
 Memories are chosen from the most salient traces, which are the same for all, and from the traces that hold every word
@@ -10,17 +11,21 @@ nothing and each hit has its neutral score there.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorekeep.functions.text import compress, tokens
+from lorekeep.functions.text import CUT_MARK, SENTENCE_ENDS, tokens
 from lorekeep.operators import budget, recall
 from lorekeep.operators.search import B, K1, terms
+from lorekeep.session import checkpointed
 from lorekeep.sources import adapters as ad
 
 #: Shares of the budget, and what is held back.
 SHARES = {"identity": 0.16, "relationship": 0.12, "grounding": 0.10, "recent": 0.22, "episodic": 0.16, "procedural": 0.06}
 RESERVE = 0.18
+#: Tokens that must be left for an identity to be cut to fit.
+FORCE = 50
 HINT = "\nWhen your response draws on these memories, cite them as [1], [2], etc."
 
 
@@ -30,13 +35,6 @@ SALIENT, HITS, WORDS = 30, 10, 3
 RAREST = 3
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df, computed once now."""
-    df = df.persist()
-    df.count()
-    return df
-
-
 def last_heard(messages: DataFrame) -> DataFrame:
     """(person, content): each person's last message that is not the engine's own."""
     heard = messages.where(~F.col("speaker").eqNullSafe("self"))
@@ -61,9 +59,9 @@ def hits(asked: DataFrame, traces: DataFrame, limit: int = HITS) -> DataFrame:
     total = traces.select(F.size(terms(F.col("content"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     known = word.join(df, "term").groupBy("q").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("known"))
     # a word that no trace has leaves its message without hits
-    query = kept(query.join(known, "q").where(F.size("known") == F.size("words")).select("q", "known"))
-    rare = kept(query.select("q", F.explode(F.slice("known", 1, RAREST)["term"]).alias("term"), F.least(F.size("known"), F.lit(RAREST)).alias("need")))
-    pairs = kept(rare.join(posting, "term").groupBy("q", "id").agg(F.count("*").alias("have"), F.first("need").alias("need")).where("have = need").select("q", "id"))
+    query = checkpointed(query.join(known, "q").where(F.size("known") == F.size("words")).select("q", "known"))
+    rare = checkpointed(query.select("q", F.explode(F.slice("known", 1, RAREST)["term"]).alias("term"), F.least(F.size("known"), F.lit(RAREST)).alias("need")))
+    pairs = checkpointed(rare.join(posting, "term").groupBy("q", "id").agg(F.count("*").alias("have"), F.first("need").alias("need")).where("have = need").select("q", "id"))
     rows = traces.select("id", "content").join(pairs, "id").join(query, "q").withColumn("_t", terms(F.col("content")))
     rows = rows.where(F.forall("known", lambda k: F.array_contains(F.col("_t"), k["term"]))).crossJoin(F.broadcast(total))  # one row
     norm = (F.size("_t") / F.col("avgdl") * B + 1 - B) * K1
@@ -77,57 +75,189 @@ def hits(asked: DataFrame, traces: DataFrame, limit: int = HITS) -> DataFrame:
     best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     top = rows.select("q", "id", "content", score.alias("score")).withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= limit)
     combined = (1 - F.col("score") / F.max("score").over(Window.partitionBy("q"))) * 0.5 + 0.25
-    out = kept(asked.select("person", "q").join(top.withColumn("salience", 1 - combined), "q").select("person", "id", "content", "salience"))
-    for x in (query, rare, pairs):
-        x.unpersist()
-    return out
+    return checkpointed(asked.select("person", "q").join(top.withColumn("salience", 1 - combined), "q").select("person", "id", "content", "salience"))
 
 
-def assemble(requests: DataFrame, messages: DataFrame, salient: DataFrame, own: DataFrame, total: int = 6000) -> DataFrame:
-    """person, context, tokens_used, memories_loaded, trace_ids from requests (person, identity, relationship, grounding).
+def assemble(requests: DataFrame, messages: DataFrame, salient: DataFrame, own: DataFrame, skills: DataFrame, total: int = 6000) -> DataFrame:
+    """person, context, tokens_used, memories_loaded, trace_ids from requests (person, correction, identity, relationship, grounding).
 
-    messages (person, ord, speaker, content) and traces are fitted to their shares: salient (id, kind, content, salience),
-    a few that all may choose, and own (person, id, kind, content, salience), of other ids. Texts are joined to the chosen only.
+    messages (person, ord, speaker, content), traces and skills (person, ord, content) are fitted to their shares: salient
+    (id, kind, content, salience), a few that all may choose, and own (person, id, kind, content, salience), of other ids.
+    Texts are joined to the chosen only. A correction is always given, an identity that does not fit is cut further, a
+    relationship that does not fit is dropped, the other sections shrink to what is left. The count of tokens is taken anew
+    from the whole text, headings included.
     """
-    most = {k: int(total * v) for k, v in SHARES.items()}
-    fitted = budget.fit_messages(messages, most["recent"])
-    line = F.concat(F.lit("["), F.coalesce("speaker", F.lit("?")), F.lit("]: "), "content")
-    recent = fitted.groupBy("person").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("l")))), lambda x: x["l"]), "\n").alias("recent"), F.count("*").alias("n_recent"))
+    share = {k: int(total * v) for k, v in SHARES.items()}
+    available = int(total * (1 - RESERVE))
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    rows = checkpointed(_head(requests, share, available))
+
+    budget_of = lambda k: rows.select("person", F.least(F.lit(share[k]), F.lit(available) - F.col("_used")).alias("_budget")).where("_budget > 0")
+    told = budget.fit_messages(messages.join(budget_of("recent"), "person"), F.col("_budget"))
+    line = F.concat(F.lit("["), F.coalesce("speaker", F.lit("?")), F.lit("]: "), F.coalesce("content", F.lit("")))
+    recent = told.groupBy("person").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("l")))), lambda x: x["l"]), "\n").alias("recent"), F.count("*").alias("n_recent"))
+    rows = checkpointed(_spend(rows.join(recent, "person", "left"), "recent"))
+
     size = tokens(F.col("content")).alias("tokens")
-    shared = requests.select("person").crossJoin(F.broadcast(salient.select("id", "salience", size)))
-    took = budget.knapsack(shared.unionByName(own.select("person", "id", "salience", size)), most["episodic"], ("person",))
+    few = budget_of("episodic")
+    shared = few.crossJoin(F.broadcast(salient.select("id", "salience", size)))
+    choice = shared.select("person", "id", "salience", "tokens", "_budget").unionByName(own.join(few, "person").select("person", "id", "salience", size, "_budget"))
+    took = budget.knapsack(choice, F.col("_budget"), ("person",))
     memory = F.format_string("[%d] [%s | sal:%.2f] %s {trace:%s}", "nth", "kind", F.col("salience").cast("double"), "content", F.col("id").cast("string"))
     lines = [took.join(F.broadcast(salient), "id"), took.join(own, ["person", "id"])]
-    chosen = lines[0].select("person", "nth", "id", memory.alias("l")).unionByName(lines[1].select("person", "nth", "id", memory.alias("l")))
+    chosen = lines[0].select("person", "nth", "id", "used", memory.alias("l")).unionByName(lines[1].select("person", "nth", "id", "used", memory.alias("l")))
     ordered = F.array_sort(F.collect_list(F.struct("nth", "id", "l")))
-    episodic = chosen.groupBy("person").agg(F.concat(F.array_join(F.transform(ordered, lambda x: x["l"]), "\n"), F.lit(HINT)).alias("episodic"), F.count("*").alias("n_traces"), F.transform(ordered, lambda x: x["id"]).alias("trace_ids"))
-    rows = requests.join(recent, "person", "left").join(episodic, "person", "left")
+    episodic = chosen.groupBy("person").agg(
+        F.concat(F.array_join(F.transform(ordered, lambda x: x["l"]), "\n"), F.lit(HINT)).alias("episodic"), F.count("*").alias("n_traces"), F.transform(ordered, lambda x: x["id"]).alias("trace_ids"), F.max("used").alias("_took"),
+    )
+    rows = checkpointed(rows.join(episodic, "person", "left").withColumn("_used", F.col("_used") + F.coalesce("_took", F.lit(0))))
 
-    def part(title: str, body) -> F.Column:
-        return F.when(body.isNotNull() & (body != ""), F.concat(F.lit(f"--- {title} ---\n"), body))
+    known = budget.fit_prefix(skills.join(budget_of("procedural"), "person"), F.col("_budget"), ("person",), ("ord",))
+    skilled = known.groupBy("person").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "content"))), lambda x: x["content"]), "\n---\n").alias("skills"), F.count("*").alias("n_skills"))
+    rows = rows.join(skilled, "person", "left")
 
-    cut = lambda k: compress(F.col(k), F.lit(most[k]))
+    part = lambda title, c: F.when(text(c) != "", F.concat(F.lit("--- "), title, F.lit(" ---\n"), c))
     sections = F.array_compact(F.array(
-        part("IDENTITY", cut("identity")), F.when(F.coalesce(F.col("relationship"), F.lit("")) != "", F.concat(F.lit("--- RELATIONSHIP: "), "person", F.lit(" ---\n"), cut("relationship"))),
-        part("GROUNDING", cut("grounding")), part("RECENT CONVERSATION", F.col("recent")), part("RELEVANT MEMORIES", F.col("episodic")),
+        part(F.lit("CORRECTION"), "correction"), part(F.lit("IDENTITY"), "identity"), part(F.concat(F.lit("RELATIONSHIP: "), "person"), "relationship"), part(F.lit("GROUNDING"), "grounding"),
+        part(F.lit("RECENT CONVERSATION"), "recent"), part(F.lit("RELEVANT MEMORIES"), "episodic"), part(F.lit("RELEVANT SKILLS"), "skills"),
     ))
-    text = F.array_join(sections, "\n\n")
-    loaded = F.coalesce("n_recent", F.lit(0)) + F.coalesce("n_traces", F.lit(0))
-    return rows.select("person", text.alias("context"), tokens(text).alias("tokens_used"), loaded.alias("memories_loaded"), "trace_ids")
+    whole = F.array_join(sections, "\n\n")
+    loaded = sum((F.coalesce(k, F.lit(0)) for k in ("n_recent", "n_traces", "n_skills")), F.lit(0))
+    return rows.select("person", whole.alias("context"), tokens(whole).alias("tokens_used"), loaded.alias("memories_loaded"), "trace_ids")
 
 
-def context_assembly(s: SparkSession, d: str) -> DataFrame:
+def _head(requests: DataFrame, share: dict[str, int], available: int) -> DataFrame:
+    """requests with the first sections cut, shrunk or dropped (null), and _used, the tokens that they cost.
+
+    Each of them depends on what the one before cost. As columns these steps would repeat one another's expressions, so
+    a request's few texts are cut in a small function over Arrow batches.
+    """
+    ends, mark, force = SENTENCE_ENDS, CUT_MARK, FORCE
+
+    def cost(text):
+        return max(1, len(text) // 4)
+
+    def short(text, most):
+        if not text or cost(text) <= most:
+            return text
+        head = text[: max(0, most * 4 - len(mark))]
+        for end in ends:
+            at = head.rfind(end)
+            if at > len(head) // 2:
+                return head[: at + 1] + mark
+        return head + mark
+
+    def sections(correction, identity, relationship, grounding):
+        used = cost(correction) if correction else 0
+        left = available - used
+        if identity:
+            cut = short(identity, share["identity"])
+            identity = cut if cost(cut) <= left else short(identity, left) if left > force else None
+        used += cost(identity) if identity else 0
+        if relationship:
+            cut = short(relationship, share["relationship"])
+            relationship = cut if used + cost(cut) <= available else None
+        used += cost(relationship) if relationship else 0
+        most = min(share["grounding"], available - used)
+        if grounding:
+            cut = short(grounding, most)
+            grounding = cut if most > 0 and used + cost(cut) <= available else None
+        return correction, identity, relationship, grounding, used + (cost(grounding) if grounding else 0)
+
+    def run(batches):
+        for b in batches:
+            own = b.columns[0]
+            cut = [sections(*r) for r in zip(*(c.to_pylist() for c in b.columns[1:]))]
+            yield pa.RecordBatch.from_arrays([own, *(pa.array([r[k] for r in cut], pa.string()) for k in range(4)), pa.array([r[4] for r in cut], pa.int64())], ["person", "correction", "identity", "relationship", "grounding", "_used"])
+
+    cols = ["person", "correction", "identity", "relationship", "grounding"]
+    return requests.select(cols).mapInArrow(run, "person string, correction string, identity string, relationship string, grounding string, _used long")
+
+
+def _spend(rows: DataFrame, column: str) -> DataFrame:
+    """rows with what the section in column costs added to _used; an absent one costs nothing."""
+    return rows.withColumn("_used", F.col("_used") + F.when(F.col(column).isNotNull(), tokens(F.col(column))).otherwise(0))
+
+
+def _context(s: SparkSession, d: str, total: int) -> DataFrame:
     """A context for every conversation, its memories being the most salient documents and those that its last message finds."""
     talk = ad.talk(s, d)
+    n = F.regexp_extract("person", r"(\d+)", 1).cast("long")
     people = talk.select("person").distinct()
-    requests = people.select("person", F.lit("I keep what matters. ").alias("identity"), F.concat(F.lit("Known as "), "person", F.lit(".")).alias("relationship"), F.lit("Be kind.").alias("grounding"))
+    requests = people.select(
+        "person", F.when(n % 4 == 0, F.lit("Name the thing. ")).alias("correction"), F.repeat(F.lit("I keep what matters. "), (n % 60).cast("int")).alias("identity"),
+        F.concat(F.lit("Known as "), "person", F.lit(". "), F.repeat(F.lit("Met before. "), (n % 90).cast("int"))).alias("relationship"), F.when(n % 5 != 0, F.repeat(F.lit("Be kind! "), (n % 70).cast("int"))).alias("grounding"),
+    )
+    part = ad.table(s, d, "part").select(F.col("p_partkey").alias("ord"), F.concat(F.lit("Skill "), "p_name", F.lit(": "), F.repeat(F.concat("p_type", F.lit(". ")), (F.col("p_partkey") % 9).cast("int"))).alias("content"))
+    skills = people.select("person", F.explode(F.sequence(n % 50 + 1, n % 50 + 3)).alias("ord")).join(part, "ord")
     traces = ad.traces(s, d).select("id", "kind", "content", "salience")
     salient = s.createDataFrame(recall.get_by_salience(traces, limit=SALIENT).collect(), traces.schema)
     found = hits(last_heard(talk), traces.select("id", "content")).withColumn("kind", F.lit("traces"))
     own = found.join(F.broadcast(salient.select("id")), "id", "left_anti")
-    out = assemble(requests, talk, salient, own)
-    return out.select("person", F.sha2("context", 256).alias("context_sha256"), "tokens_used", "memories_loaded")
+    out = assemble(requests, talk, salient, own, skills, total)
+    return out.select("person", F.md5("context").alias("context_md5"), "tokens_used", "memories_loaded")
+
+
+_END = ["'. '", "'! '", "'? '", "'.' || chr(10)", "'!' || chr(10)", "'?' || chr(10)"]
+#: A text cut to a token budget, as DuckDB macros: the same rule as functions.text.compress.
+_CUT = "CASE " + " ".join(f"WHEN strpos(reverse(h), reverse({e})) > 0 AND length(h) - strpos(reverse(h), reverse({e})) - 1 > length(h) // 2 THEN substr(h, 1, (length(h) - strpos(reverse(h), reverse({e})))::INT)" for e in _END) + " ELSE h END || ' [...truncated]'"
+
+
+def _short(text: str, budget: str) -> str:
+    head = f"substr({text}, 1, greatest(0, ({budget}) * 4 - 15)::INT)"
+    return f"CASE WHEN {text} IS NULL OR {text} = '' OR greatest(1, length({text}) // 4) <= ({budget}) THEN {text} ELSE ({_CUT.replace('(h)', f'({head})').replace('(h,', f'({head},').replace('ELSE h ', f'ELSE {head} ')}) END"
+
+
+def _oracle(total: int) -> str:
+    share, available = {k: int(total * v) for k, v in SHARES.items()}, int(total * (1 - RESERVE))
+    tok = lambda c: f"greatest(1, length({c}) // 4)"
+    words = r"list_filter(string_split_regex(strip_accents(lower({})), '[^\pL\pN]+'), lambda x: x <> '')"
+    part = lambda title, c: f"CASE WHEN coalesce({c}, '') <> '' THEN '--- ' || {title} || ' ---' || chr(10) || {c} END"
+    return rf"""WITH RECURSIVE {ad.TALK}, {ad.TRACES}, p AS (SELECT DISTINCT person, regexp_extract(person, '(\d+)', 1)::BIGINT AS n FROM talk),
+r0 AS (SELECT person, n, CASE WHEN n % 4 = 0 THEN 'Name the thing. ' END AS correction, repeat('I keep what matters. ', n % 60) AS identity, 'Known as ' || person || '. ' || repeat('Met before. ', n % 90) AS relationship, CASE WHEN n % 5 <> 0 THEN repeat('Be kind! ', n % 70) END AS grounding FROM p),
+r1 AS (SELECT *, CASE WHEN coalesce(correction, '') <> '' THEN {tok('correction')} ELSE 0 END AS u0, {_short('identity', str(share['identity']))} AS i1 FROM r0),
+r2 AS (SELECT *, CASE WHEN coalesce(identity, '') = '' THEN NULL WHEN {tok('i1')} <= {available} - u0 THEN i1 WHEN {available} - u0 > {FORCE} THEN {_short('identity', f'{available} - u0')} END AS i2 FROM r1),
+r3 AS (SELECT *, u0 + CASE WHEN i2 IS NULL THEN 0 ELSE {tok('i2')} END AS u1, {_short('relationship', str(share['relationship']))} AS e1 FROM r2),
+r4 AS (SELECT *, CASE WHEN {tok('e1')} <= {available} - u1 THEN e1 END AS e2 FROM r3),
+r5 AS (SELECT *, u1 + CASE WHEN e2 IS NULL THEN 0 ELSE {tok('e2')} END AS u2 FROM r4), r6 AS (SELECT *, {_short('grounding', f"least({share['grounding']}, {available} - u2)")} AS g1 FROM r5),
+r7 AS (SELECT *, CASE WHEN coalesce(grounding, '') <> '' AND {available} - u2 > 0 AND {tok('g1')} <= {available} - u2 THEN g1 END AS g2 FROM r6), r8 AS (SELECT *, u2 + CASE WHEN g2 IS NULL THEN 0 ELSE {tok('g2')} END AS u3 FROM r7),
+m AS (SELECT t.*, sum({tok('content')} + 4) OVER (PARTITION BY person ORDER BY ord DESC, content DESC ROWS UNBOUNDED PRECEDING) AS used, least({share['recent']}, {available} - u3) AS b FROM talk t JOIN r8 USING (person)),
+mm AS (SELECT person, string_agg('[' || coalesce(speaker, '?') || ']: ' || coalesce(content, ''), chr(10) ORDER BY ord, content) AS recent, count(*) AS n_recent FROM m WHERE b > 0 AND used <= b GROUP BY person),
+r9 AS (SELECT r8.*, recent, coalesce(n_recent, 0) AS n_recent, u3 + CASE WHEN recent IS NULL THEN 0 ELSE {tok('recent')} END AS u4 FROM r8 LEFT JOIN mm USING (person)),
+top AS (SELECT id, kind, content, salience FROM traces ORDER BY salience DESC, id LIMIT {SALIENT}),
+ask AS (SELECT person, arg_max(content, (ord, content)) AS content FROM talk WHERE speaker IS DISTINCT FROM 'self' GROUP BY person),
+asked AS (SELECT person, list_sort(list_distinct({words.format('content')})) AS w FROM ask WHERE len(string_split_regex(trim(content), '\s+')) >= {WORDS}), want AS (SELECT person, unnest(w) AS term, len(w) AS need FROM asked WHERE len(w) > 0),
+dt AS (SELECT id, {words.format('content')} AS w FROM traces), du AS (SELECT id, len(w) AS dl, unnest(w) AS term FROM dt), tf AS (SELECT id, dl, term, count(*) AS tf FROM du GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), c AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM dt),
+hit AS (SELECT person, id, sum(greatest(1e-6, ln((n - df + .5) / (df + .5))) * tf * 2.2 / (tf + 1.2 * (1 - .75 + .75 * dl / avgdl))) AS score FROM want JOIN tf USING (term) JOIN df USING (term), c GROUP BY person, id, need HAVING count(*) = need),
+best AS (SELECT *, row_number() OVER (PARTITION BY person ORDER BY score DESC, id) AS k FROM hit), own AS (SELECT person, id, 1 - ((1 - score / max(score) OVER (PARTITION BY person)) * .5 + .25) AS salience FROM best WHERE k <= {HITS}),
+ch AS (SELECT person, id, kind, content, salience::DOUBLE AS salience, least({share['episodic']}, {available} - u4) AS b FROM r9, top UNION ALL SELECT person, id, 'traces', content, own.salience, least({share['episodic']}, {available} - u4) FROM own JOIN traces USING (id) JOIN r9 USING (person) WHERE id NOT IN (SELECT id FROM top)),
+o AS (SELECT *, {tok('content')} AS t, row_number() OVER (PARTITION BY person ORDER BY salience / {tok('content')} DESC, id) AS k FROM ch WHERE b > 0 AND {tok('content')} <= b),
+f(person, k, id, nth, used, took) AS (SELECT DISTINCT person, 0::BIGINT, NULL::BIGINT, 0::BIGINT, 0::BIGINT, FALSE FROM o UNION ALL
+  SELECT o.person, o.k, o.id, nth + (f.used + o.t <= o.b)::INT, CASE WHEN f.used + o.t <= o.b THEN f.used + o.t ELSE f.used END, f.used + o.t <= o.b FROM f JOIN o ON o.person = f.person AND o.k = f.k + 1),
+ep AS (SELECT f.person, string_agg(format('[{{}}] [{{}} | sal:{{:.2f}}] {{}} {{{{trace:{{}}}}}}', nth, kind, salience, content, f.id), chr(10) ORDER BY nth) || chr(10) || {HINT.strip()!r} AS episodic, count(*) AS n_traces, max(used) AS took FROM f JOIN o ON o.person = f.person AND o.id = f.id WHERE f.took GROUP BY f.person),
+ra AS (SELECT r9.*, episodic, coalesce(n_traces, 0) AS n_traces, u4 + coalesce(took, 0) AS u5 FROM r9 LEFT JOIN ep USING (person)),
+sk AS (SELECT person, p_partkey AS ord, 'Skill ' || p_name || ': ' || repeat(p_type || '. ', p_partkey % 9) AS content, least({share['procedural']}, {available} - u5) AS b FROM ra JOIN part ON p_partkey BETWEEN n % 50 + 1 AND n % 50 + 3),
+s1 AS (SELECT *, coalesce(sum({tok('content')}) OVER (PARTITION BY person ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sk WHERE b > 0),
+s2 AS (SELECT person, ord, CASE WHEN before + {tok('content')} <= b THEN content ELSE {_short('content', 'b - before')} END AS content FROM s1 WHERE before <= b AND (before + {tok('content')} <= b OR b - before > 20)),
+s3 AS (SELECT person, string_agg(content, chr(10) || '---' || chr(10) ORDER BY ord) AS skills, count(*) AS n_skills FROM s2 GROUP BY person),
+z AS (SELECT person, n_recent + n_traces + coalesce(n_skills, 0) AS loaded, concat_ws(chr(10) || chr(10), {part("'CORRECTION'", 'correction')}, {part("'IDENTITY'", 'i2')}, {part("'RELATIONSHIP: ' || person", 'e2')}, {part("'GROUNDING'", 'g2')},
+  {part("'RECENT CONVERSATION'", 'recent')}, {part("'RELEVANT MEMORIES'", 'episodic')}, {part("'RELEVANT SKILLS'", 'skills')}) AS x FROM ra LEFT JOIN s3 USING (person))
+SELECT person, md5(x) AS context_md5, {tok('x')}::BIGINT AS tokens_used, loaded::BIGINT AS memories_loaded FROM z"""
+
+
+def context_assembly(s: SparkSession, d: str) -> DataFrame:
+    return _context(s, d, 6000)
+
+
+def context_small(s: SparkSession, d: str) -> DataFrame:
+    """With a budget in which sections are cut, shrunk and dropped."""
+    return _context(s, d, 700)
+
+
+def context_tiny(s: SparkSession, d: str) -> DataFrame:
+    """With a budget for little more than an identity."""
+    return _context(s, d, 90)
 
 
-QUERIES = {"context_assembly": context_assembly}
-ORACLES: dict[str, str] = {}
+QUERIES = {"context_assembly": context_assembly, "context_small": context_small, "context_tiny": context_tiny}
+ORACLES = {"context_assembly": _oracle(6000), "context_small": _oracle(700), "context_tiny": _oracle(90)}

@@ -81,10 +81,23 @@ def signal_vitality(s, d):
     return _spoken(s, d).select("conv_id", "turn", F.round(signal.vitality(F.col("text")), 5).alias("vitality"))
 
 
-@query("signal_measure", None)
+def _cte(name: str, sql: str) -> str:
+    """An oracle, without the shared table that it begins with, as a common table expression."""
+    body = sql[len(f"WITH {SPOKEN}") :].lstrip(", \n")
+    return f"{name} AS ({'WITH ' if not body.startswith('SELECT') else ''}{body})"
+
+
+_LOW = WORDS.replace("text", "lower(text)")
+_EXACT = lambda k: ORACLES[f"signal_{k}"].replace("round(", "(").replace(", 6)", ")").replace(", 5)", ")")
+
+
+@query("signal_measure", f"""WITH {SPOKEN}, {", ".join(_cte(f"f_{k}", _EXACT(k)) for k in ("drift", "embodiment", "clarity", "vitality"))},
+x AS (SELECT conv_id, turn, len({_LOW}) AS n, len(list_distinct({_LOW})) AS u FROM spoken), m AS (SELECT * FROM x JOIN f_drift USING (conv_id, turn) JOIN f_embodiment USING (conv_id, turn) JOIN f_clarity USING (conv_id, turn) JOIN f_vitality USING (conv_id, turn))
+SELECT conv_id, turn, round(1 - drift, 5)::DOUBLE AS alignment, round(CASE WHEN jargon > .15 THEN greatest(0.0, embodiment - least(.15, (jargon - .15) * .5)) ELSE embodiment END, 5)::DOUBLE AS embodiment, round(clarity, 5)::DOUBLE AS clarity,
+  round(CASE WHEN n > 20 AND u / n < .4 THEN greatest(0.0, vitality - .1) ELSE vitality END, 5)::DOUBLE AS vitality FROM m""")
 def signal_measure(s, d):
-    """All four facets in one projection; the facets' own queries hold the SQL."""
-    return _spoken(s, d).select("conv_id", "turn", *[R6(v).alias(k) for k, v in signal.measure(F.col("text")).items()])
+    """All four facets, with what jargon and repetition take off."""
+    return signal.measured(_spoken(s, d)).select("conv_id", "turn", *[F.round(k, 5).alias(k) for k in signal.WEIGHTS])
 
 
 @query("dissociation_state", f"""WITH {SPOKEN}, v AS (SELECT conv_id, turn, {CLAMP.format(_sum('lower(text)', signal.DRIFT + signal.ANCHOR))} AS score, {_hits('lower(text)', [p for p, _ in signal.DRIFT + signal.ANCHOR])} AS n FROM spoken)
@@ -96,10 +109,10 @@ def dissociation_state(s, d):
     return rows.select("conv_id", "turn", R6("score").alias("score"), R6(1 - F.col("score")).alias("belief"), "n_patterns", F.when(r >= 0.85, "dissociated").when(r >= 0.5, "drifting").otherwise("aligned").alias("state"))
 
 
-@query("token_estimates", f"WITH {TALK} SELECT person, sum(greatest(1, length(content) // 4) + 4)::BIGINT AS tokens, max(CASE WHEN length(content) > 40 THEN length(substr(content, 1, 37) || '...') ELSE length(content) END)::INT AS longest FROM talk GROUP BY person")
+@query("token_estimates", f"WITH {TALK} SELECT person, sum(greatest(1, length(content) // 4) + 4)::BIGINT AS tokens, max(CASE WHEN greatest(1, length(content) // 4) > 10 THEN length(substr(content, 1, 37) || '...') ELSE length(content) END)::INT AS longest FROM talk GROUP BY person")
 def token_estimates(s, d):
     c = F.col("content")
-    trimmed = F.when(F.length(c) > 40, F.concat(F.substring(c, 1, 37), F.lit("..."))).otherwise(c)
+    trimmed = text.trim_to_budget(c, F.lit(10))
     return ad.talk(s, d).groupBy("person").agg(F.sum(text.tokens(c) + 4).alias("tokens"), F.max(F.length(trimmed)).alias("longest"))
 
 
@@ -175,44 +188,64 @@ def policy_rights(s, d):
     return rights.groupBy("name").agg(F.count_if("ok").alias("n_people"))
 
 
-TOOLS = ["trust_promote", "remember", "search"]
+TOOLS = [*policy.LOCAL_ONLY_TOOLS, *policy.FRIEND_TOOLS, "search", "recall"]
+_in = lambda names: ", ".join(map(q, names))
 
 
 @query("tool_access_matrix", f"""WITH {TIERS}, t(tool) AS (VALUES {', '.join(f'({q(t)})' for t in TOOLS)})
-SELECT person, tool, CASE WHEN {LOCAL} THEN NULL WHEN tool = 'trust_promote' THEN 'Tool ''' || tool || ''' is not available from external sources (source: ' || source || '). Use a local session for this operation.'
-  WHEN tool = 'remember' AND tier > 2 THEN 'Tool ''' || tool || ''' requires at least friend trust level (you are ' || {NAME_OF.format('tier')} || ').' END AS denial FROM tiers, t""")
+SELECT person, tool, CASE WHEN {LOCAL} THEN NULL WHEN tool IN ({_in(policy.LOCAL_ONLY_TOOLS)}) THEN 'Tool ''' || tool || ''' is not available from external sources (source: ' || source || '). Use a local session for this operation.'
+  WHEN tool IN ({_in(policy.FRIEND_TOOLS)}) AND tier > 2 THEN 'Tool ''' || tool || ''' requires at least friend trust level (you are ' || {NAME_OF.format('tier')} || ').' END AS denial FROM tiers, t""")
 def tool_access_matrix(s, d):
     rows = ad.people(s, d).withColumn("tool", F.explode(F.array(*map(F.lit, TOOLS)))).withColumn("tier", policy.effective_tier(F.col("tier_name"), F.col("source")))
     return rows.select("person", "tool", policy.tool_denial(F.col("tool"), F.col("tier"), F.col("source")).alias("denial"))
 
 
-@query("recall_filter", f"""WITH {TIERS}, w(what) AS (VALUES ('identity'), ('relationship'), ('preferences'), ('messages')), x AS (SELECT *, CASE WHEN length(person) % 2 = 0 OR tier_name = 'friend' THEN 'Bob' ELSE upper(person) END AS target FROM tiers, w)
+WHAT = ["identity", "relationship", "preferences", "boundaries", "contradictions", "messages", "skills"]
+
+
+@query("recall_filter", f"""WITH {TIERS}, w(what) AS (VALUES {', '.join(f'({q(w)})' for w in WHAT)}), x AS (SELECT *, CASE WHEN length(person) % 2 = 0 OR tier_name = 'friend' THEN 'Bob' WHEN tier_name = 'stranger' THEN '' ELSE upper(person) END AS target FROM tiers, w),
+y AS (SELECT *, target <> '' AND lower(target) <> lower(person) AS other FROM x)
 SELECT person, what, CASE WHEN what = 'identity' AND tier > 1 THEN 'Identity details are not available at your trust level.'
-  WHEN what = 'relationship' AND lower(target) <> lower(person) AND tier > 1 THEN 'You don''t have access to ' || target || '''s relationship file.'
-  WHEN what = 'relationship' AND lower(target) = lower(person) AND tier > 3 THEN 'Relationship details are not available at your trust level.'
+  WHEN what = 'relationship' AND other AND tier > 1 THEN 'You don''t have access to ' || target || '''s relationship file.'
+  WHEN what = 'relationship' AND NOT other AND tier > 3 THEN 'Relationship details are not available at your trust level.'
   WHEN what = 'preferences' AND tier > 2 THEN 'Preferences are not shared at your trust level.'
-  WHEN what = 'messages' AND lower(target) <> lower(person) AND tier > 1 THEN 'You don''t have access to ' || target || '''s messages.' END AS denial FROM x""")
+  WHEN what = 'boundaries' AND tier > 2 THEN 'Boundary details are not available at your trust level.'
+  WHEN what = 'contradictions' AND tier > 1 THEN 'Internal contradictions are not shared at your trust level.'
+  WHEN what = 'messages' AND other AND tier > 1 THEN 'You don''t have access to ' || target || '''s messages.' END AS denial FROM y""")
 def recall_filter(s, d):
-    rows = policy.with_policy(ad.people(s, d)).withColumn("what", F.explode(F.array(*map(F.lit, ["identity", "relationship", "preferences", "messages"]))))
-    rows = rows.withColumn("target", F.expr("case when length(person) % 2 = 0 or tier_name = 'friend' then 'Bob' else upper(person) end"))
+    rows = policy.with_policy(ad.people(s, d)).withColumn("what", F.explode(F.array(*map(F.lit, WHAT))))
+    rows = rows.withColumn("target", F.expr("case when length(person) % 2 = 0 or tier_name = 'friend' then 'Bob' when tier_name = 'stranger' then '' else upper(person) end"))
     return rows.select("person", "what", policy.recall_denial(F.col("person"), F.col("what"), F.col("target")).alias("denial"))
 
 
-@query("promotion_validation", f"""WITH {TIERS}, w(wanted, promoter, bt) AS (VALUES ('friend', 'auto', 4), ('inner_circle', 'auto', 4), ('core', 'tester', 0)), x AS (SELECT *, list_position(['core', 'inner_circle', 'friend'], wanted) - 1 AS target FROM tiers, w)
-SELECT person, wanted, CASE WHEN NOT ({LOCAL}) THEN 'Trust promotions are not allowed from external sources.'
+#: Promotions asked for: wanted tier, who promotes, the promoter's tier, and who the core person is ("" for nobody).
+ASKS = [
+    ("friend", "auto", 4, "tester"), ("inner_circle", "auto", 4, "tester"), ("core", "tester", 4, "tester"), ("core", "someone", 1, "tester"), ("inner_circle", "chief", 0, "tester"),
+    ("core", "tester", 0, ""), ("inner_circle", "tester", 0, ""), ("friend", "someone", 4, ""),
+]
+
+
+@query("promotion_validation", f"""WITH {TIERS}, w(nth, wanted, promoter, bt, core) AS (VALUES {', '.join(f"({i}, {q(w)}, {q(b)}, {t}, {q(c)})" for i, (w, b, t, c) in enumerate(ASKS))}), x AS (SELECT *, list_position(['core', 'inner_circle', 'friend'], wanted) - 1 AS target FROM tiers, w)
+SELECT person, nth::INT AS nth, CASE WHEN NOT ({LOCAL}) THEN 'Trust promotions are not allowed from external sources.'
   WHEN target >= own THEN person || ' is already at ' || {NAME_OF.format('own')} || ' (tier ' || own || '), cannot promote to ' || wanted
-  WHEN target = 1 THEN 'Promotion to inner_circle requires explicit approval from core tier' END AS denial FROM x""")
+  WHEN target = 0 AND core = '' THEN 'No core person configured — core promotions are disabled' WHEN target = 0 AND lower(promoter) <> core AND bt <> 0 THEN 'Only the core person can promote someone to core tier'
+  WHEN target = 1 AND core = '' THEN 'No core person configured — inner_circle promotions are disabled' WHEN target = 1 AND lower(promoter) <> core AND bt <> 0 THEN 'Promotion to inner_circle requires explicit approval from core tier'
+  WHEN target = 2 AND promoter = 'auto' AND own NOT IN (3, 4) THEN 'Auto-promotion only works from acquaintance/stranger to friend, not from ' || {NAME_OF.format('own')} END AS denial FROM x""")
 def promotion_validation(s, d):
-    asks = F.array(*[F.struct(F.lit(w).alias("wanted"), F.lit(b).alias("by"), F.lit(t).alias("bt")) for w, b, t in (("friend", "auto", 4), ("inner_circle", "auto", 4), ("core", "tester", 0))])
-    rows = ad.people(s, d).withColumn("x", F.explode(asks))
-    denial = policy.promotion_denial(F.col("person"), policy.tier_of(F.col("tier_name")), F.col("x.wanted"), F.col("x.by"), F.col("x.bt"), F.col("source"), "tester")
-    return rows.select("person", F.col("x.wanted").alias("wanted"), denial.alias("denial"))
+    out = None
+    for core in ("tester", ""):
+        asks = F.array(*[F.struct(F.lit(i).alias("nth"), F.lit(w).alias("wanted"), F.lit(b).alias("by"), F.lit(t).alias("bt")) for i, (w, b, t, c) in enumerate(ASKS) if c == core])
+        rows = ad.people(s, d).withColumn("x", F.explode(asks))
+        denial = policy.promotion_denial(F.col("person"), policy.tier_of(F.col("tier_name")), F.col("x.wanted"), F.col("x.by"), F.col("x.bt"), F.col("source"), core)
+        rows = rows.select("person", F.col("x.nth").alias("nth"), denial.alias("denial"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
-SECTIONS = [("soul", "can_see_soul"), ("preferences", "can_see_preferences"), ("journal", "can_see_journal"), ("injuries", "can_see_injuries")]
+SECTIONS = [(r.removeprefix("can_see_"), r) for r in policy.RIGHTS]
 
 
-@query("visible_sections", f"WITH {TIERS}, s(section, low) AS (VALUES ('soul', 1), ('preferences', 2), ('journal', 1), ('injuries', 1)) SELECT person, tier, section FROM tiers, s WHERE tier <= low")
+@query("visible_sections", f"WITH {TIERS}, s(section, low) AS (VALUES {', '.join(f'({q(n)}, {low})' for (n, _), low in zip(SECTIONS, policy.LOWEST))}) SELECT person, tier, section FROM tiers, s WHERE tier <= low")
 def visible_sections(s, d):
     return policy.visible(s.createDataFrame(SECTIONS, "section string, right string"), ad.people(s, d))
 
@@ -223,12 +256,11 @@ def kept_interactions(s, d):
     return policy.keeps_memory(rows, ad.people(s, d)).groupBy("person").agg(F.count("*").alias("n"))
 
 
-BM = r"""t AS (SELECT id, person, list_filter(string_split_regex(lower(content), '[^\pL\pN]+'), lambda x: x <> '') AS w FROM ({src})),
+BM = r"""t AS (SELECT id, person, list_filter(string_split_regex(strip_accents(lower(content)), '[^\pL\pN]+'), lambda x: x <> '') AS w FROM ({src})),
 f AS (SELECT id, person, len(w) AS dl, len(list_filter(w, lambda x: x = {a})) AS a, len(list_filter(w, lambda x: x = {b})) AS b FROM t),
 c AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (WHERE a > 0) AS da, count(*) FILTER (WHERE b > 0) AS db FROM f),
 bm AS (SELECT id, person, -(greatest(1e-6, ln((n - da + .5) / (da + .5))) * a * 2.2 / (a + 1.2 * (1 - .75 + .75 * dl / avgdl)) + greatest(1e-6, ln((n - db + .5) / (db + .5))) * b * 2.2 / (b + 1.2 * (1 - .75 + .75 * dl / avgdl))) AS rank FROM f, c WHERE a > 0 AND b > 0)"""
 DOCS_BM = BM.format(src="SELECT doc_id AS id, source AS person, text AS content FROM documents", a="'eine'", b="'und'").replace("'eine'", "'the'").replace("'und'", "'that'")
-TALK_BM = BM.format(src="SELECT conv_id * 1000 + turn AS id, concat('c', conv_id) AS person, text AS content FROM conversations", a="'the'", b="'and'")
 
 
 @query("bm25_search", f"WITH {DOCS_BM} SELECT id, round(rank, 6) AS rank FROM bm ORDER BY round(rank, 9), id LIMIT 20")
@@ -237,44 +269,41 @@ def bm25_search(s, d):
     return hits.orderBy("r", "id").limit(20).select("id", R6("rank").alias("rank"))
 
 
-@query("bm25_search_person", f"WITH {TALK_BM} SELECT id, round(rank, 6) AS rank FROM bm WHERE person IN ('c1', 'c2', 'c3', 'c5', 'c8')")
-def bm25_search_person(s, d):
-    rows = ad.table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.expr("concat('c', conv_id)").alias("person"), F.col("text").alias("content"))
-    hits = search.bm25(rows, ["the", "and"], None)
-    mine = rows.where(F.col("person").isin("c1", "c2", "c3", "c5", "c8")).select("id")
-    return hits.join(mine, "id", "left_semi").select("id", R6("rank").alias("rank"))
-
-
-@query("postings_index", r"""WITH t AS (SELECT conv_id * 1000 + turn AS id, list_filter(string_split_regex(lower(text), '[^\pL\pN]+'), lambda x: x <> '') AS w FROM conversations), u AS (SELECT id, unnest(w) AS term FROM t)
+@query("postings_index", r"""WITH t AS (SELECT conv_id * 1000 + turn AS id, list_filter(string_split_regex(strip_accents(lower(text)), '[^\pL\pN]+'), lambda x: x <> '') AS w FROM conversations), u AS (SELECT id, unnest(w) AS term FROM t)
 SELECT term, count(*) AS cf, count(DISTINCT id) AS df FROM u GROUP BY term HAVING count(DISTINCT id) >= 2""")
 def postings_index(s, d):
     rows = ad.table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("content"))
     return search.postings(rows).groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df")).where("df >= 2")
 
 
-KNN = "k AS (SELECT vec_id AS id, label, list_sum(list_transform(list_zip(embedding, (SELECT embedding FROM embeddings WHERE vec_id = 0)), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2)) AS distance FROM embeddings)"
+KNN = """k AS (SELECT e.vec_id AS id, e.label, p.label AS query, list_sum(list_transform(list_zip(e.embedding, p.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2)) AS distance
+  FROM embeddings e, (SELECT label, arg_min(embedding, vec_id) AS embedding FROM embeddings{} GROUP BY label) p)"""
+KNN0 = KNN.format(" WHERE vec_id = (SELECT min(vec_id) FROM embeddings)")
 
 
-def _probe(s, d):
-    return ad.table(s, d, "embeddings").where("vec_id = 0").select("embedding").first()[0]
+def _probes(s, d):
+    """The first vector of each label, as queries."""
+    return ad.table(s, d, "embeddings").groupBy(F.col("label").alias("query")).agg(F.min_by("embedding", "vec_id").alias("vector"))
 
 
-@query("knn_l2", f"WITH {KNN}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(distance, 9), id) AS rank FROM k) SELECT label, id, round(distance, 6) AS distance, rank::INT AS rank FROM r WHERE rank <= 5")
+@query("knn_l2", f"WITH {KNN.format('')}, r AS (SELECT *, row_number() OVER (PARTITION BY query, label ORDER BY round(distance, 9), id) AS rank FROM k) SELECT query, label, id, round(distance, 6) AS distance, rank::INT AS rank FROM r WHERE rank <= 5")
 def knn_l2(s, d):
-    return search.knn(ad.table(s, d, "embeddings"), _probe(s, d), 5, ("label",)).select("label", "id", R6("distance").alias("distance"), "rank")
+    return search.knn(ad.table(s, d, "embeddings"), _probes(s, d), 5, ("label",)).select("query", "label", "id", R6("distance").alias("distance"), "rank")
 
 
 def _hybrid(strict: bool) -> str:
     on = "FALSE" if strict else "ft.id = sm.id"
     key = "CASE WHEN ft.id IS NOT NULL THEN 'id:' || ft.id ELSE 'doc:trace_' || sm.id END" if strict else "coalesce(ft.id, sm.id)::VARCHAR"
-    return f"""WITH {DOCS_BM}, {KNN}, ft AS (SELECT id, 1 - abs(rank) / max(abs(rank)) OVER () AS v FROM (SELECT * FROM bm ORDER BY round(rank, 9), id LIMIT 200)), sm AS (SELECT id, distance / max(distance) OVER () AS v FROM (SELECT * FROM k ORDER BY round(distance, 9), id LIMIT 200)),
+    return f"""WITH {DOCS_BM}, {KNN0}, ft AS (SELECT id, 1 - abs(rank) / max(abs(rank)) OVER () AS v FROM (SELECT * FROM bm ORDER BY round(rank, 9), id LIMIT 200)), sm AS (SELECT id, distance / max(distance) OVER () AS v FROM (SELECT * FROM k ORDER BY round(distance, 9), id LIMIT 200)),
 j AS (SELECT {key} AS key, round(coalesce(ft.v, .5), 6) AS fts_score, round(coalesce(sm.v, .5), 6) AS sem_score, round(coalesce(ft.v, .5) * .5 + coalesce(sm.v, .5) * .5, 6) AS combined_score FROM ft FULL JOIN sm ON {on})
 SELECT * FROM j ORDER BY combined_score, key LIMIT 15"""
 
 
 def _hybrid_rows(s, d, strict):
     hits = search.bm25(ad.table(s, d, "documents"), ["the", "that"], None, "doc_id", "text").orderBy(F.round("rank", 9), "id").limit(200)
-    near = search.knn(ad.table(s, d, "embeddings"), _probe(s, d), 200)
+    v = ad.table(s, d, "embeddings")
+    probe = v.orderBy("vec_id").limit(1).select(F.col("label").alias("query"), F.col("embedding").alias("vector"))
+    near = search.knn(v, probe, 200)
     out = search.fuse(hits, near, 400, strict)
     cols = [R6(c).alias(c) for c in ("fts_score", "sem_score", "combined_score")]
     return out.select("key", *cols).orderBy("combined_score", "key").limit(15)
@@ -291,13 +320,14 @@ def hybrid_search_compat(s, d):
 
 
 @query("skill_match_theta", r"""WITH s AS (SELECT DISTINCT p_name AS name, list_filter(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z0-9]+'), lambda w: length(w) >= 4) AS k FROM part),
-m AS (SELECT o_orderkey AS id, lower(o_orderpriority || ' for a ' || p_name) AS t FROM orders JOIN part ON p_partkey = o_orderkey % 50)
-SELECT id, count(DISTINCT name) AS n_skills FROM m JOIN s ON contains(t, lower(name)) OR len(list_filter(k, lambda w: contains(t, w))) > 0 GROUP BY id""")
+m AS (SELECT l_orderkey AS id, lower(l_returnflag || ' for a ' || p_name) AS t FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1), t AS (SELECT DISTINCT t FROM m),
+h AS (SELECT DISTINCT t, name FROM t JOIN s ON contains(t, lower(name)) OR len(list_filter(k, lambda w: contains(t, w))) > 0)
+SELECT id, count(DISTINCT name) AS n_skills FROM m JOIN h USING (t) GROUP BY id""")
 def skill_match_theta(s, d):
     part = ad.table(s, d, "part")
     skills = part.select(F.col("p_name").alias("name"), F.expr("p_name || ' ' || p_type").alias("description")).distinct()
-    m = ad.table(s, d, "orders").join(part, F.expr("p_partkey = o_orderkey % 50"))
-    hits = search.skill_matches(m.select(F.col("o_orderkey").alias("id"), F.expr("o_orderpriority || ' for a ' || p_name").alias("content")), skills)
+    m = ad.table(s, d, "lineitem").where("l_linenumber = 1").join(part, F.expr("p_partkey = l_partkey"))
+    hits = search.skill_matches(m.select(F.col("l_orderkey").alias("id"), F.expr("l_returnflag || ' for a ' || p_name").alias("content")), skills)
     return hits.groupBy("id").agg(F.count_distinct("name").alias("n_skills"))
 
 
@@ -397,16 +427,23 @@ def _items(s, d):
     return ad.table(s, d, "events").select(F.expr("concat('u', user_id)").alias("person"), e.alias("id"), F.expr("concat(event_type, event_id % 4)").alias("item"), (e * 37 % 100 / 100).alias("priority"))
 
 
-@query("workspace_fold", None)
-def workspace_fold(s, d):
-    """Slots after all steps; held against a plain loop in the tests."""
-    return state.workspace_fold(_items(s, d)).select("person", F.posexplode("slots").alias("slot", "x")).select("person", "slot", "x.item", R6("x.priority").alias("priority"), "x.age")
+EVICTIONS = """WITH RECURSIVE e AS (SELECT concat('u', user_id) AS person, concat(event_type, event_id % 4) AS item, event_id * 37 % 100 / 100 AS p, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+f(person, k, slots, gone) AS (SELECT DISTINCT person, 0::BIGINT, []::STRUCT(item VARCHAR, p DOUBLE)[], []::STRUCT(item VARCHAR, p DOUBLE, why VARCHAR)[] FROM e UNION ALL
+  SELECT person, k, list_filter(aged, lambda z: z.p >= .1), list_concat(out, list_transform(list_filter(aged, lambda z: z.p < .1), lambda z: {'item': z.item, 'p': z.p, 'why': 'expired'})) FROM (
+    SELECT person, k, CASE WHEN swaps THEN [{'item': slots[weak].item, 'p': slots[weak].p, 'why': 'evicted'}] ELSE [] END AS out,
+      list_transform(CASE WHEN known THEN list_transform(slots, lambda z: CASE WHEN z.item = item THEN {'item': z.item, 'p': least(1.0, z.p + .15)::DOUBLE} ELSE z END) WHEN len(slots) < 7 THEN list_append(slots, {'item': item, 'p': p::DOUBLE})
+        WHEN swaps THEN list_transform(slots, lambda z, i: CASE WHEN i = weak THEN {'item': item, 'p': p::DOUBLE} ELSE z END) ELSE slots END, lambda z: {'item': z.item, 'p': (z.p * .95)::DOUBLE}) AS aged FROM (
+      SELECT *, NOT known AND len(slots) >= 7 AND p > slots[weak].p AS swaps FROM (
+        SELECT e.person, e.k, e.item, e.p, f.slots, list_contains(list_transform(f.slots, lambda z: z.item), e.item) AS known, list_position(list_transform(f.slots, lambda y: y.p), list_min(list_transform(f.slots, lambda y: y.p))) AS weak FROM f JOIN e ON e.person = f.person AND e.k = f.k + 1)))),
+g AS (SELECT person, k, unnest(gone) AS z, generate_subscripts(gone, 1) AS i FROM f)
+SELECT person, (row_number() OVER (PARTITION BY person ORDER BY k, i) - 1)::INT AS nth, z.item AS item, round(greatest(.1, z.p), 6)::DOUBLE AS salience, z.why AS reason, 'workspace,' || z.why AS tags FROM g"""
 
 
-@query("workspace_evictions", None)
+@query("workspace_evictions", EVICTIONS)
 def workspace_evictions(s, d):
-    rows = state.workspace_fold(_items(s, d)).select("person", F.posexplode("evictions").alias("nth", "x"))
-    return rows.select("person", "nth", "x.item", F.round(F.greatest(F.lit(0.1), "x.priority"), 6).alias("salience"), "x.reason")
+    """What falls out of the workspace, as traces."""
+    rows = state.workspace_fold(_items(s, d)).where("reason is not null")
+    return rows.select("person", "nth", "item", F.round(F.greatest(F.lit(0.1), "priority"), 6).alias("salience"), "reason", F.concat(F.lit("workspace,"), "reason").alias("tags"))
 
 
 SIGN_ROWS = ", ".join(f"({q(c)}, {q(x)})" for c, g in state.INJURY_SIGNS.items() for x in g)
@@ -429,10 +466,10 @@ def journal_list(s, d):
     return rows.orderBy(F.desc("page_id")).limit(50)
 
 
-@query("preferences_text", "SELECT p_brand AS section, '## ' || p_brand || chr(10) || string_agg('- ' || p_name, chr(10) ORDER BY p_partkey) AS body FROM part WHERE p_size <= 5 GROUP BY p_brand")
+@query("preferences_text", "SELECT p_brand AS section, '## ' || p_brand || chr(10) || string_agg('- ' || p_name, chr(10) ORDER BY p_partkey) AS body FROM part GROUP BY p_brand")
 def preferences_text(s, d):
     lines = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda x: F.concat(F.lit("- "), x["p_name"]))
-    rows = ad.table(s, d, "part").where("p_size <= 5").groupBy("p_brand").agg(F.array_join(lines, "\n").alias("l"))
+    rows = ad.table(s, d, "part").groupBy("p_brand").agg(F.array_join(lines, "\n").alias("l"))
     return rows.select(F.col("p_brand").alias("section"), F.concat(F.lit("## "), "p_brand", F.lit("\n"), "l").alias("body"))
 
 

@@ -207,7 +207,7 @@ def arc_rollup(s, d):
 LINKS = "l AS (SELECT id, json_extract_string(metadata, '$.consolidated_into')::BIGINT AS parent FROM traces)"
 
 
-@query("lineage_ancestors", f"""WITH RECURSIVE {TRACES}, {LINKS}, a(id, ancestor, depth) AS (SELECT id, parent, 1 FROM l WHERE parent IS NOT NULL UNION ALL SELECT a.id, l.parent, depth + 1 FROM a JOIN l ON l.id = a.ancestor WHERE l.parent IS NOT NULL AND depth < 2)
+@query("lineage_ancestors", f"""WITH RECURSIVE {TRACES}, {LINKS}, a(id, ancestor, depth) AS (SELECT id, parent, 1 FROM l WHERE parent IS NOT NULL AND parent <> id UNION ALL SELECT a.id, l.parent, depth + 1 FROM a JOIN l ON l.id = a.ancestor WHERE l.parent IS NOT NULL AND l.parent <> l.id)
 SELECT id, ancestor, depth::INT AS depth FROM a""")
 def lineage_ancestors(s, d):
     links = ad.traces(s, d).select("id", F.get_json_object("metadata", "$.consolidated_into").cast("long").alias("parent"))
@@ -262,8 +262,8 @@ def confidence_report(s, d):
     return temporal.confidence_report(ad.signals(s, d).withColumn("confidence", F.col("clarity")))
 
 
-@query("belief_solidification", f"""WITH {SIGNALS}, {LAST10}, a AS (SELECT person, count(*) AS total, avg(vitality) AS a, avg(vitality) FILTER (WHERE back <= 10) AS r FROM b GROUP BY person)
-SELECT person, total, round(a, 4) AS average_belief, round(r, 4) AS recent_average, CASE WHEN r > a + 1e-12 THEN 'improving' ELSE 'stable' END AS trend, CASE WHEN r > 0.8 THEN 'solid' ELSE 'developing' END AS status FROM a""")
+@query("belief_solidification", f"""WITH {SIGNALS}, {LAST10}, a AS (SELECT person, count(*) AS total, avg(vitality) AS a, avg(vitality) FILTER (WHERE back <= 10) AS r, count(*) FILTER (WHERE 1 - vitality >= .5) AS reinforcements_needed FROM b GROUP BY person)
+SELECT person, total, reinforcements_needed, round(a, 4) AS average_belief, round(r, 4) AS recent_average, CASE WHEN r > a + 1e-12 THEN 'improving' ELSE 'stable' END AS trend, CASE WHEN r > 0.8 THEN 'solid' ELSE 'developing' END AS status FROM a""")
 def belief_solidification(s, d):
     return temporal.solidification(ad.signals(s, d).withColumn("belief", F.col("vitality")))
 

@@ -48,9 +48,9 @@ def boot_priming(s, d):
     return rm.priming(real, felt, deep, real.where("false"))
 
 
-@query("section_texts", "SELECT p_type AS section, '## ' || p_type || chr(10) || string_agg('- ' || p_name, chr(10) ORDER BY p_partkey) AS body FROM part WHERE p_size = 7 GROUP BY p_type")
+@query("section_texts", "SELECT p_type AS section, '## ' || p_type || chr(10) || string_agg('- ' || p_name, chr(10) ORDER BY p_partkey) AS body FROM part GROUP BY p_type")
 def section_texts(s, d):
-    rows = ad.table(s, d, "part").where("p_size = 7").select(F.col("p_type").alias("section"), F.col("p_name").alias("item"), F.col("p_partkey").alias("id"))
+    rows = ad.table(s, d, "part").select(F.col("p_type").alias("section"), F.col("p_name").alias("item"), F.col("p_partkey").alias("id"))
     return rm.sections_text(rows)
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(name: str = "lorekeep", **conf: str) -> SparkSession:
@@ -14,3 +16,17 @@ def build_session(name: str = "lorekeep", **conf: str) -> SparkSession:
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
     return SparkSession.builder.appName(name).config(map=settings | conf).getOrCreate()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once and written to the folder in spark.checkpoint.dir, where its lineage ends.
+
+    A session without that setting gets a temporary folder in local mode alone; on a cluster it is an error.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-ckpt-"))
+    return df.checkpoint(eager=True)

@@ -133,10 +133,10 @@ def loop_workspace(steps, capacity=7):
 def test_workspace_equals_loop(spark):
     steps = [(f"i{k * 7 % 12}", (k * 37 % 100) / 100) for k in range(80)]
     df = spark.createDataFrame([("a", k, i, p) for k, (i, p) in enumerate(steps)], "person string, id long, item string, priority double")
-    got = state.workspace_fold(df).first()
+    rows = state.workspace_fold(df).orderBy("nth").collect()
     slots, out = loop_workspace(steps)
-    assert [(s["item"], round(s["priority"], 6), s["age"]) for s in got["slots"]] == slots
-    assert [(s["item"], s["reason"]) for s in got["evictions"]] == out
+    assert [(s["item"], round(s["priority"], 6), s["age"]) for s in rows if s["reason"] is None] == slots
+    assert [(s["item"], s["reason"]) for s in rows if s["reason"]] == out
 
 
 def test_policy_edges(spark):
@@ -196,6 +196,7 @@ def test_context_memories_come_from_all_traces(spark, tmp_path):
     turns = [(1, 0, "user", "x"), (1, 1, "user", "alpha beta gamma, delta"), (1, 2, "assistant", "y"), (2, 0, "user", "alpha beta"), (3, 0, "user", "alpha beta unheard")]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(1000, "knot", "rope")], "p_partkey long, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
     loaded = {r["person"]: r["memories_loaded"] for r in context.context_assembly(spark, str(tmp_path)).collect()}
     assert loaded == {"c1": 3 + 30 + 2, "c2": 1 + 30, "c3": 1 + 30}
     traces = spark.createDataFrame([(i, t) for i, t, _, _ in docs], "id long, content string")
@@ -217,3 +218,60 @@ def test_due_runs_gather_no_key_in_one_value(spark):
         last |= {k: i * 7} if due else {}
         expected.append((k, i, due))
     assert [tuple(r) for r in out.orderBy("id").collect()] == expected
+
+
+def test_clamped_sums_compose_over_chunks(spark, monkeypatch):
+    from lorekeep.operators import fold
+
+    monkeypatch.setattr(fold, "CHUNK", 8)
+    r = __import__("random").Random(4)
+    rows = [("hot" if k % 5 else None if k % 2 else "b", k, r.uniform(-0.5, 0.5)) for k in range(500)]
+    df = spark.createDataFrame(rows, "key string, id long, delta double").repartition(7)
+    got = {x["key"]: x for x in fold.clamped_sum(df, "key", ["id"], "delta").collect()}
+    for key in ("hot", "b", None):
+        for start in (0.0, 0.3, 1.0):
+            v = start
+            for k, _, d in rows:
+                if k == key:
+                    v = min(1.0, max(0.0, v + d))
+            x = got[key]
+            assert min(x["high"], max(x["low"], start + x["shift"])) == pytest.approx(v)
+
+
+def test_search_edges(spark):
+    docs = spark.createDataFrame([(1, "A well-known café, known well"), (2, "CAFE well known"), (3, "well and known"), (4, None), (5, "")], "id long, content string")
+    found = lambda query: sorted(r["id"] for r in search.bm25(docs, query).collect())
+    assert found("cafe") == found("Café") == [1, 2] and found("well-known") == [1, 2] and found("well known") == [1, 2, 3]
+    assert found("") == found(' "" - ') == found("nowhere") == [] and found("café well-known") == [1, 2]
+    said = spark.createDataFrame([(7, "ann", "well known"), (8, "bob", "well known")], "id long, person string, content string")
+    hits = search.search_memory(said, docs, "well known", person="ann").collect()
+    assert {(r["source"], r["id"]) for r in hits} == {("messages", 7), ("traces", 1), ("traces", 2), ("traces", 3)}
+    assert search.search_memory(said, docs, "well known", kind="messages").count() == 2
+
+
+def test_open_and_long_sessions_meet_windows(spark):
+    rows = [("a", at(0), at(5)), ("b", at(1), None), ("c", at(-24 * 9000), at(2)), ("d", at(50), at(50))]
+    sessions = spark.createDataFrame(rows, "person string, started timestamp_ntz, ended timestamp_ntz")
+    windows = spark.createDataFrame([(1, at(3), at(4)), (2, at(100), at(24 * 300)), (3, at(-24 * 8000), at(-24 * 7000)), (4, at(-10), at(60))], "wid long, since timestamp_ntz, until timestamp_ntz")
+    got = sorted((r["wid"], r["person"]) for r in recall.overlap_join(sessions, windows).collect())
+    assert got == [(1, "a"), (1, "b"), (2, "b"), (3, "c"), (4, "a"), (4, "b"), (4, "c"), (4, "d")]
+
+
+def test_embedding_hook_and_upserts(spark):
+    import pandas as pd
+
+    @F.pandas_udf("array<double>")
+    def embed(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: [float(len(x)), 1.0])
+
+    docs = spark.createDataFrame([(1, "one\n\ntwo two"), (2, None)], "id long, content string")
+    index = search.paragraph_vectors(docs, embed)
+    assert sorted((r["part"], r["embedding"][0]) for r in index.collect()) == [(0, 3.0), (1, 7.0)]
+    assert search.upserted(index, index.limit(0), index.where("part = 0").select("vec_id")).count() == 1
+
+
+def test_folds_keep_keys_out_of_memory(spark):
+    steps = spark.range(20000).selectExpr("if(id % 3 = 0, 'hot', null) as person", "id", "concat('i', id % 50) as item", "(id * 37 % 100) / 100d as priority")
+    out = state.workspace_fold(steps)
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    assert {r["person"] for r in out.where("reason is null").collect()} == {"hot", None}
