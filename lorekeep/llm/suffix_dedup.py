@@ -1,13 +1,14 @@
 """Removal of repeated 100-byte strings, by prefix-free parsing.
 
-The parse (parsing.py) turns texts into phrases of a dictionary. Equal phrases
-are one dictionary entry, and every occurrence but the corpus's first repeats
-all its windows. Only distinct phrases that share a trigger can have some but
-not all windows in common. Those, few in repetitive text, are compared by their
-suffixes: first in steps of STEP windows, then window by window.
-
-The order that the contract needs is equality of the first 100 bytes of
-suffixes, so dictionary and parse are put in the order of hashes, not of letters.
+The parse (parsing.py) turns texts into phrases of a dictionary. A phrase reaches 99 bytes into the next one, so a suffix
+of a text is told by the suffix of its phrase as far as the contract looks, and of equal phrases every occurrence but the
+parse's first repeats all its windows. What is left are distinct phrases that share a trigger. Where these differ is found
+in steps of STEP windows; the windows of the steps that are still in doubt are suffixes of dictionary phrases, and they are
+put in the order of their letters, all over the corpus: a suffix array that is dealt to tasks by ranges of letters. In it
+equal suffixes are neighbours, in the order of the parse, and all but the first of them are repeats.
+
+Dictionary entries themselves are compared by their digests: ordering all of them by letters would send the corpus's text
+several times.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import digests, mix64
-from lorekeep.llm.firstseen import PIECES, Corpus, joined, removed, resolve, send, union
+from lorekeep.llm.common import digests, mix64, shuffle_partitions, stored
+from lorekeep.llm.firstseen import FLAGS, OPEN, PIECES, SPAN, Corpus, by_bucket, joined, of_doc, removed, resolve, send, union
 from lorekeep.llm.parsing import LENGTH, Parse
 
 STEP = 8
@@ -49,36 +50,91 @@ def _steps(data: np.ndarray, offsets: np.ndarray, op: dict) -> dict:
     return {"core": mix64(core + j.astype(np.uint64)), "content": content ^ mix64((far * 128 + near).astype(np.uint64)), "more": more, "doc": op["doc"][src], "lo": lo, "size": hi - lo, "off": zero, "open": zero}
 
 
-def _windows(data: np.ndarray, offsets: np.ndarray, op: dict) -> dict:
-    n = (op["size"] - LENGTH + 1).astype(np.int64)
-    lo = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(op["lo"], n)
-    core, content = digests(data, lo, lo + LENGTH)
-    zero = np.zeros(len(lo), np.uint8)
-    return {"core": core, "content": content, "more": np.zeros(len(lo), np.uint64), "doc": np.repeat(op["doc"], n), "lo": lo, "size": np.full(len(lo), LENGTH), "off": zero, "open": zero}
+def _named(part, offsets, e: dict) -> dict:
+    """Columns with documents' numbers and offsets in them, from places in a chunk."""
+    number, at = part.column("_doc").to_numpy(), e["doc"]
+    return e | {k: e[k] - offsets[at] for k in ("lo", "hi") if k in e} | {"doc": number[at]}
 
 
-def _finer(corpus: Corpus, flags: DataFrame, divide, last: bool) -> DataFrame:
+def _in_steps(corpus: Corpus, flags: DataFrame) -> DataFrame:
+    """Rows of FLAGS after the open phrases are compared step by step."""
     n = corpus.n
 
     def each(part, data, offsets, op, spans):
-        e = divide(data, offsets, op)
-        number = part.column("_doc").to_numpy()
-        e |= {"doc": number[e["doc"]], "lo": e["lo"] - offsets[e["doc"]]}
-        at = spans["doc"]
-        known = {"doc": number[at], "lo": spans["lo"] - offsets[at], "hi": spans["hi"] - offsets[at]}
-        return e, union(known)
+        return _named(part, offsets, _steps(data, offsets, op)), union(_named(part, offsets, spans))
 
     def finish(found):
-        return send(joined([e for e, _ in found]), n, last, joined([s for _, s in found]))
+        return send(joined([e for e, _ in found]), n, False, joined([s for _, s in found]))
+
+    return resolve(corpus.meet(flags, each, PIECES, finish), n, False)
+
+
+SUFFIXES = "bucket int, spans binary, suffix binary, doc long, lo long"
+
+
+def _suffixes(corpus: Corpus, flags: DataFrame) -> DataFrame:
+    """Rows of SUFFIXES: the spans known so far, by documents' buckets, and the suffixes in doubt, cut at LENGTH bytes.
 
-    return resolve(corpus.meet(flags, each, PIECES, finish), n, last)
+    Of suffixes that are equal inside a task only the first goes on; the others are spans.
+    """
+    n = corpus.n
+
+    def each(part, data, offsets, op, spans):
+        k = (op["size"] - LENGTH + 1).astype(np.int64)
+        lo = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(op["lo"], k)
+        letters = data[lo[:, None] + np.arange(LENGTH)].view(f"V{LENGTH}").ravel() if len(lo) else np.zeros(0, f"V{LENGTH}")
+        return _named(part, offsets, {"doc": np.repeat(op["doc"], k), "lo": lo}) | {"suffix": letters}, union(_named(part, offsets, spans))
+
+    def finish(found):
+        e, spans = joined([e for e, _ in found]), joined([s for _, s in found])
+        letters = e["suffix"].view(np.uint8).reshape(-1, LENGTH) if len(e["lo"]) else np.zeros((0, LENGTH), np.uint8)
+        # equal rows of letters are neighbours in the order of eight-byte words
+        order = np.lexsort((e["lo"], e["doc"], *np.ascontiguousarray(np.pad(letters, ((0, 0), (0, -LENGTH % 8)))).view(np.uint64).T))
+        letters, doc, lo = letters[order], e["doc"][order], e["lo"][order]
+        later = np.zeros(len(order), bool)
+        later[1:] = (letters[1:] == letters[:-1]).all(axis=1)
+        spans = union(joined([spans, {"doc": doc[later], "lo": lo[later], "hi": lo[later] + LENGTH}]))
+        known = by_bucket("bucket int, spans binary", (SPAN, spans, of_doc(spans["doc"], n)))
+        letters, doc, lo = letters[~later], doc[~later], lo[~later]
+        a, b = len(known), len(doc)
+        suffix = pa.FixedSizeBinaryArray.from_buffers(pa.binary(LENGTH), b, [None, pa.py_buffer(np.ascontiguousarray(letters))]).cast(pa.binary()) if b else pa.array([], pa.binary())
+        cols = [
+            pa.concat_arrays([known.column("bucket"), pa.nulls(b, pa.int32())]), pa.concat_arrays([known.column("spans"), pa.nulls(b, pa.binary())]), pa.concat_arrays([pa.nulls(a, pa.binary()), suffix]),
+            pa.concat_arrays([pa.nulls(a, pa.int64()), pa.array(doc)]), pa.concat_arrays([pa.nulls(a, pa.int64()), pa.array(lo)]),
+        ]
+        return pa.RecordBatch.from_arrays(cols, ["bucket", "spans", "suffix", "doc", "lo"])
+
+    return corpus.meet(flags, each, SUFFIXES, finish)
+
+
+def _neighbours(suffixes: DataFrame, n: int) -> DataFrame:
+    """Rows of FLAGS with the spans of suffixes that equal the one before them in the order of letters and of the parse."""
+
+    def run(batches):
+        last = None
+        for b in batches:
+            data = b.column("suffix").buffers()[2]
+            if not b.num_rows:
+                continue
+            at = np.frombuffer(b.column("suffix").buffers()[1], np.int32)[b.column("suffix").offset]
+            letters = np.frombuffer(data, np.uint8)[at : at + b.num_rows * LENGTH].reshape(-1, LENGTH)
+            later = np.zeros(len(letters), bool)
+            later[1:] = (letters[1:] == letters[:-1]).all(axis=1)
+            later[0] = last is not None and bool((letters[0] == last).all())
+            last = letters[-1].copy()
+            doc, lo = b.column("doc").to_numpy()[later], b.column("lo").to_numpy()[later]
+            yield by_bucket(FLAGS, (OPEN, {k: np.zeros(0, t) for k, t in OPEN.items()}, np.zeros(0, np.int64)), (SPAN, {"doc": doc, "lo": lo, "hi": lo + LENGTH}, of_doc(doc, n)))
+
+    array = suffixes.select("suffix", "doc", "lo").repartitionByRange(shuffle_partitions(suffixes.sparkSession), "suffix").sortWithinPartitions("suffix", "doc", "lo")
+    return array.mapInArrow(run, FLAGS)
 
 
 def _repeats(docs: DataFrame, keep: list[str]) -> tuple[Corpus, DataFrame]:
     corpus = Corpus(docs, keep)
     flags = resolve(corpus.pieces(_phrases, False), corpus.n, False)
-    flags = _finer(corpus, flags, _steps, False)
-    return corpus, _finer(corpus, flags, _windows, True)
+    rows = stored(_suffixes(corpus, _in_steps(corpus, flags)))
+    known = rows.where("bucket is not null").select("bucket", F.lit(None).cast("binary").alias("open"), "spans")
+    return corpus, known.unionByName(_neighbours(rows.where("suffix is not null"), corpus.n))
 
 
 def op6(spark: SparkSession, docs: DataFrame) -> DataFrame:
