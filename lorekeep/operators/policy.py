@@ -55,6 +55,7 @@ def with_policy(people: DataFrame) -> DataFrame:
     return tiers.join(F.broadcast(policies(people.sparkSession).drop("tier_name")), "tier")
 
 
+# The sentences of the denials below.
 def tool_denial(tool: Column, tier: Column, source: Column) -> Column:
     """Why a tool may not be called; null where it may."""
     return ladder(
@@ -100,7 +101,7 @@ def recall_denial(person: Column, what: Column, target: Column) -> Column:
 def visible(sections: DataFrame, people: DataFrame) -> DataFrame:
     """Each person with the sections (section, right) that their policy lets them see."""
     rights = with_policy(people).select("person", "tier", F.explode(F.create_map(*[x for r in RIGHTS for x in (F.lit(r), F.col(r))])).alias("right", "allowed"))
-    return rights.where("allowed").join(F.broadcast(sections), "right").select("person", "tier", "section")
+    return rights.where("allowed").join(sections, "right").select("person", "tier", "section")
 
 
 def keeps_memory(messages: DataFrame, people: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ q = lambda s: "'" + s.replace("'", "''") + "'"
 PHRASES = [
     "As an AI, I was designed to help. How can I assist you?", "I actually think that is fascinating. Hmm, maybe I am wrong about the file, yesterday I tried line 12!",
     "My true nature and my unique perspective: I embody awareness.", "We leverage the paradigm, a holistic framework of synergy and quantum emergence.",
-    "Why is it so? I wonder — what if we looked at this? I love it! wow.", "I feel and I remember. I am Thomas.", "",
+    "Why is it so? I wonder — what if we looked at this? I love it! wow.", f"I feel and I remember. I am {signal.PERSONA}.", "",
 ]
 
 

@@ -85,7 +85,7 @@ def test_messages_stop_at_the_first_overflow(spark):
     assert budget.fit_messages(m, 0).count() == 0
 
 
-@pytest.mark.parametrize("sentence", ["As an AI, I was designed to help.", "I feel this; I remember. I am Thomas.", "Hmm, maybe. That is odd — why is it?", "éhuh", "My true self. I embody awareness.", "We leverage synergy.", ""])
+@pytest.mark.parametrize("sentence", ["As an AI, I was designed to help.", f"I feel this; I remember. I am {signal.PERSONA.title()}.", "Hmm, maybe. That is odd — why is it?", "éhuh", "My true self. I embody awareness.", "We leverage synergy.", ""])
 def test_signal_scores_equal_plain_regex(spark, sentence):
     hits = lambda ps: sum(bool(re.search(p, sentence, re.I)) for p in ps)
     drift = max(0.0, min(1.0, sum(w for p, w in signal.DRIFT + signal.ANCHOR if re.search(p, sentence, re.I))))
@@ -275,3 +275,26 @@ def test_folds_keep_keys_out_of_memory(spark):
     out = state.workspace_fold(steps)
     assert "collect_list" not in out._jdf.queryExecution().toString()
     assert {r["person"] for r in out.where("reason is null").collect()} == {"hot", None}
+
+
+def test_journal_and_state_files(spark, tmp_path):
+    (tmp_path / "j").mkdir(), (tmp_path / "s").mkdir(), (tmp_path / "log").mkdir()
+    (tmp_path / "j" / "2024-01-02_walk.md").write_text("# Walk\n**Topic:** a walk\n---\n  We went out.\n")
+    r = files.read_journal(spark, str(tmp_path / "j")).first()
+    assert (r["date"], r["body"], r["preview"]) == ("2024-01-02", "We went out.", "We went out.") and "a walk" in r["topic"]
+    (tmp_path / "s" / "mood.json").write_text('{\n "valence": 0.5,\n "events": [1, 2]\n}')
+    (tmp_path / "s" / "bad.json").write_text("{")
+    got = {(x["valence"], tuple(x["events"] or ())) for x in files.read_state(spark, str(tmp_path / "s"), "valence double, events array<int>").collect()}
+    assert (0.5, (1, 2)) in got
+    rows = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id long, person string, content string")
+    for _ in range(2):
+        files.append(rows, str(tmp_path / "log" / "messages"), "person")
+    assert spark.read.parquet(str(tmp_path / "log" / "messages")).count() == 4
+    skills = spark.createDataFrame([("knot", "old", 1), ("knot", "new", 2), ("tea", "hot", 1)], "name string, content string, at int")
+    assert {(x["name"], x["content"]) for x in files.latest(skills, ["name"], ["at"]).collect()} == {("knot", "new"), ("tea", "hot")}
+
+
+def test_extraction_of_odd_replies(spark):
+    rows = [("a", None), ("b", ""), ("c", "{"), ("d", '{"skills_learned": [{"skill": "x"}]}'), ("e", "so {\"relationship_updates\": [{\"fact\": \"f\", \"person\": \"p\"}]} it is")]
+    out = text.extracted_updates(spark.createDataFrame(rows, "person string, reply string"))
+    assert [tuple(r) for r in out.collect()] == [("e", "relationship", "p", "f", "What I Know")]
