@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions.text import CUT_MARK, SENTENCE_ENDS, tokens
 from lorekeep.operators import budget, recall
-from lorekeep.operators.search import B, K1, terms
+from lorekeep.operators.search import B, K1, n_terms, terms
 from lorekeep.session import checkpointed
 from lorekeep.sources import adapters as ad
 
@@ -54,9 +54,10 @@ def hits(asked: DataFrame, traces: DataFrame, limit: int = HITS) -> DataFrame:
     asked = asked.withColumn("q", F.unhex(F.sha2(F.array_join("words", " "), 256)))
     query = asked.select("q", "words").distinct()
     word = query.select("q", F.explode("words").alias("term"))
-    posting = traces.select("id", F.explode(F.array_distinct(terms(F.col("content")))).alias("term"))
+    asked_for = checkpointed(word.select("term").distinct())
+    posting = checkpointed(traces.select("id", F.explode(F.array_distinct(terms(F.col("content")))).alias("term")).join(asked_for, "term", "left_semi"))
     df = posting.groupBy("term").agg(F.count("*").alias("df"))
-    total = traces.select(F.size(terms(F.col("content"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    total = traces.select(n_terms(F.col("content")).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     known = word.join(df, "term").groupBy("q").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("known"))
     # a word that no trace has leaves its message without hits
     query = checkpointed(query.join(known, "q").where(F.size("known") == F.size("words")).select("q", "known"))
