@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions.text import CUT_MARK, SENTENCE_ENDS, tokens
 from lorekeep.operators import budget, recall
-from lorekeep.operators.search import B, K1, n_terms, terms
+from lorekeep.operators.search import B, K1, n_terms, term_rows, terms
 from lorekeep.session import checkpointed
 from lorekeep.sources import adapters as ad
 
@@ -45,38 +45,33 @@ def last_heard(messages: DataFrame) -> DataFrame:
 def hits(asked: DataFrame, traces: DataFrame, limit: int = HITS) -> DataFrame:
     """(person, id, content, salience): of asked (person, content) the limit best traces (id, content) that hold every word of it, by BM25.
 
-    A hit's salience is 1 less its combined score. Equal messages are searched once. A message meets traces by the rarest
-    of its words, and only traces that hold these are read for the others. What is kept between is a few numbers a
-    message, so that Spark knows its size and need not shuffle the traces while it is small.
+    A hit's salience is 1 less its combined score. Equal messages are searched once. Of the traces only the postings of words
+    that are asked for are kept. A message meets traces by the rarest of its words, and the others are then looked up for
+    these pairs alone, so texts are read once and only numbers are joined.
     """
     words = F.array_sort(F.array_distinct(terms(F.col("content"))))
     asked = asked.where(F.size(F.split(F.trim("content"), r"\s+")) >= WORDS).select("person", words.alias("words")).where(F.size("words") > 0)
-    asked = asked.withColumn("q", F.unhex(F.sha2(F.array_join("words", " "), 256)))
-    query = asked.select("q", "words").distinct()
-    word = query.select("q", F.explode("words").alias("term"))
-    asked_for = checkpointed(word.select("term").distinct())
-    posting = checkpointed(traces.select("id", F.explode(F.array_distinct(terms(F.col("content")))).alias("term")).join(asked_for, "term", "left_semi"))
-    df = posting.groupBy("term").agg(F.count("*").alias("df"))
-    total = traces.select(n_terms(F.col("content")).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    known = word.join(df, "term").groupBy("q").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("known"))
+    asked = checkpointed(asked.withColumn("q", F.unhex(F.sha2(F.array_join("words", " "), 256))))
+    word = asked.select("q", "words").distinct().select("q", F.size("words").alias("n_words"), F.explode("words").alias("term"))
+    posting = term_rows(traces).join(word.select("term").distinct(), "term", "left_semi")
+    posting = checkpointed(posting.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")))
+    total = traces.select(n_terms(F.lower("content")).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    known = word.join(posting.groupBy("term").agg(F.count("*").alias("df")), "term")
     # a word that no trace has leaves its message without hits
-    query = checkpointed(query.join(known, "q").where(F.size("known") == F.size("words")).select("q", "known"))
-    rare = checkpointed(query.select("q", F.explode(F.slice("known", 1, RAREST)["term"]).alias("term"), F.least(F.size("known"), F.lit(RAREST)).alias("need")))
-    pairs = checkpointed(rare.join(posting, "term").groupBy("q", "id").agg(F.count("*").alias("have"), F.first("need").alias("need")).where("have = need").select("q", "id"))
-    rows = traces.select("id", "content").join(pairs, "id").join(query, "q").withColumn("_t", terms(F.col("content")))
-    rows = rows.where(F.forall("known", lambda k: F.array_contains(F.col("_t"), k["term"]))).crossJoin(F.broadcast(total))  # one row
-    norm = (F.size("_t") / F.col("avgdl") * B + 1 - B) * K1
-
-    def weight(k):
-        idf = F.greatest(F.lit(1e-6), F.ln((F.col("n") - k["df"] + 0.5) / (k["df"] + 0.5)))
-        tf = F.size(F.filter("_t", lambda t: t == k["term"]))
-        return idf * tf * (K1 + 1) / (tf + norm)
-
-    score = F.aggregate(F.transform("known", weight), F.lit(0.0), lambda a, x: a + x)
+    all_known = known.groupBy("q").agg(F.count("*").alias("k"), F.first("n_words").alias("n_words")).where("k = n_words").select("q")
+    rarity = F.row_number().over(Window.partitionBy("q").orderBy("df", "term"))
+    known = checkpointed(known.join(all_known, "q", "left_semi").withColumn("place", rarity))
+    first = known.where(F.col("place") <= RAREST).select("q", "term", F.least("n_words", F.lit(RAREST)).alias("need"))
+    pairs = first.join(posting, "term").groupBy("q", "id").agg(F.count("*").alias("have"), F.first("need").alias("need")).where("have = need").select("q", "id")
+    rows = pairs.join(known, "q").join(posting, ["id", "term"]).crossJoin(F.broadcast(total))  # one row
+    idf = F.greatest(F.lit(1e-6), F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + (F.col("dl") / F.col("avgdl") * B + 1 - B) * K1)
+    scored = rows.withColumn("_w", weight).groupBy("q", "id").agg(F.sum("_w").alias("score"), F.count("*").alias("k"), F.first("n_words").alias("n_words")).where("k = n_words")
     best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    top = rows.select("q", "id", "content", score.alias("score")).withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= limit)
+    top = scored.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= limit)
     combined = (1 - F.col("score") / F.max("score").over(Window.partitionBy("q"))) * 0.5 + 0.25
-    return checkpointed(asked.select("person", "q").join(top.withColumn("salience", 1 - combined), "q").select("person", "id", "content", "salience"))
+    found = checkpointed(asked.join(top.withColumn("salience", 1 - combined), "q").select("person", "id", "salience"))
+    return found.join(traces.select("id", "content"), "id").select("person", "id", "content", "salience")
 
 
 def assemble(requests: DataFrame, messages: DataFrame, salient: DataFrame, own: DataFrame, skills: DataFrame, total: int = 6000) -> DataFrame:
