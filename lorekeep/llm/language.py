@@ -25,7 +25,7 @@ TRAIN_DOCS = 3000
 #: Languages that are learned at most, the commonest ones.
 MAX_LANGUAGES = 500
 #: Words, and n-grams, that the model holds at most over all languages; each language keeps its commonest ones.
-MODEL_WORDS, MODEL_GRAMS = 200_000, 400_000
+MODEL_WORDS, MODEL_GRAMS = 100_000, 150_000
 NGRAMS = (5, 4, 3, 2, 1)
 #: Added to the score for each length given up.
 BACKOFF = -0.7
@@ -156,7 +156,8 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", doc_id: str =
     whole = words.select("lang", F.lit(0).alias("len"), F.col("w").alias("gram"), "n")
     common = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "len", "gram"))
     kept = [df.withColumn("_rank", common).where(F.col("_rank") <= max(500, most // len(sizes))).drop("_rank") for df, most in ((whole, MODEL_WORDS), (grams, MODEL_GRAMS))]
-    return BackoffModel([tuple(r) for r in kept[0].unionByName(kept[1]).orderBy("lang", "len", "gram").collect()], [r["lang"] for r in sizes])
+    found = kept[0].unionByName(kept[1]).orderBy("lang", "len", "gram").toArrow()
+    return BackoffModel(list(zip(*(c.to_pylist() for c in found.columns))), [r["lang"] for r in sizes])
 
 
 def identify(docs: DataFrame, model: BackoffModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
