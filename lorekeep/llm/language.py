@@ -69,17 +69,18 @@ class BackoffModel:
             raw[self.tables[n][gram], place[lang]] += count
         self.rows = np.log((raw + 0.1) / (sums[np.array(length, int)] + 0.1 * max(1, len(length)))).astype(np.float32)
 
-    def word(self, w: str) -> np.ndarray | None:
-        known = self.tables[0].get(w)
-        if known is not None:
-            return self.rows[known]
-        framed = f"^{w}$"
+    def known(self, w: str) -> tuple[list[int], int]:
+        """(rows, lengths given up) for a word: its own row, else those of its n-grams of the greatest length of which any is known."""
+        own = self.tables[0].get(w)
+        if own is not None:
+            return [own], 0
+        framed, size = f"^{w}$", len(w) + 2
         for back, n in enumerate(NGRAMS, 1):
-            table = self.tables[n]
-            found = [v for i in range(len(framed) - n + 1) if (v := table.get(framed[i : i + n])) is not None]
+            get = self.tables[n].get
+            found = [v for i in range(size - n + 1) if (v := get(framed[i : i + n])) is not None]
             if found:
-                return self.rows[found].mean(axis=0) + BACKOFF * back
-        return None
+                return found, back
+        return [], 0
 
     def predict(self, texts: list[str | None], memo: Memo | dict | None = None) -> tuple[list[str], list[float]]:
         memo = memo if isinstance(memo, Memo) else Memo(self)
@@ -91,6 +92,7 @@ class BackoffModel:
                 ids += map(memo.__getitem__, found)
             ends.append(len(ids))
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)
+        memo.settle()
         some = np.flatnonzero(np.diff(ends)) if self.languages else np.zeros(0, int)
         if len(some):
             total = np.add.reduceat(memo.rows[np.array(ids, np.int64)], np.array(ends)[some], axis=0)
@@ -104,24 +106,36 @@ class BackoffModel:
 
 
 class Memo(dict):
-    """Words met so far -> their row of log frequencies and a last 1, or of zeros where nothing of the word is known."""
+    """Words met so far -> their row of log frequencies and a last 1, or of zeros where nothing of the word is known.
+
+    A new word gets its place at once; rows of new words are filled in together by settle.
+    """
 
     def __init__(self, model: BackoffModel):
-        self.model, self.rows = model, np.zeros((1024, len(model.languages) + 1))
+        self.model, self.rows, self.new = model, np.zeros((0, len(model.languages) + 1)), []
 
     def __missing__(self, w: str) -> int:
-        at, v = len(self), self.model.word(w)
-        if at == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[at] = 0.0
-        if v is not None:
-            self.rows[at, :-1], self.rows[at, -1] = v, 1.0
-        self[w] = at
+        at = self[w] = len(self)
+        self.new.append(w)
         return at
 
+    def settle(self) -> None:
+        found = [self.model.known(w) for w in self.new]
+        rows = np.zeros((len(found), self.rows.shape[1]))
+        size = np.array([len(f) for f, _ in found], np.int64)
+        some = np.flatnonzero(size)
+        if len(some):
+            flat = np.fromiter((r for f, _ in found for r in f), np.int64, int(size.sum()))
+            back = np.array([b for _, b in found], float)[some]
+            first = (np.cumsum(size) - size)[some]
+            rows[some, :-1] = np.add.reduceat(self.model.rows[flat], first, axis=0) / size[some, None] + BACKOFF * back[:, None]
+            rows[some, -1] = 1.0
+        self.rows, self.new = np.concatenate([self.rows, rows]), []
+
     def tidy(self) -> None:
         if len(self) > MEMO:
             self.clear()
+            self.rows = self.rows[:0]
 
 
 def train(docs: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", per_language: int = TRAIN_DOCS) -> BackoffModel:
