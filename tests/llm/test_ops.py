@@ -302,3 +302,29 @@ def test_op9_lists_full_of_the_own_id(spark):
     got = vectors.op9(spark, df).orderBy("rank").collect()
     d = np.sqrt(((x[:1980, None] - x[None, 1980:]) ** 2).sum(2)).ravel()
     assert [r["rank"] for r in got] == list(range(1, 11)) and [r["score"] for r in got] == pytest.approx(np.sort(d)[:10].tolist())
+
+
+def test_columns_that_do_not_depend_on_a_model(spark, sf):
+    """held_out of op1 and op4, and sizes and targets of op2, against plain Python over whole tables."""
+    import re
+    import zlib
+
+    t, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    rest = lambda n: lambda d: zlib.crc32(str(d).encode()) % n
+    assert {r["doc_id"]: r["held_out"] for r in language.op1(spark, t).collect()} == {r["doc_id"]: rest(4)(r["doc_id"]) == 2 for r in t.collect()}
+    assert {r["doc_id"]: r["held_out"] for r in quality.op4(spark, t, labels).collect()} == {r["doc_id"]: rest(5)(r["doc_id"]) == 0 for r in t.collect()}
+    size = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in t.collect()}
+    source = {r["doc_id"]: r["source"] for r in t.collect()}
+    per = {s: sum(n for d, n in size.items() if source[d] == s) for s in set(source.values())}
+    names = sorted(per, key=lambda s: (s is None, s or ""))
+    weight, full = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}, set()
+    while True:
+        rate = (sum(per.values()) - sum(3 * per[s] for s in full)) / sum(weight[s] for s in names if s not in full)
+        more = {s for s in names if weight[s] * rate > 3 * per[s]}
+        if more == full:
+            break
+        full = more
+    target = {s: 3.0 * per[s] if s in full else weight[s] * rate for s in names}
+    for r in mixing.op2(spark, t).collect():
+        s = source[r["doc_id"]]
+        assert (r["size"], r["source_size"], r["target"]) == (size[r["doc_id"]], per[s], pytest.approx(target[s]))
