@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lorekeep.llm import chat, chunk_dedup, decontaminate, jaccard, language, mixing, quality, suffix_dedup, url_filter, vectors
+from lorekeep.llm import chat, chunk_dedup, decontaminate, jaccard, language, mixing, quality, quality_rules, spelling, suffix_dedup, url_filter, vectors, whitening
 from lorekeep.llm.common import table
 
 QUERIES = {
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_jaccard_join": lambda s, d: jaccard.op8(s, table(s, d, "documents")),
     "op9_nearest_vectors": lambda s, d: vectors.op9(s, table(s, d, "embeddings")),
     "op10_chunk_dedup": lambda s, d: chunk_dedup.op10(s, table(s, d, "documents")),
+    "op11_quality_rules": lambda s, d: quality_rules.op11(s, table(s, d, "documents"), table(s, d, "labels")),
+    "op12_whiten": lambda s, d: whitening.op12(s, table(s, d, "embeddings")),
+    "op13_spelling": lambda s, d: spelling.op13(s, table(s, d, "documents")),
 }
 
 ORACLES = {
