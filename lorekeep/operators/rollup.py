@@ -76,9 +76,14 @@ def lineage(links: DataFrame, most: int = 64) -> DataFrame:
 
 
 def with_key(df: DataFrame, key: str, value: Column) -> DataFrame:
-    """df with value under key in its JSON metadata where value is not null; what is there else stays."""
-    old = F.coalesce(F.from_json("metadata", "map<string,string>"), F.create_map().cast("map<string,string>"))
-    new = F.map_concat(F.map_filter(old, lambda k, _: k != key), F.create_map(F.lit(key), value.cast("string")))
+    """df with value under key in its JSON metadata where value is not null; what is there else stays, with its types.
+
+    Numbers, booleans, nulls, lists and objects stay what they are, and value is written by its own type. Metadata that is no
+    JSON object counts as empty. The other keys come out in the order of their names.
+    """
+    empty = F.expr("cast(map() as map<string, variant>)")
+    old = F.coalesce(F.try_variant_get(F.try_parse_json("metadata"), "$", "map<string, variant>"), empty)
+    new = F.map_concat(F.map_filter(old, lambda k, _: k != key), F.create_map(F.lit(key), value.cast("variant")))
     return df.withColumn("metadata", F.when(value.isNotNull(), F.to_json(new)).otherwise(F.col("metadata")))
 
 

@@ -85,17 +85,25 @@ def correction_links(s, d):
     return recall.corrections(marked).select("id", "original", R6("was").alias("was"))
 
 
-@query("consolidation_marks", """WITH p AS (SELECT doc_id, 1000000 + doc_id // 4 AS parent FROM documents WHERE doc_id % 9 < 5) SELECT d.doc_id AS id, coalesce(parent, CASE WHEN d.doc_id % 3 = 0 THEN d.doc_id // 3 END) AS parent FROM documents d LEFT JOIN p USING (doc_id)""")
+@query("consolidation_marks", f"""WITH {TRACES}, p AS (SELECT doc_id AS id, 1000000 + doc_id // 4 AS parent FROM documents WHERE doc_id % 9 < 5)
+SELECT id, CASE WHEN parent IS NULL THEN metadata ELSE json_merge_patch(coalesce(metadata, '{{}}'), json_object('consolidated_into', parent))::VARCHAR END AS metadata FROM traces LEFT JOIN p USING (id)""")
 def consolidation_marks(s, d):
     rows = ad.traces(s, d)
     parents = rows.where("id % 9 < 5").groupBy((F.lit(1000000) + F.expr("id div 4")).alias("id")).agg(F.collect_list("id").alias("child_ids"))
-    return rollup.mark_consolidated(rows, parents).select("id", F.get_json_object("metadata", "$.consolidated_into").cast("long").alias("parent"))
+    return rollup.mark_consolidated(rows, parents).select("id", "metadata")
 
 
-@query("metadata_writes", f"WITH {MESSAGES} SELECT id, CASE WHEN salience > .5 THEN speaker END AS reviewed, json_extract_string(metadata, '$.k') AS k FROM messages")
+#: Metadata of every kind: a number, a boolean and an object, a list with a null, a text that is no JSON, one that is no object, and none.
+MIXED = """CASE id % 6 WHEN 0 THEN concat('{"a": 1, "k": ', id, '}') WHEN 1 THEN concat('{"b": true, "k": "', id, '", "o": {"x": [1, 2.5]}}')
+  WHEN 2 THEN concat('{"l": [null, ', id, '], "reviewed": 0}') WHEN 3 THEN concat('k: ', id) WHEN 4 THEN concat('[', id, ']') END"""
+
+
+@query("metadata_writes", f"""WITH {MESSAGES}, m AS (SELECT id, salience, speaker, {MIXED} AS metadata FROM messages),
+v AS (SELECT *, CASE WHEN json_valid(metadata) AND json_type(CASE WHEN json_valid(metadata) THEN metadata END) = 'OBJECT' THEN metadata ELSE '{{}}' END AS old FROM m)
+SELECT id, CASE WHEN salience > .5 THEN json_merge_patch(json_merge_patch(old, '{{"reviewed":null}}'), json_object('reviewed', speaker))::VARCHAR ELSE metadata END AS metadata FROM v""")
 def metadata_writes(s, d):
-    out = rollup.with_key(ad.messages(s, d), "reviewed", F.when(F.col("salience") > 0.5, F.col("speaker")))
-    return out.select("id", F.get_json_object("metadata", "$.reviewed").alias("reviewed"), F.get_json_object("metadata", "$.k").alias("k"))
+    rows = ad.messages(s, d).withColumn("metadata", F.expr(MIXED))
+    return rollup.with_key(rows, "reviewed", F.when(F.col("salience") > 0.5, F.col("speaker"))).select("id", "metadata")
 
 
 @query("belief_evolution", f"""WITH {SIGNALS}, b AS (SELECT *, row_number() OVER (PARTITION BY person ORDER BY ts DESC, id DESC) AS back FROM signals)

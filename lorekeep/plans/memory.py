@@ -321,14 +321,14 @@ def access_log(s, d):
 
 
 @query("archive_marks", f"""WITH {MESSAGES}, c AS (SELECT *, row_number() OVER (PARTITION BY person ORDER BY ts DESC, id DESC) AS b FROM messages)
-SELECT id, CASE WHEN b > 20 THEN '1' END AS archived, json_extract_string(metadata, '$.k') AS k FROM c""")
+SELECT id, CASE WHEN b > 20 THEN json_merge_patch(metadata, '{{"archived":1}}')::VARCHAR ELSE metadata END AS metadata FROM c""")
 def archive_marks(s, d):
     from pyspark.sql import Window
 
     rows = ad.messages(s, d)
     old = rows.withColumn("b", F.row_number().over(Window.partitionBy("person").orderBy(F.desc("ts"), F.desc("id")))).where("b > 20").select("id")
     out = rollup.mark(rows, old, "archived", F.lit(1))
-    return out.select("id", F.get_json_object("metadata", "$.archived").alias("archived"), F.get_json_object("metadata", "$.k").alias("k"))
+    return out.select("id", "metadata")
 
 
 @query("derived_salience", f"""WITH {TALK}, n AS (SELECT *, lead(content) OVER w AS reply, lead(speaker) OVER w AS who FROM talk WINDOW w AS (PARTITION BY person ORDER BY ord)),
