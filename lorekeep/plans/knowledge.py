@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import signal, text
-from lorekeep.operators import budget, policy, search, state
+from lorekeep.operators import budget, policy, search, state, textindex
 from lorekeep.sources import adapters as ad
 from lorekeep.sources.adapters import MESSAGES, PEOPLE, TALK, TRACES
 
@@ -263,9 +263,13 @@ bm AS (SELECT id, person, -(greatest(1e-6, ln((n - da + .5) / (da + .5))) * a *
 DOCS_BM = BM.format(src="SELECT doc_id AS id, source AS person, text AS content FROM documents", a="'eine'", b="'und'").replace("'eine'", "'the'").replace("'und'", "'that'")
 
 
+def documents_index(s, d):
+    return textindex.kept(ad.table(s, d, "documents"), "doc_id", "text")
+
+
 @query("bm25_search", f"WITH {DOCS_BM} SELECT id, round(rank, 6) AS rank FROM bm ORDER BY round(rank, 9), id LIMIT 20")
 def bm25_search(s, d):
-    hits = search.bm25(ad.table(s, d, "documents"), ["the", "that"], None, "doc_id", "text").withColumn("r", F.round("rank", 9))
+    hits = documents_index(s, d).search("the that", None).withColumn("r", F.round("rank", 9))
     return hits.orderBy("r", "id").limit(20).select("id", R6("rank").alias("rank"))
 
 
@@ -300,7 +304,7 @@ SELECT * FROM j ORDER BY combined_score, key LIMIT 15"""
 
 
 def _hybrid_rows(s, d, strict):
-    hits = search.bm25(ad.table(s, d, "documents"), ["the", "that"], None, "doc_id", "text").orderBy(F.round("rank", 9), "id").limit(200)
+    hits = documents_index(s, d).search("the that", None).orderBy(F.round("rank", 9), "id").limit(200)
     v = ad.table(s, d, "embeddings")
     probe = v.orderBy("vec_id").limit(1).select(F.col("label").alias("query"), F.col("embedding").alias("vector"))
     near = search.knn(v, probe, 200)

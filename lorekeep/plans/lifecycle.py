@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import signal, text
 from lorekeep.operators import readmodels as rm
-from lorekeep.operators import recall, rollup, salience, search, state, temporal
-from lorekeep.plans.knowledge import BIG5, BIG5_SQL, MOODS, _feelings, _items, _traits
+from lorekeep.operators import recall, rollup, salience, search, state, temporal, textindex
+from lorekeep.plans.knowledge import BIG5, BIG5_SQL, MOODS, _feelings, _items, _traits, documents_index
 from lorekeep.plans.memory import HEALTH, SESSIONS, THREADS, _health, _threads
+from lorekeep.session import shared_folder
 from lorekeep.sources import adapters as ad
 from lorekeep.sources.adapters import MESSAGES, SIGNALS, TALK, TRACES
 
@@ -391,42 +394,56 @@ SAID = "(SELECT conv_id * 1000 + turn AS id, text AS content FROM conversations)
 DOCS = "(SELECT doc_id AS id, text AS content FROM documents)"
 
 
-def _said(s, d):
-    return ad.table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.expr("concat('c', conv_id)").alias("person"), F.col("text").alias("content"))
-
-
-def _texts(s, d):
-    return ad.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+def _said_index(s, d):
+    said = ad.table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.expr("concat('c', conv_id)").alias("person"), F.col("text").alias("content"))
+    return textindex.kept(said, keep=("person",))
 
 
 @query("search_union", f"WITH u AS (SELECT 'messages' AS source, * FROM {_found(SAID, ['the', 'that'])} UNION ALL SELECT 'traces', * FROM {_found(DOCS, ['the', 'that'])}) SELECT source, id, round(rank, 6) AS rank FROM u ORDER BY round(rank, 9), source, id LIMIT 40")
 def search_union(s, d):
-    hits = search.search_memory(_said(s, d), _texts(s, d), 'The "THAT"', limit=10**6).withColumn("r", F.round("rank", 9))
+    hits = textindex.search_memory(_said_index(s, d), documents_index(s, d), 'The "THAT"', limit=60).withColumn("r", F.round("rank", 9))  # more than are shown, so that ties are settled as in SQL
     return hits.orderBy("r", "source", "id").limit(40).select("source", "id", R6("rank").alias("rank"))
 
 
 @query("search_phrase", f"SELECT id, round(rank, 6) AS rank FROM {_found(DOCS, ['of', 'the'], True)}")
 def search_phrase(s, d):
-    return search.bm25(_texts(s, d), "of-the", None).select("id", R6("rank").alias("rank"))
+    return documents_index(s, d).search("of-the", None).select("id", R6("rank").alias("rank"))
 
 
 @query("search_accents", f"SELECT id, round(rank, 6) AS rank FROM {_found(DOCS, ['fur', 'die'])}")
 def search_accents(s, d):
-    return search.bm25(_texts(s, d), "Für dié", None).select("id", R6("rank").alias("rank"))
+    return documents_index(s, d).search("Für dié", None).select("id", R6("rank").alias("rank"))
 
 
 @query("search_blank", "SELECT 'x' AS source, 0::BIGINT AS id, 0.0::DOUBLE AS rank WHERE FALSE")
 def search_blank(s, d):
-    return search.search_memory(_said(s, d), _texts(s, d), ' "" -- ')
+    return textindex.search_memory(_said_index(s, d), documents_index(s, d), ' "" -- ')
 
 
 @query("search_per_person", f"WITH h AS (SELECT id, rank, id // 1000 AS c FROM {_found(SAID, ['the', 'and'])}), r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY round(rank, 9), id) AS k FROM h) SELECT concat('c', c) AS person, id, round(rank, 6) AS rank FROM r WHERE k <= 3")
 def search_per_person(s, d):
-    hits = search.bm25(_said(s, d), "the and", None, keep=("person",))
+    hits = _said_index(s, d).search("the and", None, keep=("person",))
     w = Window.partitionBy("person").orderBy(F.round("rank", 9), "id")
     return hits.withColumn("_k", F.row_number().over(w)).where("_k <= 3").select("person", "id", R6("rank").alias("rank"))
 
 
+@query("search_scanned", f"SELECT id, round(rank, 6) AS rank FROM {_found(SAID, ['the', 'to'])}")
+def search_scanned(s, d):
+    """The same ranking without an index, for texts that are searched once."""
+    said = ad.table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("content"))
+    return search.bm25(said, "the to", None).select("id", R6("rank").alias("rank"))
+
+
+@query("search_grown", f"""WITH e AS (SELECT id, round(rank, 6) AS rank FROM {_found("(SELECT * FROM " + SAID + " UNION ALL SELECT * FROM (SELECT -1 - item_id AS id, text AS content FROM benchmark))", ['the', 'of'])}) SELECT * FROM e ORDER BY rank, id LIMIT 25""")
+def search_grown(s, d):
+    """An index that grows: conversations, then the benchmark's texts, then one segment of both."""
+    texts = ad.table(s, d, "benchmark").select((-1 - F.col("item_id")).alias("id"), F.lit(None).cast("string").alias("person"), F.col("text").alias("content"))
+    index = textindex.TextIndex(s, f"{shared_folder(s)}/text-index/{uuid.uuid4().hex}")
+    said = ad.table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.expr("concat('c', conv_id)").alias("person"), F.col("text").alias("content"))
+    index.append(said, keep=("person",)).append(texts, keep=("person",)).merge()
+    return index.search("the of", 60).select("id", R6("rank").alias("rank")).orderBy("rank", "id").limit(25)
+
+
 @query("hit_keys", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'id:' || doc_id WHEN 1 THEN 'doc:' || doc_id WHEN 2 THEN 'trace:' || doc_id ELSE 'hash:' || md5(text) END AS key FROM documents")
 def hit_keys(s, d):
     i = F.col("doc_id").cast("string")

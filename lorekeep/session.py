@@ -18,15 +18,21 @@ def build_session(name: str = "lorekeep", **conf: str) -> SparkSession:
     return SparkSession.builder.appName(name).config(map=settings | conf).getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the folder in spark.checkpoint.dir, where its lineage ends.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share.
 
     A session without that setting gets a temporary folder in local mode alone; on a cluster it is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-ckpt-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once and written to the shared folder, where its lineage ends."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
