@@ -4,9 +4,10 @@ A request is a row; its sections are columns. Each section may use its share and
 so what is left is carried along as a column. Conversation, memories and skills are chosen by the budget operators, one
 grouped job over all requests, and the sections are then joined in order.
 
-Memories are chosen from the most salient traces, which are the same for all, and from the traces that hold every word
-of the message to be answered. Messages have no embeddings in the tables, so the vector half of hybrid search finds
-nothing and each hit has its neutral score there.
+Memories are chosen from the person's most salient traces, and from the traces that hold every word of the message to be
+answered, found in the stored index. Messages have no embeddings in the tables, so the vector half of hybrid search finds
+nothing and each hit has its neutral score there. Skills are those that the message names. People whose memory is not kept
+get no history and no memories; the workspace is shown to those who may see preferences.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions.text import CUT_MARK, SENTENCE_ENDS, tokens
-from lorekeep.operators import budget, recall
-from lorekeep.operators.search import B, K1, n_terms, term_rows, terms
+from lorekeep.operators import budget, policy, recall
+from lorekeep.operators.search import skill_matches, terms
+from lorekeep.operators.textindex import TextIndex, rarity, weight
+from lorekeep.plans.knowledge import SUMMARY, documents_index
 from lorekeep.session import checkpointed
 from lorekeep.sources import adapters as ad
 
@@ -29,8 +32,8 @@ FORCE = 50
 HINT = "\nWhen your response draws on these memories, cite them as [1], [2], etc."
 
 
-#: Salient traces that every request may choose from, hits that it may have of its own, and words that a message needs for a search.
-SALIENT, HITS, WORDS = 30, 10, 3
+#: Salient traces of a person, hits that a request may have besides, words that a message needs for a search, recent messages, and workspace items.
+SALIENT, HITS, WORDS, RECENT, ITEMS = 30, 10, 3, 20, 5
 #: Of a message's words, how many of the rarest it meets traces by.
 RAREST = 3
 
@@ -42,44 +45,55 @@ def last_heard(messages: DataFrame) -> DataFrame:
     return heard.withColumn("_rank", F.row_number().over(newest)).where("_rank = 1").select("person", "content")
 
 
-def hits(asked: DataFrame, traces: DataFrame, limit: int = HITS) -> DataFrame:
-    """(person, id, content, salience): of asked (person, content) the limit best traces (id, content) that hold every word of it, by BM25.
+def hits(asked: DataFrame, index: TextIndex, limit: int = HITS) -> DataFrame:
+    """(person, id, salience): of asked (person, content) the limit best traces of the index that hold every word of it, by BM25.
 
-    A hit's salience is 1 less its combined score. Equal messages are searched once. Of the traces only the postings of words
-    that are asked for are kept. A message meets traces by the rarest of its words, and the others are then looked up for
-    these pairs alone, so texts are read once and only numbers are joined.
+    A hit's salience is 1 less its combined score. Equal messages are searched once. Of the index the blocks of words that are
+    asked for are read, and no text. A message meets traces by the rarest of its words, and the others are then looked up for
+    these pairs alone. Ids are unique in the index.
     """
     words = F.array_sort(F.array_distinct(terms(F.col("content"))))
     asked = asked.where(F.size(F.split(F.trim("content"), r"\s+")) >= WORDS).select("person", words.alias("words")).where(F.size("words") > 0)
     asked = checkpointed(asked.withColumn("q", F.unhex(F.sha2(F.array_join("words", " "), 256))))
     word = asked.select("q", "words").distinct().select("q", F.size("words").alias("n_words"), F.explode("words").alias("term"))
-    posting = term_rows(traces).join(word.select("term").distinct(), "term", "left_semi")
-    posting = checkpointed(posting.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")))
-    total = traces.select(n_terms(F.lower("content")).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    posting = checkpointed(index.postings(word).select("id", "dl", "term", "tf"))
     known = word.join(posting.groupBy("term").agg(F.count("*").alias("df")), "term")
     # a word that no trace has leaves its message without hits
     all_known = known.groupBy("q").agg(F.count("*").alias("k"), F.first("n_words").alias("n_words")).where("k = n_words").select("q")
-    rarity = F.row_number().over(Window.partitionBy("q").orderBy("df", "term"))
-    known = checkpointed(known.join(all_known, "q", "left_semi").withColumn("place", rarity))
+    rarest = F.row_number().over(Window.partitionBy("q").orderBy("df", "term"))
+    known = checkpointed(known.join(all_known, "q", "left_semi").withColumn("place", rarest))
     first = known.where(F.col("place") <= RAREST).select("q", "term", F.least("n_words", F.lit(RAREST)).alias("need"))
     pairs = first.join(posting, "term").groupBy("q", "id").agg(F.count("*").alias("have"), F.first("need").alias("need")).where("have = need").select("q", "id")
-    rows = pairs.join(known, "q").join(posting, ["id", "term"]).crossJoin(F.broadcast(total))  # one row
-    idf = F.greatest(F.lit(1e-6), F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + (F.col("dl") / F.col("avgdl") * B + 1 - B) * K1)
-    scored = rows.withColumn("_w", weight).groupBy("q", "id").agg(F.sum("_w").alias("score"), F.count("*").alias("k"), F.first("n_words").alias("n_words")).where("k = n_words")
+    rows = pairs.join(known, "q").join(posting, ["id", "term"])
+    rows = rows.withColumn("_w", rarity(index.n, F.col("df")) * weight(F.col("tf"), F.col("dl"), index.mean_length))
+    scored = rows.groupBy("q", "id").agg(F.sum("_w").alias("score"), F.count("*").alias("k"), F.first("n_words").alias("n_words")).where("k = n_words")
     best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     top = scored.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= limit)
     combined = (1 - F.col("score") / F.max("score").over(Window.partitionBy("q"))) * 0.5 + 0.25
-    found = checkpointed(asked.join(top.withColumn("salience", 1 - combined), "q").select("person", "id", "salience"))
-    return found.join(traces.select("id", "content"), "id").select("person", "id", "content", "salience")
+    return asked.join(top.withColumn("salience", 1 - combined), "q").select("person", "id", "salience")
 
 
-def assemble(requests: DataFrame, messages: DataFrame, salient: DataFrame, own: DataFrame, skills: DataFrame, total: int = 6000) -> DataFrame:
+def memories(requests: DataFrame, traces: DataFrame, index: TextIndex) -> DataFrame:
+    """person, id, kind, content, salience that requests (person, content: the message, null for none) may choose from.
+
+    Of the most salient traces (id, kind, tags, content, salience), three times SALIENT, those that carry the person as a tag,
+    SALIENT at most, and the traces that the message finds beside these.
+    """
+    top = traces.orderBy(F.desc("salience"), "id").limit(3 * SALIENT)  # a few rows, for all requests
+    tagged = top.select("id", "kind", "content", "salience", F.explode(F.array_distinct(F.transform("tags", F.lower))).alias("_tag"))
+    own = requests.select("person", F.lower("person").alias("_tag")).join(F.broadcast(tagged), "_tag").drop("_tag")
+    own = own.withColumn("_rank", F.row_number().over(Window.partitionBy("person").orderBy(F.desc("salience"), "id"))).where(F.col("_rank") <= SALIENT).drop("_rank")
+    own = checkpointed(own)
+    found = hits(requests.select("person", "content"), index).join(own.select("person", "id"), ["person", "id"], "left_anti")
+    found = checkpointed(found).join(traces.select("id", "content"), "id").withColumn("kind", F.lit("traces"))
+    return checkpointed(own.select("person", "id", "kind", "content", "salience").unionByName(found.select("person", "id", "kind", "content", "salience")))
+
+
+def assemble(requests: DataFrame, messages: DataFrame, traces: DataFrame, skills: DataFrame, total: int = 6000) -> DataFrame:
     """person, context, tokens_used, memories_loaded, trace_ids from requests (person, correction, identity, relationship, grounding).
 
-    messages (person, ord, speaker, content), traces and skills (person, ord, content) are fitted to their shares: salient
-    (id, kind, content, salience), a few that all may choose, and own (person, id, kind, content, salience), of other ids.
-    Texts are joined to the chosen only. A correction is always given, an identity that does not fit is cut further, a
+    messages (person, ord, speaker, content), traces (person, id, kind, content, salience) and skills (person, ord, content)
+    are fitted to their shares. Texts are joined to the chosen traces only. A correction is always given, an identity that does not fit is cut further, a
     relationship that does not fit is dropped, the other sections shrink to what is left. The count of tokens is taken anew
     from the whole text, headings included.
     """
@@ -95,13 +109,10 @@ def assemble(requests: DataFrame, messages: DataFrame, salient: DataFrame, own:
     rows = checkpointed(_spend(rows.join(recent, "person", "left"), "recent"))
 
     size = tokens(F.col("content")).alias("tokens")
-    few = budget_of("episodic")
-    shared = few.crossJoin(F.broadcast(salient.select("id", "salience", size)))
-    choice = shared.select("person", "id", "salience", "tokens", "_budget").unionByName(own.join(few, "person").select("person", "id", "salience", size, "_budget"))
+    choice = traces.join(budget_of("episodic"), "person").select("person", "id", "salience", size, "_budget")
     took = budget.knapsack(choice, F.col("_budget"), ("person",))
     memory = F.format_string("[%d] [%s | sal:%.2f] %s {trace:%s}", "nth", "kind", F.col("salience").cast("double"), "content", F.col("id").cast("string"))
-    lines = [took.join(F.broadcast(salient), "id"), took.join(own, ["person", "id"])]
-    chosen = lines[0].select("person", "nth", "id", "used", memory.alias("l")).unionByName(lines[1].select("person", "nth", "id", "used", memory.alias("l")))
+    chosen = took.join(traces, ["person", "id"]).select("person", "nth", "id", "used", memory.alias("l"))
     ordered = F.array_sort(F.collect_list(F.struct("nth", "id", "l")))
     episodic = chosen.groupBy("person").agg(
         F.concat(F.array_join(F.transform(ordered, lambda x: x["l"]), "\n"), F.lit(HINT)).alias("episodic"), F.count("*").alias("n_traces"), F.transform(ordered, lambda x: x["id"]).alias("trace_ids"), F.max("used").alias("_took"),
@@ -175,22 +186,37 @@ def _spend(rows: DataFrame, column: str) -> DataFrame:
     return rows.withColumn("_used", F.col("_used") + F.when(F.col(column).isNotNull(), tokens(F.col(column))).otherwise(0))
 
 
-def _context(s: SparkSession, d: str, total: int) -> DataFrame:
-    """A context for every conversation, its memories being the most salient documents and those that its last message finds."""
-    talk = ad.talk(s, d)
+def _requests(s: SparkSession, d: str, talk: DataFrame) -> DataFrame:
+    """A request for every conversation: its rights, its last message heard, and the texts of its sections."""
     n = F.regexp_extract("person", r"(\d+)", 1).cast("long")
-    people = talk.select("person").distinct()
-    requests = people.select(
-        "person", F.when(n % 4 == 0, F.lit("Name the thing. ")).alias("correction"), F.repeat(F.lit("I keep what matters. "), (n % 60).cast("int")).alias("identity"),
-        F.concat(F.lit("Known as "), "person", F.lit(". "), F.repeat(F.lit("Met before. "), (n % 90).cast("int"))).alias("relationship"), F.when(n % 5 != 0, F.repeat(F.lit("Be kind! "), (n % 70).cast("int"))).alias("grounding"),
+    people = talk.select("person").distinct().withColumns({"tier_name": F.element_at(F.array(*map(F.lit, policy.TIERS)), (n % 5 + 1).cast("int")), "source": F.lit("direct")})
+    people = policy.with_policy(people).select("person", "memory_persistent", "can_see_preferences")
+    slot = talk.where(~F.col("speaker").eqNullSafe("self")).select("person", "ord", F.substring("content", 1, 24).alias("item"), (F.col("ord") * 37 % 100 / 100).alias("priority"))
+    top = Window.partitionBy("person").orderBy(F.desc("priority"), "ord", "item")
+    slot = slot.withColumn("nth", F.row_number().over(top)).where(F.col("nth") <= ITEMS)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("nth", F.concat(F.lit("- "), "item").alias("l")))), lambda x: x["l"])
+    workspace = slot.groupBy("person").agg(F.concat(F.lit("Currently in working memory:\n"), F.array_join(lines, "\n")).alias("workspace"))
+    rows = people.join(workspace, "person", "left").join(last_heard(talk), "person", "left")
+    grounding = F.when(n % 5 != 0, F.repeat(F.lit("Be kind! "), (n % 70).cast("int")))
+    return rows.select(
+        "person", "memory_persistent", "content", F.when(n % 4 == 0, F.lit("Name the thing. ")).alias("correction"), F.repeat(F.lit("I keep what matters. "), (n % 60).cast("int")).alias("identity"),
+        F.concat(F.lit("Known as "), "person", F.lit(". "), F.repeat(F.lit("Met before. "), (n % 90).cast("int"))).alias("relationship"),
+        F.concat_ws("\n\n", F.when(grounding != "", grounding), F.when(F.col("can_see_preferences"), F.col("workspace"))).alias("grounding"),
     )
-    part = ad.table(s, d, "part").select(F.col("p_partkey").alias("ord"), F.concat(F.lit("Skill "), "p_name", F.lit(": "), F.repeat(F.concat("p_type", F.lit(". ")), (F.col("p_partkey") % 9).cast("int"))).alias("content"))
-    skills = people.select("person", F.explode(F.sequence(n % 50 + 1, n % 50 + 3)).alias("ord")).join(part, "ord")
-    traces = ad.traces(s, d).select("id", "kind", "content", "salience")
-    salient = s.createDataFrame(recall.get_by_salience(traces, limit=SALIENT).collect(), traces.schema)
-    found = hits(last_heard(talk), traces.select("id", "content")).withColumn("kind", F.lit("traces"))
-    own = found.join(F.broadcast(salient.select("id")), "id", "left_anti")
-    out = assemble(requests, talk, salient, own, skills, total)
+
+
+def _context(s: SparkSession, d: str, total: int) -> DataFrame:
+    """A context for every conversation."""
+    talk = ad.talk(s, d)
+    requests = checkpointed(_requests(s, d, talk))
+    kept = requests.where("memory_persistent")
+    skill = ad.table(s, d, "benchmark").select(F.col("item_id").alias("ord"), F.format_string("skill-%d", "item_id").alias("name"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("description"), "text")
+    named = skill_matches(requests.where("content is not null").select(F.col("person").alias("id"), "content"), skill.select("name", "description"))
+    skills = named.join(skill, "name").select(F.col("id").alias("person"), "ord", F.concat(F.lit("Skill "), "name", F.lit(": "), "text").alias("content"))
+    traces = ad.traces(s, d).withColumn("tags", F.array_append("tags", F.concat(F.lit("C"), (F.col("id") % 97).cast("string")))).select("id", "kind", "tags", "content", "salience")
+    chosen = memories(kept, traces, documents_index(s, d))
+    recent = recall.recent_per_person(talk.join(kept.select("person"), "person", "left_semi"), RECENT, ("ord", "content"))
+    out = assemble(requests, recent, chosen, skills, total)
     return out.select("person", F.md5("context").alias("context_md5"), "tokens_used", "memories_loaded")
 
 
@@ -210,29 +236,31 @@ def _oracle(total: int) -> str:
     words = r"list_filter(string_split_regex(strip_accents(lower({})), '[^\pL\pN]+'), lambda x: x <> '')"
     part = lambda title, c: f"CASE WHEN coalesce({c}, '') <> '' THEN '--- ' || {title} || ' ---' || chr(10) || {c} END"
     return rf"""WITH RECURSIVE {ad.TALK}, {ad.TRACES}, p AS (SELECT DISTINCT person, regexp_extract(person, '(\d+)', 1)::BIGINT AS n FROM talk),
-r0 AS (SELECT person, n, CASE WHEN n % 4 = 0 THEN 'Name the thing. ' END AS correction, repeat('I keep what matters. ', n % 60) AS identity, 'Known as ' || person || '. ' || repeat('Met before. ', n % 90) AS relationship, CASE WHEN n % 5 <> 0 THEN repeat('Be kind! ', n % 70) END AS grounding FROM p),
+wk AS (SELECT person, 'Currently in working memory:' || chr(10) || string_agg('- ' || item, chr(10) ORDER BY k) AS workspace FROM (SELECT person, substr(content, 1, 24) AS item, row_number() OVER (PARTITION BY person ORDER BY ord * 37 % 100 DESC, ord, substr(content, 1, 24)) AS k FROM talk WHERE speaker IS DISTINCT FROM 'self') WHERE k <= {ITEMS} GROUP BY person),
+r0 AS (SELECT person, n, n % 5 <= 3 AS kept, CASE WHEN n % 4 = 0 THEN 'Name the thing. ' END AS correction, repeat('I keep what matters. ', n % 60) AS identity, 'Known as ' || person || '. ' || repeat('Met before. ', n % 90) AS relationship, concat_ws(chr(10) || chr(10), CASE WHEN n % 5 <> 0 AND n % 70 > 0 THEN repeat('Be kind! ', n % 70) END, CASE WHEN n % 5 <= 2 THEN workspace END) AS grounding FROM p LEFT JOIN wk USING (person)),
 r1 AS (SELECT *, CASE WHEN coalesce(correction, '') <> '' THEN {tok('correction')} ELSE 0 END AS u0, {_short('identity', str(share['identity']))} AS i1 FROM r0),
 r2 AS (SELECT *, CASE WHEN coalesce(identity, '') = '' THEN NULL WHEN {tok('i1')} <= {available} - u0 THEN i1 WHEN {available} - u0 > {FORCE} THEN {_short('identity', f'{available} - u0')} END AS i2 FROM r1),
 r3 AS (SELECT *, u0 + CASE WHEN i2 IS NULL THEN 0 ELSE {tok('i2')} END AS u1, {_short('relationship', str(share['relationship']))} AS e1 FROM r2),
 r4 AS (SELECT *, CASE WHEN {tok('e1')} <= {available} - u1 THEN e1 END AS e2 FROM r3),
 r5 AS (SELECT *, u1 + CASE WHEN e2 IS NULL THEN 0 ELSE {tok('e2')} END AS u2 FROM r4), r6 AS (SELECT *, {_short('grounding', f"least({share['grounding']}, {available} - u2)")} AS g1 FROM r5),
 r7 AS (SELECT *, CASE WHEN coalesce(grounding, '') <> '' AND {available} - u2 > 0 AND {tok('g1')} <= {available} - u2 THEN g1 END AS g2 FROM r6), r8 AS (SELECT *, u2 + CASE WHEN g2 IS NULL THEN 0 ELSE {tok('g2')} END AS u3 FROM r7),
-m AS (SELECT t.*, sum({tok('content')} + 4) OVER (PARTITION BY person ORDER BY ord DESC, content DESC ROWS UNBOUNDED PRECEDING) AS used, least({share['recent']}, {available} - u3) AS b FROM talk t JOIN r8 USING (person)),
+m AS (SELECT t.*, sum({tok('content')} + 4) OVER (PARTITION BY person ORDER BY ord DESC, content DESC ROWS UNBOUNDED PRECEDING) AS used, least({share['recent']}, {available} - u3) AS b FROM talk t JOIN r8 USING (person) WHERE kept QUALIFY row_number() OVER (PARTITION BY person ORDER BY ord DESC, content DESC) <= {RECENT}),
 mm AS (SELECT person, string_agg('[' || coalesce(speaker, '?') || ']: ' || coalesce(content, ''), chr(10) ORDER BY ord, content) AS recent, count(*) AS n_recent FROM m WHERE b > 0 AND used <= b GROUP BY person),
 r9 AS (SELECT r8.*, recent, coalesce(n_recent, 0) AS n_recent, u3 + CASE WHEN recent IS NULL THEN 0 ELSE {tok('recent')} END AS u4 FROM r8 LEFT JOIN mm USING (person)),
-top AS (SELECT id, kind, content, salience FROM traces ORDER BY salience DESC, id LIMIT {SALIENT}),
+sal AS (SELECT person, id, kind, content, salience FROM r0 JOIN (SELECT * FROM traces ORDER BY salience DESC, id LIMIT 3 * {SALIENT}) t ON person = concat('c', id % 97) WHERE kept QUALIFY row_number() OVER (PARTITION BY person ORDER BY salience DESC, id) <= {SALIENT}),
 ask AS (SELECT person, arg_max(content, (ord, content)) AS content FROM talk WHERE speaker IS DISTINCT FROM 'self' GROUP BY person),
-asked AS (SELECT person, list_sort(list_distinct({words.format('content')})) AS w FROM ask WHERE len(string_split_regex(trim(content), '\s+')) >= {WORDS}), want AS (SELECT person, unnest(w) AS term, len(w) AS need FROM asked WHERE len(w) > 0),
+asked AS (SELECT person, list_sort(list_distinct({words.format('content')})) AS w FROM ask JOIN r0 USING (person) WHERE kept AND len(string_split_regex(trim(content), '\s+')) >= {WORDS}), want AS (SELECT person, unnest(w) AS term, len(w) AS need FROM asked WHERE len(w) > 0),
 dt AS (SELECT id, {words.format('content')} AS w FROM traces), du AS (SELECT id, len(w) AS dl, unnest(w) AS term FROM dt), tf AS (SELECT id, dl, term, count(*) AS tf FROM du GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), c AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM dt),
 hit AS (SELECT person, id, sum(greatest(1e-6, ln((n - df + .5) / (df + .5))) * tf * 2.2 / (tf + 1.2 * (1 - .75 + .75 * dl / avgdl))) AS score FROM want JOIN tf USING (term) JOIN df USING (term), c GROUP BY person, id, need HAVING count(*) = need),
 best AS (SELECT *, row_number() OVER (PARTITION BY person ORDER BY score DESC, id) AS k FROM hit), own AS (SELECT person, id, 1 - ((1 - score / max(score) OVER (PARTITION BY person)) * .5 + .25) AS salience FROM best WHERE k <= {HITS}),
-ch AS (SELECT person, id, kind, content, salience::DOUBLE AS salience, least({share['episodic']}, {available} - u4) AS b FROM r9, top UNION ALL SELECT person, id, 'traces', content, own.salience, least({share['episodic']}, {available} - u4) FROM own JOIN traces USING (id) JOIN r9 USING (person) WHERE id NOT IN (SELECT id FROM top)),
+ch AS (SELECT person, id, kind, content, salience::DOUBLE AS salience, least({share['episodic']}, {available} - u4) AS b FROM r9 JOIN sal USING (person) UNION ALL SELECT person, id, 'traces', content, own.salience, least({share['episodic']}, {available} - u4) FROM own JOIN traces USING (id) JOIN r9 USING (person) WHERE (person, id) NOT IN (SELECT (person, id) FROM sal)),
 o AS (SELECT *, {tok('content')} AS t, row_number() OVER (PARTITION BY person ORDER BY salience / {tok('content')} DESC, id) AS k FROM ch WHERE b > 0 AND {tok('content')} <= b),
 f(person, k, id, nth, used, took) AS (SELECT DISTINCT person, 0::BIGINT, NULL::BIGINT, 0::BIGINT, 0::BIGINT, FALSE FROM o UNION ALL
   SELECT o.person, o.k, o.id, nth + (f.used + o.t <= o.b)::INT, CASE WHEN f.used + o.t <= o.b THEN f.used + o.t ELSE f.used END, f.used + o.t <= o.b FROM f JOIN o ON o.person = f.person AND o.k = f.k + 1),
 ep AS (SELECT f.person, string_agg(format('[{{}}] [{{}} | sal:{{:.2f}}] {{}} {{{{trace:{{}}}}}}', nth, kind, salience, content, f.id), chr(10) ORDER BY nth) || chr(10) || {HINT.strip()!r} AS episodic, count(*) AS n_traces, max(used) AS took FROM f JOIN o ON o.person = f.person AND o.id = f.id WHERE f.took GROUP BY f.person),
 ra AS (SELECT r9.*, episodic, coalesce(n_traces, 0) AS n_traces, u4 + coalesce(took, 0) AS u5 FROM r9 LEFT JOIN ep USING (person)),
-sk AS (SELECT person, p_partkey AS ord, 'Skill ' || p_name || ': ' || repeat(p_type || '. ', p_partkey % 9) AS content, least({share['procedural']}, {available} - u5) AS b FROM ra JOIN part ON p_partkey BETWEEN n % 50 + 1 AND n % 50 + 3),
+sd AS (SELECT item_id AS ord, concat('skill-', item_id) AS name, text, list_filter(regexp_extract_all(lower(array_to_string(string_split(text, ' ')[1:3], ' ')), '[a-z0-9]+'), lambda w: w NOT IN ({SUMMARY}) AND length(w) >= 4) AS k FROM benchmark),
+sk AS (SELECT person, ord, 'Skill ' || name || ': ' || text AS content, least({share['procedural']}, {available} - u5) AS b FROM ra JOIN ask USING (person) JOIN sd ON contains(lower(ask.content), name) OR len(list_filter(k, lambda w: contains(lower(ask.content), w))) > 0),
 s1 AS (SELECT *, coalesce(sum({tok('content')}) OVER (PARTITION BY person ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sk WHERE b > 0),
 s2 AS (SELECT person, ord, CASE WHEN before + {tok('content')} <= b THEN content ELSE {_short('content', 'b - before')} END AS content FROM s1 WHERE before <= b AND (before + {tok('content')} <= b OR b - before > 20)),
 s3 AS (SELECT person, string_agg(content, chr(10) || '---' || chr(10) ORDER BY ord) AS skills, count(*) AS n_skills FROM s2 GROUP BY person),
