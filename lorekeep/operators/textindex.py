@@ -22,6 +22,8 @@ from lorekeep.sources import versions
 
 #: Folders that terms are dealt to; documents of a range, about; tasks that write a folder at most.
 BUCKETS, RANGE, SPREAD = 16, 4096, 8
+#: An append of so many documents at most is dealt out before its texts are cut into terms: a small file may be one task's.
+DEALT = 1_000_000
 #: Ranges that are read first for the best k.
 FIRST = 4
 _SCHEMA = "name string, n long, length long, ranges int, buckets int"
@@ -60,6 +62,8 @@ class TextIndex:
         if not n:
             return self
         ranges = max(1, -(-n // docs_per_range))
+        if n <= DEALT:
+            docs = docs.repartition(2 * self.spark.sparkContext.defaultParallelism)
         rows = docs.select(F.col(id_col).alias("id"), *keep, F.coalesce(terms(F.col(text)), F.array().cast("array<string>")).alias("w"))
         rows = rows.withColumn("range", F.pmod(F.xxhash64("id"), F.lit(ranges)).cast("int")).withColumn("dl", F.size("w"))
         name = f"s{self.version + 1}"
