@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.operators.temporal import gap_groups, segments
+from lorekeep.session import checkpointed
 
 #: Tags that name no person.
 PROCESS_TAGS = ["consolidation", "compaction", "test"]
@@ -59,20 +60,22 @@ def consolidate_arcs(threads: DataFrame, least: int = 3, salience: float = 0.85)
     return out.where(F.col("n") >= least).withColumn("salience", F.lit(salience))
 
 
-def lineage(links: DataFrame, most: int = 64) -> DataFrame:
+def lineage(links: DataFrame) -> DataFrame:
     """(id, ancestor, depth) from links (id, parent), up to the root; a row that is its own parent has none.
 
-    One join a level, until a level gives no row. most stops at links that go round.
+    Each round reaches twice as far: the ancestors of those at the farthest depth known are added to them, so a chain of n
+    links takes as many rounds as n has binary digits. Links that go round name each other row once, by the shortest way.
     """
-    up = links.where("parent is not null and parent <> id").select("id", "parent")
-    above = up.select(F.col("id").alias("_at"), F.col("parent").alias("_up"))
-    out = step = up.select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
-    for depth in range(2, most + 1):
-        step = step.join(above, step["ancestor"] == above["_at"]).select("id", F.col("_up").alias("ancestor"), F.lit(depth).alias("depth"))
-        if step.isEmpty():
-            return out
-        out = out.unionByName(step)
-    raise ValueError(f"links go on beyond {most} levels")
+    known = checkpointed(links.where("parent is not null and parent <> id").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")))
+    reach = 1
+    while True:
+        far = known.where(F.col("depth") == reach).select("id", F.col("ancestor").alias("_at"))
+        above = known.select(F.col("id").alias("_at"), "ancestor", (F.col("depth") + reach).alias("depth"))
+        more = far.join(above, "_at").where("id <> ancestor").select("id", "ancestor", "depth")
+        known = checkpointed(known.unionByName(more).groupBy("id", "ancestor").agg(F.min("depth").alias("depth")))
+        reach *= 2
+        if known.where(F.col("depth") == reach).isEmpty():
+            return known
 
 
 def with_key(df: DataFrame, key: str, value: Column) -> DataFrame:

@@ -6,12 +6,16 @@ row (operators.fold). The streaming forms (lorekeep.streaming) keep the same sta
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions.text import clamp, ladder, words
+from lorekeep.operators import scan
 from lorekeep.operators.fold import ordered_fold
 from lorekeep.operators.temporal import last_k, micros
+from lorekeep.session import checkpointed
 
 #: Hourly decay of valence, arousal and dominance.
 DECAY = (0.9, 0.7, 0.8)
@@ -34,24 +38,117 @@ def feeling(v: Column, a: Column) -> Column:
     )
 
 
-def emotion_fold(events: DataFrame, decay: tuple[float, float, float] = DECAY) -> DataFrame:
+def emotion_fold(events: DataFrame, decay: tuple[float, float, float] = DECAY, hot_rows: int | None = None) -> DataFrame:
     """person, n, valence, arousal, dominance, mood after all events (person, ts, id, dv, da, dd, intensity), from 0, 0.5, 0.5 at the first.
 
     Between events valence decays to 0 and the others to 0.5; an event then adds its change times its intensity, kept in range.
+    A hot person's events are folded in chunks by many tasks.
     """
+    last = lambda s: [(s[0], *s[2:])]
+    schema = "n long, valence double, arousal double, dominance double"
+
+    def cold(rows):
+        return ordered_fold(rows, ["person"], ["ts", "id"], ["_at", *CHANGES], lambda: (0, None, *CALM), _feel(decay, False), last, schema)
+
+    def hot(rows):
+        return _chunk_states(_linked(rows), decay).where("last").select("person", F.col("n_after").alias("n"), *[F.col(f"{c}_after").alias(c) for c in FACETS])
+
+    out = scan.by_heat(events.withColumn("_at", micros("ts")), ["person"], cold, hot, hot_rows)
+    return out.withColumn("mood", mood(F.col("valence"), F.col("arousal"), F.col("dominance")))
+
+
+def mood_history(events: DataFrame, decay: tuple[float, float, float] = DECAY, last: int | None = None, hot_rows: int | None = None) -> DataFrame:
+    """person, id, n, valence, arousal, dominance, mood after each event, of the last ones of each person where last is given.
+
+    events as in emotion_fold, whose steps these are. A hot person's chunks begin with what the chunks before lead to.
+    """
+    schema = "id long, n long, valence double, arousal double, dominance double"
+    rows = events.withColumns({"_at": micros("ts"), "id": F.col("id").cast("long")})
+
+    def cold(rows):
+        return ordered_fold(rows, ["person"], ["ts", "id"], ["_at", *CHANGES, "id"], lambda: (0, None, *CALM), _feel(decay, True), lambda s: (), schema)
+
+    def hot(rows):
+        linked = checkpointed(_linked(rows))
+        starts = _chunk_states(linked, decay).select(F.col("person").alias("_who"), scan.AT, "n_before", *[f"{c}_before" for c in FACETS])
+        started = linked.join(starts, F.col("person").eqNullSafe(F.col("_who")) & (linked[scan.AT] == starts[scan.AT])).drop("_who").drop(starts[scan.AT])
+        fold = _feel(decay, True)
+
+        def step(state, before, at, dv, da, dd, weight, item, *start):
+            state, out = fold((start[0], None, *start[1:]) if state is None else state, at, dv, da, dd, weight, item, before)
+            return state, out
+
+        cols = ["_before", "_at", *CHANGES, "id", "n_before", *[f"{c}_before" for c in FACETS]]
+        return ordered_fold(started, ["person", scan.AT], [scan.NTH], cols, lambda: None, step, lambda s: (), schema).drop(scan.AT)
+
+    out = scan.by_heat(rows, ["person"], cold, hot, hot_rows)
+    out = out.withColumn("mood", mood(F.col("valence"), F.col("arousal"), F.col("dominance")))
+    if last is None:
+        return out
+    newest = Window.partitionBy("person").orderBy(F.desc("n"))
+    return out.withColumn("_back", F.row_number().over(newest)).where(F.col("_back") <= last).drop("_back")
+
 
-    def step(state, at, dv, da, dd, weight):
+FACETS, CHANGES, CALM = ["valence", "arousal", "dominance"], ["dv", "da", "dd", "intensity"], (0.0, 0.5, 0.5)
+
+
+def _feel(decay: tuple[float, float, float], told: bool) -> Callable:
+    """The step of an event: state (n, time of the last, valence, arousal, dominance); with told it emits the event's id and what follows."""
+
+    def step(state, at, dv, da, dd, weight, item=None, before=None):
         n, last, v, a, d = state
+        last = before if last is None else last
         hours = 0.0 if last is None or at is None else (at - last) / 3.6e9
         v, a, d = v * decay[0] ** hours, (a - 0.5) * decay[1] ** hours + 0.5, (d - 0.5) * decay[2] ** hours + 0.5
-        return (n + 1, at, max(-1.0, min(1.0, v + dv * weight)), max(0.0, min(1.0, a + da * weight)), max(0.0, min(1.0, d + dd * weight))), ()
+        state = (n + 1, at, max(-1.0, min(1.0, v + dv * weight)), max(0.0, min(1.0, a + da * weight)), max(0.0, min(1.0, d + dd * weight)))
+        return state, ([(item, state[0], *state[2:])] if told else ())
+
+    return step
+
+
+def _linked(rows: DataFrame) -> DataFrame:
+    """rows in chunks, each with _before, the time of the person's event before."""
+    rows = scan.in_chunks(scan.numbered(rows, ["person"], ["ts", "id"]), halo=1)
+    return scan.without_halo(rows.withColumn("_before", F.lag("_at").over(scan.in_order())))
+
 
-    rows = events.withColumn("_at", micros("ts"))
-    out = ordered_fold(
-        rows, ["person"], ["ts", "id"], ["_at", "dv", "da", "dd", "intensity"], lambda: (0, None, 0.0, 0.5, 0.5), step, lambda s: [(s[0], *s[2:])],
-        "n long, valence double, arousal double, dominance double",
+def _chunk_states(linked: DataFrame, decay: tuple[float, float, float]) -> DataFrame:
+    """person, _chunk, n and the facets before and after each chunk of a person's events, and whether it is the last.
+
+    An event is a step x -> min(b, max(a, s * x + t)) in each facet. Such steps compose to one of the kind, so a chunk's are
+    put together in its own task, and then a person's chunks, a row each, one after another.
+    """
+    bounds, rest = ((-1.0, 1.0), (0.0, 1.0), (0.0, 1.0)), CALM
+
+    def then(f, s, t, lo, hi):
+        """f, and after it x -> min(hi, max(lo, s * x + t))."""
+        within = lambda x: min(hi, max(lo, s * x + t))
+        return f[0] * s, f[1] * s + t, within(f[2]), within(f[3])
+
+    def compose(state, before, at, *change):
+        n, facets = state
+        hours = 0.0 if before is None or at is None else (at - before) / 3.6e9
+        shrink = [k**hours for k in decay]
+        # towards the resting value r: r + (x - r) * k, then the change
+        return (n + 1, [then(f, k, r - r * k + c * change[3], *b) for f, k, r, c, b in zip(facets, shrink, rest, change, bounds)]), ()
+
+    inf = float("inf")
+    steps = [f"{c}_{p}" for c in FACETS for p in ("s", "t", "a", "b")]
+    made = ordered_fold(
+        linked, ["person", scan.AT], [scan.NTH], ["_before", "_at", *CHANGES], lambda: (0, [(1.0, 0.0, -inf, inf)] * 3), compose, lambda s: [(s[0], *[x for f in s[1] for x in f])],
+        "n long, " + ", ".join(f"{c} double" for c in steps),
+    )
+
+    def follow(state, chunk, n, *step):
+        count, values, held = state
+        after = [min(step[4 * i + 3], max(step[4 * i + 2], step[4 * i] * v + step[4 * i + 1])) for i, v in enumerate(values)]
+        return (count + n, after, (chunk, count, *values, count + n, *after, False)), [held] if held else ()
+
+    sides = [f"{c}_{p} double" for p in ("before", "after") for c in FACETS]
+    return ordered_fold(
+        made, ["person"], [scan.AT], [scan.AT, "n", *steps], lambda: (0, list(CALM), None), follow, lambda s: [(*s[2][:-1], True)],
+        f"{scan.AT} long, n_before long, {', '.join(sides[:3])}, n_after long, {', '.join(sides[3:])}, last boolean",
     )
-    return out.withColumn("mood", mood(F.col("valence"), F.col("arousal"), F.col("dominance")))
 
 
 def nudge(health: Column, message: Column, salience: Column) -> dict[str, Column]:

@@ -6,47 +6,76 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions.text import ladder
+from lorekeep.operators import scan
 
 
 def micros(column: str) -> Column:
     return F.unix_micros(F.col(column).cast("timestamp"))
 
 
-def gap_groups(df: DataFrame, keys: list[str], ts: str, hours: float, name: str, inclusive: bool = False, order: tuple[str, ...] = ("id",)) -> DataFrame:
+def gap_groups(df: DataFrame, keys: list[str], ts: str, hours: float, name: str, inclusive: bool = False, order: tuple[str, ...] = ("id",), hot_rows: int | None = None) -> DataFrame:
     """df with name, counted from 0 within keys: a gap over hours (or of hours, if inclusive) starts the next one. A null time is no gap."""
-    w = Window.partitionBy(*keys).orderBy(ts, *order)
-    gap = F.coalesce(micros(ts) - F.lag(micros(ts)).over(w), F.lit(0))
+    return _gaps(df, keys, ts, hours, name, inclusive, order, hot_rows).drop("_place")
+
+
+def _gaps(df: DataFrame, keys: list[str], ts: str, hours: float, name: str, inclusive: bool, order: tuple[str, ...], hot_rows: int | None) -> DataFrame:
+    """gap_groups, with _place, each row's place in its group, from 0. A hot key's rows are read in chunks."""
     limit = int(hours * 3_600_000_000)
-    new = gap >= limit if inclusive else gap > limit
-    return df.withColumn("_new", F.when(new, 1).otherwise(0)).withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
+    def new(w) -> Column:
+        gap = F.coalesce(micros(ts) - F.lag(micros(ts)).over(w), F.lit(0))
+        return F.when(gap >= limit if inclusive else gap > limit, 1).otherwise(0)
+
+    def cold(rows):
+        w = Window.partitionBy(*keys).orderBy(ts, *order)
+        rows = rows.withColumn("_new", new(w)).withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+        return rows.withColumn("_place", (F.row_number().over(Window.partitionBy(*keys, name).orderBy(ts, *order)) - 1).cast("long"))
+
+    def hot(rows):
+        rows = scan.in_chunks(scan.numbered(rows, keys, [ts, *order]), halo=1)
+        rows = scan.without_halo(rows.withColumn("_new", new(scan.in_order())))
+        begins = F.when((F.col("_new") == 1) | (F.col(scan.NTH) == 1), F.col(scan.NTH))
+        rows = scan.running(rows.withColumn("_begins", begins), {name: (F.sum, "_new"), "_first": (F.max, "_begins")})
+        return scan.plain(rows.withColumn("_place", F.col(scan.NTH) - F.col("_first")), "_new", "_begins", "_first")
 
-def sessions(messages: DataFrame, hours: float = 2.0) -> DataFrame:
+    return scan.by_heat(df, keys, cold, hot, hot_rows)
+
+
+def sessions(messages: DataFrame, hours: float = 2.0, hot_rows: int | None = None) -> DataFrame:
     """person, session, started, ended, message_count; a gap of hours ends a session."""
-    grouped = gap_groups(messages, ["person"], "ts", hours, "session", inclusive=True)
+    grouped = gap_groups(messages, ["person"], "ts", hours, "session", inclusive=True, hot_rows=hot_rows)
     return grouped.groupBy("person", "session").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count("*").alias("message_count"))
 
 
-def segments(messages: DataFrame, size: int = 30, hours: float = 2.0) -> DataFrame:
+def segments(messages: DataFrame, size: int = 30, hours: float = 2.0, hot_rows: int | None = None) -> DataFrame:
     """messages with session and part: a gap over hours or size messages start the next part."""
-    grouped = gap_groups(messages, ["person"], "ts", hours, "session")
-    w = Window.partitionBy("person", "session").orderBy("ts", "id")
-    return grouped.withColumn("part", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
+    grouped = _gaps(messages, ["person"], "ts", hours, "session", False, ("id",), hot_rows)
+    return grouped.withColumn("part", F.floor(F.col("_place") / size).cast("long")).drop("_place")
 
 
-def rolling_health(readings: DataFrame, window: int = 50) -> DataFrame:
+def rolling_health(readings: DataFrame, window: int = 50, hot_rows: int | None = None) -> DataFrame:
     """readings (person, ts, id, health) with recent_health, trend and recovery_rate over the last window readings."""
-    w = Window.partitionBy("person").orderBy("ts", "id")
-    nth = F.row_number().over(w)
-    recent, before = F.avg("health").over(w.rowsBetween(-4, 0)), F.avg("health").over(w.rowsBetween(-9, -5))
-    diff = recent - before
-    trend = F.when(diff > 0.05, "improving").when(diff < -0.05, "declining").otherwise("stable")
-    last = F.lag("health").over(w)
-    rise = F.when((last < 0.5) & (F.col("health") > last), F.col("health") - last)
-    out = readings.withColumns({"nth": nth, "recent_health": recent, "trend": trend, "_rise": rise})
-    # within the last window readings there are window - 1 steps
-    rate = F.coalesce(F.avg("_rise").over(w.rowsBetween(2 - window, 0)), F.lit(0.0))
-    return out.withColumn("recovery_rate", F.when(F.col("nth") < 3, 0.0).otherwise(rate)).drop("_rise")
+
+    def rolled(rows: DataFrame, w, nth: Column) -> DataFrame:
+        recent, before = F.avg("health").over(w.rowsBetween(-4, 0)), F.avg("health").over(w.rowsBetween(-9, -5))
+        diff = recent - before
+        trend = F.when(diff > 0.05, "improving").when(diff < -0.05, "declining").otherwise("stable")
+        last = F.lag("health").over(w)
+        rise = F.when((last < 0.5) & (F.col("health") > last), F.col("health") - last)
+        out = rows.withColumns({"nth": nth, "recent_health": recent, "trend": trend, "_rise": rise})
+        # within the last window readings there are window - 1 steps
+        rate = F.coalesce(F.avg("_rise").over(w.rowsBetween(2 - window, 0)), F.lit(0.0))
+        return out.withColumn("recovery_rate", F.when(F.col("nth") < 3, 0.0).otherwise(rate)).drop("_rise")
+
+    def cold(rows):
+        w = Window.partitionBy("person").orderBy("ts", "id")
+        return rolled(rows, w, F.row_number().over(w).cast("long"))
+
+    def hot(rows):
+        rows = scan.in_chunks(scan.numbered(rows, ["person"], ["ts", "id"]), halo=max(window, 10))
+        return scan.plain(scan.without_halo(rolled(rows, scan.in_order(), F.col(scan.NTH))))
+
+    return scan.by_heat(readings, ["person"], cold, hot, hot_rows)
 
 
 def last_k(df: DataFrame, k: int, keys: tuple[str, ...] = ("person",), order: tuple[str, ...] = ("ts", "id")) -> DataFrame:

@@ -372,11 +372,14 @@ def _feelings(s, d):
     )
 
 
-@query("emotion_fold", """WITH RECURSIVE e AS (SELECT concat('u', user_id) AS person, event_id % 9 / 4 - 1 AS dv, event_id % 5 / 4 - .5 AS da, event_id % 7 / 6 - .5 AS dd, event_id % 3 / 2 AS it, row_number() OVER w AS k,
+#: The feelings of a person after each event, (person, k, id, v, a, d), in recursive SQL.
+FELT = """e AS (SELECT concat('u', user_id) AS person, event_id % 9 / 4 - 1 AS dv, event_id % 5 / 4 - .5 AS da, event_id % 7 / 6 - .5 AS dd, event_id % 3 / 2 AS it, row_number() OVER w AS k,
   coalesce((epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 3.6e9, 0) AS h FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 f(person, k, v, a, d) AS (SELECT DISTINCT person, 0::BIGINT, 0.0::DOUBLE, 0.5::DOUBLE, 0.5::DOUBLE FROM e UNION ALL
-  SELECT e.person, e.k, greatest(-1.0, least(1.0, v * 0.9 ** h + dv * it)), greatest(0.0, least(1.0, .5 + (a - .5) * 0.7 ** h + da * it)), greatest(0.0, least(1.0, .5 + (d - .5) * 0.8 ** h + dd * it)) FROM f JOIN e ON e.person = f.person AND e.k = f.k + 1),
-m AS (SELECT person, max(k) AS k FROM f GROUP BY person) SELECT person, f.k AS n, round(v, 6) AS valence, round(a, 6) AS arousal, round(d, 6) AS dominance FROM f JOIN m USING (person, k)""")
+  SELECT e.person, e.k, greatest(-1.0, least(1.0, v * 0.9 ** h + dv * it)), greatest(0.0, least(1.0, .5 + (a - .5) * 0.7 ** h + da * it)), greatest(0.0, least(1.0, .5 + (d - .5) * 0.8 ** h + dd * it)) FROM f JOIN e ON e.person = f.person AND e.k = f.k + 1)"""
+
+
+@query("emotion_fold", f"""WITH RECURSIVE {FELT}, m AS (SELECT person, max(k) AS k FROM f GROUP BY person) SELECT person, f.k AS n, round(v, 6) AS valence, round(a, 6) AS arousal, round(d, 6) AS dominance FROM f JOIN m USING (person, k)""")
 def emotion_fold(s, d):
     rows = state.emotion_fold(_feelings(s, d))
     return rows.select("person", "n", *[R6(c).alias(c) for c in ("valence", "arousal", "dominance")])
@@ -388,6 +391,15 @@ WHEN a > .7 THEN CASE WHEN d > .5 THEN 'activated' ELSE 'anxious' END WHEN a < .
 FEEL = "CASE WHEN v > .5 AND a > .6 THEN 'excited' WHEN v > .5 AND a < .4 THEN 'content' WHEN v > .5 THEN 'happy' WHEN v < -.5 AND a > .6 THEN 'distressed' WHEN v < -.5 AND a < .4 THEN 'sad' WHEN v < -.5 THEN 'unhappy' WHEN a > .7 THEN 'aroused' WHEN a < .3 THEN 'calm' ELSE 'neutral' END"
 
 
+@query("mood_history", f"""WITH RECURSIVE {FELT}, x AS (SELECT person, k, event_id AS id FROM (SELECT concat('u', user_id) AS person, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)),
+r AS (SELECT person, id, f.k AS n, round(v, 4) AS v, round(a, 4) AS a, round(d, 4) AS d FROM f JOIN x USING (person, k) QUALIFY row_number() OVER (PARTITION BY person ORDER BY f.k DESC) <= 10)
+SELECT person, id, n, v AS valence, a AS arousal, d AS dominance, {MOODS} AS mood FROM r""")
+def mood_history(s, d):
+    """The last ten states of each person; all events under one person give the same through chunks (tests)."""
+    rows = state.mood_history(_feelings(s, d), last=10).select("person", "id", "n", *[F.round(c, 4).alias(c) for c in state.FACETS])
+    return rows.withColumn("mood", state.mood(*[F.col(c) for c in state.FACETS]))
+
+
 @query("mood_labels", f"WITH x AS (SELECT event_id, event_id * 7 % 41 / 20 - 1 AS v, event_id * 11 % 23 / 22 AS a, event_id * 13 % 17 / 16 AS d FROM events) SELECT event_id, {MOODS} AS mood, {FEEL} AS feeling FROM x")
 def mood_labels(s, d):
     e = F.col("event_id")

@@ -239,7 +239,7 @@ rr AS (SELECT *, CASE WHEN last < .5 AND health > last THEN health - last END AS
 
 @query("rolling_health", f"WITH {ROLLING} SELECT id, person, nth::INT AS nth, round(recent, 6) AS recent_health FROM r")
 def rolling_health(s, d):
-    return temporal.rolling_health(_health(s, d)).select("id", "person", "nth", R6("recent_health").alias("recent_health"))
+    return temporal.rolling_health(_health(s, d)).select("id", "person", F.col("nth").cast("int").alias("nth"), R6("recent_health").alias("recent_health"))
 
 
 @query("health_trend", f"WITH {ROLLING} SELECT id, CASE WHEN recent - before > 0.05 THEN 'improving' WHEN recent - before < -0.05 THEN 'declining' ELSE 'stable' END AS trend FROM r")
