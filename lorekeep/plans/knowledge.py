@@ -324,13 +324,13 @@ def hybrid_search_compat(s, d):
 
 
 @query("skill_match_theta", r"""WITH s AS (SELECT DISTINCT p_name AS name, list_filter(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z0-9]+'), lambda w: length(w) >= 4) AS k FROM part),
-m AS (SELECT l_orderkey AS id, lower(l_returnflag || ' for a ' || p_name) AS t FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1), t AS (SELECT DISTINCT t FROM m),
+m AS (SELECT l_orderkey AS id, lower(l_returnflag || ' for a ' || p_name) AS t FROM lineitem JOIN part ON p_partkey = l_partkey), t AS (SELECT DISTINCT t FROM m),
 h AS (SELECT DISTINCT t, name FROM t JOIN s ON contains(t, lower(name)) OR len(list_filter(k, lambda w: contains(t, w))) > 0)
 SELECT id, count(DISTINCT name) AS n_skills FROM m JOIN h USING (t) GROUP BY id""")
 def skill_match_theta(s, d):
     part = ad.table(s, d, "part")
     skills = part.select(F.col("p_name").alias("name"), F.expr("p_name || ' ' || p_type").alias("description")).distinct()
-    m = ad.table(s, d, "lineitem").where("l_linenumber = 1").join(part, F.expr("p_partkey = l_partkey"))
+    m = ad.table(s, d, "lineitem").join(part, F.expr("p_partkey = l_partkey"))
     hits = search.skill_matches(m.select(F.col("l_orderkey").alias("id"), F.expr("l_returnflag || ' for a ' || p_name").alias("content")), skills)
     return hits.groupBy("id").agg(F.count_distinct("name").alias("n_skills"))
 
