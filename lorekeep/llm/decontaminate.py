@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,11 @@ IN_WORD = np.zeros(256, bool)
 IN_WORD[48:58] = IN_WORD[97:123] = IN_WORD[128:] = True
 
 
+def _spelt(text: bytes) -> list[bytes]:
+    """The words themselves, as words_of counts them."""
+    return re.findall(rb"[0-9a-z\x80-\xff]+", text.lower())
+
+
 class Items:
     """The benchmark's windows, sorted, over word numbers from 1; 0 is any word that no item has."""
 
@@ -37,6 +43,7 @@ class Items:
         self.ids = ids
         data, offsets = text_bytes(pa.array(texts, pa.string()))
         words, owner = words_of(data, offsets, IN_WORD, LOWER)
+        self.words = [_spelt(data[a:b].tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
         self.vocabulary = np.unique(words)
         number = (np.searchsorted(self.vocabulary, words) + 1).astype(np.int64)
         rows, width, item, place = [], [], [], []
@@ -101,6 +108,32 @@ class Items:
         run = np.diff(np.append(first, len(start)))
         return item[first], place[first], start[first], run - 1 + width[first]
 
+    def found(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(text, item, first word in the text, place in the item, words) of the longest verbatim matches, and all texts' words: (n of each).
+
+        matches goes by hashes; here each of its matches is compared word by word, and what differs is cut out of it.
+        """
+        words, owner = words_of(data, offsets, IN_WORD, LOWER)
+        counts = np.bincount(owner, minlength=len(offsets) - 1)
+        item, place, start, n = self.matches(words, owner)
+        who = owner[start]
+        start = start - (np.cumsum(counts) - counts)[who]
+        out, spelt = [], {}
+        for w, i, s, p, k in sorted(zip(who.tolist(), item.tolist(), start.tolist(), place.tolist(), n.tolist())):
+            if w not in spelt:
+                spelt = {w: _spelt(data[offsets[w] : offsets[w + 1]].tobytes())}
+            text, own = spelt[w][s : s + k], self.words[i][p : p + k]
+            if text == own:
+                out.append((w, i, s, p, k))
+                continue
+            least, at = min(WINDOW, len(self.words[i])), 0
+            for end in [j for j in range(k) if text[j] != own[j]] + [k]:
+                if end - at >= least:
+                    out.append((w, i, s + at, p + at, end - at))
+                at = end + 1
+        cols = np.array(out, np.int64).reshape(-1, 5).T
+        return (*cols, counts)
+
 
 def _blocks(benchmark: DataFrame, block_words: int):
     """Items in blocks of about block_words words, by a hash of their id and text; what is broadcast does not grow with the benchmark."""
@@ -122,12 +155,9 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         def run(batches, shared=shared):
             for b in batches:
                 for part, data, offsets in text_chunks(b, "_text"):
-                    words, owner = words_of(data, offsets, IN_WORD, LOWER)
-                    item, place, start, n = shared.value.matches(words, owner)
-                    first = np.searchsorted(owner, np.arange(part.num_rows))
-                    who = owner[start]
+                    who, item, start, place, n, _ = shared.value.found(data, offsets)
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("doc_id").take(pa.array(who)), pa.array([shared.value.ids[i] for i in item], pa.string()), pa.array(start - first[who]), pa.array(place), pa.array(n)],
+                        [part.column("doc_id").take(pa.array(who)), pa.array([shared.value.ids[i] for i in item], pa.string()), pa.array(start), pa.array(place), pa.array(n)],
                         ["doc_id", "item_id", "doc_word", "item_word", "n_words"],
                     )
 
@@ -160,18 +190,15 @@ def measure(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None
         def run(batches, shared=shared):
             for b in batches:
                 for part, data, offsets in text_chunks(b, "text"):
-                    words, owner = words_of(data, offsets, IN_WORD, LOWER)
-                    item, _, start, n = shared.value.matches(words, owner)
-                    first = np.searchsorted(owner, np.arange(part.num_rows))
+                    who, item, start, _, n, words = shared.value.found(data, offsets)
                     spans, ids = part.column("spans").to_pylist(), part.column("items").to_pylist()
-                    who = owner[start]
                     order = np.argsort(who, kind="stable")
                     for g in np.split(order, np.flatnonzero(np.diff(who[order])) + 1) if len(order) else []:
                         d = int(who[g[0]])
-                        own = np.column_stack([start[g] - first[d], start[g] - first[d] + n[g]]).astype(np.int64)
+                        own = np.column_stack([start[g], start[g] + n[g]]).astype(np.int64)
                         spans[d] = _merge(np.concatenate([np.frombuffer(spans[d], np.int64).reshape(-1, 2), own])).tobytes()
                         ids[d] = sorted({*ids[d], *(shared.value.ids[i] for i in set(item[g].tolist()))})
-                    counts = pa.array(np.bincount(owner, minlength=part.num_rows).astype(np.int64))
+                    counts = pa.array(words.astype(np.int64))
                     yield pa.RecordBatch.from_arrays([part.column("row"), part.column("text"), counts, pa.array(spans, pa.binary()), pa.array(ids, pa.list_(pa.string()))], ["row", "text", "n_words", "spans", "items"])
 
         rows = rows.mapInArrow(run, rows.schema)

@@ -17,6 +17,7 @@ components are looked at pair by pair, so that no link is lost.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 
 import numpy as np
@@ -224,7 +225,8 @@ def _candidates(corpus: Corpus, found: DataFrame, kind: str) -> DataFrame:
             first = np.searchsorted(who, np.arange(part.num_rows + 1))
             for i, at in enumerate(part.column("at").to_pylist()):
                 own = h[first[i] : first[i + 1]]
-                digest = mix64(own + np.uint64(1)).sum().tobytes()
+                raw = data[offsets[i] : offsets[i + 1]].tobytes()
+                digest = hashlib.blake2b(b" ".join(raw.lower().split()), digest_size=8).digest()  # of the words: equal hashes are no equal texts
                 bands[at] = [{"band": b, "need": q, "digest": digest, "sketch": parity(own, b), "tokens": x} for b, q, x in mine[number[at]]]
         n_of = dict(zip(sizes["doc"].tolist(), sizes["n"].tolist()))
         return pa.table(
@@ -241,7 +243,7 @@ def _stars(live: DataFrame, n: int) -> DataFrame:
     """Rows of FLAT: each document with a leader for each of its tokens, and with its tokens that three documents or more have.
 
     Tokens go to their bucket and come back to their document's. Which of a token's documents leads depends on the token,
-    so that the leaders of a group of alike documents are several. Of equal sets only the smallest document takes part,
+    so that the leaders of a group of alike documents are several. Of equal words only the smallest document takes part,
     and leads the others. Of a token that many of a task's documents have, the leader of these goes; the others are paired
     with it at once.
     """
@@ -394,10 +396,28 @@ def _across(open_: DataFrame, live: DataFrame) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(compare, "bucket int, pairs binary").groupBy("bucket").applyInArrow(once, "a long, b long")
 
 
+def linked(a: bytes, b: bytes, part_bytes: int = 4 << 20) -> bool:
+    """Whether the shingle sets of two texts are linked, word by word; of long texts a part of all shingles at a time."""
+    if a == b:
+        return bool(a.split())
+    words = [x.lower().split() for x in (a, b)]  # bytes: A-Z and ASCII white space alone
+    if not words[0] or not words[1]:
+        return False
+    parts, both, sizes = 1 + (len(a) + len(b)) // part_bytes, 0, 0
+    for k in range(parts):
+        own = []
+        for w in words:
+            every = zip(*[w[i:] for i in range(N_WORDS)]) if len(w) >= N_WORDS else iter([tuple(w)])
+            own.append(set(every) if parts == 1 else {s for s in every if hash(s) % parts == k})
+        both, sizes = both + len(own[0] & own[1]), sizes + len(own[0]) + len(own[1])
+    return SCALE * both >= LINK * (sizes - both)
+
+
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of the distinct pairs (a, b) whose sets are linked; docs has doc and text.
 
-    A document a with many partners is verified in several groups, each of which gets its text.
+    Hashes of shingles leave few pairs, which are then confirmed on their words. A document a with many partners is verified
+    in several groups, each of which gets its text.
     """
     sized = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("parts")), "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
     asks = sized.select("a", "part", F.col("b").alias("doc")).unionByName(sized.select("a", "part", F.col("a").alias("doc")).distinct())
@@ -407,7 +427,9 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         a, links = t.column("a")[0].as_py(), []
         doc, text = t.column("doc").to_numpy(), t.column("text").combine_chunks()
         leader = int(np.flatnonzero(doc == a)[0])
+        raw, _ = text_bytes(text.slice(leader, 1))
         _, own = shingles(*text_bytes(text.slice(leader, 1)))
+        raw = raw.tobytes()
         members = pa.RecordBatch.from_arrays([t.column("doc").combine_chunks(), text], ["doc", "text"])
         for part, data, offsets in text_chunks(members, "text"):
             who, h = shingles(data, offsets)
@@ -415,7 +437,7 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             both = np.bincount(who, weights=np.isin(h, own), minlength=part.num_rows).astype(np.int64)
             fit = SCALE * both >= LINK * (sizes + len(own) - both)
             number = part.column("doc").to_numpy()
-            links += number[fit & (number != a) & (sizes > 0)].tolist()
+            links += [int(number[i]) for i in np.flatnonzero(fit & (number != a) & (sizes > 0)) if linked(raw, data[offsets[i] : offsets[i + 1]].tobytes())]
         return pa.table({"a": pa.array([a] * len(links), pa.int64()), "b": pa.array(links, pa.int64())})
 
     return rows.groupBy("a", "part").applyInArrow(group, "a long, b long")
