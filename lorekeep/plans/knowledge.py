@@ -392,7 +392,7 @@ FEEL = "CASE WHEN v > .5 AND a > .6 THEN 'excited' WHEN v > .5 AND a < .4 THEN '
 
 
 @query("mood_history", f"""WITH RECURSIVE {FELT}, x AS (SELECT person, k, event_id AS id FROM (SELECT concat('u', user_id) AS person, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)),
-r AS (SELECT person, id, f.k AS n, round(v, 4) AS v, round(a, 4) AS a, round(d, 4) AS d FROM f JOIN x USING (person, k) QUALIFY row_number() OVER (PARTITION BY person ORDER BY f.k DESC) <= 10)
+r AS (SELECT person, id, f.k AS n, round(v, 4) + 0 AS v, round(a, 4) + 0 AS a, round(d, 4) + 0 AS d FROM f JOIN x USING (person, k) QUALIFY row_number() OVER (PARTITION BY person ORDER BY f.k DESC) <= 10)
 SELECT person, id, n, v AS valence, a AS arousal, d AS dominance, {MOODS} AS mood FROM r""")
 def mood_history(s, d):
     """The last ten states of each person; all events under one person give the same through chunks (tests)."""

@@ -11,9 +11,10 @@ from lorekeep.functions import signal, text
 from lorekeep.operators import readmodels as rm
 from lorekeep.operators import recall, rollup, salience, search, state, temporal, textindex
 from lorekeep.plans.knowledge import BIG5, BIG5_SQL, MOODS, _feelings, _items, _traits, documents_index
-from lorekeep.plans.memory import HEALTH, SESSIONS, THREADS, _health, _threads
-from lorekeep.session import shared_folder
+from lorekeep.plans.memory import EXCHANGES, HEALTH, LOG, SESSIONS, THREADS, _exchanges, _health, _threads
+from lorekeep.session import checkpointed, shared_folder
 from lorekeep.sources import adapters as ad
+from lorekeep.sources import snapshot
 from lorekeep.sources.adapters import MESSAGES, SIGNALS, TALK, TRACES
 
 QUERIES, ORACLES = {}, {}
@@ -444,6 +445,23 @@ def search_grown(s, d):
     return index.search("the of", 60).select("id", R6("rank").alias("rank")).orderBy("rank", "id").limit(25)
 
 
+@query("salience_merged", f"""WITH RECURSIVE {TRACES}, {EXCHANGES}, {LOG}, o AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY exchange_id, step) AS k FROM log),
+f(id, k, v) AS (SELECT id, 0::BIGINT, salience::DOUBLE FROM traces UNION ALL SELECT f.id, o.k, greatest(0.0, least(1.0, f.v + o.delta::DOUBLE)) FROM f JOIN o ON o.trace_id = f.id AND o.k = f.k + 1),
+m AS (SELECT id, max(k) AS k FROM f GROUP BY id) SELECT f.id, round(f.v, 6) AS salience FROM f JOIN m ON m.id = f.id AND m.k = f.k""")
+def salience_merged(s, d):
+    """salience_fold through a stored snapshot: the log is written and merged in two parts, the rest is folded while reading."""
+    log = salience.hebbian(_exchanges(s, d)).select(F.col("trace_id").alias("id"), (F.col("exchange_id") * 2 + F.col("step")).alias("seq"), "delta")
+    fold = lambda base, log: salience.apply_adjustments(base, log.withColumnRenamed("id", "trace_id"), ("seq",)).select("id", F.col("adjusted").alias("salience"))
+    table = snapshot.Snapshot(s, f"{shared_folder(s)}/snapshots/{uuid.uuid4().hex}", buckets=8).create(ad.traces(s, d).select("id", F.col("salience").cast("double")))
+    log = checkpointed(log)
+    cuts = log.selectExpr("percentile_approx(seq, array(0.4, 0.8)) as c").first()["c"] or [0, 0]
+    for since, until in ((None, cuts[0]), (cuts[0], cuts[1])):
+        table.append(log.where(F.col("seq") <= until if since is None else (F.col("seq") > since) & (F.col("seq") <= until)))
+        table.merge(fold)
+    table.append(log.where(F.col("seq") > cuts[1]))
+    return table.read(fold).select("id", R6("salience").alias("salience"))
+
+
 @query("hit_keys", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'id:' || doc_id WHEN 1 THEN 'doc:' || doc_id WHEN 2 THEN 'trace:' || doc_id ELSE 'hash:' || md5(text) END AS key FROM documents")
 def hit_keys(s, d):
     i = F.col("doc_id").cast("string")
