@@ -188,20 +188,23 @@ def test_files(spark, tmp_path):
     assert [r["owners"] for r in files.alias_conflicts(both).collect()] == [["a", "b"]]
 
 
-def test_context_memories_come_from_all_traces(spark, tmp_path):
+def test_context_inputs(spark, tmp_path):
+    """Salient traces of the person alone, hits of the message over all traces, skills that it names, and nothing kept for strangers."""
+    from lorekeep.operators.textindex import TextIndex
     from lorekeep.plans import context
 
     words = {27: "a salient one", 102: "Delta gamma beta alpha", 103: "alpha beta", 104: "gamma delta alpha beta beta and more words"}
     docs = [(i, words.get(i, f"filler{i}"), "en", "s") for i in range(200)]
-    turns = [(1, 0, "user", "x"), (1, 1, "user", "alpha beta gamma, delta"), (1, 2, "assistant", "y"), (2, 0, "user", "alpha beta"), (3, 0, "user", "alpha beta unheard")]
+    turns = [(1, 0, "user", "x"), (1, 1, "user", "alpha beta gamma, delta"), (1, 2, "assistant", "y"), (2, 0, "user", "alpha beta"), (3, 0, "user", "alpha beta unheard"), (4, 0, "user", "alpha beta gamma, delta")]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    spark.createDataFrame([(1000, "knot", "rope")], "p_partkey long, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1, "gamma rope knot and more"), (2, "other things only: gamma")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     loaded = {r["person"]: r["memories_loaded"] for r in context.context_assembly(spark, str(tmp_path)).collect()}
-    assert loaded == {"c1": 3 + 30 + 2, "c2": 1 + 30, "c3": 1 + 30}
-    traces = spark.createDataFrame([(i, t) for i, t, _, _ in docs], "id long, content string")
-    asked = context.last_heard(spark.createDataFrame([(f"c{c}", n, "self" if r == "assistant" else r, t) for c, n, r, t in turns], "person string, ord int, speaker string, content string"))
-    got = {(r["person"], r["id"]): r["salience"] for r in context.hits(asked, traces).collect()}
+    # messages, traces of ids 97 apart that are among the 90 most salient, hits, and skills; c4 is a stranger
+    assert loaded == {"c1": 3 + 0 + 2 + 1, "c2": 1 + 2, "c3": 1 + 1, "c4": 1}
+    index = TextIndex(spark, f"{tmp_path}/index").append(spark.createDataFrame([(i, t) for i, t, _, _ in docs], "id long, content string"))
+    asked = context.last_heard(spark.createDataFrame([(f"c{c}", n, "self" if r == "assistant" else r, t) for c, n, r, t in turns[:-1]], "person string, ord int, speaker string, content string"))
+    got = {(r["person"], r["id"]): r["salience"] for r in context.hits(asked, index).collect()}
     assert set(got) == {("c1", 102), ("c1", 104)} and max(got.values()) == 0.75
 
 
