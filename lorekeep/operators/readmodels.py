@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,19 +55,24 @@ def with_core_person(trust: DataFrame, core: str) -> DataFrame:
     return trust.where(F.lower("person") != core.lower()).select("person", "tier").unionByName(own)
 
 
+def due_step(interval: dict[str, int]) -> Callable:
+    """The step of a check: state the time of the last due one in microseconds; it emits the check's id and whether it is due."""
+
+    def step(last, time, item, level):
+        now = True if last is None else None if time is None else time - last >= interval.get(level, 0) * 1_000_000
+        return (time if now else last), [(item, now)]
+
+    return step
+
+
 def due_runs(checks: DataFrame, interval: dict[str, int]) -> DataFrame:
     """Checks (key, ts, id, level) with due: whether the level's interval in seconds has gone by since the last due one.
 
     Whether a check is due depends on the ones before, so a key's checks are read in order, and only the time of the last
     due one is carried from row to row.
     """
-
-    def step(last, time, item, level):
-        now = True if last is None else None if time is None else time - last >= interval.get(level, 0) * 1_000_000
-        return (time if now else last), [(item, now)]
-
     rows = checks.select("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("id").cast("bigint").alias("id"), "level")
-    return ordered_fold(rows, ["key"], ["at", "id", "level"], ["at", "id", "level"], lambda: None, step, lambda s: (), "id long, due boolean")
+    return ordered_fold(rows, ["key"], ["at", "id", "level"], ["at", "id", "level"], lambda: None, due_step(interval), lambda s: (), "id long, due boolean")
 
 
 def introspections(thoughts: DataFrame, quick: bool = False) -> DataFrame:

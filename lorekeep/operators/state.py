@@ -48,7 +48,7 @@ def emotion_fold(events: DataFrame, decay: tuple[float, float, float] = DECAY, h
     schema = "n long, valence double, arousal double, dominance double"
 
     def cold(rows):
-        return ordered_fold(rows, ["person"], ["ts", "id"], ["_at", *CHANGES], lambda: (0, None, *CALM), _feel(decay, False), last, schema)
+        return ordered_fold(rows, ["person"], ["ts", "id"], ["_at", *CHANGES], lambda: (0, None, *CALM), feel_step(decay, False), last, schema)
 
     def hot(rows):
         return _chunk_states(_linked(rows), decay).where("last").select("person", F.col("n_after").alias("n"), *[F.col(f"{c}_after").alias(c) for c in FACETS])
@@ -66,13 +66,13 @@ def mood_history(events: DataFrame, decay: tuple[float, float, float] = DECAY, l
     rows = events.withColumns({"_at": micros("ts"), "id": F.col("id").cast("long")})
 
     def cold(rows):
-        return ordered_fold(rows, ["person"], ["ts", "id"], ["_at", *CHANGES, "id"], lambda: (0, None, *CALM), _feel(decay, True), lambda s: (), schema)
+        return ordered_fold(rows, ["person"], ["ts", "id"], ["_at", *CHANGES, "id"], lambda: (0, None, *CALM), feel_step(decay, True), lambda s: (), schema)
 
     def hot(rows):
         linked = checkpointed(_linked(rows))
         starts = _chunk_states(linked, decay).select(F.col("person").alias("_who"), scan.AT, "n_before", *[f"{c}_before" for c in FACETS])
         started = linked.join(starts, F.col("person").eqNullSafe(F.col("_who")) & (linked[scan.AT] == starts[scan.AT])).drop("_who").drop(starts[scan.AT])
-        fold = _feel(decay, True)
+        fold = feel_step(decay, True)
 
         def step(state, before, at, dv, da, dd, weight, item, *start):
             state, out = fold((start[0], None, *start[1:]) if state is None else state, at, dv, da, dd, weight, item, before)
@@ -92,7 +92,7 @@ def mood_history(events: DataFrame, decay: tuple[float, float, float] = DECAY, l
 FACETS, CHANGES, CALM = ["valence", "arousal", "dominance"], ["dv", "da", "dd", "intensity"], (0.0, 0.5, 0.5)
 
 
-def _feel(decay: tuple[float, float, float], told: bool) -> Callable:
+def feel_step(decay: tuple[float, float, float], told: bool) -> Callable:
     """The step of an event: state (n, time of the last, valence, arousal, dominance); with told it emits the event's id and what follows."""
 
     def step(state, at, dv, da, dd, weight, item=None, before=None):
@@ -221,13 +221,8 @@ def describe() -> Column:
     return F.when(F.size(parts) > 0, F.concat(F.lit("I am "), F.array_join(parts, ", "), F.lit("."))).otherwise("I am balanced across personality dimensions.")
 
 
-def workspace_fold(steps: DataFrame, capacity: int = 7, boost: float = 0.15, fade: float = 0.95, expiry: float = 0.1) -> DataFrame:
-    """person, reason, nth, item, priority, age: slots after all steps (person, id, item, priority), reason null and nth their place,
-    and evictions in their order, nth from 0: priority-limited slots with ageing after each step.
-
-    A known item is rehearsed; into a full workspace an item comes only over the weakest one, which is evicted. All slots then
-    age, and those below expiry are evicted too.
-    """
+def workspace_step(capacity: int = 7, boost: float = 0.15, fade: float = 0.95, expiry: float = 0.1) -> Callable:
+    """The step of the workspace: state (how many left, slots of item, priority and age); it emits what leaves."""
 
     def step(state, item, priority):
         n, slots = state
@@ -245,8 +240,18 @@ def workspace_fold(steps: DataFrame, capacity: int = 7, boost: float = 0.15, fad
         out += [("expired", n + len(out) + k, *s) for k, s in enumerate([s for s in aged if s[1] < expiry])]
         return (n + len(out), [s for s in aged if s[1] >= expiry]), out
 
+    return step
+
+
+def workspace_fold(steps: DataFrame, **rules: float) -> DataFrame:
+    """person, reason, nth, item, priority, age: slots after all steps (person, id, item, priority), reason null and nth their place,
+    and evictions in their order, nth from 0: priority-limited slots with ageing after each step.
+
+    A known item is rehearsed; into a full workspace an item comes only over the weakest one, which is evicted. All slots then
+    age, and those below expiry are evicted too. rules are workspace_step's.
+    """
     return ordered_fold(
-        steps, ["person"], ["id", "item", "priority"], ["item", "priority"], lambda: (0, []), step, lambda s: [(None, i, *slot) for i, slot in enumerate(s[1])],
+        steps, ["person"], ["id", "item", "priority"], ["item", "priority"], lambda: (0, []), workspace_step(**rules), lambda s: [(None, i, *slot) for i, slot in enumerate(s[1])],
         "reason string, nth int, item string, priority double, age int",
     )
 
