@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import signal, text
-from lorekeep.operators import budget, policy, search, state, textindex
+from lorekeep.operators import budget, nearest, policy, search, state, textindex
 from lorekeep.sources import adapters as ad
 from lorekeep.sources.adapters import MESSAGES, PEOPLE, TALK, TRACES
 
@@ -295,6 +295,26 @@ def knn_l2(s, d):
     return search.knn(ad.table(s, d, "embeddings"), _probes(s, d), 5, ("label",)).select("query", "label", "id", R6("distance").alias("distance"), "rank")
 
 
+#: Rows of a part of the index that the queries here build; given tables are small.
+PART_ROWS = 64
+
+
+@query("knn_by_collection", ORACLES["knn_l2"])
+def knn_by_collection(s, d):
+    """knn_l2 through the stored index, whose collections are the labels; parts too far off are not read."""
+    index = nearest.kept(ad.table(s, d, "embeddings"), collection="label", part_rows=PART_ROWS)
+    rows = index.search(_probes(s, d), 5, by_collection=True).hits
+    return rows.select("query", F.col("collection").cast("int").alias("label"), "id", R6("distance").alias("distance"), "rank")
+
+
+@query("knn_filtered", f"WITH {KNN.format('')}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(distance, 9), id) AS rank FROM k WHERE label <> 3 AND id % 4 <> 1) SELECT query, id, round(distance, 6) AS distance, rank::INT AS rank FROM r WHERE rank <= 12")
+def knn_filtered(s, d):
+    """The nearest among the rows that a condition on their other columns lets through."""
+    index = nearest.kept(ad.table(s, d, "embeddings"), part_rows=PART_ROWS)
+    rows = index.search(_probes(s, d), 12, where=(F.col("label") != 3) & (F.col("vec_id") % 4 != 1)).hits
+    return rows.select("query", "id", R6("distance").alias("distance"), "rank")
+
+
 def _hybrid(strict: bool) -> str:
     on = "FALSE" if strict else "ft.id = sm.id"
     key = "CASE WHEN ft.id IS NOT NULL THEN 'id:' || ft.id ELSE 'doc:trace_' || sm.id END" if strict else "coalesce(ft.id, sm.id)::VARCHAR"
