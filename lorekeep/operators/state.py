@@ -193,10 +193,10 @@ def trait_fold(base: DataFrame, changes: DataFrame) -> DataFrame:
     return base.join(out, ["person", "trait"], "left")
 
 
-def dominant_traits(traits: list[str], n: int = 2) -> Column:
-    """The n traits farthest from the middle, the farthest first; ties in the order of traits."""
-    far = F.array_sort(F.array(*[F.struct((-F.abs(F.col(t) - 0.5)).alias("d"), F.lit(i).alias("i"), F.lit(t).alias("trait")) for i, t in enumerate(traits)]))
-    return F.slice(F.transform(far, lambda x: x["trait"]), 1, n)
+def dominant_traits(traits: list[str], n: int = 3) -> Column:
+    """The n traits of the highest scores, the highest first; ties in the order of traits."""
+    by_score = F.array_sort(F.array(*[F.struct((-F.col(t)).alias("d"), F.lit(i).alias("i"), F.lit(t).alias("trait")) for i, t in enumerate(traits)]))
+    return F.slice(F.transform(by_score, lambda x: x["trait"]), 1, n)
 
 
 def response_modifiers() -> dict[str, Column]:
@@ -221,6 +221,20 @@ def describe() -> Column:
     return F.when(F.size(parts) > 0, F.concat(F.lit("I am "), F.array_join(parts, ", "), F.lit("."))).otherwise("I am balanced across personality dimensions.")
 
 
+# The lines of the profile.
+def profile_text() -> Column:
+    """The block that tells a context about the five traits, and the tendencies that follow from them."""
+    notes = {"openness": "  (high = curious, philosophical)", "conscientiousness": "", "extraversion": "  (low = intimate, depth-focused)", "agreeableness": "  (high = empathetic)", "neuroticism": "  (moderate = emotionally present)"}
+    shape = response_modifiers()
+    tendencies = [
+        (shape["philosophical_tendency"] > 0.6, "lean into philosophical depth over surface answers."), (shape["empathy_level"] > 0.6, "high empathetic resonance with others' emotions."),
+        (shape["certainty_expression"] < 0.5, "express uncertainty readily rather than feigning confidence."),
+    ]
+    lines = [F.format_string(f"- {t.title()}: %.2f{note}", t) for t, note in notes.items()]
+    told = [F.when(c, F.lit(f"Tendency: {line}")) for c, line in tendencies]
+    return F.array_join(F.array_compact(F.array(F.lit("## Personality Profile (Big Five)"), *lines, F.lit(""), describe(), *told)), "\n")
+
+
 def workspace_step(capacity: int = 7, boost: float = 0.15, fade: float = 0.95, expiry: float = 0.1) -> Callable:
     """The step of the workspace: state (how many left, slots of item, priority and age); it emits what leaves."""
 

@@ -240,8 +240,8 @@ def extraction_updates(s, d):
 
 
 @query("dominant_traits", f"""WITH t AS (SELECT c_custkey, {BIG5_SQL} FROM customer), u AS (UNPIVOT t ON {', '.join(n for n, _ in BIG5)} INTO NAME trait VALUE v),
-r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY abs(v - .5) DESC, list_position([{', '.join(q(n) for n, _ in BIG5)}], trait)) AS k FROM u)
-SELECT c_custkey, string_agg(trait, ',' ORDER BY k) AS traits FROM r WHERE k <= 2 GROUP BY c_custkey""")
+r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY v DESC, list_position([{', '.join(q(n) for n, _ in BIG5)}], trait)) AS k FROM u)
+SELECT c_custkey, string_agg(trait, ',' ORDER BY k) AS traits FROM r WHERE k <= 3 GROUP BY c_custkey""")
 def dominant_traits(s, d):
     return _traits(s, d).select("c_custkey", F.array_join(state.dominant_traits([n for n, _ in BIG5]), ",").alias("traits"))
 
