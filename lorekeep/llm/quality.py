@@ -23,6 +23,9 @@ ROUNDS = 80
 RIDGE = 1e-4
 THRESHOLD = 0.3
 
+#: Texts of more lines are scored slice by slice, of SLICE bytes or one line each; short texts are scored together up to BATCH_LINES.
+LONG_LINES, SLICE, BATCH_LINES = 20_000, 1 << 17, 50_000
+
 #: Features of a line itself; those of its neighbours follow.
 OWN = 13
 
@@ -34,8 +37,11 @@ CLASS[[ord(x) for x in ".,;:?'\"-"]] = 5
 CLASS[128:] = 6
 
 
-def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For texts in data: (features of each line, its weight, number of lines of each text). An empty text is one empty line."""
+def own_features(data: np.ndarray, offsets: np.ndarray, said: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For texts in data: (each line's own features, its weight, number of lines of each text, the last two words). An empty text is one empty line.
+
+    Words are compared with the two before them in their text; said holds those before the first one, where data is a slice.
+    """
     n = len(data)
     breaks = np.flatnonzero(data == 10)
     # a line starts where a text starts and after each break
@@ -72,9 +78,13 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     tail[:-1] &= blank[1:] | head[1:]
     w_end = np.flatnonzero(tail) + 1
     word = word_hashes(data, w_start, w_end)
+    known = np.zeros(0, word.dtype) if said is None else said
+    word = np.concatenate([known, word])
+    text_of = np.concatenate([np.zeros(len(known), np.int64), np.searchsorted(offsets, w_start, side="right") - 1])
     again = np.zeros(len(word), bool)
     for back in (1, 2):
-        again[back:] |= word[back:] == word[:-back]
+        again[back:] |= (word[back:] == word[:-back]) & (text_of[back:] == text_of[:-back])
+    again = again[len(known) :]
     repeat = np.zeros(n, bool)
     repeat[w_start[again]] = True
     words = total(head)
@@ -83,6 +93,12 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     single = total(head & np.append(tail[:n], False)[:n]) / np.maximum(words, 1)
     own = np.column_stack([*share, doubled, repeated, long_words, single, np.log1p(size) / 8, size == 0])
 
+    return own, size + 1, counts, word[-2:].copy()
+
+
+def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For texts in data: (features of each line and its neighbours, its weight, number of lines of each text)."""
+    own, weight, counts, _ = own_features(data, offsets)
     first = np.cumsum(counts) - counts
     before, after = np.zeros_like(own), np.zeros_like(own)
     before[1:], after[:-1] = own[:-1], own[1:]
@@ -91,7 +107,27 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     lonely = np.zeros((len(own), 2))
     lonely[first, 0] = 1
     lonely[first + counts - 1, 1] = 1
-    return np.column_stack([own, before, after, lonely, np.ones(len(own))]), size + 1, counts
+    return np.column_stack([own, before, after, lonely, np.ones(len(own))]), weight, counts
+
+
+def line_slices(data: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of whole lines of a text that has lines, each of SLICE bytes at most or one line."""
+    out, start, n = [], 0, len(data)
+    while start <= n:
+        end = min(start + SLICE, n)
+        if end < n:
+            breaks = np.flatnonzero(data[start:end] == 10)
+            while not len(breaks) and end < n:  # a line longer than a slice
+                more = np.flatnonzero(data[end : end + SLICE] == 10)
+                breaks = more + (end - start)
+                end = min(end + SLICE, n)
+            if len(breaks):
+                end = start + int(breaks[-1] if end - start <= SLICE else breaks[0])
+            else:
+                end = n
+        out.append((start, end))
+        start = end + 1
+    return out
 
 
 def _ascend(slope_at, theta: np.ndarray) -> np.ndarray:
@@ -181,9 +217,101 @@ class LineChain:
         return np.add.reduceat(p * weight, first) / np.add.reduceat(weight, first)
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        q = self.quality(*line_features(data, offsets))
+        breaks = np.concatenate([[0], np.cumsum(data == 10, dtype=np.int32)]) if len(data) else np.zeros(1, np.int32)
+        lines = breaks[offsets[1:]] - breaks[offsets[:-1]] + 1
+        q, start, held = np.empty(len(lines)), 0, 0
+        for i, n in enumerate([*lines.tolist(), 0]):
+            if i > start and (i == len(lines) or n > LONG_LINES or held + n > BATCH_LINES):
+                q[start:i] = self.quality(*line_features(data[offsets[start] : offsets[i]], offsets[start : i + 1] - offsets[start]))
+                start, held = i, 0
+            if n > LONG_LINES:
+                q[i] = self.long_quality(data[offsets[i] : offsets[i + 1]])
+                start = i + 1
+            else:
+                held += n
         return 1 / (1 + np.exp(-(self.curve[0] + self.curve[1] * q)))
 
+    def long_quality(self, data: np.ndarray) -> float:
+        """quality of one text of many lines, by slices: forward with what enters each slice kept, then backward from the end.
+
+        Of a slice only its entering chances, the two words before it and its neighbours' features are kept, so memory does not
+        grow with the number of lines but by a few numbers a slice; features are computed twice.
+        """
+        cuts, said = line_slices(data), np.zeros(0, np.uint64)
+        edges, words = [], []
+        for a, b in cuts:  # the features of the first and last line of each slice
+            words.append(said)
+            own, _, _, said = own_features(data[a:b], np.array([0, b - a]), said)
+            edges.append((own[0].copy(), own[-1].copy()))
+
+        def emissions(k: int) -> tuple[np.ndarray, np.ndarray]:
+            a, b = cuts[k]
+            own, weight, _, _ = own_features(data[a:b], np.array([0, b - a]), words[k])
+            nothing = np.zeros((1, OWN))
+            before = np.concatenate([edges[k - 1][1][None] if k else nothing, own[:-1]])
+            after = np.concatenate([own[1:], edges[k + 1][0][None] if k + 1 < len(cuts) else nothing])
+            good = own @ self.w[:OWN] + before @ self.w[OWN : 2 * OWN] + after @ self.w[2 * OWN : 3 * OWN] + self.w[-1]
+            good[0] += self.w[3 * OWN] * (k == 0)
+            good[-1] += self.w[3 * OWN + 1] * (k + 1 == len(cuts))
+            return np.column_stack([np.zeros(len(own)), good]), weight
+
+        entering, state = [], None
+        for k in range(len(cuts)):
+            entering.append(state)
+            state = _carried(emissions(k)[0], self.t, state)[-1]
+        good, whole, state = 0.0, 0.0, None
+        for k in range(len(cuts) - 1, -1, -1):
+            emit, weight = emissions(k)
+            forward = _carried(emit, self.t, entering[k])
+            # backward, each line's own emission included, is the same walk from the end with the scores turned round
+            backward = _carried(emit[::-1], self.t.T, state)[::-1]
+            both = forward + backward - emit
+            p = np.exp(both[:, 1] - np.logaddexp(both[:, 0], both[:, 1]))
+            good, whole, state = good + float(p @ weight), whole + float(weight.sum()), backward[0]
+        return good / whole
+
+
+def _carried(emit: np.ndarray, t: np.ndarray, entering: np.ndarray | None) -> np.ndarray:
+    """Forward log sums of a chain's lines after entering (none at its start), each shifted so that its greater is 0.
+
+    Lines stand in rows of equal length. All rows are walked at once: first the matrices that each row amounts to, then
+    what enters each row, one row after another, then the lines.
+    """
+    n = len(emit)
+    m = max(1, int(n**0.5))
+    rows = -(-n // m)
+    e = np.concatenate([emit, np.zeros((rows * m - n, 2))]).reshape(rows, m, 2)
+
+    def step(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        x = np.logaddexp(x[..., :1] + t[0], x[..., 1:] + t[1]) + at
+        return x
+
+    start = np.broadcast_to(np.array([[0.0, -np.inf], [-np.inf, 0.0]]), (rows, 2, 2)).copy()
+    for j in range(m):
+        start = step(start, e[:, None, j])
+        start -= start.max(axis=(1, 2), keepdims=True)
+    enters = np.empty((rows, 2))
+    state = entering
+    for r in range(rows):
+        if state is None:  # the first line has no line before it
+            x = e[r, 0]
+            for j in range(1, m):
+                x = step(x, e[r, j])
+            enters[r] = 0.0
+        else:
+            enters[r] = state
+            x = np.logaddexp(state[0] + start[r, 0], state[1] + start[r, 1])
+        state = x - x.max()
+    out = np.empty((rows, m, 2))
+    x = step(enters, e[:, 0])
+    if entering is None:
+        x[0] = e[0, 0]
+    for j in range(m):
+        x = step(x, e[:, j]) if j else x
+        x = x - x.max(axis=1, keepdims=True)
+        out[:, j] = x
+    return out.reshape(-1, 2)[:n]
+
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_DOCS) -> LineChain:
     """A chain learned from the documents in labels (doc_id, quality), at most about per_label of each quality.
