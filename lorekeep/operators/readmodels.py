@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions.text import clamp, ladder
+from lorekeep.operators import scan
 from lorekeep.operators.fold import ordered_fold
 from lorekeep.operators.temporal import confidence_report
 
@@ -65,14 +66,84 @@ def due_step(interval: dict[str, int]) -> Callable:
     return step
 
 
-def due_runs(checks: DataFrame, interval: dict[str, int]) -> DataFrame:
+def due_runs(checks: DataFrame, interval: dict[str, int], hot_rows: int | None = None) -> DataFrame:
     """Checks (key, ts, id, level) with due: whether the level's interval in seconds has gone by since the last due one.
 
     Whether a check is due depends on the ones before, so a key's checks are read in order, and only the time of the last
-    due one is carried from row to row.
+    due one is carried from row to row. The checks of a key with more than hot_rows go through chunks, see _due_in_chunks.
+    Checks without a time come first and are due; a level without an interval waits for nothing; repeated rows count each.
     """
     rows = checks.select("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("id").cast("bigint").alias("id"), "level")
-    return ordered_fold(rows, ["key"], ["at", "id", "level"], ["at", "id", "level"], lambda: None, due_step(interval), lambda s: (), "id long, due boolean")
+    cold = lambda df: ordered_fold(df, ["key"], ["at", "id", "level"], ["at", "id", "level"], lambda: None, due_step(interval), lambda s: (), "id long, due boolean")
+    return scan.by_heat(rows, ["key"], cold, lambda df: _due_in_chunks(df, interval), hot_rows)
+
+
+def _due_in_chunks(rows: DataFrame, interval: dict[str, int]) -> DataFrame:
+    """key, id, due of rows (key, at, id, level) of hot keys, whose chunks are read by many tasks twice.
+
+    After a due check at time t, the next is the first with at - wait >= t. So within a chunk, read from its end, each check
+    points to the next due one and to the last one of its path. What a chunk makes of the time t that it begins with is a step
+    function: the last of the path that starts at the first check with at - wait >= t, which is a new highest one. Its steps,
+    fewer than the checks within the longest wait, tell each chunk's first t; then the chunk is read once more from there.
+    """
+    chunks = scan.without_halo(scan.in_chunks(scan.numbered(rows, ["key"], ["at", "id", "level"])))
+    chunks = chunks.withColumn("_since", F.col("at") - waits(interval))
+
+    def collect(held, at, since):
+        if at is not None:
+            held.append((at, since))
+        return held, ()
+
+    def steps(held):
+        from bisect import bisect_right
+
+        ahead, ends = [], []  # minus the sinces that none before exceeds, and their paths' ends, the nearest last
+        last = None
+        for at, since in reversed(held):
+            n = bisect_right(ahead, -at)
+            last = ends[n - 1] if n else at
+            while ahead and -ahead[-1] <= since:
+                ahead.pop()
+                ends.pop()
+            ahead.append(-since)
+            ends.append(last)
+        if held:
+            yield None, last
+        for i in range(len(ends) - 1, -1, -1):
+            if i == 0 or ends[i - 1] != ends[i]:
+                yield -ahead[i], ends[i]
+
+    made = ordered_fold(chunks, [scan.KEY, scan.AT], [scan.NTH], ["at", "_since"], list, collect, steps, "bound long, out long")
+
+    def carry(state, chunk, bound, out):
+        own, entry, after, found = state
+        begins = []
+        if chunk != own:
+            own, entry, found = chunk, after, False
+            begins = [(chunk, entry)]
+        if not found and (entry is None or (bound is not None and bound >= entry)):
+            after, found = out, True
+        return (own, entry, after, found), begins
+
+    begins = ordered_fold(made, [scan.KEY], [scan.AT, F.asc_nulls_first("bound")], [scan.AT, "bound", "out"], lambda: (None, None, None, False), carry, lambda s: (), f"{scan.AT} long, _entry long")
+    step = due_step(interval)
+
+    def follow(state, entry, at, item, level):
+        begun, last = state
+        last, told = step(last if begun else entry, at, item, level)
+        return (True, last), told
+
+    placed = chunks.join(begins, [scan.KEY, scan.AT], "left")
+    told = ordered_fold(placed, [scan.KEY, scan.AT], [scan.NTH], ["_entry", "at", "id", "level"], lambda: (False, None), follow, lambda s: (), "id long, due boolean")
+    return told.select(F.col(scan.KEY)["key"].alias("key"), "id", "due")
+
+
+def waits(interval: dict[str, int]) -> Column:
+    """The interval of column level in microseconds; 0 for other levels."""
+    out = F.lit(0).cast("long")
+    for level, seconds in interval.items():
+        out = F.when(F.col("level") == level, F.lit(seconds * 1_000_000).cast("long")).otherwise(out)
+    return out
 
 
 def introspections(thoughts: DataFrame, quick: bool = False) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lorekeep.operators import budget, rollup, scan, state, temporal
+from lorekeep.operators import budget, readmodels, rollup, scan, state, temporal
 from lorekeep.plans.knowledge import _feelings
 from lorekeep.sources import adapters as ad
 
@@ -94,3 +94,21 @@ def test_links_that_go_round(spark):
     got = {(r["id"], r["ancestor"], r["depth"]) for r in rollup.lineage(links).collect()}
     assert got == {(1, 2, 1), (1, 3, 2), (2, 3, 1), (2, 1, 2), (3, 1, 1), (3, 2, 2), (4, 3, 1), (4, 1, 2), (4, 2, 3), (5, 4, 1), (5, 3, 2), (5, 1, 3), (5, 2, 4), (8, 7, 1)}
     assert rollup.lineage(links.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("unit", [1, 3600, 40_000])
+def test_due_runs(events, unit):
+    """Waits from none to longer than many chunks; levels without a wait, null levels, repeated rows."""
+    level = F.when(F.col("id") % 3 == 0, "slow").when(F.col("id") % 3 == 1, "quick").when(F.col("id") % 5 == 0, "now").when(F.col("id") % 5 != 1, "other")
+    checks = events.select(F.col("person").alias("key"), "ts", "id", level.alias("level"))
+    checks = checks.unionByName(checks.where("id % 50 = 0"))
+    interval = {"slow": 10 * unit, "quick": 2 * unit, "now": 0}
+    same(lambda hot: readmodels.due_runs(checks, interval, hot_rows=hot))
+
+
+def test_due_runs_of_one_key(spark):
+    """Checks a minute apart under one key: those ten minutes after the last due one are due, in whatever chunk they stand."""
+    rows = spark.range(3000).select(F.lit("k").alias("key"), F.timestamp_seconds(F.col("id") * 60).alias("ts"), "id", F.lit("slow").alias("level"))
+    got = {r["id"]: r["due"] for r in readmodels.due_runs(rows, {"slow": 600}, hot_rows=SOON).collect()}
+    assert got == {i: i % 10 == 0 for i in range(3000)}
+    assert readmodels.due_runs(rows.where("false"), {"slow": 600}, hot_rows=SOON).count() == 0
