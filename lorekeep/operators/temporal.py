@@ -131,9 +131,26 @@ def value_trend(df: DataFrame, value: str, k: int = 5) -> DataFrame:
     return top.select("person", ladder((F.col("n") < 2, "insufficient_data"), (d > 0.1, "improving"), (d < -0.1, "declining"), otherwise="stable").alias("trend"))
 
 
-def mode_durations(transitions: DataFrame) -> DataFrame:
-    """person, mode, started, ended, seconds of each stay; setting the mode that is on changes nothing, and the last stay is open."""
-    w = Window.partitionBy("person").orderBy("ts", "id")
-    changes = transitions.withColumn("_was", F.lag("mode").over(w)).where("_was is null or _was <> mode")
-    ended = F.lead("ts").over(w)
-    return changes.withColumn("ended", ended).select("person", "mode", F.col("ts").alias("started"), "ended", F.round((micros("ended") - micros("ts")) / 1e6, 1).alias("seconds"))
+def mode_durations(transitions: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    """person, mode, started, ended, seconds of each stay; setting the mode that is on changes nothing, and the last stay is open.
+
+    A person with more than hot_rows transitions is read in chunks that overlap by a row: once to find the changes, and once
+    backwards over the changes alone to find where each stay ends.
+    """
+    changed = "_was is null or _was <> mode"
+
+    def cold(rows):
+        w = Window.partitionBy("person").orderBy("ts", "id")
+        return rows.withColumn("_was", F.lag("mode").over(w)).where(changed).withColumn("ended", F.lead("ts").over(w)).drop("_was")
+
+    def before(rows, order, column, name):
+        """The column of the row before, in the order; rows of hot people."""
+        chunks = scan.in_chunks(scan.numbered(rows, ["person"], order), halo=1)
+        return scan.plain(scan.without_halo(chunks.withColumn(name, F.lag(column).over(scan.in_order()))))
+
+    def hot(rows):
+        changes = before(rows, [F.col("ts"), F.col("id")], "mode", "_was").where(changed).drop("_was")
+        return before(changes, [F.desc("ts"), F.desc("id")], "ts", "ended")
+
+    stays = scan.by_heat(transitions.select("person", "mode", "ts", "id"), ["person"], cold, hot, hot_rows)
+    return stays.select("person", "mode", F.col("ts").alias("started"), "ended", F.round((micros("ended") - micros("ts")) / 1e6, 1).alias("seconds"))

@@ -112,3 +112,11 @@ def test_due_runs_of_one_key(spark):
     got = {r["id"]: r["due"] for r in readmodels.due_runs(rows, {"slow": 600}, hot_rows=SOON).collect()}
     assert got == {i: i % 10 == 0 for i in range(3000)}
     assert readmodels.due_runs(rows.where("false"), {"slow": 600}, hot_rows=SOON).count() == 0
+
+
+def test_mode_durations(events):
+    """Modes that last for a row, for many chunks, and some that are null."""
+    i = F.col("id")
+    mode = F.when(i % 29 == 0, None).when(i % 7 < 3, "a").when(i > 500, "b").otherwise(F.concat(F.lit("m"), (i % 3).cast("string")))
+    same(lambda hot: temporal.mode_durations(events.withColumn("mode", mode), hot_rows=hot))
+    same(lambda hot: temporal.mode_durations(events.withColumn("mode", F.when(i > 700, "late").otherwise("early")), hot_rows=hot))
