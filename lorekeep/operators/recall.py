@@ -11,6 +11,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorekeep.operators import scan
+from lorekeep.session import checkpointed
+
 
 def _all(*conditions: Column | None) -> Column:
     out = F.lit(True)
@@ -106,6 +109,30 @@ def overlap_join(sessions: DataFrame, windows: DataFrame, bucket_hours: int = 24
     return hit.drop("_a", "_b", "_c", "_end", "_last", "_level", "_size")
 
 
+#: What happens at one instant, in the order in which it counts: a window begins, sessions start, sessions end, a window ends.
+BEGINS, STARTS, ENDS, CLOSES = range(4)
+
+
+def overlap_counts(sessions: DataFrame, windows: DataFrame) -> DataFrame:
+    """(wid, n, n_ended): of each window (wid, since, until) that sessions overlap, how many do, and how many of these have an end.
+
+    As counting the pairs of overlap_join, but no pair is made: the sessions that started by a window's end are counted, less
+    those that ended before it began. Both numbers are running sums over all starts and ends in the order of time, which are
+    dealt to tasks by ranges of time. Neither sessions nor windows end before they begin.
+    """
+    one, none, closed = F.lit(1).cast("long"), F.lit(0).cast("long"), F.col("ended").isNotNull().cast("long")
+    point = lambda at, kind, started, closed, over: F.struct(F.col(at).alias("at"), F.lit(kind).alias("kind"), started.alias("started"), closed.alias("closed"), over.alias("over"))
+    turn = sessions.where("started is not null").select(F.explode(F.array(point("started", STARTS, one, closed, none), point("ended", ENDS, none, none, one))).alias("p"))
+    turn = turn.select("p.*").where("at is not null").groupBy("at", "kind").agg(*[F.sum(c).alias(c) for c in ("started", "closed", "over")])
+    edge = windows.where("since is not null and until is not null").select("wid", F.explode(F.array(point("since", BEGINS, none, none, none), point("until", CLOSES, none, none, none))).alias("p")).select("wid", "p.*")
+    rows = turn.withColumn("wid", F.lit(None).cast(windows.schema["wid"].dataType)).unionByName(edge).repartitionByRange("at", "kind", "wid")
+    rows = checkpointed(rows.withColumns({scan.KEY: F.lit(0), scan.AT: F.spark_partition_id(), scan.NTH: F.struct("at", "kind", "wid")}))
+    rows = scan.running(rows, {"n_started": (F.sum, "started"), "n_closed": (F.sum, "closed"), "n_over": (F.sum, "over")})
+    last = F.col("kind") == CLOSES
+    n = lambda c: F.sum(F.when(last, F.col(c)).otherwise(-F.col("n_over")))
+    return rows.where(F.col("kind").isin(BEGINS, CLOSES)).groupBy("wid").agg(n("n_started").alias("n"), n("n_closed").alias("n_ended")).where("n > 0")
+
+
 def with_metadata(df: DataFrame, key: str) -> DataFrame:
     return df.where(F.get_json_object("metadata", f"$.{key}").isNotNull())
 

@@ -74,7 +74,7 @@ def open_sessions_in_range(s, d):
 @query("open_session_windows", f"WITH {LIVE}, w AS (SELECT event_id AS wid, ts AS since, ts + to_hours((event_id % 400)::INT) AS until FROM events WHERE event_type = 'signup') SELECT wid, count(*) AS n, count(ended) AS n_ended FROM live JOIN w ON started <= until AND (ended >= since OR ended IS NULL) GROUP BY wid")
 def open_session_windows(s, d):
     w = ad.table(s, d, "events").where("event_type = 'signup'").selectExpr("event_id as wid", "ts as since", "ts + make_dt_interval(0, event_id % 400) as until")
-    return recall.overlap_join(_live(s, d), w).groupBy("wid").agg(F.count("*").alias("n"), F.count("ended").alias("n_ended"))
+    return recall.overlap_counts(_live(s, d), w)
 
 
 @query("unconsolidated_threads", f"WITH {TRACES} SELECT id, created FROM traces WHERE kind = 'thread' AND metadata IS NULL")

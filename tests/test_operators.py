@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import signal, text
 from lorekeep.operators import budget, policy, recall, rollup, salience, search, state, temporal
+from lorekeep.plans import catalog
 from lorekeep.sources import files
 
 T0 = dt.datetime(2024, 1, 1)
@@ -260,6 +261,21 @@ def test_open_and_long_sessions_meet_windows(spark):
     assert got == [(1, "a"), (1, "b"), (2, "b"), (3, "c"), (4, "a"), (4, "b"), (4, "c"), (4, "d")]
 
 
+def test_overlaps_are_counted_without_pairs(spark, sf, monkeypatch):
+    """Equal instants, open sessions and windows that meet nobody; the queries that count make no pairs."""
+    rows = [("a", at(0), at(5)), ("b", at(1), None), ("c", at(-24 * 9000), at(2)), ("d", at(50), at(50)), ("e", None, None), ("f", at(5), at(6))]
+    sessions = spark.createDataFrame(rows, "person string, started timestamp_ntz, ended timestamp_ntz")
+    windows = [(1, at(3), at(4)), (2, at(100), at(24 * 300)), (3, at(-24 * 8000), at(-24 * 7000)), (4, at(-10), at(60)), (5, at(5), at(5)), (6, at(50), at(50)), (7, at(-24 * 9999), at(-24 * 9998)), (8, None, None), (2, at(2), at(2))]
+    windows = spark.createDataFrame(windows, "wid long, since timestamp_ntz, until timestamp_ntz")
+    pairs = recall.overlap_join(sessions, windows).groupBy("wid").agg(F.count("*").alias("n"), F.count("ended").alias("n_ended"))
+    assert sorted(map(tuple, recall.overlap_counts(sessions, windows).select("wid", "n", "n_ended").collect())) == sorted(map(tuple, pairs.collect()))
+    many = spark.range(1000).select(F.col("id").alias("wid"), F.lit(at(0)).alias("since"), F.lit(at(1)).alias("until"))
+    out = recall.overlap_counts(many.selectExpr("since as started", "until as ended"), many)
+    assert out.where("n = 1000 and n_ended = 1000").count() == 1000
+    monkeypatch.setattr(recall, "overlap_join", None)
+    assert catalog.QUERIES["open_session_windows"](spark, sf).count() > 0
+
+
 def test_embedding_hook_and_upserts(spark):
     import pandas as pd
 
