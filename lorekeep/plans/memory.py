@@ -159,7 +159,7 @@ WINDOWS = "w AS (SELECT event_id AS wid, ts AS since, ts + INTERVAL 3 HOUR AS un
 @query("session_window_join", f"WITH {SESSIONS}, {WINDOWS} SELECT wid, count(*) AS n FROM sessions JOIN w ON started <= until AND ended >= since GROUP BY wid")
 def session_window_join(s, d):
     w = ad.table(s, d, "events").where("event_type = 'signup'").selectExpr("event_id as wid", "ts as since", "ts + interval 3 hours as until")
-    return recall.overlap_join(temporal.sessions(ad.messages(s, d)), w).groupBy("wid").agg(F.count("*").alias("n"))
+    return recall.overlap_counts(temporal.sessions(ad.messages(s, d)), w).select("wid", "n")
 
 
 SEGMENTS = """g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w > {us} THEN 1 ELSE 0 END AS nw FROM {src} WINDOW w AS (PARTITION BY person ORDER BY ts, id)),
