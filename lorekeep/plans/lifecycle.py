@@ -402,8 +402,7 @@ def _said_index(s, d):
 
 @query("search_union", f"WITH u AS (SELECT 'messages' AS source, * FROM {_found(SAID, ['the', 'that'])} UNION ALL SELECT 'traces', * FROM {_found(DOCS, ['the', 'that'])}) SELECT source, id, round(rank, 6) AS rank FROM u ORDER BY round(rank, 9), source, id LIMIT 40")
 def search_union(s, d):
-    hits = textindex.search_memory(_said_index(s, d), documents_index(s, d), 'The "THAT"', limit=60).withColumn("r", F.round("rank", 9))  # more than are shown, so that ties are settled as in SQL
-    return hits.orderBy("r", "source", "id").limit(40).select("source", "id", R6("rank").alias("rank"))
+    return textindex.search_memory(_said_index(s, d), documents_index(s, d), 'The "THAT"', limit=40, digits=9).select("source", "id", R6("rank").alias("rank"))
 
 
 @query("search_phrase", f"SELECT id, round(rank, 6) AS rank FROM {_found(DOCS, ['of', 'the'], True)}")
@@ -442,7 +441,7 @@ def search_grown(s, d):
     index = textindex.TextIndex(s, f"{shared_folder(s)}/text-index/{uuid.uuid4().hex}")
     said = ad.table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.expr("concat('c', conv_id)").alias("person"), F.col("text").alias("content"))
     index.append(said, keep=("person",)).append(texts, keep=("person",)).merge()
-    return index.search("the of", 60).select("id", R6("rank").alias("rank")).orderBy("rank", "id").limit(25)
+    return index.search("the of", 25, digits=6).select("id", R6("rank").alias("rank"))
 
 
 @query("salience_merged", f"""WITH RECURSIVE {TRACES}, {EXCHANGES}, {LOG}, o AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY exchange_id, step) AS k FROM log),
