@@ -26,7 +26,8 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list, values: list[str],
     """
     out = StructType([StructField(k, df.schema[k].dataType) for k in keys] + _parse_datatype_string(schema).fields)
     arrow = to_arrow_schema(out)
-    rows = df.repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, *values)
+    # dealt by a hash of the keys: a repartition by the keys themselves may be dropped after a join on them, and a key then be in several tasks
+    rows = df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order).select(*keys, *values)
     n = len(keys)
 
     def run(batches):

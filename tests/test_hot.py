@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lorekeep.operators import budget, readmodels, rollup, scan, state, temporal
+from lorekeep.operators import budget, fold, readmodels, rollup, scan, state, temporal
 from lorekeep.plans.knowledge import _feelings
 from lorekeep.sources import adapters as ad
 
@@ -106,6 +106,15 @@ def test_due_runs(events, unit):
     same(lambda hot: readmodels.due_runs(checks, interval, hot_rows=hot))
 
 
+def test_a_fold_after_a_join_deals_its_own_rows(spark):
+    """A fold deals rows itself, also where a join on the same keys has dealt them."""
+    left = spark.range(0, 20_000, 1, 8).select((F.col("id") % 3).alias("k"), "id")
+    right = spark.range(50_000).groupBy((F.col("id") % 3).alias("k")).agg(F.count("*").alias("one"))
+    count = fold.ordered_fold(left.join(right.hint("merge"), "k", "left"), ["k"], ["id"], ["id"], lambda: 0, lambda n, i: (n + 1, ()), lambda n: [(n,)], "n long")
+    assert "REPARTITION_BY_COL" in count._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["k"], r["n"]) for r in count.collect()) == [(0, 6667), (1, 6667), (2, 6666)]
+
+
 def test_due_runs_of_one_key(spark):
     """Checks a minute apart under one key: those ten minutes after the last due one are due, in whatever chunk they stand."""
     rows = spark.range(3000).select(F.lit("k").alias("key"), F.timestamp_seconds(F.col("id") * 60).alias("ts"), "id", F.lit("slow").alias("level"))
