@@ -351,8 +351,7 @@ def skill_match_theta(s, d):
     part = ad.table(s, d, "part")
     skills = part.select(F.col("p_name").alias("name"), F.expr("p_name || ' ' || p_type").alias("description")).distinct()
     m = ad.table(s, d, "lineitem").join(part, F.expr("p_partkey = l_partkey"))
-    hits = search.skill_matches(m.select(F.col("l_orderkey").alias("id"), F.expr("l_returnflag || ' for a ' || p_name").alias("content")), skills)
-    return hits.groupBy("id").agg(F.count_distinct("name").alias("n_skills"))
+    return search.skill_counts(m.select(F.col("l_orderkey").alias("id"), F.expr("l_returnflag || ' for a ' || p_name").alias("content")), skills)
 
 
 _occ = lambda w: f"(length(x) - length(replace(x, '{w}', ''))) // {len(w)}"

@@ -276,6 +276,18 @@ def test_overlaps_are_counted_without_pairs(spark, sf, monkeypatch):
     assert catalog.QUERIES["open_session_windows"](spark, sf).count() == catalog.QUERIES["session_window_join"](spark, sf).count() > 0
 
 
+def test_skills_are_counted_without_pairs(spark, sf, monkeypatch):
+    """Messages of one id that call the same and other skills; words in several blocks; an id without any; the query makes no pairs."""
+    skills = spark.createDataFrame([("knot", "tie rope firmly"), ("tea", "boil water"), ("rope", None), ("knot", "bend")], "name string, description string")
+    said = spark.createDataFrame([(1, "Rope and water"), (1, "a KNOT of rope"), (2, "nothing"), (3, "tea"), (3, None), (None, "boil")], "id long, content string")
+    want = sorted(map(tuple, search.skill_matches(said, skills).groupBy("id").agg(F.count_distinct("name")).collect()), key=str)
+    assert want == [(1, 3), (3, 1), (None, 1)]
+    for most in (1 << 20, 20):
+        assert sorted(map(tuple, search.skill_counts(said, skills, most).collect()), key=str) == want
+    monkeypatch.setattr(search, "skill_matches", None)
+    assert catalog.QUERIES["skill_match_theta"](spark, sf).count() > 0
+
+
 def test_embedding_hook_and_upserts(spark):
     import pandas as pd
 
