@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions.text import CUT_MARK, SENTENCE_ENDS, tokens
 from lorekeep.operators import budget, policy, recall
 from lorekeep.operators.search import skill_matches, terms
-from lorekeep.operators.textindex import TextIndex, rarity, weight
+from lorekeep.operators.textindex import TextIndex
 from lorekeep.plans.knowledge import SUMMARY, documents_index
 from lorekeep.session import checkpointed
 from lorekeep.sources import adapters as ad
@@ -34,8 +34,6 @@ HINT = "\nWhen your response draws on these memories, cite them as [1], [2], etc
 
 #: Salient traces of a person, hits that a request may have besides, words that a message needs for a search, recent messages, and workspace items.
 SALIENT, HITS, WORDS, RECENT, ITEMS = 30, 10, 3, 20, 5
-#: Of a message's words, how many of the rarest it meets traces by.
-RAREST = 3
 
 
 def last_heard(messages: DataFrame) -> DataFrame:
@@ -49,26 +47,12 @@ def hits(asked: DataFrame, index: TextIndex, limit: int = HITS) -> DataFrame:
     """(person, id, salience): of asked (person, content) the limit best traces of the index that hold every word of it, by BM25.
 
     A hit's salience is 1 less its combined score. Equal messages are searched once. Of the index the blocks of words that are
-    asked for are read, and no text. A message meets traces by the rarest of its words, and the others are then looked up for
-    these pairs alone. Ids are unique in the index.
+    asked for are read, and no text. Ids are unique in the index.
     """
     words = F.array_sort(F.array_distinct(terms(F.col("content"))))
     asked = asked.where(F.size(F.split(F.trim("content"), r"\s+")) >= WORDS).select("person", words.alias("words")).where(F.size("words") > 0)
     asked = checkpointed(asked.withColumn("q", F.unhex(F.sha2(F.array_join("words", " "), 256))))
-    word = asked.select("q", "words").distinct().select("q", F.size("words").alias("n_words"), F.explode("words").alias("term"))
-    posting = checkpointed(index.postings(word).select("id", "dl", "term", "tf"))
-    known = word.join(posting.groupBy("term").agg(F.count("*").alias("df")), "term")
-    # a word that no trace has leaves its message without hits
-    all_known = known.groupBy("q").agg(F.count("*").alias("k"), F.first("n_words").alias("n_words")).where("k = n_words").select("q")
-    rarest = F.row_number().over(Window.partitionBy("q").orderBy("df", "term"))
-    known = checkpointed(known.join(all_known, "q", "left_semi").withColumn("place", rarest))
-    first = known.where(F.col("place") <= RAREST).select("q", "term", F.least("n_words", F.lit(RAREST)).alias("need"))
-    pairs = first.join(posting, "term").groupBy("q", "id").agg(F.count("*").alias("have"), F.first("need").alias("need")).where("have = need").select("q", "id")
-    rows = pairs.join(known, "q").join(posting, ["id", "term"])
-    rows = rows.withColumn("_w", rarity(index.n, F.col("df")) * weight(F.col("tf"), F.col("dl"), index.mean_length))
-    scored = rows.groupBy("q", "id").agg(F.sum("_w").alias("score"), F.count("*").alias("k"), F.first("n_words").alias("n_words")).where("k = n_words")
-    best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    top = scored.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= limit)
+    top = index.best_holding(asked.select("q", "words").distinct(), limit)
     combined = (1 - F.col("score") / F.max("score").over(Window.partitionBy("q"))) * 0.5 + 0.25
     return asked.join(top.withColumn("salience", 1 - combined), "q").select("person", "id", "salience")
 

@@ -139,3 +139,30 @@ def test_a_merge_rewrites_only_what_the_log_touches(spark, tmp_path):
     assert s.merge(fold) == 1
     assert sum(r["name"].startswith("base/v2") for r in s.parts) == 1 and len(s.parts) == 8
     assert [r["id"] for r in s.base().where("metadata is not null").collect()] == [3] and s.base().count() == 100
+
+
+def test_many_queries_send_their_best_and_no_pairs(spark, index, texts, tmp_path, monkeypatch):
+    """Each of many queries against all documents: the answers of a scan, ties to the smaller id, and of each task a query's best alone."""
+    asked = [["the", "that"], ["the"], ["of", "the", "und"], ["nowhere", "the"], ["der", "und"], ["in", "that", "the", "to"]]
+    queries = spark.createDataFrame([(i, w) for i, w in enumerate(asked)], "q int, words array<string>")
+
+    def brute(rows, k):
+        return sorted((i, r["id"], round(-r["rank"], 9)) for i, w in enumerate(asked) for r in search.bm25(rows, " ".join(w), k).collect())
+
+    got = lambda df: sorted((r["q"], r["id"], round(r["score"], 9)) for r in df.collect())
+    assert got(index.best_holding(queries, 1000)) == brute(texts, None)
+    best = got(index.best_holding(queries, 3))
+    monkeypatch.setattr(textindex, "ASKED", 2)
+    monkeypatch.setattr(textindex, "PAIRS", 5)
+    monkeypatch.setattr(textindex, "KEPT", 4)
+    assert got(index.best_holding(queries, 1000)) == brute(texts, None) and got(index.best_holding(queries, 3)) == best
+    assert [(i, s) for i, _, s in best] == [(i, s) for i, _, s in brute(texts, 3)]
+
+    sent, made = [], textindex._best_holding
+    monkeypatch.setattr(textindex, "_best_holding", lambda *a: sent.append(made(*a)) or sent[-1])
+    copies = spark.range(400).select("id", F.lit("a b c d e").alias("content"))
+    i = textindex.TextIndex(spark, str(tmp_path)).append(copies, docs_per_range=20)
+    many = spark.createDataFrame([(n, sorted({"a", "b", "c", "d", "e"} - {w})) for n, w in enumerate("abcdex")], "q int, words array<string>")
+    assert [(r["q"], r["id"]) for r in i.best_holding(many, 4).orderBy("q", "id").collect()] == [(n, k) for n in range(6) for k in range(4)]
+    assert sent[0].count() <= 6 * 4 * 2 * spark.sparkContext.defaultParallelism < 6 * 400
+    assert i.best_holding(queries, 4).count() == 0
