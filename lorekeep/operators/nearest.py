@@ -25,25 +25,39 @@ from lorekeep.sources import versions
 MOST_PIVOTS, SAMPLE_BYTES = 256, 64 << 20
 #: Rows that a stored part holds, about.
 PART_ROWS = 250_000
+#: Vectors whose distances are taken together.
+SLICE = 512
 #: A part is left out only if it is farther by more than what rounding can do.
 SLACK = 1e-9
 
 
 def _distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """Distances of all vectors to all pivots, in slices; by differences, as sums of squares would cancel."""
+    """Distances of all vectors to all pivots, in slices that a core's cache holds; by differences, as sums of squares would cancel."""
     out = np.empty((len(vectors), len(pivots)))
-    for j, p in enumerate(pivots):
-        out[:, j] = np.sqrt(((vectors - p) ** 2).sum(axis=1))
-    return out
+    for at in range(0, len(vectors), SLICE):
+        some = vectors[at : at + SLICE]
+        for j, p in enumerate(pivots):
+            apart = some - p
+            out[at : at + SLICE, j] = np.einsum("ij,ij->i", apart, apart)
+    return np.sqrt(out, out=out)
+
+
+def _nearest_mean(sample: np.ndarray, means: np.ndarray) -> np.ndarray:
+    """Of each vector of the sample a mean that is nearest but for rounding: pivots may be any points, so products of matrices do."""
+    own = np.empty(len(sample), np.int64)
+    for at in range(0, len(sample), 64 * SLICE):
+        own[at : at + 64 * SLICE] = ((means**2).sum(axis=1) - 2 * (sample[at : at + 64 * SLICE] @ means.T)).argmin(axis=1)
+    return own
 
 
 def _choose(sample: np.ndarray, n: int, rounds: int = 5) -> np.ndarray:
     """n means of the sample by Lloyd's rounds from evenly spread rows; a mean that loses all rows stays where it is."""
     means = sample[np.linspace(0, len(sample) - 1, n).astype(int)]
     for _ in range(rounds):
-        own = _distances(sample, means).argmin(axis=1)
-        for j in np.unique(own):
-            means[j] = sample[own == j].mean(axis=0)
+        own = _nearest_mean(sample, means)
+        order = np.argsort(own, kind="stable")
+        begin = np.flatnonzero(np.r_[True, np.diff(own[order]) > 0])
+        means[own[order[begin]]] = np.add.reduceat(sample[order], begin, axis=0) / np.diff(np.r_[begin, len(order)])[:, None]
     return means
 
 
@@ -70,7 +84,7 @@ class VectorIndex:
     def build(self, vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", collection: str | None = None, part_rows: int = PART_ROWS) -> VectorIndex:
         """Stores vectors; rows whose vector is null, of another length than most, or with null or non-finite entries are left out.
 
-        Pivots come from a sample of SAMPLE_BYTES; every row is stored.
+        A part holds part_rows, or as many as the square root of all rows, so that parts are no more than that root. Pivots come from a sample of SAMPLE_BYTES; every row is stored.
         """
         v = F.col(vector)
         rows = vectors.where(v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))).withColumns({
@@ -93,7 +107,7 @@ class VectorIndex:
 
         rows = rows.withColumn("_p", place("_vector")).select("*", F.col("_p.cell").alias("_cell"), F.col("_p.far").alias("_far")).drop("_p")
         order = ["_collection", "_cell", "_far", "_id"]
-        laid = rows.repartitionByRange(max(1, -(-n // part_rows)), *order).withColumn("_part", F.spark_partition_id())
+        laid = rows.repartitionByRange(max(1, -(-n // max(part_rows, int(n**0.5)))), *order).withColumn("_part", F.spark_partition_id())
         laid.sortWithinPartitions(*order).write.mode("overwrite").partitionBy("_part").parquet(f"{self.path}/parts")
         if n:
             self._ranges(pivots).write.mode("overwrite").parquet(f"{self.path}/ranges")

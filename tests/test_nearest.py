@@ -76,3 +76,12 @@ def test_hot_vector_is_dealt_out(spark, index):
 def test_empty(spark, tmp_path):
     empty = VectorIndex(spark, str(tmp_path / "e")).build(spark.createDataFrame([], SCHEMA))
     assert empty.there and empty.search(spark.createDataFrame([("q", [1.0])], "query string, vector array<double>"), 3).hits.count() == 0
+
+
+def test_parts_are_no_more_than_the_root_of_all_rows(spark, rows, tmp_path):
+    """However few rows a part may hold: a file for every few rows would make the files grow as the table does."""
+    small = VectorIndex(spark, str(tmp_path / "s")).build(spark.createDataFrame(rows, SCHEMA), collection="topic", part_rows=2)
+    assert 20 <= small._stored().select("_part").distinct().count() <= 36  # 1200 rows
+    some, df = asked(spark, rows)
+    assert got(small.search(df, 5, where=F.col("weight") == 2)) == brute(rows, some, 5, lambda r: r[3] == 2)
+    assert got(small.search(df, 4, by_collection=True), True) == brute(rows, some, 4, by=lambda r: r[2])
