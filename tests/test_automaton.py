@@ -52,3 +52,23 @@ def test_found_words_of_nothing(spark):
     none = spark.createDataFrame([], "word string")
     texts = spark.createDataFrame([(1, "a")], "id long, text string")
     assert automaton.found_words(texts, none)[0].count() == 0
+
+
+def test_holders():
+    """How many lists hold any of some numbers, of which some stand in many lists and others in few, asked for in parts."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(3)
+    for size in (0, 1, 64, 500):
+        lists = [r.sample(range(300), r.randint(0, 3)) + [10**12] * (r.random() < 0.3) for _ in range(size)]
+        holders = automaton.Holders(pa.array(lists, pa.list_(pa.int64())))
+        for _ in range(100):
+            parts = [r.sample([*range(300), 10**12, 10**13, -1], r.randint(1, 9)) for _ in range(r.randint(1, 3))]
+            found = [holders.of(np.array(x, np.int64).tobytes()) for x in parts]
+            mask = 0
+            for x, _ in found:
+                mask |= x
+            assert holders.count(mask, [p for _, places in found for p in places]) == sum(any(not set(x).isdisjoint(own) for x in parts) for own in lists)

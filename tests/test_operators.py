@@ -288,6 +288,31 @@ def test_skills_are_counted_without_pairs(spark, sf, monkeypatch):
     assert catalog.QUERIES["skill_match_theta"](spark, sf).count() > 0
 
 
+def test_skills_are_counted_from_one_shuffle_of_messages(spark, monkeypatch):
+    """Common and rare words, a name that holds its keyword, a person's 900 messages; no message is written down, and a task counts an id's skills."""
+    import random
+
+    r = random.Random(4)
+    skills = [(f"Skill {i}", r.choice(["bake", "knit", "fold"]) + f" rare{i % 90} {'all of every day' * (i % 3 == 0)}") for i in range(200)] + [("bake", "the oven"), (None, "lone"), ("knit", None)]
+    texts = [" ".join(r.sample(["BAKE", "rare7", "rare71", "skill 3", "day", "nothing", "knitting", "lone", "", "rare"], 2)) for _ in range(2000)]
+    said = [(None if i < 5 else 1 if i < 905 else i // 3, t) for i, t in enumerate(texts)] + [(7, None), (8, "")]
+    words = {i: ([] if n is None else [n.lower()]) + [w for w in (d or "").split() if len(w) >= 4 and w not in ("the", "every")] for i, (n, d) in enumerate(skills)}
+    want = {}
+    for i, t in said:
+        called = {k for k, own in words.items() if t and any(w in t.lower() for w in own)}
+        if called:
+            want.setdefault(i, set()).update(skills[k][0] for k in called)
+    kept, once = [], search.checkpointed
+    monkeypatch.setattr(search, "checkpointed", lambda df: kept.append(once(df)) or kept[-1])
+    said, skills = spark.createDataFrame(said, "id long, content string"), spark.createDataFrame(skills, "name string, description string")
+    for most in (1 << 20, 1000):
+        got = search.skill_counts(said, skills, most)
+        assert dict(map(tuple, got.collect())) == {i: len(names - {None}) for i, names in want.items()}
+        assert got.count() == len(want)
+    assert max(x.count() for x in kept) <= 300 < len(want)
+    assert search.skill_counts(said, skills)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
 def test_embedding_hook_and_upserts(spark):
     import pandas as pd
 
