@@ -130,7 +130,7 @@ class Holders:
             self.common[i] = 1 << len(self.bits)
             self.bits.append(int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little"))
         most = max(1, KEPT_BYTES // (self.size // 8 + 256))
-        self.of, self._united = lru_cache(most)(self._of), lru_cache(most)(self._united)
+        self.of, self._united = lru_cache(most)(self.found), lru_cache(most)(self._united)
 
     def _places(self, i: int) -> np.ndarray:
         return self.place[self.ends[i] : self.ends[i + 1]]
@@ -145,8 +145,8 @@ class Holders:
         few = few[held[few >> 3] >> (few & 7) & 1 == 0]
         return np.unique(few) if len(few) > 1 else few
 
-    def _of(self, numbers: bytes) -> tuple[int, list]:
-        """The mask and the places (an array, or none) of numbers of eight bytes each."""
+    def found(self, numbers: bytes) -> tuple[int, list]:
+        """The mask and the places (an array, or none) of numbers of eight bytes each; of remembers it."""
         asked = np.frombuffer(numbers, np.int64)
         mask, places = 0, []
         for i, n in zip(np.searchsorted(self.own, asked).tolist(), asked.tolist()):
